@@ -30,7 +30,7 @@ CORPUS = """
 
 # non-blank lines of documents.text
 DOC_LINES = """
-  list_filter(string_split(text, chr(10)), x -> trim(x) <> '')
+  list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')
 """
 
 # Python str.strip() on text, for ASCII whitespace (DuckDB trim strips spaces only)
@@ -40,3 +40,36 @@ S = f"trim(text, {WS})"
 
 def pystrip(expr: str) -> str:
     return f"trim({expr}, {WS})"
+
+NL = "chr(10)"
+
+# constraints_text derived table (same rule as plans.tables.constraints_text)
+CONSTRAINTS_TEXT = f"""
+  (SELECT doc_id AS instruction_number,
+          'Constraints:' || chr(10) || coalesce(array_to_string(list_transform({DOC_LINES}, lambda x, i: i || '. ' || x), chr(10)), '') AS constraints,
+          text AS content
+   FROM documents)
+"""
+
+SATISFACTION_TEXT = f"""
+  (SELECT doc_id AS instruction_number,
+          coalesce(array_to_string(list_transform({DOC_LINES}, lambda x, i: i || CASE WHEN length(x) % 2 = 0 THEN '. Yes - x' ELSE '. No - x' END), chr(10)), '') AS satisfaction_results,
+          CAST(len({DOC_LINES}) AS BIGINT) AS subset_size
+   FROM documents)
+"""
+
+TASK_RESPONSES = f"""
+  (SELECT doc_id AS instruction_number,
+          'Here is the analysis.' || chr(10) || 'Main Task: ' || coalesce(({DOC_LINES})[1], '') || chr(10)
+          || CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'Constraints:' || chr(10) END
+          || coalesce(array_to_string(list_transform({DOC_LINES}, lambda x, i: i || '. ' || x), chr(10)), '')
+          || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Main Task: ' || coalesce(({DOC_LINES})[2], '') ELSE '' END AS response
+   FROM documents)
+"""
+
+
+def parse_numbered_sql(expr: str) -> str:
+    """T1 in DuckDB: list of items."""
+    s = f"regexp_replace(trim({expr}, {WS}), '(?i)^Constraints:\\s*', '')"
+    return (f"list_transform(list_filter(regexp_split_to_array({s}, '\\n\\s*[0-9]+\\.\\s*'), lambda x: trim(x, {WS}) <> ''), "
+            f"lambda x: trim(regexp_replace(x, '^[0-9]+\\.\\s*', ''), {WS}))")

@@ -60,3 +60,18 @@ def satisfaction_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(verdicts, "\n").alias("satisfaction_results"),
         F.size(items).cast("bigint").alias("subset_size"),
     )
+
+
+def task_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in for constraint-generation responses: a preamble, a
+    'Main Task:' line (the document's first line), a 'Constraints:' marker
+    and the numbered non-blank lines; every third document repeats the task
+    line after the list (last one wins), every fifth has no marker at all."""
+    docs = table(spark, sf_dir, "documents")
+    items = numbered_lines(F.col("text"))
+    first = F.coalesce(F.get(items, 0), F.lit(""))
+    numbered = F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+    tail = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\nMain Task: "), F.coalesce(F.get(items, 1), F.lit("")))).otherwise(F.lit(""))
+    marker = F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.lit("Constraints:\n"))
+    resp = F.concat(F.lit("Here is the analysis.\nMain Task: "), first, F.lit("\n"), marker, numbered, tail)
+    return docs.select(F.col("doc_id").alias("instruction_number"), resp.alias("response"))
