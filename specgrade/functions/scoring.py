@@ -77,9 +77,9 @@ def category_segment(text, category: str) -> Column:
     heading or the end; null when the heading is absent."""
     txt = F.replace(_c(text), F.lit("\r"), F.lit("\n"))
     low = F.lower(txt)
-    start = F.locate(category.lower(), low)
+    start = F.position(F.lit(category.lower()), low)
     others = [k.lower() for k in CATEGORIES if k != category]
-    ends = [F.locate(k, low, start + 1) for k in others]
+    ends = [F.position(F.lit(k), low, start + 1) for k in others]
     big = F.length(txt) + 1
     end = F.least(*[F.when(e > 0, e).otherwise(big) for e in ends])
     return F.when(start > 0, F.substring(txt, start, end - start))
@@ -134,8 +134,10 @@ def parse_pair_scores(text, mode: str = "fixed") -> Column:
 
 
 def ab_order(key, seed: int = 42) -> Column:
-    """Reproducible 0/1 presentation order per row (1 = swapped)."""
-    return F.pmod(F.xxhash64(_c(key), F.lit(seed)), F.lit(2)).cast("int")
+    """Reproducible 0/1 presentation order per row (1 = swapped), from
+    the portable seeded mix so it does not depend on partitioning."""
+    from specgrade.functions.hashing import mix
+    return F.pmod(mix(_c(key), F.lit(0), seed), F.lit(2)).cast("int")
 
 
 def unswap(order, a_val, b_val) -> Column:

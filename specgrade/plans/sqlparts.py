@@ -73,3 +73,85 @@ def parse_numbered_sql(expr: str) -> str:
     s = f"regexp_replace(trim({expr}, {WS}), '(?i)^Constraints:\\s*', '')"
     return (f"list_transform(list_filter(regexp_split_to_array({s}, '\\n\\s*[0-9]+\\.\\s*'), lambda x: trim(x, {WS}) <> ''), "
             f"lambda x: trim(regexp_replace(x, '^[0-9]+\\.\\s*', ''), {WS}))")
+
+
+def _tmpl(k, cat, x, y):
+    return [
+        f"'{cat}: A ' || {x} || ', B ' || {y}",
+        f"'{cat} A (' || {x} || ') vs B (' || {y} || ')'",
+        f"'{cat}' || chr(10) || 'A ' || {x} || '/5' || chr(10) || 'B ' || {y} || '/5'",
+        f"'{cat}: A: ' || {x} || '.5 B: ' || {y}",
+        f"'{cat}:' || chr(10) || 'A - ' || {x} || '/5' || chr(10) || 'B - ' || {y} || '/5'",
+        f"'{cat}: A: ' || {x} || '/5, B: ' || {y} || '/5'",
+    ][k]
+
+
+def _s(v):
+    return f"CAST((({v}) % 5 + 1) AS VARCHAR)"
+
+
+_SC = {"Grammar": (_s("n_chars"), _s("n_chars // 7")), "Coherence": (_s("n_chars // 11"), _s("n_chars // 13")),
+       "Likability": (_s("doc_id"), _s("doc_id // 3"))}
+
+PAIR_EVAL_TEXT = "(SELECT doc_id AS instruction_number, CASE doc_id % 7 " + " ".join(
+    f"WHEN {k} THEN " + " || chr(10) || ".join(_tmpl(k, c, x, y) for c, (x, y) in _SC.items())
+    for k in range(6)) + " ELSE 'No scores given.' END AS evaluation FROM documents)"
+
+_NUMRE = "([0-9]+(?:[.,][0-9]+)?)"
+
+
+def _seg_sql(cat):
+    low = "lower(replace(evaluation, chr(13), chr(10)))"
+    st = f"strpos({low}, '{cat.lower()}')"
+    ends = []
+    for k in ("grammar", "coherence", "likability"):
+        if k == cat.lower():
+            continue
+        p = f"strpos(substr({low}, {st} + 1), '{k}')"
+        ends.append(f"CASE WHEN {p} > 0 THEN {st} + {p} ELSE length(evaluation) + 1 END")
+    end = f"least({', '.join(ends)})"
+    return f"CASE WHEN {st} > 0 THEN substr(replace(evaluation, chr(13), chr(10)), {st}, {end} - {st}) END"
+
+
+def _num_sql(x):
+    return f"CASE WHEN {x} <> '' THEN CAST(replace({x}, ',', '.') AS DOUBLE) END"
+
+
+def pair_scores_sql(mode="fixed"):
+    """A13+A14 in DuckDB over PAIR_EVAL_TEXT; columns as the Spark query."""
+    cols = []
+    for cat in ("Grammar", "Coherence", "Likability"):
+        seg = _seg_sql(cat)
+        nums = f"regexp_extract_all({seg}, '{_NUMRE}', 1)"
+        fa = f"CASE WHEN len({nums}) >= 2 THEN {_num_sql(nums + '[1]')} END"
+        fb = f"CASE WHEN len({nums}) >= 2 THEN {_num_sql(nums + '[2]')} END"
+        if mode == "fixed":
+            a = _num_sql(f"regexp_extract({seg}, '\\bA\\b\\s*[-:(=]*\\s*{_NUMRE}', 1)")
+            b = _num_sql(f"regexp_extract({seg}, '\\bB\\b\\s*[-:(=]*\\s*{_NUMRE}', 1)")
+            sa = f"CASE WHEN ({a}) IS NOT NULL AND ({b}) IS NOT NULL THEN {a} ELSE {fa} END"
+            sb = f"CASE WHEN ({a}) IS NOT NULL AND ({b}) IS NOT NULL THEN {b} ELSE {fb} END"
+        else:
+            pre = f"A[^0-9\\r\\n\\-:]*{_NUMRE}\\D+B[^0-9\\r\\n\\-:]*{_NUMRE}"
+            pa = _num_sql(f"regexp_extract({seg}, '{pre}', 1, 'i')")
+            pb = _num_sql(f"regexp_extract({seg}, '{pre}', 2, 'i')")
+            lre = "(^|\\n)\\s*{L}[^0-9A-Za-z\\r\\n\\-:]{{0,3}}" + _NUMRE + "(?:\\s*/\\s*[0-9]+)?"
+            la = _num_sql(f"regexp_extract({seg}, '{lre.format(L='A')}', 2, 'i')")
+            lb = _num_sql(f"regexp_extract({seg}, '{lre.format(L='B')}', 2, 'i')")
+            sa = f"CASE WHEN ({pa}) IS NOT NULL THEN {pa} WHEN ({la}) IS NOT NULL AND ({lb}) IS NOT NULL THEN {la} ELSE {fa} END"
+            sb = f"CASE WHEN ({pa}) IS NOT NULL THEN {pb} WHEN ({la}) IS NOT NULL AND ({lb}) IS NOT NULL THEN {lb} ELSE {fb} END"
+        cols.append(f"({sa}) AS {cat.lower()}_a")
+        cols.append(f"({sb}) AS {cat.lower()}_b")
+    raw = f"(SELECT instruction_number, {', '.join(cols)} FROM {PAIR_EVAL_TEXT})"
+    found = " OR ".join(f"{c}_a IS NOT NULL OR {c}_b IS NOT NULL" for c in ("grammar", "coherence", "likability"))
+    sel = []
+    for c in ("grammar", "coherence", "likability"):
+        sel.append(f"CASE WHEN ok THEN coalesce({c}_a, 0.0) END AS {c}_score_A")
+        sel.append(f"CASE WHEN ok THEN coalesce({c}_b, 0.0) END AS {c}_score_B")
+    for c in ("grammar", "coherence", "likability"):
+        sel.append(f"CASE WHEN ok THEN CASE WHEN coalesce({c}_a, 0.0) >= coalesce({c}_b, 0.0) THEN 'A' ELSE 'B' END END AS {c}_pref")
+    wins = " + ".join(f"CASE WHEN coalesce({c}_a, 0.0) >= coalesce({c}_b, 0.0) THEN 1 ELSE 0 END"
+                      for c in ("grammar", "coherence", "likability"))
+    sel.append(f"CASE WHEN ok THEN CASE WHEN {wins} >= 3 - ({wins}) THEN 'A' ELSE 'B' END END AS overall_pref")
+    sel.append("CASE WHEN ok THEN 0 ELSE 1 END AS needs_parsing")
+    return (f"(SELECT instruction_number, {', '.join(sel)} FROM "
+            f"(SELECT *, coalesce({found}, false) AS ok FROM {raw}))")

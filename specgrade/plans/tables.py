@@ -75,3 +75,36 @@ def task_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     marker = F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.lit("Constraints:\n"))
     resp = F.concat(F.lit("Here is the analysis.\nMain Task: "), first, F.lit("\n"), marker, numbered, tail)
     return docs.select(F.col("doc_id").alias("instruction_number"), resp.alias("response"))
+
+
+def _score_templates(cat, x, y):
+    """The six score layouts a pairwise-evaluation response may use."""
+    L = F.lit
+    return [
+        F.concat(L(cat + ": A "), x, L(", B "), y),
+        F.concat(L(cat + " A ("), x, L(") vs B ("), y, L(")")),
+        F.concat(L(cat + "\nA "), x, L("/5\nB "), y, L("/5")),
+        F.concat(L(cat + ": A: "), x, L(".5 B: "), y),
+        F.concat(L(cat + ":\nA - "), x, L("/5\nB - "), y, L("/5")),
+        F.concat(L(cat + ": A: "), x, L("/5, B: "), y, L("/5")),
+    ]
+
+
+def pair_eval_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-in for pairwise-evaluation responses: per document one of the
+    six score layouts (doc_id % 7; 6 = no numbers at all), scores 1-5 from
+    n_chars and doc_id."""
+    d = table(spark, sf_dir, "documents")
+    n, i = F.col("n_chars"), F.col("doc_id")
+
+    def s(v):
+        return (F.pmod(v, F.lit(5)) + 1).cast("string")
+
+    scores = {"Grammar": (s(n), s(F.floor(n / 7))), "Coherence": (s(F.floor(n / 11)), s(F.floor(n / 13))),
+              "Likability": (s(i), s(F.floor(i / 3)))}
+    fmt = F.pmod(i, F.lit(7))
+    text = F.lit("No scores given.")
+    for k in range(5, -1, -1):
+        parts = [_score_templates(c, x, y)[k] for c, (x, y) in scores.items()]
+        text = F.when(fmt == k, F.concat_ws("\n", *parts)).otherwise(text)
+    return d.select(F.col("doc_id").alias("instruction_number"), text.alias("evaluation"))
