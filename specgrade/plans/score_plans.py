@@ -134,7 +134,7 @@ def pair_scores_compat(spark, sf):
 _ORDER = f"CAST({mix_sql('instruction_number', '0', 42)} % 2 AS INTEGER)"
 
 
-@query("ab_order", f"SELECT instruction_number, {_ORDER} AS ab_order FROM {PAIR_EVAL_TEXT if False else '(SELECT doc_id AS instruction_number FROM documents)'}")
+@query("ab_order", f"SELECT instruction_number, {_ORDER} AS ab_order FROM (SELECT doc_id AS instruction_number FROM documents)")
 def ab_order(spark, sf):
     """Seeded, partition-independent presentation order per row."""
     e = pair_eval_text(spark, sf)
