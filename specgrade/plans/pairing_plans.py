@@ -80,8 +80,9 @@ def find_pairs(spark, sf):
 def greedy_sql(edges_sql: str, limit: int | None) -> str:
     """Sequential greedy matching as a recursive walk over priority-numbered edges."""
     lim = f"LIMIT {limit}" if limit else ""
+    stop = f"WHERE len(w.used) < {2 * limit}" if limit else ""
     return f"""
-WITH RECURSIVE e AS (SELECT row_number() OVER (ORDER BY i, rank) AS n, i, j, similarity FROM {edges_sql}),
+WITH RECURSIVE e AS MATERIALIZED (SELECT row_number() OVER (ORDER BY i, rank) AS n, i, j, similarity FROM {edges_sql}),
 walk AS (
   SELECT CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pi,
          CAST(NULL AS BIGINT) AS pj, CAST(NULL AS DOUBLE) AS ps
@@ -92,7 +93,8 @@ walk AS (
          CASE WHEN list_contains(w.used, e.i) OR list_contains(w.used, e.j) THEN NULL ELSE e.i END,
          CASE WHEN list_contains(w.used, e.i) OR list_contains(w.used, e.j) THEN NULL ELSE e.j END,
          CASE WHEN list_contains(w.used, e.i) OR list_contains(w.used, e.j) THEN NULL ELSE e.similarity END
-  FROM walk w JOIN e ON e.n = w.n + 1)
+  FROM walk w JOIN e ON e.n = w.n + 1
+  {stop})
 SELECT pi AS blog_1_id, pj AS blog_2_id, round(ps, 3) AS similarity FROM walk WHERE pi IS NOT NULL
 ORDER BY n {lim}
 """
