@@ -126,15 +126,15 @@ def assign_row_number(df: DataFrame, order: list[str], out: str = "row_number",
                 .withColumn("_sg_mid", F.monotonically_increasing_id()))
     ranged = ranged.withColumns({
         "_sg_pid": F.shiftright(F.col("_sg_mid"), 33),
-    }).withColumn("_sg_pos", F.col("_sg_mid") - F.shiftleft(F.col("_sg_pid"), 33))
+    }).withColumn("_sg_lpos", F.col("_sg_mid") - F.shiftleft(F.col("_sg_pid"), 33))
     counts = ranged.groupBy("_sg_pid").agg(F.count(F.lit(1)).alias("_sg_n"))
     offsets = counts.select(
         "_sg_pid",
         (F.sum("_sg_n").over(Window.orderBy("_sg_pid").rowsBetween(Window.unboundedPreceding, -1)))
         .alias("_sg_off"))
     numbered = ranged.join(F.broadcast(offsets), "_sg_pid", "inner").withColumn(
-        out, (F.coalesce(F.col("_sg_off"), F.lit(0)) + F.col("_sg_pos") + F.lit(start)).cast("bigint"))
-    return numbered.drop("_sg_mid", "_sg_pid", "_sg_pos", "_sg_off")
+        out, (F.coalesce(F.col("_sg_off"), F.lit(0)) + F.col("_sg_lpos") + F.lit(start)).cast("bigint"))
+    return numbered.drop("_sg_mid", "_sg_pid", "_sg_lpos", "_sg_off")
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:

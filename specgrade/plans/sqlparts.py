@@ -155,3 +155,25 @@ def pair_scores_sql(mode="fixed"):
     sel.append("CASE WHEN ok THEN 0 ELSE 1 END AS needs_parsing")
     return (f"(SELECT instruction_number, {', '.join(sel)} FROM "
             f"(SELECT *, coalesce({found}, false) AS ok FROM {raw}))")
+
+CONV_REQUESTS = "(SELECT conv_id * 100 + turn AS key, conv_id, turn, text AS prompt FROM conversations WHERE role = 'user')"
+
+
+def word_count_sql(x):
+    return f"(CASE WHEN trim({x}, {WS}) = '' THEN 0 ELSE len(string_split_regex(trim({x}, {WS}), '\\s+')) END)"
+
+
+CONV_RESPONSES = f"""
+  (SELECT 'chat:' || CAST(u.conv_id * 100 + u.turn AS VARCHAR) || ':1' AS request_id, u.conv_id * 100 + u.turn AS key,
+          1 AS attempt, a.text AS text, CAST({word_count_sql('u.text')} AS BIGINT) AS input_tokens,
+          CAST({word_count_sql('a.text')} AS BIGINT) AS output_tokens, CAST(NULL AS VARCHAR) AS error
+   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+   WHERE u.role = 'user' AND a.role = 'assistant')
+"""
+
+ATTEMPT_LOG = f"""
+  (SELECT key, attempt,
+          CASE WHEN attempt < n OR (7 * conv_id + turn) % 5 = 0 THEN 'RateLimitError' END AS error
+   FROM (SELECT key, conv_id, turn, 1 + (conv_id + turn) % 3 AS n FROM {CONV_REQUESTS}) r,
+        LATERAL (SELECT unnest(generate_series(1, n)) AS attempt))
+"""

@@ -108,3 +108,42 @@ def pair_eval_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         parts = [_score_templates(c, x, y)[k] for c, (x, y) in scores.items()]
         text = F.when(fmt == k, F.concat_ws("\n", *parts)).otherwise(text)
     return d.select(F.col("doc_id").alias("instruction_number"), text.alias("evaluation"))
+
+
+def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as model requests: key = conv_id * 100 + turn."""
+    c = table(spark, sf_dir, "conversations")
+    return c.filter(F.col("role") == "user").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("key"), "conv_id", "turn", F.col("text").alias("prompt"))
+
+
+def conversation_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turn t+1 answers the request at turn t (attempt 1, no error);
+    token counts are whitespace-token counts of prompt and answer."""
+    from specgrade.functions.text import word_count
+    c = table(spark, sf_dir, "conversations")
+    a = c.filter(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"),
+                                                      F.col("text").alias("answer"))
+    u = c.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    j = u.join(a, ["conv_id", "turn"])
+    key = F.col("conv_id") * 100 + F.col("turn")
+    return j.select(F.concat_ws(":", F.lit("chat"), key.cast("string"), F.lit("1")).alias("request_id"),
+                    key.alias("key"), F.lit(1).alias("attempt"), F.col("answer").alias("text"),
+                    word_count("prompt").alias("input_tokens"), word_count("answer").alias("output_tokens"),
+                    F.lit(None).cast("string").alias("error"))
+
+
+def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response log with retries: request (conv_id, turn) made 1 + (conv_id + turn) % 3
+    attempts; every attempt but the last failed, and the last failed too when
+    (7 * conv_id + turn) % 5 = 0."""
+    c = conversation_requests(spark, sf_dir)
+    n = (1 + F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3))).cast("int")
+    rows = c.withColumn("attempt", F.explode(F.sequence(F.lit(1), n))).withColumn("_n", n)
+    last_fails = F.pmod(7 * F.col("conv_id") + F.col("turn"), F.lit(5)) == 0
+    err = F.when((F.col("attempt") < F.col("_n")) | last_fails, F.lit("RateLimitError"))
+    return rows.select(F.concat_ws(":", F.lit("chat"), F.col("key").cast("string"), F.col("attempt").cast("string"))
+                       .alias("request_id"), "key", "attempt",
+                       F.when(err.isNull(), F.col("prompt")).alias("text"),
+                       F.lit(0).cast("bigint").alias("input_tokens"), F.lit(0).cast("bigint").alias("output_tokens"),
+                       err.alias("error"))
