@@ -149,3 +149,15 @@ def stamp_output(df: DataFrame, model: str) -> DataFrame:
 
 def with_length(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, char_length(F.coalesce(F.col(text), F.lit(""))))
+
+
+def stub_verdict_model(messages, model):
+    """A deterministic offline model for tests and dry runs: answers one
+    verdict line per line of the last message ('n. Yes - stub' for odd n);
+    raises on prompts containing FAIL to exercise the error path."""
+    text = messages[-1]["content"]
+    if "FAIL" in text:
+        raise RuntimeError("stub failure")
+    n = text.count("\n") + 1
+    body = "\n".join(f"{i}. {'Yes' if i % 2 else 'No'} - stub" for i in range(1, n + 1))
+    return body, len(text.split()), n

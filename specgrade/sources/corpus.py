@@ -27,7 +27,11 @@ def read_corpus_jsonl(spark: SparkSession, path: str, glob: str = "*.jsonl") ->
           .option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
           .json(path)
           .withColumn("file", F.col("_metadata.file_path")))
-    bad = df.filter(F.col("_corrupt_record").isNotNull()).select("file", F.col("_corrupt_record").alias("line"))
+    # a parsed column is kept next to the raw line: Spark refuses plans that
+    # read only the corrupt-record column of a raw JSON scan
+    keep_id = F.length(F.coalesce(F.col("id"), F.lit(""))) >= 0
+    bad = df.filter(F.col("_corrupt_record").isNotNull() & keep_id).select(
+        "file", F.col("_corrupt_record").alias("line"), "id")
     good = df.filter(F.col("_corrupt_record").isNull()).select(
         "id", "text", "created", "added", "source", F.col("metadata.url").alias("url"), "file")
     return good, bad
