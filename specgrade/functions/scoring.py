@@ -89,9 +89,10 @@ def _num(c: Column) -> Column:
     return F.when(c != "", F.replace(c, F.lit(","), F.lit(".")).cast("double"))
 
 
-def category_scores(text, category: str, mode: str = "fixed") -> Column:
-    """struct(a double, b double) for one category, null fields when absent."""
-    seg = category_segment(text, category)
+def category_scores(text, category: str, mode: str = "fixed", seg: Column | None = None) -> Column:
+    """struct(a double, b double) for one category, null fields when absent.
+    ``seg`` may be a precomputed segment column (see with_pair_scores)."""
+    seg = category_segment(text, category) if seg is None else seg
     nums = F.regexp_extract_all(seg, F.lit(_NUM), 1)
     fb_a = F.when(F.size(nums) >= 2, _num(F.get(nums, 0)))
     fb_b = F.when(F.size(nums) >= 2, _num(F.get(nums, 1)))
@@ -113,10 +114,11 @@ def category_scores(text, category: str, mode: str = "fixed") -> Column:
     return F.struct(a.alias("a"), b.alias("b"))
 
 
-def parse_pair_scores(text, mode: str = "fixed") -> Column:
+def parse_pair_scores(text, mode: str = "fixed", segments: dict | None = None) -> Column:
     """A13+A14: struct of six scores (missing -> 0.0) and four preferences;
     the whole struct is null when no category yielded a number (A18)."""
-    parts = {c: category_scores(text, c, mode) for c in CATEGORIES}
+    segments = segments or {}
+    parts = {c: category_scores(text, c, mode, segments.get(c)) for c in CATEGORIES}
     any_found = F.lit(False)
     fields = []
     a_wins = F.lit(0)
@@ -145,3 +147,13 @@ def unswap(order, a_val, b_val) -> Column:
     o = _c(order)
     return F.struct(F.when(o == 1, _c(b_val)).otherwise(_c(a_val)).alias("first"),
                     F.when(o == 1, _c(a_val)).otherwise(_c(b_val)).alias("second"))
+
+
+def with_pair_scores(df, text: str, mode: str = "fixed", out: str = "pair_scores"):
+    """A13 as a DataFrame step: the three category segments are projected
+    once, then parsed, which keeps each generated method small enough for
+    whole-stage codegen."""
+    segs = {c: f"_sg_seg_{c.lower()}" for c in CATEGORIES}
+    d = df.withColumns({name: category_segment(text, c) for c, name in segs.items()})
+    d = d.withColumn(out, parse_pair_scores(text, mode, {c: F.col(n) for c, n in segs.items()}))
+    return d.drop(*segs.values())

@@ -255,10 +255,9 @@ def pairwise_requests(left: DataFrame, right: DataFrame, left_order: list[str],
 def pairwise_results(pairs: DataFrame, responses: DataFrame, key: str = "position", mode: str = "fixed",
                      model: str = "default") -> DataFrame:
     r = I.attach_responses(pairs, responses, key, "evaluations_raw", F.lit(None).cast("string"))
-    p = S.parse_pair_scores("evaluations_raw", mode)
     cols = [f"{c}_score_{x}" for c in ("grammar", "coherence", "likability") for x in "AB"]
     cols += [f"{c}_pref" for c in ("grammar", "coherence", "likability", "overall")]
-    out = r.withColumn("_p", p).select("*", *[F.col("_p." + c).alias(c) for c in cols],
+    out = S.with_pair_scores(r, "evaluations_raw", mode, "_p").select("*", *[F.col("_p." + c).alias(c) for c in cols],
                                        F.when(F.col("_p").isNull(), 1).otherwise(0).alias("needs_parsing")).drop("_p")
     return I.stamp_output(out.withColumnRenamed("tokens_used", "evaluation_tokens"), model)
 

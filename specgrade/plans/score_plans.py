@@ -112,7 +112,7 @@ _PSC = pair_scores_sql("compat")
 
 def _pair_scores(spark, sf, mode):
     e = pair_eval_text(spark, sf)
-    p = e.select("instruction_number", S.parse_pair_scores("evaluation", mode).alias("p"))
+    p = S.with_pair_scores(e, "evaluation", mode, "p").select("instruction_number", "p")
     cols = [f"{c}_score_{x}" for c in ("grammar", "coherence", "likability") for x in "AB"]
     cols += [f"{c}_pref" for c in ("grammar", "coherence", "likability", "overall")]
     return p.select("instruction_number", *[F.col("p." + c).alias(c) for c in cols],
