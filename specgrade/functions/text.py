@@ -11,10 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python str.isspace() set, written as a Java regex character class body.
+# Python str.isspace() set, written as a Java regex character class body
+# ((?U)\s is Unicode White_Space, Python adds U+001C..U+001F).
 PY_SPACE = r"\s\x1c-\x1f"
-_STRIP_RE = rf"(?U)^[{PY_SPACE}]+|[{PY_SPACE}]+\z"
 _WS_RUN_RE = rf"(?U)[{PY_SPACE}]+"
+# The same set as literal characters, derived from Python's own rule; used
+# with btrim, which strips a character set without a regex.
+PY_WS_CHARS = "".join(ch for ch in map(chr, range(0x3001)) if ch.isspace())
 
 
 def _c(c) -> Column:
@@ -23,7 +26,7 @@ def _c(c) -> Column:
 
 def py_strip(c) -> Column:
     """``str.strip()``: remove leading/trailing Unicode whitespace."""
-    return F.regexp_replace(_c(c), _STRIP_RE, "")
+    return F.btrim(_c(c), F.lit(PY_WS_CHARS))
 
 
 def is_blank(c) -> Column:
