@@ -161,3 +161,16 @@ def stub_verdict_model(messages, model):
     n = text.count("\n") + 1
     body = "\n".join(f"{i}. {'Yes' if i % 2 else 'No'} - stub" for i in range(1, n + 1))
     return body, len(text.split()), n
+
+
+def offline_responses(df: DataFrame, key: str, text: str, error: str | None = None, stage: str = "offline",
+                      attempt: int = 1) -> DataFrame:
+    """A response table from an offline result file already loaded as a
+    DataFrame (key, text[, error]); output tokens = whitespace tokens."""
+    from specgrade.functions.text import word_count
+    err = F.col(error) if error else F.lit(None).cast("string")
+    return df.select(F.concat_ws(":", F.lit(stage), F.col(key).cast("string"), F.lit(str(attempt))).alias("request_id"),
+                     F.col(key).cast("bigint").alias("key"), F.lit(attempt).alias("attempt"),
+                     F.when(err.isNull(), F.col(text)).alias("text"), F.lit(0).cast("bigint").alias("input_tokens"),
+                     F.when(err.isNull(), word_count(text)).otherwise(F.lit(0)).cast("bigint").alias("output_tokens"),
+                     err.alias("error"))

@@ -121,12 +121,15 @@ def fit_requests(constraints: DataFrame, base: DataFrame, key: str = "instructio
 
 def fit_results(constraints: DataFrame, base: DataFrame, responses: DataFrame, key: str = "instruction_number",
                 constraint_col: str = "constraints", base_col: str = "base_content", model: str = "default",
-                dedupe_right: bool = True) -> DataFrame:
+                dedupe_right: bool = True, response_key: str | None = None) -> DataFrame:
+    """B9; ``response_key`` names a per-row request key when the constraint
+    side has several rows per key (buckets)."""
     j = J.join_constraints_base(constraints, base, key, dedupe_right)
     j = j.withColumns({"main_task": J.resolve_column(j, "main_task"),
                        "_cons": J.resolve_column(j, constraint_col), "_base": J.resolve_column(j, base_col)})
-    r = I.attach_responses(j, responses, key, "fitted_content", F.lit(""))
-    out = r.select(key, "main_task", F.col("_cons").alias("constraints"), F.col("_base").alias("base_content"),
+    rk = response_key or key
+    r = I.attach_responses(j, responses, rk, "fitted_content", F.lit(""))
+    out = r.select(key, *([rk] if rk != key else []), "main_task", F.col("_cons").alias("constraints"), F.col("_base").alias("base_content"),
                    "fitted_content", char_length("fitted_content").alias("fitted_length"),
                    L.count_numbered("_cons").cast("int").alias("num_constraints"),
                    *([F.col("subset_size")] if "subset_size" in j.columns else []), "tokens_used", "error")
@@ -150,6 +153,14 @@ def fit_direct_results(constraints: DataFrame, merged: DataFrame, responses: Dat
 
 
 # B11 ---------------------------------------------------------------------
+def revise_results(df: DataFrame, responses: DataFrame, key: str, base_col: str, model: str = "default") -> DataFrame:
+    """Revised text; rows with an empty base were never requested and
+    keep an empty output without an error."""
+    r = I.attach_responses(df, responses, key, "revised_content", F.lit(""))
+    empty = F.length(F.trim(F.coalesce(F.col(base_col), F.lit("")))) == 0
+    return I.stamp_output(r.withColumn("error", F.when(empty, F.lit(None)).otherwise(F.col("error"))), model)
+
+
 def revise_requests(df: DataFrame, key: str, base_col: str, cons_col: str, n: int = 23,
                     model: str = "default") -> DataFrame:
     """Rows with an empty base get no request (their output is empty)."""
