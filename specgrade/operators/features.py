@@ -8,6 +8,9 @@ an iterator pandas UDF that loads the model once per task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
@@ -29,10 +32,8 @@ def embed_text(df: DataFrame, text: str = "text", dim: int = 256, out: str = "em
 def embed_with(df: DataFrame, text: str, load_model, dim: int, out: str = "embedding") -> DataFrame:
     """U4: embed with a user model (``load_model() -> encode(list[str]) -> 2-D array``),
     loaded once per task inside an iterator pandas UDF (Arrow batches)."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
-    def enc(batches):
+    def enc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_model()
         for s in batches:
             vecs = model(s.fillna("").tolist())

@@ -32,7 +32,7 @@ def read_corpus_jsonl(spark: SparkSession, path: str, glob: str = "*.jsonl") ->
     keep_id = F.length(F.coalesce(F.col("id"), F.lit(""))) >= 0
     bad = df.filter(F.col("_corrupt_record").isNotNull() & keep_id).select(
         "file", F.col("_corrupt_record").alias("line"), "id")
-    good = df.filter(F.col("_corrupt_record").isNull()).select(
+    good = df.filter(F.col("_corrupt_record").isNull() & keep_id).select(
         "id", "text", "created", "added", "source", F.col("metadata.url").alias("url"), "file")
     return good, bad
 
