@@ -15,10 +15,22 @@ from pyspark.sql import functions as F
 TOKEN_PRICE_PER_1K = 0.0015
 
 
-def describe_rate(df: DataFrame, rate: str = "satisfaction_rate", group: list[str] | None = None) -> DataFrame:
+def describe_rate(df: DataFrame, rate: str = "satisfaction_rate", group: list[str] | None = None,
+                  approx: bool = False) -> DataFrame:
     """Count, mean, min, max, sample stddev and the quartiles
-    (exact, linear interpolation like pandas) of a rate column."""
+    (exact, linear interpolation like pandas) of a rate column.
+
+    Exact quartiles keep one counter per distinct value; for rates k/t that
+    is small.  ``approx=True`` switches to a fixed-size sketch
+    (percentile_approx) for continuous columns with unbounded distinct values.
+    """
     r = F.col(rate)
+    if approx:
+        aggs = [F.count(r).alias("n"), F.avg(r).alias("mean_rate"), F.min(r).alias("min_rate"),
+                F.max(r).alias("max_rate"), F.stddev_samp(r).alias("std_rate")]
+        aggs += [F.percentile_approx(r, q, 10000).cast("double").alias(f"p{int(q * 100)}_rate")
+                 for q in (0.25, 0.5, 0.75)]
+        return df.groupBy(*(group or [])).agg(*aggs)
     aggs = [F.count(r).alias("n"), F.avg(r).alias("mean_rate"), F.min(r).alias("min_rate"),
             F.max(r).alias("max_rate"), F.stddev_samp(r).alias("std_rate"),
             F.percentile(r, F.lit(0.25)).alias("p25_rate"), F.percentile(r, F.lit(0.5)).alias("p50_rate"),
