@@ -112,18 +112,25 @@ def truncate_preview(df: DataFrame, n: int, text: str = "text", out: str = "prev
 
 
 def assign_row_number(df: DataFrame, order: list[str], out: str = "row_number",
-                      start: int = 1) -> DataFrame:
+                      start: int = 1, materialize: bool = True) -> DataFrame:
     """F16: dense positional number in ``order`` without a single-task window.
 
     Range-partition + sort gives a global order; each row's position inside
     its partition comes from ``monotonically_increasing_id`` (partition id in
     the upper bits), and partition offsets are a running sum over one count
     per partition (a table with as many rows as partitions, broadcast back).
-    ``order`` must be a total order (include a unique key).
+    ``order`` must be a total order (include a unique key).  With
+    ``materialize`` the range-sorted rows and their ids are checkpointed
+    once, so the count pass and the numbering pass read the same partitions
+    even if AQE or a lost executor would re-plan or recompute them.
     """
+    from specgrade.session import ensure_checkpoint_dir
     ranged = (df.repartitionByRange(*[F.col(c) for c in order])
                 .sortWithinPartitions(*order)
                 .withColumn("_sg_mid", F.monotonically_increasing_id()))
+    if materialize:
+        ensure_checkpoint_dir(df.sparkSession)
+        ranged = ranged.checkpoint()
     ranged = ranged.withColumns({
         "_sg_pid": F.shiftright(F.col("_sg_mid"), 33),
     }).withColumn("_sg_lpos", F.col("_sg_mid") - F.shiftleft(F.col("_sg_pid"), 33))
