@@ -79,21 +79,23 @@ def _stripped_lines(text) -> Column:
     return F.transform(F.split(py_strip(_c(text)), "\n"), lambda x: py_strip(x))
 
 
-def _after_first(lines_: Column, is_marker) -> Column:
-    pos = F.array_position(F.transform(lines_, is_marker), F.lit(True))
-    return F.when(pos > 0, F.slice(lines_, (pos + 1).cast("int"), F.size(lines_) + 1)).otherwise(
-        F.array().cast("array<string>"))
-
-
-def split_task_constraints(text, markers=("Constraints:",)) -> Column:
-    """T6/T7 strict: struct(main_task, constraints).
+def _classify(lines_: Column, is_task, is_cons) -> Column:
+    """Each line once: struct(x, t = task line, c = constraints marker)."""
+    return F.transform(lines_, lambda x: F.struct(x.alias("x"), is_task(x).alias("t"), is_cons(x).alias("c")))
+
+
+def _split(cl: Column, task_value) -> Column:
+    """Shared tail of T6/T7/T8 on classified lines."""
+    pos = F.array_position(F.transform(cl, lambda s: s["c"]), F.lit(True))
+    after = F.when(pos > 0, F.slice(cl, (pos + 1).cast("int"), F.size(cl) + 1))
+    body = F.transform(F.filter(after, lambda s: (F.length(s["x"]) > 0) & ~s["t"] & ~s["c"]), lambda s: s["x"])
+    last = F.try_element_at(F.filter(cl, lambda s: s["t"]), F.lit(-1))["x"]
+    task = F.coalesce(task_value(last), F.lit(""))
+    cons = F.coalesce(F.array_join(body, "\n"), F.lit(""))
+    return F.struct(task.alias("main_task"), cons.alias("constraints"))
 
-    'Main Task:' lines set the task (last wins, every marker occurrence
-    removed); lines after the first constraints marker that are non-blank
-    and not themselves markers form the constraints, newline-joined.
-    """
-    ls = _stripped_lines(text)
 
+def _strict_flags(markers):
     def is_task(x):
         return x.startswith("Main Task:")
 
@@ -102,33 +104,61 @@ def split_task_constraints(text, markers=("Constraints:",)) -> Column:
         for m in markers:
             out = out | x.startswith(m)
         return out & ~is_task(x)
+    return is_task, is_cons
 
-    last_task = F.try_element_at(F.filter(ls, is_task), F.lit(-1))
-    task = F.coalesce(py_strip(F.replace(last_task, F.lit("Main Task:"), F.lit(""))), F.lit(""))
-    body = F.filter(_after_first(ls, is_cons),
-                    lambda x: (F.length(x) > 0) & ~is_task(x) & ~is_cons(x))
-    cons = F.coalesce(F.array_join(body, "\n"), F.lit(""))
-    return F.struct(task.alias("main_task"), cons.alias("constraints"))
 
+def _strict_task(last):
+    return py_strip(F.replace(last, F.lit("Main Task:"), F.lit("")))
 
-def split_task_constraints_lenient(text) -> Column:
-    """Asterisks stripped, case-insensitive *contains* 'main task' /
-    'constraints'; any later line mentioning either phrase is dropped."""
-    ls = F.transform(_stripped_lines(text),
-                     lambda x: py_strip(F.regexp_replace(x, r"^\*+|\*+\z", "")))
 
+def _lenient_flags():
     def is_task(x):
         return F.contains(F.lower(x), F.lit("main task"))
 
     def is_cons(x):
         return F.contains(F.lower(x), F.lit("constraints")) & ~is_task(x)
+    return is_task, is_cons
 
-    last = F.try_element_at(F.filter(ls, is_task), F.lit(-1))
-    task = F.coalesce(F.when(F.contains(last, F.lit(":")), py_strip(F.regexp_extract(last, r"(?s)^[^:]*:(.*)$", 1)))
-                      .otherwise(py_strip(F.replace(last, F.lit("main task"), F.lit("")))), F.lit(""))
-    body = F.filter(_after_first(ls, is_cons), lambda x: (F.length(x) > 0) & ~is_task(x) & ~is_cons(x))
-    cons = F.coalesce(F.array_join(body, "\n"), F.lit(""))
-    return F.struct(task.alias("main_task"), cons.alias("constraints"))
+
+def _lenient_task(last):
+    return (F.when(F.contains(last, F.lit(":")), py_strip(F.regexp_extract(last, r"(?s)^[^:]*:(.*)$", 1)))
+            .otherwise(py_strip(F.replace(last, F.lit("main task"), F.lit("")))))
+
+
+def _lenient_lines(text):
+    return F.transform(_stripped_lines(text), lambda x: py_strip(F.btrim(x, F.lit("*"))))
+
+
+def with_task_split(df, text: str, out: str = "parsed", lenient: bool = False,
+                    markers=("Constraints:",)):
+    """T6/T7/T8 as a DataFrame step: the classified lines are projected once
+    in their own column (Spark does not share a repeated higher-order
+    subexpression), then split; adds struct ``out``(main_task, constraints)."""
+    if lenient:
+        cl = _classify(_lenient_lines(text), *_lenient_flags())
+        task_value = _lenient_task
+    else:
+        cl = _classify(_stripped_lines(text), *_strict_flags(markers))
+        task_value = _strict_task
+    return df.withColumn("_sg_cl", cl).withColumn(out, _split(F.col("_sg_cl"), task_value)).drop("_sg_cl")
+
+
+def split_task_constraints(text, markers=("Constraints:",)) -> Column:
+    """T6/T7 strict: struct(main_task, constraints).
+
+    'Main Task:' lines set the task (last wins, every marker occurrence
+    removed); lines after the first constraints marker that are non-blank
+    and not themselves markers form the constraints, newline-joined.
+    Each line is classified once; the rest works on the flags.
+    """
+    cl = _classify(_stripped_lines(text), *_strict_flags(markers))
+    return _split(cl, _strict_task)
+
+
+def split_task_constraints_lenient(text) -> Column:
+    """Asterisks stripped, case-insensitive *contains* 'main task' /
+    'constraints'; any later line mentioning either phrase is dropped."""
+    return _split(_classify(_lenient_lines(text), *_lenient_flags()), _lenient_task)
 
 
 def extract_main_task(text) -> Column:

@@ -56,8 +56,17 @@ def blog_reason(url, domains=BLOG_DOMAINS) -> Column:
     """F2-F5: 'domain' | 'subdomain' | 'path' | null, in that precedence.
 
     The listing-page exclusion applies only to the path branch.
+    (Column form; ``classify_blog_url`` projects host/path once first.)
     """
-    host, path = url_host(url), url_path(url)
+    return blog_reason_from(url_host(url), url_path(url), domains)
+
+
+def blog_reason_from(host: Column, path: Column, domains=BLOG_DOMAINS) -> Column:
+    """F2-F5 on already extracted host and path columns."""
+    if isinstance(host, str):
+        host = F.col(host)
+    if isinstance(path, str):
+        path = F.col(path)
     excluded = F.lit(False)
     for seg in BLOG_PATH_EXCLUDES:
         excluded = excluded | F.contains(path, F.lit(seg))
@@ -70,9 +79,12 @@ def is_blog_url(url, domains=BLOG_DOMAINS) -> Column:
     return F.coalesce(blog_reason(url, domains).isNotNull(), F.lit(False))
 
 
-def classify_blog_url(df: DataFrame, url: str = "url") -> DataFrame:
-    """add ``blog_reason`` (null when not a blog page)."""
-    return df.withColumn("blog_reason", blog_reason(url))
+def classify_blog_url(df: DataFrame, url: str = "url", out: str = "blog_reason") -> DataFrame:
+    """add ``out`` (null when not a blog page).  Host and path are
+    projected once, then every rule reads the columns."""
+    return (df.withColumns({"_sg_host": url_host(url), "_sg_path": url_path(url)})
+              .withColumn(out, blog_reason_from("_sg_host", "_sg_path"))
+              .drop("_sg_host", "_sg_path"))
 
 
 def host_suffixes(host) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from specgrade.functions.text import char_length, is_blank, normalize_text, py_strip, word_count
-from specgrade.functions.urls import blog_reason
+from specgrade.functions.urls import classify_blog_url
 
 RAW_BLOG_COLUMNS = ["id", "url", "created", "added", "source", "text", "text_length"]
 
@@ -51,8 +51,8 @@ def parse_corpus(df: DataFrame, min_len: int = 0, max_len: int = 1_000_000,
                      & (F.coalesce(F.col(text), F.lit("")) != ""))
              .withColumn("_sg_norm", norm)
              .withColumn("text_length", char_length("_sg_norm"))
-             .filter(F.col("text_length").between(min_len, max_len))
-             .filter(blog_reason(url).isNotNull()))
+             .filter(F.col("text_length").between(min_len, max_len)))
+    out = classify_blog_url(out, url, "_sg_reason").filter(F.col("_sg_reason").isNotNull())
     return out.select(F.col("id").cast("string").alias("id"), F.col(url).alias("url"),
                       F.col("created").cast("string").alias("created"),
                       F.col("added").cast("string").alias("added"),

@@ -72,8 +72,8 @@ def constraints_requests(df: DataFrame, key: str = "instruction_number", content
 def constraints_results(df: DataFrame, responses: DataFrame, key: str = "instruction_number",
                         model: str = "default", lenient: bool = False) -> DataFrame:
     r = I.attach_responses(df, responses, key, "_resp", F.lit(None).cast("string"))
-    parse = L.split_task_constraints_lenient if lenient else L.split_task_constraints
-    parsed = r.withColumn("_p", F.when(F.col("_resp").isNotNull(), parse("_resp")))
+    parsed = L.with_task_split(r, "_resp", "_p", lenient=lenient)
+    parsed = parsed.withColumn("_p", F.when(F.col("_resp").isNotNull(), F.col("_p")))
     out = parsed.select(key, F.lit("Extract constraints").alias("instruction"),
                         F.coalesce(F.col("_p.main_task"), F.lit("")).alias("main_task"),
                         F.coalesce(F.col("_p.constraints"), F.lit("")).alias("constraints"),
@@ -226,9 +226,9 @@ def replace_requests(constraints: DataFrame, base: DataFrame, evaluation: DataFr
 def replace_results(df: DataFrame, responses: DataFrame, key: str = "instruction_number",
                     model: str = "default") -> DataFrame:
     r = I.attach_responses(df, responses, key, "_resp", F.lit(None).cast("string"))
-    p = L.split_task_constraints("_resp", markers=("Constraints:", "Revised Constraints:"))
-    return I.stamp_output(r.withColumn("revised_constraints", F.coalesce(p["constraints"], F.lit(""))).drop("_resp"),
-                          model)
+    p = L.with_task_split(r, "_resp", "_p", markers=("Constraints:", "Revised Constraints:"))
+    return I.stamp_output(p.withColumn("revised_constraints", F.coalesce(F.col("_p.constraints"), F.lit("")))
+                           .drop("_resp", "_p"), model)
 
 
 def check_replacement(original: DataFrame, revised: DataFrame, verdicts: DataFrame,

@@ -22,8 +22,7 @@ WHERE reason IS NOT NULL
 def blog_pages(spark, sf):
     """F1-F5 flagship: pages whose url marks a blog article, with the reason."""
     pages = table(spark, sf, "pages").select("page_id", "url")
-    return (pages.withColumn("reason", U.blog_reason("url"))
-                 .filter(F.col("reason").isNotNull()))
+    return U.classify_blog_url(pages, "url", "reason").filter(F.col("reason").isNotNull())
 
 
 @query("url_parts", f"""

@@ -93,7 +93,7 @@ FROM {TASK_RESPONSES}
 def split_task(spark, sf):
     """Strict Main Task / Constraints split of generation responses."""
     r = task_responses(spark, sf)
-    return r.select("instruction_number", L.split_task_constraints("response").alias("s")).select(
+    return L.with_task_split(r, "response", "s").select(
         "instruction_number", "s.main_task", "s.constraints")
 
 
@@ -116,7 +116,7 @@ def split_task_lenient(spark, sf):
     """Lenient split of responses with '**Main Task:**' headings."""
     r = task_responses(spark, sf).withColumn(
         "response", F.replace("response", F.lit("Main Task:"), F.lit("**Main Task:**")))
-    return r.select("instruction_number", L.split_task_constraints_lenient("response").alias("s")).select(
+    return L.with_task_split(r, "response", "s", lenient=True).select(
         "instruction_number", "s.main_task", "s.constraints")
 
 
@@ -140,8 +140,7 @@ WHERE coalesce(CASE WHEN {_POS} IS NULL OR {_POS} = 0 THEN '' ELSE array_to_stri
 """)
 def empty_parse(spark, sf):
     """Responses whose parsed constraint list is empty (quarantine)."""
-    r = task_responses(spark, sf).select("instruction_number",
-                                         L.split_task_constraints("response").alias("s"))
+    r = L.with_task_split(task_responses(spark, sf), "response", "s")
     return r.filter(L.empty_parse_flag("s.constraints")).select("instruction_number")
 
 

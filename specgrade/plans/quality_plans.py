@@ -38,7 +38,7 @@ def dq_raw(spark, sf):
 
 def _constraints_stage(spark, sf):
     c = constraints_text(spark, sf).select("instruction_number", "constraints")
-    t = task_responses(spark, sf).select("instruction_number", L.split_task_constraints("response").alias("s"))
+    t = L.with_task_split(task_responses(spark, sf), "response", "s")
     return (c.join(t.select("instruction_number", "s.main_task"), "instruction_number")
              .withColumn("instruction", F.lit("Extract constraints")).withColumns(_stamp()))
 

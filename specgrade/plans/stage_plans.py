@@ -369,8 +369,8 @@ def split_task_revised(spark, sf):
     r = task_responses(spark, sf).withColumn("response", F.when(
         F.col("instruction_number") % 2 == 0, F.replace("response", F.lit("Constraints:"), F.lit("Revised Constraints:")))
         .otherwise(F.col("response")))
-    p = L.split_task_constraints("response", markers=("Constraints:", "Revised Constraints:"))
-    return r.select("instruction_number", p["main_task"].alias("main_task"), p["constraints"].alias("constraints"))
+    p = L.with_task_split(r, "response", "p", markers=("Constraints:", "Revised Constraints:"))
+    return p.select("instruction_number", "p.main_task", "p.constraints")
 
 
 @query("legacy_expand", f"""
