@@ -14,7 +14,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = [
     "parse_corpus", "blog_pages", "word_band", "expand_buckets", "parse_numbered",
     "count_yes", "satisfaction_summary", "find_pairs", "distinct_pairs", "knn_pairs",
-    "semantic_search", "attach_responses", "dq_constraints", "usage_rollup",
+    "semantic_search", "knn_top10", "attach_responses", "constraints_stage", "fit_stage",
+    "evaluate_stage", "dq_constraints", "usage_rollup",
 ]
 
 
