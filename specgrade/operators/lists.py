@@ -57,3 +57,13 @@ def bucket_counts(expanded: DataFrame, sizes=None) -> DataFrame:
 def legacy_expand(df: DataFrame, sizes=None) -> DataFrame:
     """The notebook form on column ``Constraint`` (same result as T12)."""
     return expand_buckets(df, text="Constraint", sizes=sizes)
+
+
+def expansion_factor(inp: DataFrame, expanded: DataFrame) -> DataFrame:
+    """Rows in, rows out and the out/in ratio of a bucket expansion
+    (one aggregate plus a scalar subquery, a single row)."""
+    rows_out = expanded.select(F.count(F.lit(1))).scalar()
+    return (inp.agg(F.count(F.lit(1)).alias("rows_in"))
+               .withColumn("rows_out", rows_out)
+               .withColumn("expansion_factor", F.when(F.col("rows_in") > 0, F.col("rows_out") / F.col("rows_in"))
+                           .otherwise(F.lit(0.0))))

@@ -180,3 +180,12 @@ def dup_constraints(spark, sf):
     """Repeated constraints inside one list (after normalisation)."""
     c = constraints_text(spark, sf)
     return c.select("instruction_number", L.duplicate_items(L.parse_numbered("constraints")).alias("n_duplicates"))
+
+
+@query("expansion_factor", f"""
+SELECT count(*) AS rows_in, count(*) * 5 AS rows_out, CAST(5.0 AS DOUBLE) AS expansion_factor FROM {CONSTRAINTS_TEXT}
+""")
+def expansion_factor(spark, sf):
+    """Rows in / rows out / factor of the 5-size bucket expansion."""
+    c = constraints_text(spark, sf).select("instruction_number", "constraints")
+    return OL.expansion_factor(c, OL.expand_buckets(c))
