@@ -56,10 +56,16 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's spark.checkpoint.dir; create a scratch one only when unset
-    (local tests).  A cluster must configure a shared folder itself."""
+    """Use the session's spark.checkpoint.dir.  Only a local-mode session
+    (tests, bench) without one gets a scratch folder; on a cluster a
+    machine-local folder would not survive executor loss, so an unset
+    spark.checkpoint.dir is an error there."""
     d = checkpoint_dir(spark)
     if d is None:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: configure a shared folder "
+                               "(e.g. on the cluster file system) for iterative operators")
         d = tempfile.mkdtemp(prefix="specgrade-ckpt-", dir="/tmp")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
