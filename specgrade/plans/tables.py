@@ -147,3 +147,19 @@ def attempt_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.when(err.isNull(), F.col("prompt")).alias("text"),
                        F.lit(0).cast("bigint").alias("input_tokens"), F.lit(0).cast("bigint").alias("output_tokens"),
                        err.alias("error"))
+
+
+def write_corpus_jsonl(spark: SparkSession, sf_dir: str, out_dir: str, compression: str | None = None) -> str:
+    """Render the url-tagged corpus as JSON-lines dump files (the raw corpus
+    format): one object per document with metadata.url; every 50th line is
+    cut short, i.e. malformed.  Returns the directory written."""
+    c = corpus_with_urls(spark, sf_dir)
+    js = F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), "text",
+                            F.lit("2024-01-01").alias("created"), F.lit("2024-02-01").alias("added"), "source",
+                            F.struct(F.col("url").alias("url")).alias("metadata")))
+    line = F.when(F.col("doc_id") % 50 == 0, F.substring(js, 1, 20)).otherwise(js)
+    w = c.select(line.alias("value")).write.mode("overwrite")
+    if compression:
+        w = w.option("compression", compression)
+    w.text(out_dir)
+    return out_dir

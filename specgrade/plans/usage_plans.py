@@ -78,3 +78,66 @@ def usage_stream_rollup(spark, sf):
     q = usage_totals_stream(spark, base + "/in", base + "/out", base + "/ckpt")
     q.awaitTermination()
     return spark.read.parquet(base + "/out")
+
+
+def _scratch(spark, name):
+    return ensure_checkpoint_dir(spark).rstrip("/") + f"/specgrade-{name}-{uuid.uuid4().hex}"
+
+
+def _jsonl_corpus(spark, sf):
+    from specgrade.plans.tables import write_corpus_jsonl
+    base = _scratch(spark, "jsonl")
+    write_corpus_jsonl(spark, sf, base + "/in/dump")
+    return base
+
+
+def _parse_corpus_sql(extra_where: str) -> str:
+    from specgrade.plans.sqlparts import BLOG_REASON, CORPUS, S, URL_PARTS
+    return f"""
+SELECT CAST(doc_id AS VARCHAR) AS id, url, source, replace({S}, chr(10), ' ') AS text,
+       length(replace({S}, chr(10), ' ')) AS text_length
+FROM (SELECT c.*, {URL_PARTS} FROM {CORPUS} c)
+WHERE coalesce(url, '') <> '' AND coalesce(text, '') <> ''
+  AND length(replace({S}, chr(10), ' ')) BETWEEN 1000 AND 2000
+  AND ({BLOG_REASON}) IS NOT NULL {extra_where}
+"""
+
+
+@query("ingest_jsonl", _parse_corpus_sql("AND doc_id % 50 <> 0"))
+def ingest_jsonl(spark, sf):
+    """S1+F10: the corpus as JSON-lines dumps (every 50th line malformed),
+    read with an explicit schema (bad lines quarantined), then filtered."""
+    from specgrade.operators.corpus import parse_corpus
+    base = _jsonl_corpus(spark, sf)
+    good, _bad = SC.read_corpus_jsonl(spark, base + "/in", glob="*.txt")
+    return parse_corpus(good, 1000, 2000).drop("created", "added")
+
+
+@query("ingest_quarantine", "SELECT count(*) AS bad_lines FROM documents WHERE doc_id % 50 = 0")
+def ingest_quarantine(spark, sf):
+    """Malformed dump lines land in the quarantine frame, never fail the job."""
+    base = _jsonl_corpus(spark, sf)
+    _good, bad = SC.read_corpus_jsonl(spark, base + "/in", glob="*.txt")
+    return bad.agg(F.count(F.lit(1)).alias("bad_lines"))
+
+
+@query("classify_stream", _parse_corpus_sql("AND doc_id % 50 <> 0"))
+def classify_stream(spark, sf):
+    """the same dumps consumed by a Structured Streaming query
+    (availableNow, file sink with checkpoint); output equals the batch run."""
+    from specgrade.streaming.usage import classify_stream as run
+    base = _jsonl_corpus(spark, sf)
+    q = run(spark, base + "/in/dump", base + "/out", base + "/ckpt", 1000, 2000)
+    q.awaitTermination()
+    return spark.read.parquet(base + "/out").drop("created", "added")
+
+
+@query("ingest_gz", _parse_corpus_sql("AND doc_id % 50 <> 0"))
+def ingest_gz(spark, sf):
+    """Gzip-compressed dumps read directly (no unpack step), then F10."""
+    from specgrade.operators.corpus import parse_corpus
+    from specgrade.plans.tables import write_corpus_jsonl
+    base = _scratch(spark, "gz")
+    write_corpus_jsonl(spark, sf, base + "/in/dump", compression="gzip")
+    good, _bad = SC.read_compressed_corpus(spark, base + "/in", "gz", glob="*.gz")
+    return parse_corpus(good, 1000, 2000).drop("created", "added")

@@ -37,7 +37,8 @@ def read_corpus_jsonl(spark: SparkSession, path: str, glob: str = "*.jsonl") ->
     return good, bad
 
 
-def read_compressed_corpus(spark: SparkSession, path: str, suffix: str = "gz") -> tuple[DataFrame, DataFrame]:
+def read_compressed_corpus(spark: SparkSession, path: str, suffix: str = "gz",
+                           glob: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Compressed JSON-lines dumps read directly (no unpack step).  A
     compressed file is one split, so the result is repartitioned by Spark's
     default parallelism before heavy work.  zstd text is not available in
@@ -45,7 +46,7 @@ def read_compressed_corpus(spark: SparkSession, path: str, suffix: str = "gz") -
     if suffix in ("zst", "zstd"):
         raise ValueError("zstd-compressed JSON is not readable by this Spark build; "
                          f"supported codecs: {', '.join(SUPPORTED_CODECS)}")
-    good, bad = read_corpus_jsonl(spark, path, glob=f"*.json*.{suffix}")
+    good, bad = read_corpus_jsonl(spark, path, glob=glob or f"*.json*.{suffix}")
     return good.repartition(spark.sparkContext.defaultParallelism), bad
 
 
