@@ -22,14 +22,6 @@ from specgrade.plans.tables import (constraints_text, numbered_lines, pair_eval_
                                     task_responses)
 
 
-def _first_line(c):
-    return F.coalesce(F.get(numbered_lines(F.col(c)), 0), F.lit(""))
-
-
-def _first_line_sql(c):
-    return f"coalesce((list_filter(string_split({c}, chr(10)), lambda x: trim(x) <> ''))[1], '')"
-
-
 # B5 ----------------------------------------------------------------------
 def _merge_stage(spark, sf):
     e = table(spark, sf, "embeddings")
@@ -38,8 +30,8 @@ def _merge_stage(spark, sf):
     pairs = P.attach_pair_text(cand.select(F.col("i").alias("blog_1_id"), F.col("j").alias("blog_2_id"),
                                            "similarity"), docs, "doc_id")
     pairs = pairs.withColumn("pair_id", F.col("blog_1_id") * 1000000 + F.col("blog_2_id"))
-    answers = pairs.select("pair_id", F.concat(_first_line("blog_1_text"), F.lit(" "), _first_line("blog_2_text"))
-                           .alias("text"), F.when((F.col("blog_1_id") + F.col("blog_2_id")) % 4 == 0,
+    answers = pairs.select("pair_id", F.concat_ws("\n\n", F.coalesce("blog_1_text", F.lit("")),
+                                                  F.coalesce("blog_2_text", F.lit(""))).alias("text"), F.when((F.col("blog_1_id") + F.col("blog_2_id")) % 4 == 0,
                                                   F.lit("Timeout")).alias("error"))
     resp = I.offline_responses(answers, "pair_id", "text", "error", stage="merge")
     return SG.merge_results(pairs, resp, "pair_id", band=(0.40, 0.50))
@@ -48,7 +40,7 @@ def _merge_stage(spark, sf):
 _MERGE_SQL = f"""
   (SELECT pair_id, blog_1_id, blog_2_id, similarity, t1, t2,
           CASE WHEN similarity BETWEEN 0.40 AND 0.50 THEN 'dissimilar' ELSE 'similar' END AS merge_type,
-          CASE WHEN failed THEN '' ELSE {_first_line_sql('t1')} || ' ' || {_first_line_sql('t2')} END AS merged_blog,
+          CASE WHEN failed THEN '' ELSE coalesce(t1, '') || chr(10) || chr(10) || coalesce(t2, '') END AS merged_blog,
           CASE WHEN failed THEN 'Timeout' END AS error
    FROM (SELECT c.i * 1000000 + c.j AS pair_id, c.i AS blog_1_id, c.j AS blog_2_id, c.similarity,
                 d1.text AS t1, d2.text AS t2, (c.i + c.j) % 4 = 0 AS failed
@@ -188,8 +180,9 @@ def _fit_stage(spark, sf):
     b = _bucketed(spark, sf).withColumn("request_key", F.col("instruction_number") * 100 + F.col("subset_size"))
     base = table(spark, sf, "documents").select(F.col("doc_id").alias("instruction_number"),
                                                 F.col("text").alias("base_content"), F.col("lang").alias("main_task"))
-    answers = b.select("request_key", F.substring(F.col("constraints"), 1, 600).alias("text"),
-                       F.when(F.col("instruction_number") % 17 == 0, F.lit("Timeout")).alias("error")).distinct()
+    answers = (b.join(base.select("instruction_number", "base_content"), "instruction_number")
+                .select("request_key", F.concat_ws("\n\n", "constraints", "base_content").alias("text"),
+                        F.when(F.col("instruction_number") % 17 == 0, F.lit("Timeout")).alias("error")).distinct())
     resp = I.offline_responses(answers, "request_key", "text", "error", stage="fit")
     return SG.fit_results(b, base, resp, "instruction_number", response_key="request_key")
 
@@ -198,11 +191,11 @@ _SEL = "coalesce(array_to_string(list_transform(items[1:size], lambda x, i: i ||
 
 
 @query("fit_stage", f"""
-SELECT instruction_number, CAST(least(size, len(items)) AS INTEGER) AS subset_size,
-       CAST(CASE WHEN instruction_number % 17 = 0 THEN 0 ELSE length(substr({_SEL}, 1, 600)) END AS BIGINT) AS fitted_length,
+SELECT b.instruction_number, CAST(least(size, len(items)) AS INTEGER) AS subset_size,
+       CAST(CASE WHEN b.instruction_number % 17 = 0 THEN 0 ELSE length({_SEL} || chr(10) || chr(10) || d.text) END AS BIGINT) AS fitted_length,
        CAST(len(regexp_extract_all({_SEL}, '(?m)^[0-9]+\\.')) AS INTEGER) AS num_constraints,
-       CASE WHEN instruction_number % 17 = 0 THEN 'Timeout' END AS error
-FROM {_BUCKETS}
+       CASE WHEN b.instruction_number % 17 = 0 THEN 'Timeout' END AS error
+FROM {_BUCKETS} b JOIN documents d ON d.doc_id = b.instruction_number
 """)
 def fit_stage(spark, sf):
     """Bucketed constraints x base (right side deduped), fitted text per bucket."""
@@ -214,7 +207,7 @@ def fit_stage(spark, sf):
 SELECT instruction_number, CAST(least(size, len(items)) AS INTEGER) AS subset_size, rule_id FROM (
   SELECT *, CASE WHEN instruction_number <= 0 THEN 'V7'
                  WHEN len(regexp_extract_all({_SEL}, '(?m)^[0-9]+\\.')) <> least(size, len(items)) THEN 'V12'
-                 WHEN instruction_number % 17 = 0 OR length(substr({_SEL}, 1, 600)) <= 0 THEN 'V13' END AS rule_id
+                 WHEN instruction_number % 17 = 0 THEN 'V13' END AS rule_id
   FROM {_BUCKETS})
 WHERE rule_id IS NOT NULL
 """)
@@ -233,11 +226,11 @@ def _dq_fitted(spark, sf):
 # B10 ---------------------------------------------------------------------
 @query("fit_direct_stage", f"""
 SELECT c.instruction_number,
-       CASE WHEN c.instruction_number % 7 = 0 THEN NULL ELSE CAST(length(substr(d.text, 1, 300)) AS BIGINT) END AS fitted_length,
+       CASE WHEN c.instruction_number % 7 = 0 THEN NULL ELSE CAST(length(d.text || chr(10) || '[fitted]') AS BIGINT) END AS fitted_length,
        CASE WHEN c.instruction_number % 7 = 0 THEN NULL ELSE CAST(length(d.text) AS BIGINT) END AS original_length,
        CASE WHEN c.instruction_number % 7 = 0 THEN NULL ELSE CAST(len(list_filter(list_transform(string_split(c.constraints, chr(10)), lambda x: trim(x, {WS})),
             lambda x: x <> '' AND NOT starts_with(x, 'Constraint') AND regexp_matches(x, '^[0-9]'))) AS BIGINT) END AS num_constraints,
-       CASE WHEN c.instruction_number % 7 = 0 THEN d.text ELSE substr(d.text, 1, 300) END = d.text AS kept_original,
+       CASE WHEN c.instruction_number % 7 = 0 THEN d.text ELSE d.text || chr(10) || '[fitted]' END = d.text AS kept_original,
        CASE WHEN c.instruction_number % 7 = 0 THEN 'Timeout' END AS error
 FROM {CONSTRAINTS_TEXT} c JOIN documents d ON d.doc_id = c.instruction_number
 """)
@@ -246,7 +239,7 @@ def fit_direct_stage(spark, sf):
     c = constraints_text(spark, sf).select("instruction_number", "constraints")
     merged = table(spark, sf, "documents").select(F.col("doc_id").alias("instruction_number"),
                                                   F.col("text").alias("merged_blog"))
-    answers = merged.select("instruction_number", F.substring("merged_blog", 1, 300).alias("text"),
+    answers = merged.select("instruction_number", F.concat("merged_blog", F.lit("\n[fitted]")).alias("text"),
                             F.when(F.col("instruction_number") % 7 == 0, F.lit("Timeout")).alias("error"))
     resp = I.offline_responses(answers, "instruction_number", "text", "error", stage="fit_direct")
     out = SG.fit_direct_results(c, merged, resp, "instruction_number")
