@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from specgrade.functions.text import char_length, is_blank, normalize_text, py_strip, word_count
+from specgrade.functions.text import char_length, is_blank, normalize_text, word_count
 from specgrade.functions.urls import classify_blog_url
 
 RAW_BLOG_COLUMNS = ["id", "url", "created", "added", "source", "text", "text_length"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from specgrade.functions import lists as L
 from specgrade.functions import text as T
 from specgrade.operators import corpus as C
 from specgrade.operators import features as FE

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from specgrade.functions import lists as L
 from specgrade.operators import lists as OL
 from specgrade.plans.registry import query
-from specgrade.plans.sqlparts import (CONSTRAINTS_TEXT, DOC_LINES, TASK_RESPONSES, WS,
+from specgrade.plans.sqlparts import (CONSTRAINTS_TEXT, TASK_RESPONSES, WS,
                                       parse_numbered_sql)
 from specgrade.plans.tables import constraints_text, table, task_responses
 

@@ -9,7 +9,7 @@ from specgrade.functions import scoring as S
 from specgrade.functions import text as T
 from specgrade.operators import quality as Q
 from specgrade.plans.registry import query
-from specgrade.plans.sqlparts import (CONSTRAINTS_TEXT, SATISFACTION_TEXT, TASK_RESPONSES, URL_PARTS, WS, CORPUS)
+from specgrade.plans.sqlparts import CONSTRAINTS_TEXT, CORPUS, SATISFACTION_TEXT, TASK_RESPONSES, WS
 from specgrade.plans.tables import constraints_text, corpus_with_urls, satisfaction_text, table, task_responses
 
 def _stamp():

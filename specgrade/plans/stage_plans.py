@@ -16,8 +16,8 @@ from specgrade.operators import quality as Q
 from specgrade.operators import stages as SG
 from specgrade.plans.pairing_plans import SCORED_SQL
 from specgrade.plans.registry import query
-from specgrade.plans.sqlparts import (CONSTRAINTS_TEXT, DOC_LINES, PAIR_EVAL_TEXT, SATISFACTION_TEXT,
-                                      TASK_RESPONSES, WS, pair_scores_sql, parse_numbered_sql, word_count_sql)
+from specgrade.plans.sqlparts import (CONSTRAINTS_TEXT, DOC_LINES, TASK_RESPONSES, WS, pair_scores_sql,
+                                      parse_numbered_sql, word_count_sql)
 from specgrade.plans.tables import (constraints_text, numbered_lines, pair_eval_text, satisfaction_text, table,
                                     task_responses)
 

@@ -2,8 +2,6 @@
 
 import random
 
-from pyspark.sql import functions as F
-
 from specgrade.operators import pairing as P
 from specgrade.operators.corpus import assign_row_number
 

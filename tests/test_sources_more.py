@@ -3,7 +3,6 @@ incremental streaming and partition independence of whole queries."""
 
 import gzip
 import json
-import os
 import tempfile
 
 import pytest
@@ -119,3 +118,16 @@ def test_partition_independent(spark, name):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert a == b
+
+
+def test_url_manifest_and_pending(spark):
+    from specgrade.sources import manifest as M
+    urls = M.urls_from_string(spark, " https://x.org/a/dump1.json.gz , ,https://x.org/b/dump2.jsonl.zst,https://x.org/a/dump1.json.gz")
+    man = M.url_manifest(urls)
+    got = sorted((r["url"], r["file_name"]) for r in man.collect())
+    assert got == [("https://x.org/a/dump1.json.gz", "dump1.json.gz"), ("https://x.org/b/dump2.jsonl.zst", "dump2.jsonl.zst")]
+    present = spark.createDataFrame([("dump1.json.gz", 10), ("dump2.jsonl.zst", 0)], "file_name string, size bigint")
+    assert [r["file_name"] for r in M.pending_downloads(man, present).collect()] == ["dump2.jsonl.zst"]
+    names = spark.createDataFrame([("a.jsonl.zst",), ("a.json.gz",), ("a.txt",), ("a.json.jsonl",), ("a.x.gz",)], "n string")
+    out = [r["o"] for r in names.select(M.output_name("n").alias("o")).collect()]
+    assert out == ["a.json.jsonl", "a.json.jsonl", None, None, "a.x.jsonl"]

@@ -4,8 +4,6 @@ import json
 import os
 import tempfile
 
-from pyspark.sql import functions as F
-
 from specgrade.operators import corpus as C
 from specgrade.operators import inference as I
 from specgrade.operators import stages as SG

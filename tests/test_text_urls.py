@@ -1,8 +1,6 @@
 """FIXTURES url cases and Python-str text semantics."""
 
 import pytest
-from pyspark.sql import functions as F
-
 from specgrade.functions import text as T
 from specgrade.functions import urls as U
 
