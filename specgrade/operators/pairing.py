@@ -77,13 +77,22 @@ def candidate_ids(i, n, k: int = DEFAULT_K, seed: int = 0, exact_limit: int = EX
 
 
 def sampled_candidates(vectors: DataFrame, id_col: str = "vec_id", k: int = DEFAULT_K,
-                       seed: int = 0) -> DataFrame:
-    """P5 as rows: (i, j, rank), rank 1-based scan order.  ``id_col`` must be
-    dense 0..n-1 (use assign_row_number first otherwise)."""
-    n = vectors.select(F.count(F.lit(1))).scalar()
-    ids = vectors.select(F.col(id_col).alias("i")).withColumn("_n", n)
-    return ids.select("i", F.posexplode(candidate_ids("i", "_n", k, seed)).alias("pos", "j")).select(
-        "i", "j", (F.col("pos") + 1).alias("rank"))
+                       seed: int = 0, dense: bool = True) -> DataFrame:
+    """P5 as rows: (i, j, rank), rank 1-based scan order, i and j in
+    ``id_col`` terms.  With ``dense`` the ids are the positions 0..n-1 (the
+    reference's row index); otherwise positions are assigned in id order by
+    the distributed numbering (F16) and mapped back with two equi-joins."""
+    if dense:
+        n = vectors.select(F.count(F.lit(1))).scalar()
+        ids = vectors.select(F.col(id_col).alias("i")).withColumn("_n", n)
+        return ids.select("i", F.posexplode(candidate_ids("i", "_n", k, seed)).alias("pos", "j")).select(
+            "i", "j", (F.col("pos") + 1).alias("rank"))
+    from specgrade.operators.corpus import assign_row_number
+    pos = assign_row_number(vectors.select(F.col(id_col).alias("_id")), ["_id"], out="_pos", start=0)
+    by_pos = sampled_candidates(pos.select(F.col("_pos").alias("_p")), "_p", k, seed, dense=True)
+    a = by_pos.join(pos.withColumnsRenamed({"_pos": "i", "_id": "_ii"}), "i")
+    b = a.join(pos.withColumnsRenamed({"_pos": "j", "_id": "_jj"}), "j")
+    return b.select(F.col("_ii").alias("i"), F.col("_jj").alias("j"), "rank")
 
 
 def score_edges(edges: DataFrame, vectors: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
@@ -110,10 +119,10 @@ def band_pairs(edges: DataFrame, lo: float, hi: float, sim: str = "similarity")
 
 def find_pairs(vectors: DataFrame, lo: float = DISSIMILAR_BAND[0], hi: float = DISSIMILAR_BAND[1],
                max_pairs: int = DEFAULT_MAX_PAIRS, k: int = DEFAULT_K, seed: int = 0,
-               id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+               id_col: str = "vec_id", vec: str = "embedding", dense: bool = True) -> DataFrame:
     """P6 (non-distinct): in-band sampled candidates in scan order (i, rank),
     first ``max_pairs`` (a top-n, no global sort)."""
-    cand = sampled_candidates(vectors, id_col, k, seed)
+    cand = sampled_candidates(vectors, id_col, k, seed, dense)
     scored = band_pairs(score_edges(cand, vectors, id_col, vec), lo, hi)
     return scored.orderBy("i", "rank").limit(max_pairs).select(
         F.col("i").alias("blog_1_id"), F.col("j").alias("blog_2_id"), "similarity")
@@ -172,10 +181,10 @@ def greedy_matching(edges: DataFrame, u: str = "i", v: str = "j", priority: list
 
 def find_pairs_distinct(vectors: DataFrame, lo: float = DISSIMILAR_BAND[0], hi: float = DISSIMILAR_BAND[1],
                         max_pairs: int | None = DEFAULT_MAX_PAIRS, k: int = DEFAULT_K, seed: int = 0,
-                        id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
+                        id_col: str = "vec_id", vec: str = "embedding", dense: bool = True) -> DataFrame:
     """Each row in at most one pair; rows scanned in id order, first free
     in-band candidate (in sample order) wins; similarity rounded to 3 dp."""
-    cand = sampled_candidates(vectors, id_col, k, seed)
+    cand = sampled_candidates(vectors, id_col, k, seed, dense)
     edges = band_pairs(score_edges(cand, vectors, id_col, vec), lo, hi)
     m = greedy_matching(edges, "i", "j", ["i", "rank"], max_pairs=max_pairs)
     return m.select(F.col("i").alias("blog_1_id"), F.col("j").alias("blog_2_id"),

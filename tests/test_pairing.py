@@ -68,3 +68,11 @@ def test_knn_matches_bruteforce(spark):
     for qi in range(0, 120, 17):
         order = sorted(range(len(ids)), key=lambda j: (-s[qi, j], ids[j]))[:3]
         assert [got[(ids[qi], r + 1)] for r in range(3)] == [ids[j] for j in order]
+
+
+def test_sparse_ids_map_to_positions(spark):
+    e = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    dense = sorted(map(tuple, P.sampled_candidates(e, "vec_id", 20).collect()))
+    sparse_e = e.withColumn("vec_id", e["vec_id"] * 7 + 3)
+    sparse = sorted(map(tuple, P.sampled_candidates(sparse_e, "vec_id", 20, dense=False).collect()))
+    assert sparse == sorted((i * 7 + 3, j * 7 + 3, r) for i, j, r in dense)
