@@ -182,7 +182,7 @@ def _fit_stage(spark, sf):
                                                 F.col("text").alias("base_content"), F.col("lang").alias("main_task"))
     answers = (b.join(base.select("instruction_number", "base_content"), "instruction_number")
                 .select("request_key", F.concat_ws("\n\n", "constraints", "base_content").alias("text"),
-                        F.when(F.col("instruction_number") % 17 == 0, F.lit("Timeout")).alias("error")).distinct())
+                        F.when(F.col("instruction_number") % 17 == 0, F.lit("Timeout")).alias("error")))
     resp = I.offline_responses(answers, "request_key", "text", "error", stage="fit")
     return SG.fit_results(b, base, resp, "instruction_number", response_key="request_key")
 

@@ -1,0 +1,42 @@
+"""Input layout: parallelism for small inputs stored in few row groups.
+
+A Parquet row group is the unit a scan task reads, so a file written as
+one row group is scanned by one task however many cores there are.  For
+inputs below ``SMALL_INPUT_BYTES`` a round-robin repartition (a shuffle of
+at most that many bytes) spreads the rows over the default parallelism.
+Large inputs are never touched: their splits already give parallelism,
+and a full shuffle of a big text corpus would only cost.  Filters and
+column pruning still reach the scan (Catalyst pushes them through the
+repartition).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+SMALL_INPUT_BYTES = 512 << 20
+
+_SIZES: dict[str, int | None] = {}
+
+
+def input_bytes(spark, path: str) -> int | None:
+    """Total bytes under ``path`` from the file system (one metadata call,
+    cached); None when unavailable."""
+    if path not in _SIZES:
+        try:
+            jvm = spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            _SIZES[path] = int(fs.getContentSummary(p).getLength())
+        except Exception:  # no JVM access (e.g. remote client): leave the layout alone
+            _SIZES[path] = None
+    return _SIZES[path]
+
+
+def spread_if_small(df: DataFrame, path: str, limit: int = SMALL_INPUT_BYTES) -> DataFrame:
+    spark = df.sparkSession
+    size = input_bytes(spark, path)
+    par = spark.sparkContext.defaultParallelism
+    if size is None or size >= limit or par <= 1:
+        return df
+    return df.repartition(par)
