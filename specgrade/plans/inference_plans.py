@@ -217,7 +217,7 @@ def compression_ratio(spark, sf):
 
 
 @query("compression_summary", f"""
-SELECT count(*) AS n_rows, avg(compression_ratio) AS mean_ratio, 0.25 AS target_ratio,
+SELECT count(*) AS n_rows, avg(compression_ratio) AS mean_ratio, CAST(0.25 AS DOUBLE) AS target_ratio,
        avg(compression_ratio) - 0.25 AS ratio_gap FROM {_RATIO}
 """)
 def compression_summary(spark, sf):
