@@ -8,15 +8,18 @@ import math
 from decimal import Decimal
 
 
+DIGITS = 6
+
+
 def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6) + 0.0
+        return (round(v, DIGITS) if DIGITS is not None else v) + 0.0
     if isinstance(v, Decimal):
-        return round(float(v), 6) + 0.0
+        return (round(float(v), DIGITS) if DIGITS is not None else float(v)) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(_norm(x) for x in v)
     if hasattr(v, "tolist"):

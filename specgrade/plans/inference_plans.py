@@ -219,7 +219,7 @@ def compression_ratio(spark, sf):
 @query("compression_summary", f"""
 SELECT count(*) AS n_rows, avg(compression_ratio) AS mean_ratio, CAST(0.25 AS DOUBLE) AS target_ratio,
        avg(compression_ratio) - 0.25 AS ratio_gap FROM {_RATIO}
-""")
+""", round_cols=('mean_ratio', 'ratio_gap'))
 def compression_summary(spark, sf):
     """A10: mean compression vs. the 25 % target."""
     return ST.compression_summary(_summarized(spark, sf), 0.25)

@@ -15,7 +15,7 @@ EX = P.EXACT_LIMIT
 _NORM = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
 
 
-@query("l2_norm", f"SELECT vec_id, {_NORM} AS norm FROM embeddings")
+@query("l2_norm", f"SELECT vec_id, {_NORM} AS norm FROM embeddings", round_cols=('norm',))
 def l2_norm(spark, sf):
     """Vector norms (the normaliser's denominator)."""
     e = table(spark, sf, "embeddings")
@@ -53,14 +53,14 @@ def sampled_candidates(spark, sf):
         "rank", F.col("rank").cast("int"))
 
 
-@query("candidate_cosine", f"SELECT i, j, similarity FROM {SCORED_SQL}")
+@query("candidate_cosine", f"SELECT i, j, similarity FROM {SCORED_SQL}", round_cols=('similarity',))
 def candidate_cosine(spark, sf):
     """P3 on the sampled candidate edges (cosine of normalised vectors)."""
     e = table(spark, sf, "embeddings")
     return P.score_edges(P.sampled_candidates(e, "vec_id", K), e).select("i", "j", "similarity")
 
 
-@query("band_pairs", f"SELECT i, j, similarity FROM {SCORED_SQL} WHERE similarity BETWEEN 0.40 AND 0.50")
+@query("band_pairs", f"SELECT i, j, similarity FROM {SCORED_SQL} WHERE similarity BETWEEN 0.40 AND 0.50", round_cols=('similarity',))
 def band_pairs(spark, sf):
     """Candidate edges with cosine in [0.40, 0.50]."""
     e = table(spark, sf, "embeddings")
@@ -71,7 +71,7 @@ def band_pairs(spark, sf):
 @query("find_pairs", f"""
 SELECT i AS blog_1_id, j AS blog_2_id, similarity FROM {SCORED_SQL}
 WHERE similarity BETWEEN 0.40 AND 0.50 ORDER BY i, rank LIMIT 25
-""")
+""", round_cols=('similarity',))
 def find_pairs(spark, sf):
     """First 25 in-band candidates in scan order (pairs may share rows)."""
     return P.find_pairs(table(spark, sf, "embeddings"), 0.40, 0.50, 25, K)
@@ -125,7 +125,7 @@ def distinct_pairs_all(spark, sf):
 @query("pair_stats", f"""
 SELECT count(*) AS n_pairs, min(similarity) AS min_similarity, max(similarity) AS max_similarity,
        avg(similarity) AS mean_similarity FROM ({_DISTINCT})
-""")
+""", round_cols=('mean_similarity',))
 def pair_stats(spark, sf):
     """Statistics of the distinct pairs."""
     return P.pair_stats(P.find_pairs_distinct(table(spark, sf, "embeddings"), 0.40, 0.50, 25, K))
@@ -142,7 +142,7 @@ _ALLSCORES = """
 SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {_ALLSCORES})
 WHERE rank <= 10
-""")
+""", round_cols=('score',))
 def knn_top10(spark, sf):
     """Exact 10 nearest neighbours (self excluded) of every vector."""
     e = table(spark, sf, "embeddings")

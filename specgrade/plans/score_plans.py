@@ -62,7 +62,7 @@ SELECT count(satisfaction_rate) AS n, avg(satisfaction_rate) AS mean_rate, min(s
        quantile_cont(satisfaction_rate, 0.25) AS p25_rate, quantile_cont(satisfaction_rate, 0.5) AS p50_rate,
        quantile_cont(satisfaction_rate, 0.75) AS p75_rate
 FROM {_RATES}
-""")
+""", round_cols=('mean_rate', 'std_rate', 'p25_rate', 'p50_rate', 'p75_rate'))
 def satisfaction_summary(spark, sf):
     """A5: describe() of the satisfaction rate."""
     return ST.describe_rate(_rates(spark, sf))
@@ -80,7 +80,7 @@ FROM (SELECT size, CASE WHEN least(size, len(v)) > 0
       FROM (SELECT regexp_extract_all(satisfaction_results, {_VRE}, 1) AS v FROM {SATISFACTION_TEXT})
       CROSS JOIN (VALUES {_SIZES_SQL}) AS s(size))
 GROUP BY size
-""")
+""", round_cols=('mean_rate', 'std_rate', 'p25_rate', 'p50_rate', 'p75_rate'))
 def satisfaction_curve(spark, sf):
     """Satisfaction vs. bucket size: each evaluation cut to the first
     7/15/23/31/39 verdicts, rate = yes / min(size, total), described per size."""

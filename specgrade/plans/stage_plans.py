@@ -53,7 +53,7 @@ _MERGE_SQL = f"""
 SELECT pair_id, blog_1_id, blog_2_id, similarity, merge_type, CAST(length(merged_blog) AS BIGINT) AS merged_length,
        CAST(CASE WHEN error IS NULL THEN {word_count_sql('merged_blog')} ELSE 0 END AS BIGINT) AS tokens_used, error
 FROM {_MERGE_SQL}
-""")
+""", round_cols=('similarity',))
 def merge_stage(spark, sf):
     """In-band candidate pairs merged (offline answers; every 4th fails)."""
     return _merge_stage(spark, sf).select("pair_id", "blog_1_id", "blog_2_id", "similarity", "merge_type",
