@@ -130,7 +130,7 @@ def find_pairs(vectors: DataFrame, lo: float = DISSIMILAR_BAND[0], hi: float = D
 
 # ----------------------------------------------------------------- matching
 def greedy_matching(edges: DataFrame, u: str = "i", v: str = "j", priority: list[str] | None = None,
-                    max_pairs: int | None = None, max_rounds: int = 10_000) -> DataFrame:
+                    max_pairs: int | None = None) -> DataFrame:
     """The matching a sequential scan over edges in ``priority`` order
     builds (take an edge when both ends are still free).
 
@@ -141,7 +141,9 @@ def greedy_matching(edges: DataFrame, u: str = "i", v: str = "j", priority: list
     checkpoint dir, so lineage stays short and a lost executor only
     recomputes the current round.  With ``max_pairs`` the loop stops as soon
     as the first ``max_pairs`` matched edges in priority order can no longer
-    change (every remaining edge ranks after them).
+    change (every remaining edge ranks after them).  The loop always ends:
+    the globally smallest remaining edge is locally dominant, so every round
+    removes at least one edge.
     """
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
@@ -151,7 +153,7 @@ def greedy_matching(edges: DataFrame, u: str = "i", v: str = "j", priority: list
     e = e.checkpoint()
     chosen_all = None
     n_chosen = 0
-    for _ in range(max_rounds):
+    while True:
         st = e.agg(F.count(F.lit(1)).alias("n"), F.min("_p").alias("mn")).first()  # one small job per round
         if st["n"] == 0:
             break
