@@ -127,19 +127,25 @@ def attach_responses(df: DataFrame, responses: DataFrame, key: str, out: str, de
                      keep_usage: bool = True) -> DataFrame:
     """Left-join the latest successful response per key; a row without
     one gets ``default`` (the stage's failure value) and an ``error`` text.
-    Rows are never lost."""
-    last_ok = latest_attempt(responses.filter(F.col("error").isNull()), "key")
-    last_any = latest_attempt(responses, "key").select("key", F.col("error").alias("_last_err"))
-    j = (df.join(last_ok.withColumnRenamed("key", key), key, "left")
-           .join(last_any.withColumnRenamed("key", key), key, "left"))
+    Rows are never lost.  Response fields are joined under private names, so
+    input columns such as ``text`` never collide; bookkeeping columns left
+    by an earlier stage (``error``, token counts) are replaced."""
+    last_ok = latest_attempt(responses.filter(F.col("error").isNull()), "key").select(
+        F.col("key").alias(key), F.lit(True).alias("_sg_ok"), F.col("text").alias("_sg_text"),
+        F.col("input_tokens").alias("_sg_in"), F.col("output_tokens").alias("_sg_out"))
+    last_any = latest_attempt(responses, "key").select(F.col("key").alias(key), F.col("error").alias("_sg_err"))
+    stale = [c for c in (out, "error", "tokens_used", "input_tokens", "output_tokens") if c in df.columns]
+    j = df.drop(*stale).join(last_ok, key, "left").join(last_any, key, "left")
+    ok = F.col("_sg_ok").isNotNull()
     dflt = default if default is not None else F.lit(None).cast("string")
-    res = j.withColumn(out, F.when(F.col("request_id").isNotNull(), F.col("text")).otherwise(dflt)) \
-           .withColumn("error", F.when(F.col("request_id").isNull(),
-                                       F.coalesce(F.col("_last_err"), F.lit("no response"))))
-    res = res.withColumn("tokens_used", (F.coalesce(F.col("input_tokens"), F.lit(0))
-                                         + F.coalesce(F.col("output_tokens"), F.lit(0))).cast("bigint"))
-    drop = ["request_id", "attempt", "text", "_last_err"] + ([] if keep_usage else ["input_tokens", "output_tokens"])
-    return res.drop(*drop)
+    res = j.withColumns({
+        out: F.when(ok, F.col("_sg_text")).otherwise(dflt),
+        "error": F.when(~ok, F.coalesce(F.col("_sg_err"), F.lit("no response"))),
+        "input_tokens": F.coalesce(F.col("_sg_in"), F.lit(0)).cast("bigint"),
+        "output_tokens": F.coalesce(F.col("_sg_out"), F.lit(0)).cast("bigint"),
+    }).withColumn("tokens_used", (F.col("input_tokens") + F.col("output_tokens")).cast("bigint"))
+    res = res.drop("_sg_ok", "_sg_text", "_sg_in", "_sg_out", "_sg_err")
+    return res if keep_usage else res.drop("input_tokens", "output_tokens")
 
 
 def stamp_output(df: DataFrame, model: str) -> DataFrame:
@@ -153,12 +159,13 @@ def with_length(df: DataFrame, text: str, out: str) -> DataFrame:
 
 def stub_verdict_model(messages, model):
     """A deterministic offline model for tests and dry runs: answers one
-    verdict line per line of the last message ('n. Yes - stub' for odd n);
-    raises on prompts containing FAIL to exercise the error path."""
+    verdict line per numbered line of the last message ('n. Yes - stub' for
+    odd n); raises on prompts containing FAIL to exercise the error path."""
+    import re
     text = messages[-1]["content"]
     if "FAIL" in text:
         raise RuntimeError("stub failure")
-    n = text.count("\n") + 1
+    n = len(re.findall(r"(?m)^\d+\.", text))
     body = "\n".join(f"{i}. {'Yes' if i % 2 else 'No'} - stub" for i in range(1, n + 1))
     return body, len(text.split()), n
 
@@ -174,3 +181,18 @@ def offline_responses(df: DataFrame, key: str, text: str, error: str | None = No
                      F.when(err.isNull(), F.col(text)).alias("text"), F.lit(0).cast("bigint").alias("input_tokens"),
                      F.when(err.isNull(), word_count(text)).otherwise(F.lit(0)).cast("bigint").alias("output_tokens"),
                      err.alias("error"))
+
+
+def stub_constraint_model(messages, model):
+    """A deterministic offline model for constraint generation: 'Main Task:'
+    plus 39 numbered constraints built from the prompt's words."""
+    words = [w for w in messages[-1]["content"].split() if w.isalpha()] or ["text"]
+    items = "\n".join(f"{i}. Mention '{words[i % len(words)]}'." for i in range(1, 40))
+    return f"Main Task: Write about {words[0]}\nConstraints:\n{items}", len(words), 40
+
+
+def stub_text_model(messages, model):
+    """A deterministic offline model for free-text stages (merge, base, fit,
+    summary): echoes the last half of the prompt."""
+    text = messages[-1]["content"]
+    return text[len(text) // 2:], len(text.split()), max(1, len(text.split()) // 2)

@@ -65,8 +65,9 @@ def join_three(constraints: DataFrame, base: DataFrame, evaluation: DataFrame,
 
 def replicate_left(df: DataFrame, generated: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Values generated once per key, replicated to every row of ``df``
-    (left join: rows without a generated value keep nulls)."""
-    return df.join(generated.select(key, *cols), key, "left")
+    (left join: rows without a generated value keep nulls).  Columns of
+    ``df`` with the same names are replaced by the generated ones."""
+    return df.drop(*[c for c in cols if c in df.columns]).join(generated.select(key, *cols), key, "left")
 
 
 def join_pruned(left: DataFrame, right: DataFrame, key: str, right_cols: list[str]) -> DataFrame:

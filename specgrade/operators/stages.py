@@ -108,15 +108,14 @@ def base_results(df: DataFrame, responses: DataFrame, key: str = "instruction_nu
 # B9 / B10 ----------------------------------------------------------------
 def fit_requests(constraints: DataFrame, base: DataFrame, key: str = "instruction_number",
                  constraint_col: str = "constraints", base_col: str = "base_content",
-                 model: str = "default", dedupe_right: bool = True) -> DataFrame:
+                 model: str = "default", dedupe_right: bool = True, response_key: str | None = None) -> DataFrame:
+    """B9 requests; ``response_key`` keys one request per constraint row when
+    that side has several rows per key (buckets)."""
     j = J.join_constraints_base(constraints, base, key, dedupe_right)
-    task = J.resolve_column(j, "main_task")
-    cons = J.resolve_column(j, constraint_col)
-    b = J.resolve_column(j, base_col)
-    j = j.withColumns({"_task": task, "_cons": cons, "_base": b})
-    reqs = I.build_requests(j, "fit", key, TEMPLATES["fit"],
+    j = j.withColumns({"_task": J.resolve_column(j, "main_task"), "_cons": J.resolve_column(j, constraint_col),
+                       "_base": J.resolve_column(j, base_col)})
+    return I.build_requests(j, "fit", response_key or key, TEMPLATES["fit"],
                             {"main_task": "_task", "constraints": "_cons", "base": "_base"}, model=model)
-    return reqs
 
 
 def fit_results(constraints: DataFrame, base: DataFrame, responses: DataFrame, key: str = "instruction_number",
@@ -132,10 +131,18 @@ def fit_results(constraints: DataFrame, base: DataFrame, responses: DataFrame, k
     out = r.select(key, *([rk] if rk != key else []), "main_task", F.col("_cons").alias("constraints"), F.col("_base").alias("base_content"),
                    "fitted_content", char_length("fitted_content").alias("fitted_length"),
                    L.count_numbered("_cons").cast("int").alias("num_constraints"),
-                   *([F.col("subset_size")] if "subset_size" in j.columns else []), "tokens_used", "error")
+                   *_subset_size(j), "tokens_used", "error")
     return I.stamp_output(out, model)
 
 
+def _subset_size(j: DataFrame) -> list:
+    """The constraint side's bucket size, whatever suffix the join gave it."""
+    for c in ("subset_size", "subset_size_constraint"):
+        if c in j.columns:
+            return [F.col(c).alias("subset_size")]
+    return []
+
+
 def fit_direct_results(constraints: DataFrame, merged: DataFrame, responses: DataFrame, key: str,
                        content_col: str = "merged_blog", constraint_col: str = "constraints",
                        model: str = "default") -> DataFrame:
