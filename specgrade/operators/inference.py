@@ -127,16 +127,23 @@ def attach_responses(df: DataFrame, responses: DataFrame, key: str, out: str, de
                      keep_usage: bool = True) -> DataFrame:
     """Left-join the latest successful response per key; a row without
     one gets ``default`` (the stage's failure value) and an ``error`` text.
-    Rows are never lost.  Response fields are joined under private names, so
-    input columns such as ``text`` never collide; bookkeeping columns left
-    by an earlier stage (``error``, token counts) are replaced."""
-    last_ok = latest_attempt(responses.filter(F.col("error").isNull()), "key").select(
-        F.col("key").alias(key), F.lit(True).alias("_sg_ok"), F.col("text").alias("_sg_text"),
-        F.col("input_tokens").alias("_sg_in"), F.col("output_tokens").alias("_sg_out"))
-    last_any = latest_attempt(responses, "key").select(F.col("key").alias(key), F.col("error").alias("_sg_err"))
+    Rows are never lost.  One aggregation per key finds both the latest
+    successful attempt and the latest error (a single shuffle of the
+    responses).  Response fields are joined under private names, so input
+    columns such as ``text`` never collide; bookkeeping columns left by an
+    earlier stage (``error``, token counts) are replaced."""
+    ok_attempt = F.when(F.col("error").isNull(), F.col("attempt"))  # null ordering values are skipped
+    last = responses.groupBy("key").agg(
+        F.max_by(F.struct(F.col("text").alias("t"), F.col("input_tokens").alias("i"),
+                          F.col("output_tokens").alias("o")), ok_attempt).alias("_sg_r"),
+        F.max(ok_attempt).alias("_sg_ok"),
+        F.max_by(F.col("error"), F.col("attempt")).alias("_sg_err"))
+    last = last.select(F.col("key").alias(key), F.col("_sg_ok").isNotNull().alias("_sg_ok"),
+                       F.col("_sg_r.t").alias("_sg_text"), F.col("_sg_r.i").alias("_sg_in"),
+                       F.col("_sg_r.o").alias("_sg_out"), "_sg_err")
     stale = [c for c in (out, "error", "tokens_used", "input_tokens", "output_tokens") if c in df.columns]
-    j = df.drop(*stale).join(last_ok, key, "left").join(last_any, key, "left")
-    ok = F.col("_sg_ok").isNotNull()
+    j = df.drop(*stale).join(last, key, "left")
+    ok = F.coalesce(F.col("_sg_ok"), F.lit(False))
     dflt = default if default is not None else F.lit(None).cast("string")
     res = j.withColumns({
         out: F.when(ok, F.col("_sg_text")).otherwise(dflt),
