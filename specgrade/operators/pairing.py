@@ -275,15 +275,24 @@ def knn_prepared(q: DataFrame, c: DataFrame, k: int, exclude_self: bool = False,
     results = []
     for lo, hi in bounds:
         pdf = q.filter((F.col("_id") >= lo) & (F.col("_id") <= hi)).orderBy("_id").toPandas()  # bounded batch
-        qids = pdf["_id"].to_numpy(dtype=np.int64)
-        qmat = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
-        results.append(c.mapInPandas(_topk_scorer(qids, qmat, k, exclude_self),
-                                     "query_id bigint, id bigint, score double"))
+        results.append(_score_batch(c, pdf, k, exclude_self))
     allc = results[0]
     for r in results[1:]:
         allc = allc.unionByName(r)
+    return _merge_topk(allc, k)
+
+
+def _score_batch(c: DataFrame, pdf, k: int, exclude_self: bool) -> DataFrame:
+    """Local top-k of every corpus task against one collected query batch."""
+    qids = pdf["_id"].to_numpy(dtype=np.int64)
+    qmat = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
+    return c.mapInPandas(_topk_scorer(qids, qmat, k, exclude_self), "query_id bigint, id bigint, score double")
+
+
+def _merge_topk(local: DataFrame, k: int) -> DataFrame:
+    """Global top-k per query from the per-task lists (window-group-limit)."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id").asc())
-    return allc.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def _batch_bounds(q: DataFrame, per_batch: int) -> list[tuple[int, int]]:
@@ -298,28 +307,32 @@ def _batch_bounds(q: DataFrame, per_batch: int) -> list[tuple[int, int]]:
 
 def knn_pairs_distinct(vectors: DataFrame, k: int = 10, lo: float = 0.70, hi: float = 0.80,
                        max_pairs: int = DEFAULT_MAX_PAIRS, id_col: str = "vec_id", vec: str = "embedding",
-                       batch: int = QUERY_BATCH) -> DataFrame:
+                       first_batch: int = 256, batch: int = QUERY_BATCH) -> DataFrame:
     """Rows scanned in id order; each free row takes its first free
     neighbour (among its k-1 nearest, self excluded) whose cosine is in
     [lo, hi]; stop at ``max_pairs``.
 
-    Rows are processed in id-ordered batches (prefix doubling is not needed:
-    a pair found among the first rows can never be displaced by later
-    rows), so only as many top-k searches run as the pair limit requires.
-    The used set carried between batches holds at most 2*max_pairs ids.
+    Pairs found among the first rows can never be displaced by later rows,
+    so only a growing prefix of query ids is searched: the next 256, 512,
+    1024, ... smallest ids (a top-n per batch, no global sort), one corpus
+    pass per batch, until ``max_pairs`` pairs are fixed.  The used set
+    carried between batches holds at most 2*max_pairs ids.
     """
     spark = vectors.sparkSession
-    ensure_checkpoint_dir(spark)
     prepared = prepare_vectors(vectors, id_col, vec, True)
-    st = prepared.agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("lo"), F.max("_id").alias("hi")).first()
-    if not st["n"]:
-        return spark.createDataFrame([], "blog_1_id bigint, blog_2_id bigint, similarity double")
-    bounds = [(st["lo"], st["hi"])] if st["n"] <= batch else _batch_bounds(prepared.select("_id"), batch)
-    found = []
+    d = prepared.select(F.max(F.size("_v")).alias("d")).first()["d"] or 1
+    cap = max(1, min(batch, MAX_BATCH_BYTES // (8 * d)))
+    found: list[tuple] = []
     used: set[int] = set()
-    for b_lo, b_hi in bounds:
-        qs = prepared.filter((F.col("_id") >= b_lo) & (F.col("_id") <= b_hi))
-        nn = knn_prepared(qs, prepared, k - 1, exclude_self=True, batch=batch)
+    last = None
+    size = max(1, min(first_batch, cap))
+    while len(found) < max_pairs:
+        rest = prepared if last is None else prepared.filter(F.col("_id") > F.lit(last))
+        pdf = rest.orderBy("_id").limit(size).toPandas()  # bounded: <= size vectors
+        if pdf.empty:
+            break
+        last = int(pdf["_id"].max())
+        nn = _merge_topk(_score_batch(prepared, pdf, k - 1, exclude_self=True), k - 1)
         edges = band_pairs(nn.select(F.col("query_id").alias("i"), F.col("id").alias("j"), "rank",
                                      F.col("score").alias("similarity")), lo, hi)
         if used:
@@ -330,8 +343,6 @@ def knn_pairs_distinct(vectors: DataFrame, k: int = 10, lo: float = 0.70, hi: fl
         for r in sorted(m, key=lambda r: (r["i"], r["rank"])):
             found.append((r["i"], r["j"], r["similarity"]))
             used.update((r["i"], r["j"]))
-        if len(found) >= max_pairs:
-            break
+        size = min(size * 2, cap)
     rows = [(i, j, float(round(s, 3))) for i, j, s in found[:max_pairs]]
-    return spark.createDataFrame(rows, "blog_1_id bigint, blog_2_id bigint, similarity double") \
-        if rows else spark.createDataFrame([], "blog_1_id bigint, blog_2_id bigint, similarity double")
+    return spark.createDataFrame(rows, "blog_1_id bigint, blog_2_id bigint, similarity double")
