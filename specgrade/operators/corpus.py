@@ -145,8 +145,11 @@ def assign_row_number(df: DataFrame, order: list[str], out: str = "row_number",
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """reproducible sample of ``n`` rows: the ``n`` smallest seeded hashes."""
-    return (df.withColumn("_sg_h", F.xxhash64(F.col(key), F.lit(seed)))
+    """reproducible sample of ``n`` rows: the ``n`` smallest seeded
+    portable hashes of an integral key (a top-n, no global sort); the same
+    rows on any partitioning and in any engine that evaluates the hash."""
+    from specgrade.functions.hashing import mix
+    return (df.withColumn("_sg_h", mix(F.col(key), F.lit(0), seed))
               .orderBy("_sg_h", key).limit(n).drop("_sg_h"))
 
 

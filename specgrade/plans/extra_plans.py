@@ -59,7 +59,38 @@ def length_compliance(spark, sf):
     return d.withColumns({"over_base_limit": F.col("word_count") > 400, "over_fitted_limit": F.col("word_count") > 500})
 
 
-@query("check_replacement")
+def _check_replacement_sql():
+    from specgrade.plans.score_plans import _ROW_RE
+    from specgrade.plans.sqlparts import CONSTRAINTS_TEXT, SATISFACTION_TEXT, parse_numbered_sql
+    items = parse_numbered_sql("constraints")
+    return f"""
+WITH o AS (
+  SELECT instruction_number, CAST(i AS BIGINT) AS idx, items[i] AS c0
+  FROM (SELECT instruction_number, {items} AS items FROM {CONSTRAINTS_TEXT}) t,
+       LATERAL (SELECT unnest(generate_series(1, len(items))) AS i)),
+v AS (
+  SELECT instruction_number, CAST(n[i] AS BIGINT) AS idx, vv[i] AS verdict
+  FROM (SELECT instruction_number, regexp_extract_all(satisfaction_results, {_ROW_RE}, 1) AS n,
+               regexp_extract_all(satisfaction_results, {_ROW_RE}, 2) AS vv FROM {SATISFACTION_TEXT}) t,
+       LATERAL (SELECT unnest(generate_series(1, len(n))) AS i)),
+ov AS (SELECT o.instruction_number, o.idx, o.c0, v.verdict FROM o
+       LEFT JOIN v ON v.instruction_number = o.instruction_number AND v.idx = o.idx),
+rv AS (SELECT instruction_number, CASE WHEN verdict = 'Yes' THEN 'new: ' || c0 ELSE c0 END AS c FROM ov),
+rset AS (SELECT DISTINCT instruction_number, trim(c) AS c FROM rv),
+per AS (SELECT ov.instruction_number,
+               count(*) FILTER (WHERE ov.verdict = 'No' AND r.c IS NULL) AS no_missing,
+               count(*) FILTER (WHERE ov.verdict = 'Yes' AND r.c IS NOT NULL) AS yes_remaining,
+               count(*) AS n_original
+        FROM ov LEFT JOIN rset r ON r.instruction_number = ov.instruction_number AND r.c = trim(ov.c0)
+        GROUP BY ov.instruction_number),
+nr AS (SELECT instruction_number, count(*) AS n_revised FROM rv GROUP BY instruction_number)
+SELECT per.instruction_number, no_missing, yes_remaining, n_original, nr.n_revised,
+       (no_missing = 0 AND yes_remaining = 0 AND coalesce(nr.n_revised, 0) = n_original) AS ok
+FROM per LEFT JOIN nr ON nr.instruction_number = per.instruction_number
+"""
+
+
+@query("check_replacement", _check_replacement_sql())
 def check_replacement(spark, sf):
     """A revision that keeps every 'No' constraint and replaces every
     'Yes' one (derived: each Yes item is rewritten) must pass the checks."""
