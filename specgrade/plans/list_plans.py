@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from specgrade.functions import lists as L
 from specgrade.operators import lists as OL
 from specgrade.plans.registry import query
-from specgrade.plans.sqlparts import (CONSTRAINTS_TEXT, TASK_RESPONSES, WS,
+from specgrade.plans.sqlparts import (inline_segments_sql, CONSTRAINTS_TEXT, TASK_RESPONSES, WS,
                                       parse_numbered_sql)
 from specgrade.plans.tables import constraints_text, table, task_responses
 
@@ -36,9 +36,12 @@ def explode_constraints(spark, sf):
     return OL.explode_constraints(d, "instruction_number", text="text")
 
 
-@query("parse_inline", None)
+@query("parse_inline", f"""
+SELECT doc_id, pos, segment FROM {inline_segments_sql("documents", "doc_id", "text")}
+""")
 def parse_inline(spark, sf):
-    """T2 segment parser over documents (RE2 lacks look-ahead: rows-only check)."""
+    """T2 segment parser over documents (oracle: a recursive scan, since RE2
+    lacks look-ahead)."""
     d = table(spark, sf, "documents")
     return d.select("doc_id", F.posexplode(L.parse_numbered_inline("text")).alias("pos", "segment"))
 

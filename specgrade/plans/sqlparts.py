@@ -177,3 +177,38 @@ ATTEMPT_LOG = f"""
    FROM (SELECT key, conv_id, turn, 1 + (conv_id + turn) % 3 AS n FROM {CONV_REQUESTS}) r,
         LATERAL (SELECT unnest(generate_series(1, n)) AS attempt))
 """
+
+
+# Python's str.isspace() characters as an RE2 class (fixed values: the
+# Unicode White_Space set plus the four ASCII separators \x1c-\x1f)
+PY_WS_CLASS = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+               r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+
+
+def inline_segments_sql(src: str, key: str, text: str) -> str:
+    """T2 segment parser in DuckDB without look-ahead (RE2 has none).
+
+    A recursive scan over each text: a step takes the next 'digits.' marker
+    that starts a word (previous character not a letter, number or '_')
+    plus the whitespace after it, then the text up to the next place where
+    optional whitespace, digits and a dot follow (or the end).  The state
+    keeps one character before the unread rest, so the word-start test sees
+    it.  Output: (key, pos, segment), whitespace runs collapsed, empty
+    segments dropped, pos counted from 0 over the kept segments."""
+    ws = PY_WS_CLASS
+    marker = rf"(?s)^.*?[^\pL\pN_]\p{{Nd}}+\.{ws}*"
+    upto = rf"(?s)^(.*?){ws}*\p{{Nd}}+\."
+    return f"""
+  (WITH RECURSIVE scan(k_, n_, x_, seg_) AS (
+     SELECT {key}, 0, ' ' || {text}, CAST(NULL AS VARCHAR) FROM {src} WHERE {text} IS NOT NULL
+     UNION ALL
+     SELECT k_, n_ + 1, right(m_ || s_, 1) || substr(r_, length(s_) + 1), s_
+     FROM (SELECT k_, n_, m_, r_,
+                  CASE WHEN regexp_matches(r_, '\\p{{Nd}}\\.') THEN regexp_extract(r_, '{upto}', 1) ELSE r_ END AS s_
+           FROM (SELECT k_, n_, m_, substr(x_, length(m_) + 1) AS r_
+                 FROM (SELECT k_, n_, x_, regexp_extract(x_, '{marker}', 0) AS m_ FROM scan) a
+                 WHERE m_ <> '') b) c)
+   SELECT k_ AS {key}, CAST(row_number() OVER (PARTITION BY k_ ORDER BY n_) - 1 AS INTEGER) AS pos, seg AS segment
+   FROM (SELECT k_, n_, trim(regexp_replace(seg_, '{ws}+', ' ', 'g')) AS seg FROM scan WHERE n_ > 0) t
+   WHERE seg <> '')
+"""

@@ -248,10 +248,29 @@ def fit_direct_stage(spark, sf):
 
 
 # B11 ---------------------------------------------------------------------
-@query("revise_requests")
+def _revise_sql():
+    from specgrade.operators.stages import TEMPLATES
+    from specgrade.plans.sqlparts import CONSTRAINTS_TEXT, inline_segments_sql
+    tmpl = TEMPLATES["revise"].replace("'", "''").replace("\n", "' || chr(10) || '")
+    return f"""
+WITH c AS (SELECT * FROM {CONSTRAINTS_TEXT}),
+seg AS (SELECT * FROM {inline_segments_sql("c", "instruction_number", "constraints")}),
+top AS (SELECT instruction_number,
+               string_agg(CAST(pos + 1 AS VARCHAR) || '. ' || segment, chr(10) ORDER BY pos) AS top
+        FROM seg WHERE pos < 23 GROUP BY instruction_number)
+SELECT 'revise:' || CAST(c.instruction_number AS VARCHAR) || ':1' AS request_id,
+       CAST(c.instruction_number AS BIGINT) AS key,
+       CAST(length(replace(replace(replace('{tmpl}', '{{content}}', c.content),
+                                   '{{constraints}}', coalesce(top.top, '')), '{{n}}', '23')) AS INTEGER) AS prompt_length
+FROM c LEFT JOIN top ON top.instruction_number = c.instruction_number
+WHERE length(trim(coalesce(c.content, ''))) > 0
+"""
+
+
+@query("revise_requests", _revise_sql())
 def revise_requests(spark, sf):
     """Revision prompts with the first 23 inline-parsed constraints;
-    documents without text get no request (RE2 lacks look-ahead: rows-only)."""
+    documents without text get no request (oracle: recursive segment scan)."""
     c = constraints_text(spark, sf)
     r = SG.revise_requests(c, "instruction_number", "content", "constraints", 23)
     return r.select("request_id", "key", T.char_length(F.col("messages")[0]["content"]).alias("prompt_length"))
