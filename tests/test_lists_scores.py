@@ -102,3 +102,32 @@ def test_split_task_lenient_drops_mentions(spark):
     r = spark.createDataFrame([(t,)], "t string").select(L.split_task_constraints_lenient("t").alias("s")).first()["s"]
     assert r["main_task"] == "** Write"  # text after the first colon, as the reference splits it
     assert r["constraints"] == "1. keep\n3. ok"
+
+
+def _random_lists(n=400, seed=11):
+    import random
+    rng = random.Random(seed)
+    atoms = ["1.", "2.", "12.", "3.5", " ", "  ", "\n", "\t", "a", "ab", "x9", "_", "é", "-", ".", "7", " ", "Q"]
+    return [(i, "".join(rng.choice(atoms) for _ in range(rng.randint(0, 14)))) for i in range(n)]
+
+
+def test_inline_segments_sql_equals_python_and_spark(spark):
+    """The oracle's look-ahead-free segment scan, the Spark parser and Python
+    re agree on random texts (markers glued to words, decimals, empty items)."""
+    import duckdb
+
+    from specgrade.plans.sqlparts import inline_segments_sql
+
+    rows = _random_lists()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    got_sql = {}
+    for k, pos, seg in con.execute(f"SELECT * FROM {inline_segments_sql('t', 'doc_id', 'text')} ORDER BY 1, 2").fetchall():
+        got_sql.setdefault(k, []).append(seg)
+    got_spark = {r["k"]: list(r["a"]) for r in spark.createDataFrame(rows, "k long, t string").select(
+        "k", L.parse_numbered_inline("t").alias("a")).collect()}
+    for k, text in rows:
+        want = py_inline(text)
+        assert got_sql.get(k, []) == want, (text, got_sql.get(k))
+        assert got_spark[k] == want, (text, got_spark[k])
