@@ -238,13 +238,16 @@ def _topk_scorer(qids: np.ndarray, qmat: np.ndarray, k: int, exclude_self: bool)
 
 
 def prepare_vectors(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
-                    normalize: bool = True) -> DataFrame:
-    """(_id, _v) with unit vectors, materialised once with a reliable
-    checkpoint so repeated passes (query batches, rounds) never recompute
-    the upstream plan (e.g. a feature pipeline)."""
-    ensure_checkpoint_dir(df.sparkSession)
+                    normalize: bool = True, materialize: bool = True) -> DataFrame:
+    """(_id, _v) with unit vectors.  With ``materialize`` it is written once
+    with a reliable checkpoint so repeated passes (query batches, rounds)
+    never recompute the upstream plan (e.g. a feature pipeline)."""
     out = df.select(F.col(id_col).alias("_id"), (l2_normalize(vec) if normalize else _c(vec)).alias("_v"))
-    return out.filter(F.col("_id").isNotNull() & F.col("_v").isNotNull()).checkpoint()
+    out = out.filter(F.col("_id").isNotNull() & F.col("_v").isNotNull())
+    if not materialize:
+        return out
+    ensure_checkpoint_dir(df.sparkSession)
+    return out.checkpoint()
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", vec: str = "embedding",
@@ -256,21 +259,38 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", v
     matrix product and emits only a local top-k per query, and a window with
     rank <= k (window-group-limit) merges them.  Batches beyond the first
     are separate passes, so the broadcast never grows with the data.
+
+    The prepared vectors are checkpointed only when the queries need more
+    than one batch, i.e. more than one pass over the corpus; a search whose
+    queries fit one batch reads the corpus once and writes nothing.
     """
-    q = prepare_vectors(queries, id_col, vec, normalize)
-    c = q if corpus is queries else prepare_vectors(corpus, id_col, vec, normalize)
-    return knn_prepared(q, c, k, exclude_self, batch)
+    q = prepare_vectors(queries, id_col, vec, normalize, materialize=False)
+    st = _query_stats(q)
+    if st["n"] and st["n"] > _per_batch(st, batch):
+        q = prepare_vectors(queries, id_col, vec, normalize)
+        c = q if corpus is queries else prepare_vectors(corpus, id_col, vec, normalize)
+    else:
+        c = q if corpus is queries else prepare_vectors(corpus, id_col, vec, normalize, materialize=False)
+    return knn_prepared(q, c, k, exclude_self, batch, stats=st)
+
+
+def _query_stats(q: DataFrame):
+    return q.agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("lo"), F.max("_id").alias("hi"),
+                 F.max(F.size("_v")).alias("d")).first()
+
+
+def _per_batch(st, batch: int) -> int:
+    return max(1, min(batch, MAX_BATCH_BYTES // (8 * max(st["d"] or 1, 1))))
 
 
 def knn_prepared(q: DataFrame, c: DataFrame, k: int, exclude_self: bool = False,
-                 batch: int = QUERY_BATCH) -> DataFrame:
+                 batch: int = QUERY_BATCH, stats=None) -> DataFrame:
     """P9 on prepared (_id, _v) frames (see prepare_vectors)."""
     spark = c.sparkSession
-    st = q.agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("lo"), F.max("_id").alias("hi"),
-               F.max(F.size("_v")).alias("d")).first()
+    st = stats if stats is not None else _query_stats(q)
     if not st["n"]:
         return spark.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
-    per_batch = max(1, min(batch, MAX_BATCH_BYTES // (8 * max(st["d"], 1))))
+    per_batch = _per_batch(st, batch)
     bounds = [(st["lo"], st["hi"])] if st["n"] <= per_batch else _batch_bounds(q, per_batch)
     results = []
     for lo, hi in bounds:

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from specgrade.operators import pairing as P
 from specgrade.operators.corpus import assign_row_number
 
@@ -54,12 +56,16 @@ def test_row_number_equals_window(spark):
     assert [got[k] for k in keys] == list(range(1, len(keys) + 1))
 
 
-def test_knn_matches_bruteforce(spark):
+@pytest.mark.parametrize("batch", [1 << 17, 23])
+def test_knn_matches_bruteforce(spark, batch):
+    """One batch (no checkpoint, one corpus pass) and many batches
+    (checkpointed vectors, one pass per batch) give the exact top-k."""
     import numpy as np
     e = spark.read.parquet(f"{SF01}/embeddings.parquet")
     rows = e.collect()[:120]
     small = spark.createDataFrame(rows, e.schema)
-    got = {(r["query_id"], r["rank"]): r["id"] for r in P.knn(small, small, 3, exclude_self=True).collect()}
+    got = {(r["query_id"], r["rank"]): r["id"]
+           for r in P.knn(small, small, 3, exclude_self=True, batch=batch).collect()}
     ids = np.array([r["vec_id"] for r in rows])
     m = np.array([r["embedding"] for r in rows], dtype=np.float64)
     m /= np.linalg.norm(m, axis=1, keepdims=True)
