@@ -260,17 +260,19 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", v
     rank <= k (window-group-limit) merges them.  Batches beyond the first
     are separate passes, so the broadcast never grows with the data.
 
-    The prepared vectors are checkpointed only when the queries need more
-    than one batch, i.e. more than one pass over the corpus; a search whose
-    queries fit one batch reads the corpus once and writes nothing.
+    A separate corpus is checkpointed only when the queries need more than
+    one batch, i.e. more than one pass over it: a search whose queries fit
+    one batch reads the corpus once and writes nothing.  An all-vs-all
+    search (queries are the corpus) is read by several jobs, so its vectors
+    are always written once.
     """
-    q = prepare_vectors(queries, id_col, vec, normalize, materialize=False)
+    same = corpus is queries
+    q = prepare_vectors(queries, id_col, vec, normalize, materialize=same)
     st = _query_stats(q)
-    if st["n"] and st["n"] > _per_batch(st, batch):
+    multi = bool(st["n"]) and st["n"] > _per_batch(st, batch)
+    if multi and not same:
         q = prepare_vectors(queries, id_col, vec, normalize)
-        c = q if corpus is queries else prepare_vectors(corpus, id_col, vec, normalize)
-    else:
-        c = q if corpus is queries else prepare_vectors(corpus, id_col, vec, normalize, materialize=False)
+    c = q if same else prepare_vectors(corpus, id_col, vec, normalize, materialize=multi)
     return knn_prepared(q, c, k, exclude_self, batch, stats=st)
 
 
