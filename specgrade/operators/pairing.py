@@ -154,20 +154,25 @@ def greedy_matching(edges: DataFrame, u: str = "i", v: str = "j", priority: list
     chosen_all = None
     n_chosen = 0
     while True:
-        st = e.agg(F.count(F.lit(1)).alias("n"), F.min("_p").alias("mn")).first()  # one small job per round
-        if st["n"] == 0:
-            break
-        if max_pairs is not None and n_chosen >= max_pairs:
-            kth = chosen_all.orderBy("_p").limit(max_pairs).agg(F.max("_p").alias("mx")).first()["mx"]
-            if st["mn"] > kth:  # every remaining edge ranks after the first max_pairs
+        if max_pairs is None:
+            if e.isEmpty():  # stops at the first row found
+                break
+        else:
+            st = e.agg(F.count(F.lit(1)).alias("n"), F.min("_p").alias("mn")).first()  # one small job per round
+            if st["n"] == 0:
                 break
+            if n_chosen >= max_pairs:
+                kth = chosen_all.orderBy("_p").limit(max_pairs).agg(F.max("_p").alias("mx")).first()["mx"]
+                if st["mn"] > kth:  # every remaining edge ranks after the first max_pairs
+                    break
         ends = e.select(F.col(u).alias("_n"), "_p").unionByName(e.select(F.col(v).alias("_n"), "_p"))
         best = ends.groupBy("_n").agg(F.min("_p").alias("_best"))
         chosen = (e.join(best.withColumnsRenamed({"_n": u, "_best": "_bu"}), u)
                    .join(best.withColumnsRenamed({"_n": v, "_best": "_bv"}), v)
                    .filter((F.col("_p") == F.col("_bu")) & (F.col("_p") == F.col("_bv")))
                    .drop("_bu", "_bv")).checkpoint()
-        n_chosen += chosen.count()
+        if max_pairs is not None:
+            n_chosen += chosen.count()
         # a union of checkpointed pieces: lineage stays one scan per round
         chosen_all = chosen if chosen_all is None else chosen_all.unionByName(chosen)
         matched = chosen.select(F.col(u).alias("_n")).unionByName(chosen.select(F.col(v).alias("_n")))

@@ -36,6 +36,8 @@ def test_greedy_rounds_equal_sequential(spark):
         df = spark.createDataFrame(rows, "i bigint, j bigint, rank bigint")
         got = sorted((r["i"], r["j"]) for r in P.greedy_matching(df, "i", "j", ["i", "rank"]).collect())
         assert got == sorted(seq_greedy(rows))
+        first3 = sorted((r["i"], r["j"]) for r in P.greedy_matching(df, "i", "j", ["i", "rank"], max_pairs=3).collect())
+        assert first3 == sorted(seq_greedy(rows)[:3])
 
 
 def test_candidates_partition_independent(spark):
