@@ -107,7 +107,31 @@ def check_replacement(spark, sf):
     return SG.check_replacement(orig, revised.select("instruction_number", "constraint"), ver)
 
 
-@query("embed_knn")
+def _embed_knn_sql(dim: int = 256, k: int = 5) -> str:
+    """Hashed TF-IDF (idf = ln((m + 1) / (df + 1)) over all m documents),
+    L2-normalised (a zero vector stays zero), exact top-k by inner product."""
+    from specgrade.plans.sqlparts import hashed_tokens_sql
+    return f"""
+WITH tok AS (SELECT * FROM {hashed_tokens_sql("documents", "doc_id", "text", dim)}),
+tf AS (SELECT doc_id, bucket, CAST(count(*) AS DOUBLE) AS tf FROM tok GROUP BY doc_id, bucket),
+df AS (SELECT bucket, count(*) AS df FROM tf GROUP BY bucket),
+w AS (SELECT tf.doc_id, tf.bucket, tf.tf * ln(((SELECT count(*) FROM documents) + 1.0) / (df.df + 1.0)) AS w
+      FROM tf JOIN df ON df.bucket = tf.bucket),
+sp AS (SELECT d.doc_id, coalesce(list(struct_pack(b := w.bucket, w := w.w)) FILTER (WHERE w.bucket IS NOT NULL), []) AS e
+       FROM documents d LEFT JOIN w ON w.doc_id = d.doc_id GROUP BY d.doc_id),
+dense AS (SELECT doc_id, list_transform(range(0, {dim}),
+                   lambda i: coalesce(list_extract(list_filter(e, lambda p: p.b = i), 1).w, 0.0)) AS v FROM sp),
+nrm AS (SELECT doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM dense),
+vec AS (SELECT doc_id, CASE WHEN n = 0 THEN v ELSE list_transform(v, lambda x: x / n) END AS v FROM nrm),
+sc AS (SELECT a.doc_id AS query_id, b.doc_id AS id, list_dot_product(a.v, b.v) AS score
+       FROM vec a JOIN vec b ON a.doc_id <> b.doc_id)
+SELECT query_id, id, score, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM sc)
+WHERE rank <= {k}
+"""
+
+
+@query("embed_knn", _embed_knn_sql())
 def embed_knn(spark, sf):
     """P1+P9: hashed TF-IDF embeddings of the documents, 5 nearest per document."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")

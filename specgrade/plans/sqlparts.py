@@ -212,3 +212,46 @@ def inline_segments_sql(src: str, key: str, text: str) -> str:
    FROM (SELECT k_, n_, trim(regexp_replace(seg_, '{ws}+', ' ', 'g')) AS seg FROM scan WHERE n_ > 0) t
    WHERE seg <> '')
 """
+
+
+# MurmurHash3 x86_32 (the public algorithm; fixed values: its constants and
+# Spark's feature-hashing seed 42), 32-bit arithmetic kept in UBIGINT
+_M3_C1, _M3_C2, _M3_N = 3432918353, 461845907, 3864292196
+_M3_F1, _M3_F2 = 2246822507, 3266489909
+_M3_SEED = 42
+
+
+def _mul32(x: str, c: int) -> str:
+    return f"((({x}) * {c}::UBIGINT) % 4294967296)"
+
+
+def _rotl32(x: str, r: int) -> str:
+    return f"(((({x}) << {r}) | (({x}) >> {32 - r})) % 4294967296)"
+
+
+def _mixk(k: str) -> str:
+    return _mul32(_rotl32(_mul32(k, _M3_C1), 15), _M3_C2)
+
+
+def hashed_tokens_sql(src: str, key: str, text: str, dim: int) -> str:
+    """(key, tok, bucket): lower-cased text split on runs of characters
+    outside [a-z0-9_] (the tokenizer's pattern \\W+), each token's UTF-8 bytes
+    (ASCII here) hashed with MurmurHash3 x86_32 and reduced mod ``dim``."""
+    byte = "ascii(substr(tok, {i}, 1))::UBIGINT"
+    block = " + ".join(f"({byte.format(i=f'4 * b + {j + 1}')} << {8 * j})" for j in range(4))
+    tail = " + ".join(f"(CASE WHEN len(tok) % 4 > {j} THEN {byte.format(i=f'4 * (len(tok) // 4) + {j + 1}')} "
+                      f"ELSE 0 END << {8 * j})" for j in range(3))
+    step = _mul32(_rotl32("xor(h, k)", 13), 5)
+    return f"""
+  (SELECT {key}, tok, CAST(h5 % {dim} AS INTEGER) AS bucket FROM (
+    SELECT *, xor(h4, h4 >> 16) AS h5 FROM (
+    SELECT *, {_mul32("xor(h3, h3 >> 13)", _M3_F2)} AS h4 FROM (
+    SELECT *, {_mul32("xor(h2, h2 >> 16)", _M3_F1)} AS h3 FROM (
+    SELECT *, xor(xor(h1, {_mixk("t1")}), len(tok)::UBIGINT) AS h2 FROM (
+    SELECT {key}, tok,
+           list_reduce(list_transform(range(0, len(tok) // 4), lambda b: {_mixk(block)}),
+                       lambda h, k: ({step} + {_M3_N}) % 4294967296, {_M3_SEED}::UBIGINT) AS h1,
+           {tail} AS t1
+    FROM (SELECT {key}, unnest(list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9_]+'),
+                                           lambda t: t <> '')) AS tok FROM {src}) s) a) b) c) d) e)
+"""
