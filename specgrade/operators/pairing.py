@@ -213,35 +213,57 @@ def pair_stats(pairs: DataFrame, sim: str = "similarity") -> DataFrame:
 
 # ---------------------------------------------------------------- top-k search
 def _topk_scorer(qids: np.ndarray, qmat: np.ndarray, k: int, exclude_self: bool):
-    """mapInPandas body: score one corpus batch against the query batch
-    (float64 matmul) and keep each query's local top-k."""
+    """mapInPandas body: score the task's corpus rows against the query batch
+    (float64 matmul, one score block <= 64 MB at a time) and keep a running
+    exact top-k per query across all blocks and Arrow batches of the task,
+    so a task emits at most k rows per query however large its partition."""
     chunk = max(1, (64 << 20) // (8 * max(len(qids), 1)))  # score block <= 64 MB
+    nq = len(qids)
 
     def run(batches):
+        best_s = np.empty((0, nq))
+        best_i = np.empty((0, nq), dtype=np.int64)
         for pdf in batches:
             for start in range(0, len(pdf), chunk):
                 part = pdf.iloc[start:start + chunk]
-                ids = part["_id"].to_numpy()
+                ids = part["_id"].to_numpy(dtype=np.int64)
                 mat = np.stack(part["_v"].to_numpy()).astype(np.float64)
                 scores = mat @ qmat.T  # rows: corpus, cols: queries
+                scores[np.isnan(scores)] = -np.inf
                 if exclude_self:
                     scores[ids[:, None] == qids[None, :]] = -np.inf
-                kk = min(k, len(ids))
-                if kk < len(ids):
-                    # k-th largest score per query; keep everything >= it so
-                    # ties at the cut-off survive to the exact global merge
-                    kth = -np.partition(-scores, kk - 1, axis=0)[kk - 1]
-                    keep = (scores >= kth[None, :]) & np.isfinite(scores)
-                else:
-                    keep = np.isfinite(scores)
-                rows, cols = np.nonzero(keep)
-                if len(rows):
-                    yield pd.DataFrame({"query_id": qids[cols].astype(np.int64),
-                                        "id": ids[rows].astype(np.int64),
-                                        "score": scores[rows, cols]})
+                best_s, best_i = _top_rows(np.vstack([best_s, scores]),
+                                           np.vstack([best_i, np.broadcast_to(ids[:, None], scores.shape)]), k)
+        rows, cols = np.nonzero(np.isfinite(best_s))
+        if len(rows):
+            yield pd.DataFrame({"query_id": qids[cols].astype(np.int64), "id": best_i[rows, cols],
+                                "score": best_s[rows, cols]})
     return run
 
 
+def _top_rows(s: np.ndarray, i: np.ndarray, k: int):
+    """Per column, the k best entries by (score desc, id asc) of the score
+    matrix ``s`` with row ids ``i`` (ids distinct within a column), as two
+    k x q matrices.  Ties at the cut go to the smallest ids, so the result
+    does not depend on how the corpus is split into tasks and blocks."""
+    m = s.shape[0]
+    if m <= k:
+        return s, i
+    kth = -np.partition(-s, k - 1, axis=0)[k - 1]  # k-th largest score per column
+    above = s > kth[None, :]
+    tie = s == kth[None, :]
+    need = k - above.sum(axis=0)  # >= 1 ties to take per column
+    sel = tie
+    crowded = np.nonzero(tie.sum(axis=0) > need)[0]  # more ties than places
+    if len(crowded):
+        tk = np.where(tie[:, crowded], i[:, crowded], np.iinfo(np.int64).max)
+        thr = np.sort(tk, axis=0)[need[crowded] - 1, np.arange(len(crowded))]
+        sel = tie.copy()
+        sel[:, crowded] &= i[:, crowded] <= thr[None, :]
+    idx = np.argpartition(~(above | sel), k - 1, axis=0)[:k]  # the k kept rows of each column
+    return np.take_along_axis(s, idx, 0), np.take_along_axis(i, idx, 0)
+
+
 def prepare_vectors(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
                     normalize: bool = True, materialize: bool = True) -> DataFrame:
     """(_id, _v) with unit vectors.  With ``materialize`` it is written once
