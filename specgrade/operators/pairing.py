@@ -188,16 +188,54 @@ def greedy_matching(edges: DataFrame, u: str = "i", v: str = "j", priority: list
 
 def find_pairs_distinct(vectors: DataFrame, lo: float = DISSIMILAR_BAND[0], hi: float = DISSIMILAR_BAND[1],
                         max_pairs: int | None = DEFAULT_MAX_PAIRS, k: int = DEFAULT_K, seed: int = 0,
-                        id_col: str = "vec_id", vec: str = "embedding", dense: bool = True) -> DataFrame:
+                        id_col: str = "vec_id", vec: str = "embedding", dense: bool = True,
+                        first_rows: int = 4096) -> DataFrame:
     """Each row in at most one pair; rows scanned in id order, first free
-    in-band candidate (in sample order) wins; similarity rounded to 3 dp."""
-    cand = sampled_candidates(vectors, id_col, k, seed, dense)
-    edges = band_pairs(score_edges(cand, vectors, id_col, vec), lo, hi)
-    m = greedy_matching(edges, "i", "j", ["i", "rank"], max_pairs=max_pairs)
+    in-band candidate (in sample order) wins; similarity rounded to 3 dp.
+
+    With ``max_pairs`` only a growing prefix of rows is sampled and scored:
+    the sequential scan's first matches depend only on the edges before
+    them, so the first ``max_pairs`` matches among rows ``i < bound`` are the
+    global ones.  The bound starts at ``first_rows`` and grows 4x per pass
+    until ``max_pairs`` pairs are fixed or every row is covered."""
+    if max_pairs is None:
+        cand = sampled_candidates(vectors, id_col, k, seed, dense)
+        edges = band_pairs(score_edges(cand, vectors, id_col, vec), lo, hi)
+        m = greedy_matching(edges, "i", "j", ["i", "rank"])
+    elif dense:
+        m = _distinct_prefix(vectors, lo, hi, max_pairs, k, seed, id_col, vec, first_rows)
+    else:
+        # work in position space (ids numbered in id order), map the pairs back
+        from specgrade.operators.corpus import assign_row_number
+        pos = assign_row_number(vectors.select(F.col(id_col).alias("_id")), ["_id"], out="_pos", start=0)
+        vp = vectors.join(pos.withColumnRenamed("_id", id_col), id_col).select(F.col("_pos").alias("_pv"), vec)
+        mp = _distinct_prefix(vp, lo, hi, max_pairs, k, seed, "_pv", vec, first_rows)
+        m = (mp.join(pos.withColumnsRenamed({"_pos": "i", "_id": "_ii"}), "i")
+               .join(pos.withColumnsRenamed({"_pos": "j", "_id": "_jj"}), "j")
+               .select(F.col("_ii").alias("i"), F.col("_jj").alias("j"), "similarity"))
     return m.select(F.col("i").alias("blog_1_id"), F.col("j").alias("blog_2_id"),
                     F.round("similarity", 3).alias("similarity"))
 
 
+def _distinct_prefix(vectors: DataFrame, lo: float, hi: float, max_pairs: int, k: int, seed: int,
+                     id_col: str, vec: str, first_rows: int) -> DataFrame:
+    """Greedy matching over the candidates of rows ``i < bound`` (dense ids),
+    bound x4 per pass; each pass is one sampling + scoring of the prefix rows
+    (a small edge set joined to the vectors) and its matching rounds."""
+    n = vectors.count()
+    ids = vectors.select(F.col(id_col).cast("bigint").alias("i")).withColumn("_n", F.lit(n).cast("bigint"))
+    bound = max(1, first_rows)
+    while True:
+        cand = (ids.filter(F.col("i") < bound)
+                   .select("i", F.posexplode(candidate_ids("i", "_n", k, seed)).alias("pos", "j"))
+                   .select("i", "j", (F.col("pos") + 1).alias("rank")))
+        edges = band_pairs(score_edges(cand, vectors, id_col, vec), lo, hi)
+        m = greedy_matching(edges, "i", "j", ["i", "rank"], max_pairs=max_pairs)
+        if bound >= n or m.count() >= max_pairs:  # count: <= max_pairs rows
+            return m
+        bound *= 4
+
+
 def attach_pair_text(pairs: DataFrame, texts: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """Materialise both texts on the (already small) pair list."""
     t = texts.select(F.col(id_col), F.col(text))

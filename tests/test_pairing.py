@@ -132,3 +132,17 @@ def test_knn_ties_and_small_batches_equal_bruteforce(spark):
         sc = {int(ids[j]): float(u[qi] @ u[j]) for j in range(n) if j != qi}
         order = sorted(sc, key=lambda j: (-round(sc[j], 9), j))[:4]
         assert [got[(int(ids[qi]), r + 1)] for r in range(4)] == order, qi
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_distinct_pairs_prefix_passes_equal_one_pass(spark, dense):
+    """The first pairs of the greedy scan found on growing row prefixes
+    (bound 8, 32, 128, ...) equal those of a single pass over all rows."""
+    from pyspark.sql import functions as F
+    e = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    if not dense:
+        e = e.withColumn("vec_id", F.col("vec_id") * 7 + 3)  # sparse ids, same order
+    kw = dict(lo=0.40, hi=0.50, max_pairs=5, k=50, dense=dense)
+    a = sorted(map(tuple, P.find_pairs_distinct(e, first_rows=8, **kw).collect()))
+    b = sorted(map(tuple, P.find_pairs_distinct(e, first_rows=1 << 30, **kw).collect()))
+    assert a == b and len(a) == 5
