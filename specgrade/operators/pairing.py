@@ -119,13 +119,49 @@ def band_pairs(edges: DataFrame, lo: float, hi: float, sim: str = "similarity")
 
 def find_pairs(vectors: DataFrame, lo: float = DISSIMILAR_BAND[0], hi: float = DISSIMILAR_BAND[1],
                max_pairs: int = DEFAULT_MAX_PAIRS, k: int = DEFAULT_K, seed: int = 0,
-               id_col: str = "vec_id", vec: str = "embedding", dense: bool = True) -> DataFrame:
+               id_col: str = "vec_id", vec: str = "embedding", dense: bool = True,
+               first_rows: int = 4096) -> DataFrame:
     """P6 (non-distinct): in-band sampled candidates in scan order (i, rank),
-    first ``max_pairs`` (a top-n, no global sort)."""
-    cand = sampled_candidates(vectors, id_col, k, seed, dense)
-    scored = band_pairs(score_edges(cand, vectors, id_col, vec), lo, hi)
-    return scored.orderBy("i", "rank").limit(max_pairs).select(
-        F.col("i").alias("blog_1_id"), F.col("j").alias("blog_2_id"), "similarity")
+    first ``max_pairs`` (a top-n, no global sort).
+
+    Only a growing prefix of rows is sampled and scored (``first_rows``, x4
+    per pass): the first in-band edges in scan order come from the first
+    rows, so the pass that yields ``max_pairs`` of them is exact."""
+    def run(v, col):
+        n = v.count()
+        bound = max(1, first_rows)
+        while True:
+            scored = band_pairs(score_edges(_prefix_candidates(v, col, n, bound, k, seed), v, col, vec), lo, hi)
+            top = scored.orderBy("i", "rank").limit(max_pairs)
+            if bound >= n:
+                return top
+            top = top.checkpoint()  # <= max_pairs rows, kept for the caller
+            if top.count() >= max_pairs:
+                return top
+            bound *= 4
+    m = run(vectors, id_col) if dense else _in_position_space(vectors, id_col, vec, run)
+    return m.select(F.col("i").alias("blog_1_id"), F.col("j").alias("blog_2_id"), "similarity")
+
+
+def _prefix_candidates(vectors: DataFrame, id_col: str, n: int, bound: int, k: int, seed: int) -> DataFrame:
+    """P5 rows (i, j, rank) for the rows with dense id ``i < bound`` only."""
+    ids = vectors.select(F.col(id_col).cast("bigint").alias("i")).filter(F.col("i") < bound)
+    return (ids.withColumn("_n", F.lit(n).cast("bigint"))
+               .select("i", F.posexplode(candidate_ids("i", "_n", k, seed)).alias("pos", "j"))
+               .select("i", "j", (F.col("pos") + 1).alias("rank")))
+
+
+def _in_position_space(vectors: DataFrame, id_col: str, vec: str, fn) -> DataFrame:
+    """Run ``fn(v, "_pv")`` on the vectors numbered 0..n-1 in id order (F16)
+    and map the (i, j) of its result back to ids with two equi-joins."""
+    from specgrade.operators.corpus import assign_row_number
+    pos = assign_row_number(vectors.select(F.col(id_col).alias("_id")), ["_id"], out="_pos", start=0)
+    vp = vectors.join(pos.withColumnRenamed("_id", id_col), id_col).select(F.col("_pos").alias("_pv"), vec)
+    out = fn(vp, "_pv")
+    rest = [c for c in out.columns if c not in ("i", "j")]
+    return (out.join(pos.withColumnsRenamed({"_pos": "i", "_id": "_ii"}), "i")
+               .join(pos.withColumnsRenamed({"_pos": "j", "_id": "_jj"}), "j")
+               .select(F.col("_ii").alias("i"), F.col("_jj").alias("j"), *rest))
 
 
 # ----------------------------------------------------------------- matching
@@ -202,17 +238,10 @@ def find_pairs_distinct(vectors: DataFrame, lo: float = DISSIMILAR_BAND[0], hi:
         cand = sampled_candidates(vectors, id_col, k, seed, dense)
         edges = band_pairs(score_edges(cand, vectors, id_col, vec), lo, hi)
         m = greedy_matching(edges, "i", "j", ["i", "rank"])
-    elif dense:
-        m = _distinct_prefix(vectors, lo, hi, max_pairs, k, seed, id_col, vec, first_rows)
     else:
-        # work in position space (ids numbered in id order), map the pairs back
-        from specgrade.operators.corpus import assign_row_number
-        pos = assign_row_number(vectors.select(F.col(id_col).alias("_id")), ["_id"], out="_pos", start=0)
-        vp = vectors.join(pos.withColumnRenamed("_id", id_col), id_col).select(F.col("_pos").alias("_pv"), vec)
-        mp = _distinct_prefix(vp, lo, hi, max_pairs, k, seed, "_pv", vec, first_rows)
-        m = (mp.join(pos.withColumnsRenamed({"_pos": "i", "_id": "_ii"}), "i")
-               .join(pos.withColumnsRenamed({"_pos": "j", "_id": "_jj"}), "j")
-               .select(F.col("_ii").alias("i"), F.col("_jj").alias("j"), "similarity"))
+        def run(v, col):
+            return _distinct_prefix(v, lo, hi, max_pairs, k, seed, col, vec, first_rows)
+        m = run(vectors, id_col) if dense else _in_position_space(vectors, id_col, vec, run)
     return m.select(F.col("i").alias("blog_1_id"), F.col("j").alias("blog_2_id"),
                     F.round("similarity", 3).alias("similarity"))
 
@@ -223,13 +252,10 @@ def _distinct_prefix(vectors: DataFrame, lo: float, hi: float, max_pairs: int, k
     bound x4 per pass; each pass is one sampling + scoring of the prefix rows
     (a small edge set joined to the vectors) and its matching rounds."""
     n = vectors.count()
-    ids = vectors.select(F.col(id_col).cast("bigint").alias("i")).withColumn("_n", F.lit(n).cast("bigint"))
     bound = max(1, first_rows)
     while True:
-        cand = (ids.filter(F.col("i") < bound)
-                   .select("i", F.posexplode(candidate_ids("i", "_n", k, seed)).alias("pos", "j"))
-                   .select("i", "j", (F.col("pos") + 1).alias("rank")))
-        edges = band_pairs(score_edges(cand, vectors, id_col, vec), lo, hi)
+        edges = band_pairs(score_edges(_prefix_candidates(vectors, id_col, n, bound, k, seed), vectors, id_col, vec),
+                           lo, hi)
         m = greedy_matching(edges, "i", "j", ["i", "rank"], max_pairs=max_pairs)
         if bound >= n or m.count() >= max_pairs:  # count: <= max_pairs rows
             return m

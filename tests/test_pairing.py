@@ -146,3 +146,17 @@ def test_distinct_pairs_prefix_passes_equal_one_pass(spark, dense):
     a = sorted(map(tuple, P.find_pairs_distinct(e, first_rows=8, **kw).collect()))
     b = sorted(map(tuple, P.find_pairs_distinct(e, first_rows=1 << 30, **kw).collect()))
     assert a == b and len(a) == 5
+
+
+@pytest.mark.parametrize("dense,max_pairs", [(True, 4), (False, 4), (True, 12)])
+def test_find_pairs_prefix_passes_equal_one_pass(spark, dense, max_pairs):
+    """Early stop (4 of the 7 in-band edges) and the exhaustive case (12
+    requested, the prefix grows over all rows) both equal one pass."""
+    from pyspark.sql import functions as F
+    e = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    if not dense:
+        e = e.withColumn("vec_id", F.col("vec_id") * 7 + 3)
+    kw = dict(lo=0.40, hi=0.50, max_pairs=max_pairs, k=50, dense=dense)
+    a = [tuple(r) for r in P.find_pairs(e, first_rows=8, **kw).orderBy("blog_1_id", "blog_2_id").collect()]
+    b = [tuple(r) for r in P.find_pairs(e, first_rows=1 << 30, **kw).orderBy("blog_1_id", "blog_2_id").collect()]
+    assert a == b and len(a) == min(max_pairs, 7)
