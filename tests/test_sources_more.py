@@ -107,7 +107,8 @@ def test_usage_stream_is_incremental(spark):
 
 
 @pytest.mark.parametrize("name", ["distinct_pairs", "dedupe_first", "row_number", "satisfaction_summary",
-                                  "knn_pairs", "retry_plan"])
+                                  "knn_pairs", "retry_plan", "find_pairs", "knn_top10", "embed_knn",
+                                  "sample_rows", "take_first", "zip_join", "ab_order"])
 def test_partition_independent(spark, name):
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
