@@ -420,7 +420,8 @@ def _batch_bounds(q: DataFrame, per_batch: int) -> list[tuple[int, int]]:
 
 def knn_pairs_distinct(vectors: DataFrame, k: int = 10, lo: float = 0.70, hi: float = 0.80,
                        max_pairs: int = DEFAULT_MAX_PAIRS, id_col: str = "vec_id", vec: str = "embedding",
-                       first_batch: int = 256, batch: int = QUERY_BATCH) -> DataFrame:
+                       first_batch: int = 256, batch: int = QUERY_BATCH,
+                       materialize: bool = False) -> DataFrame:
     """Rows scanned in id order; each free row takes its first free
     neighbour (among its k-1 nearest, self excluded) whose cosine is in
     [lo, hi]; stop at ``max_pairs``.
@@ -430,20 +431,27 @@ def knn_pairs_distinct(vectors: DataFrame, k: int = 10, lo: float = 0.70, hi: fl
     1024, ... smallest ids (a top-n per batch, no global sort), one corpus
     pass per batch, until ``max_pairs`` pairs are fixed.  The used set
     carried between batches holds at most 2*max_pairs ids.
+
+    A batch reads the vectors twice (its top-n and its scoring pass), and
+    usually one or two batches are needed, so a table input is re-read
+    rather than copied; pass ``materialize=True`` when the vectors come
+    from an expensive plan (they are then checkpointed once).
     """
     spark = vectors.sparkSession
-    prepared = prepare_vectors(vectors, id_col, vec, True)
-    d = prepared.select(F.max(F.size("_v")).alias("d")).first()["d"] or 1
-    cap = max(1, min(batch, MAX_BATCH_BYTES // (8 * d)))
+    prepared = prepare_vectors(vectors, id_col, vec, True, materialize=materialize)
+    cap = None  # batch size bound, from the dimension of the first batch
     found: list[tuple] = []
     used: set[int] = set()
     last = None
-    size = max(1, min(first_batch, cap))
+    size = max(1, min(first_batch, batch))
     while len(found) < max_pairs:
         rest = prepared if last is None else prepared.filter(F.col("_id") > F.lit(last))
         pdf = rest.orderBy("_id").limit(size).toPandas()  # bounded: <= size vectors
         if pdf.empty:
             break
+        if cap is None:
+            d = max(len(v) for v in pdf["_v"]) or 1
+            cap = max(1, min(batch, MAX_BATCH_BYTES // (8 * d)))
         last = int(pdf["_id"].max())
         nn = _merge_topk(_score_batch(prepared, pdf, k - 1, exclude_self=True), k - 1)
         edges = band_pairs(nn.select(F.col("query_id").alias("i"), F.col("id").alias("j"), "rank",

@@ -160,3 +160,14 @@ def test_find_pairs_prefix_passes_equal_one_pass(spark, dense, max_pairs):
     a = [tuple(r) for r in P.find_pairs(e, first_rows=8, **kw).orderBy("blog_1_id", "blog_2_id").collect()]
     b = [tuple(r) for r in P.find_pairs(e, first_rows=1 << 30, **kw).orderBy("blog_1_id", "blog_2_id").collect()]
     assert a == b and len(a) == min(max_pairs, 7)
+
+
+def test_knn_pairs_batches_and_materialize_agree(spark):
+    """Doubling query batches from 4 ids, and checkpointed vectors, give the
+    same pairs as the default first batch."""
+    e = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    kw = dict(k=10, lo=0.30, hi=0.40, max_pairs=25)
+    want = sorted(map(tuple, P.knn_pairs_distinct(e, **kw).collect()))
+    assert len(want) == 25
+    assert sorted(map(tuple, P.knn_pairs_distinct(e, first_batch=4, **kw).collect())) == want
+    assert sorted(map(tuple, P.knn_pairs_distinct(e, materialize=True, **kw).collect())) == want
