@@ -280,52 +280,57 @@ def _topk_scorer(qids: np.ndarray, qmat: np.ndarray, k: int, exclude_self: bool)
     """mapInPandas body: score the task's corpus rows against the query batch
     (float64 matmul, one score block <= 64 MB at a time) and keep a running
     exact top-k per query across all blocks and Arrow batches of the task,
-    so a task emits at most k rows per query however large its partition."""
+    so a task emits at most k rows per query however large its partition.
+    Each block is first cut to its own top-k (in place, query-major), then
+    merged with the running q x k best."""
     chunk = max(1, (64 << 20) // (8 * max(len(qids), 1)))  # score block <= 64 MB
     nq = len(qids)
 
     def run(batches):
-        best_s = np.empty((0, nq))
-        best_i = np.empty((0, nq), dtype=np.int64)
+        best_s = np.empty((nq, 0))
+        best_i = np.empty((nq, 0), dtype=np.int64)
         for pdf in batches:
             for start in range(0, len(pdf), chunk):
                 part = pdf.iloc[start:start + chunk]
                 ids = part["_id"].to_numpy(dtype=np.int64)
                 mat = np.stack(part["_v"].to_numpy()).astype(np.float64)
-                scores = mat @ qmat.T  # rows: corpus, cols: queries
+                scores = qmat @ mat.T  # rows: queries, cols: corpus
                 scores[np.isnan(scores)] = -np.inf
                 if exclude_self:
-                    scores[ids[:, None] == qids[None, :]] = -np.inf
-                best_s, best_i = _top_rows(np.vstack([best_s, scores]),
-                                           np.vstack([best_i, np.broadcast_to(ids[:, None], scores.shape)]), k)
+                    scores[qids[:, None] == ids[None, :]] = -np.inf
+                blk_s, blk_i = _top_cols(scores, ids, k)
+                best_s, best_i = _top_cols(np.hstack([best_s, blk_s]), np.hstack([best_i, blk_i]), k)
         rows, cols = np.nonzero(np.isfinite(best_s))
         if len(rows):
-            yield pd.DataFrame({"query_id": qids[cols].astype(np.int64), "id": best_i[rows, cols],
+            yield pd.DataFrame({"query_id": qids[rows].astype(np.int64), "id": best_i[rows, cols],
                                 "score": best_s[rows, cols]})
     return run
 
 
-def _top_rows(s: np.ndarray, i: np.ndarray, k: int):
-    """Per column, the k best entries by (score desc, id asc) of the score
-    matrix ``s`` with row ids ``i`` (ids distinct within a column), as two
-    k x q matrices.  Ties at the cut go to the smallest ids, so the result
-    does not depend on how the corpus is split into tasks and blocks."""
-    m = s.shape[0]
+def _top_cols(s: np.ndarray, ids: np.ndarray, k: int):
+    """Per row (query) of the score matrix ``s`` (q x m), the k best columns
+    by (score desc, id asc), as q x k scores and ids.  ``ids`` is one id per
+    column (shape m, shared by all rows) or per cell (q x m); ids are
+    distinct within a row.  Ties at the cut go to the smallest ids, so the
+    result does not depend on how the corpus is split into tasks and blocks."""
+    q, m = s.shape
     if m <= k:
-        return s, i
-    kth = -np.partition(-s, k - 1, axis=0)[k - 1]  # k-th largest score per column
-    above = s > kth[None, :]
-    tie = s == kth[None, :]
-    need = k - above.sum(axis=0)  # >= 1 ties to take per column
+        return s, (np.broadcast_to(ids, s.shape).copy() if ids.ndim == 1 else ids)
+    kth = np.partition(s, m - k, axis=1)[:, m - k]  # k-th largest score per row
+    above = s > kth[:, None]
+    tie = s == kth[:, None]
+    need = k - above.sum(axis=1)  # >= 1 ties to take per row
     sel = tie
-    crowded = np.nonzero(tie.sum(axis=0) > need)[0]  # more ties than places
+    crowded = np.nonzero(tie.sum(axis=1) > need)[0]  # more ties than places
     if len(crowded):
-        tk = np.where(tie[:, crowded], i[:, crowded], np.iinfo(np.int64).max)
-        thr = np.sort(tk, axis=0)[need[crowded] - 1, np.arange(len(crowded))]
+        ic = ids[None, :] if ids.ndim == 1 else ids[crowded]
+        tk = np.where(tie[crowded], ic, np.iinfo(np.int64).max)
+        thr = np.sort(tk, axis=1)[np.arange(len(crowded)), need[crowded] - 1]
         sel = tie.copy()
-        sel[:, crowded] &= i[:, crowded] <= thr[None, :]
-    idx = np.argpartition(~(above | sel), k - 1, axis=0)[:k]  # the k kept rows of each column
-    return np.take_along_axis(s, idx, 0), np.take_along_axis(i, idx, 0)
+        sel[crowded] &= ic <= thr[:, None]
+    idx = np.nonzero(above | sel)[1].reshape(q, k)  # exactly k kept columns per row
+    top_i = ids[idx] if ids.ndim == 1 else np.take_along_axis(ids, idx, 1)
+    return np.take_along_axis(s, idx, 1), top_i
 
 
 def prepare_vectors(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",

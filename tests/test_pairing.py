@@ -87,26 +87,26 @@ def test_sparse_ids_map_to_positions(spark):
 
 
 def test_running_topk_equals_full_sort():
-    """Merging blocks one at a time keeps the exact top-k by (score desc, id
-    asc), with heavy ties and blocks of any size."""
+    """Cutting each block to its top-k and merging with the running best
+    keeps the exact top-k by (score desc, id asc), with heavy ties and
+    blocks of any size."""
     import numpy as np
     rng = np.random.default_rng(4)
     for _ in range(30):
         m, q, k = int(rng.integers(1, 60)), int(rng.integers(1, 6)), int(rng.integers(1, 8))
-        s = rng.integers(0, 4, size=(m, q)).astype(np.float64)  # few distinct values: many ties
-        s[rng.random((m, q)) < 0.1] = -np.inf
+        s = rng.integers(0, 4, size=(q, m)).astype(np.float64)  # few distinct values: many ties
+        s[rng.random((q, m)) < 0.1] = -np.inf
         ids = rng.permutation(10 * m)[:m].astype(np.int64)
-        best_s, best_i = np.empty((0, q)), np.empty((0, q), dtype=np.int64)
+        best_s, best_i = np.empty((q, 0)), np.empty((q, 0), dtype=np.int64)
         start = 0
         while start < m:
             step = int(rng.integers(1, 9))
-            blk = slice(start, start + step)
-            best_s, best_i = P._top_rows(np.vstack([best_s, s[blk]]),
-                                         np.vstack([best_i, np.broadcast_to(ids[blk, None], s[blk].shape)]), k)
+            blk_s, blk_i = P._top_cols(s[:, start:start + step], ids[start:start + step], k)
+            best_s, best_i = P._top_cols(np.hstack([best_s, blk_s]), np.hstack([best_i, blk_i]), k)
             start += step
-        for c in range(q):
-            want = sorted(((-s[r, c], ids[r]) for r in range(m)))[:k]
-            got = sorted(zip(-best_s[:, c], best_i[:, c]))
+        for r in range(q):
+            want = sorted(((-s[r, c], ids[c]) for c in range(m)))[:k]
+            got = sorted(zip(-best_s[r], best_i[r]))
             assert got == want
 
 
