@@ -261,7 +261,7 @@ top AS (SELECT instruction_number,
 SELECT 'revise:' || CAST(c.instruction_number AS VARCHAR) || ':1' AS request_id,
        CAST(c.instruction_number AS BIGINT) AS key,
        CAST(length(replace(replace(replace('{tmpl}', '{{content}}', c.content),
-                                   '{{constraints}}', coalesce(top.top, '')), '{{n}}', '23')) AS INTEGER) AS prompt_length
+                                   '{{constraints}}', coalesce(top.top, '')), '{{n}}', '23')) AS BIGINT) AS prompt_length
 FROM c LEFT JOIN top ON top.instruction_number = c.instruction_number
 WHERE length(trim(coalesce(c.content, ''))) > 0
 """
