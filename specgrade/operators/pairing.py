@@ -131,7 +131,8 @@ def find_pairs(vectors: DataFrame, lo: float = DISSIMILAR_BAND[0], hi: float = D
         n = v.count()
         bound = max(1, first_rows)
         while True:
-            scored = band_pairs(score_edges(_prefix_candidates(v, col, n, bound, k, seed), v, col, vec), lo, hi)
+            cand = _prefix_candidates(v, col, n, bound, k, seed)
+            scored = band_pairs(score_edges(cand, _vectors_for(cand, v, col, bound * (k + 1)), col, vec), lo, hi)
             top = scored.orderBy("i", "rank").limit(max_pairs)
             if bound >= n:
                 return top
@@ -143,6 +144,31 @@ def find_pairs(vectors: DataFrame, lo: float = DISSIMILAR_BAND[0], hi: float = D
     return m.select(F.col("i").alias("blog_1_id"), F.col("j").alias("blog_2_id"), "similarity")
 
 
+def broadcast_limit(spark) -> int:
+    """The session's broadcast ceiling in bytes (``spark.sql.autoBroadcastJoinThreshold``; -1 = never)."""
+    raw = (spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB") or "").strip().lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    num = raw.rstrip("bkmg")
+    try:
+        return int(float(num) * units.get(raw[len(num):] or "b", 1))
+    except ValueError:
+        return -1
+
+
+def _vectors_for(edges: DataFrame, vectors: DataFrame, id_col: str, max_ids: int) -> DataFrame:
+    """The vectors whose ids occur in ``edges`` (at most ``max_ids`` distinct
+    ids).  When that id list provably fits the session's broadcast ceiling
+    (8 bytes per id, checked before running), it is broadcast into a semi
+    join: the vector table is scanned once and never shuffled, and only the
+    selected vectors reach the scoring joins.  Otherwise Spark plans it."""
+    ids = (edges.select(F.col("i").alias(id_col))
+                .unionByName(edges.select(F.col("j").alias(id_col))).distinct())
+    limit = broadcast_limit(vectors.sparkSession)
+    if 0 <= 16 * max_ids <= limit:  # ids plus hash-table overhead
+        ids = F.broadcast(ids)
+    return vectors.join(ids, id_col, "left_semi")
+
+
 def _prefix_candidates(vectors: DataFrame, id_col: str, n: int, bound: int, k: int, seed: int) -> DataFrame:
     """P5 rows (i, j, rank) for the rows with dense id ``i < bound`` only."""
     ids = vectors.select(F.col(id_col).cast("bigint").alias("i")).filter(F.col("i") < bound)
@@ -254,7 +280,8 @@ def _distinct_prefix(vectors: DataFrame, lo: float, hi: float, max_pairs: int, k
     n = vectors.count()
     bound = max(1, first_rows)
     while True:
-        edges = band_pairs(score_edges(_prefix_candidates(vectors, id_col, n, bound, k, seed), vectors, id_col, vec),
+        cand = _prefix_candidates(vectors, id_col, n, bound, k, seed)
+        edges = band_pairs(score_edges(cand, _vectors_for(cand, vectors, id_col, bound * (k + 1)), id_col, vec),
                            lo, hi)
         m = greedy_matching(edges, "i", "j", ["i", "rank"], max_pairs=max_pairs)
         if bound >= n or m.count() >= max_pairs:  # count: <= max_pairs rows

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from specgrade.operators import pairing as P
 from specgrade.operators.corpus import assign_row_number
@@ -171,3 +172,22 @@ def test_knn_pairs_batches_and_materialize_agree(spark):
     assert len(want) == 25
     assert sorted(map(tuple, P.knn_pairs_distinct(e, first_batch=4, **kw).collect())) == want
     assert sorted(map(tuple, P.knn_pairs_distinct(e, materialize=True, **kw).collect())) == want
+
+
+def test_vectors_for_broadcasts_only_within_the_ceiling(spark):
+    """The id list of a prefix is broadcast into a semi join only when its
+    bound fits spark.sql.autoBroadcastJoinThreshold; -1 turns it off."""
+    e = spark.read.parquet(f"{SF01}/embeddings.parquet")
+    cand = P._prefix_candidates(e, "vec_id", e.count(), 64, 10, 0)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for value, bound, forced in (("4MB", 64 * 11, True), ("-1", 64 * 11, False), ("1kb", 64 * 11, False)):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", value)
+            plan = P._vectors_for(cand, e, "vec_id", bound)._jdf.queryExecution().logical().toString()
+            assert ("broadcast" in plan.lower()) == forced, (value, plan)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760b")
+        assert P.broadcast_limit(spark) == 10485760
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    want = {r["vec_id"] for r in cand.select(F.col("i").alias("vec_id")).union(cand.select("j")).collect()}
+    assert {r["vec_id"] for r in P._vectors_for(cand, e, "vec_id", 64 * 11).collect()} == want
