@@ -81,7 +81,7 @@ def find_blog_pairs(spark, input_path: str, output_path: str, max_size: int = 10
     emb = FE.embed_text(numbered, "text", dim)
     find = P.find_pairs_distinct if distinct else P.find_pairs
     pairs = find(emb, lo, hi, max_pairs, seed=seed)
-    out = P.attach_pair_text(pairs, numbered.select("vec_id", "text"), "vec_id")
+    out = P.attach_pair_text(pairs, numbered.select("vec_id", "text"), "vec_id", max_pairs=max_pairs)
     write_table(out, output_path)
     return P.pair_stats(pairs)
 

@@ -28,6 +28,7 @@ DISSIMILAR_BAND = (0.40, 0.50)
 EXACT_LIMIT = 200       # rows with at most this many later rows are sampled exactly
 QUERY_BATCH = 1 << 17   # query vectors per batch in knn(), further capped by MAX_BATCH_BYTES
 MAX_BATCH_BYTES = 64 << 20
+MAX_IN_IDS = 4096         # ids a bounded lookup turns into a pushed-down IN filter
 
 
 def _c(c) -> Column:
@@ -128,16 +129,14 @@ def find_pairs(vectors: DataFrame, lo: float = DISSIMILAR_BAND[0], hi: float = D
     per pass): the first in-band edges in scan order come from the first
     rows, so the pass that yields ``max_pairs`` of them is exact."""
     def run(v, col):
+        ensure_checkpoint_dir(v.sparkSession)
         n = v.count()
         bound = max(1, first_rows)
         while True:
             cand = _prefix_candidates(v, col, n, bound, k, seed)
             scored = band_pairs(score_edges(cand, _vectors_for(cand, v, col, bound * (k + 1)), col, vec), lo, hi)
-            top = scored.orderBy("i", "rank").limit(max_pairs)
-            if bound >= n:
-                return top
-            top = top.checkpoint()  # <= max_pairs rows, kept for the caller
-            if top.count() >= max_pairs:
+            top = scored.orderBy("i", "rank").limit(max_pairs).checkpoint()  # <= max_pairs rows, kept
+            if bound >= n or top.count() >= max_pairs:
                 return top
             bound *= 4
     m = run(vectors, id_col) if dense else _in_position_space(vectors, id_col, vec, run)
@@ -289,9 +288,27 @@ def _distinct_prefix(vectors: DataFrame, lo: float, hi: float, max_pairs: int, k
         bound *= 4
 
 
-def attach_pair_text(pairs: DataFrame, texts: DataFrame, id_col: str, text: str = "text") -> DataFrame:
-    """Materialise both texts on the (already small) pair list."""
+def attach_pair_text(pairs: DataFrame, texts: DataFrame, id_col: str, text: str = "text",
+                     max_pairs: int | None = None) -> DataFrame:
+    """Materialise both texts on the pair list.
+
+    With ``max_pairs`` (a proven bound on the pair rows, e.g. from a pair
+    finder's limit) the corpus is never shuffled.  Up to ``MAX_IN_IDS`` ids
+    they are read (a list of at most 2*max_pairs values) and become an
+    ``IN`` filter that the Parquet scan pushes down, so row groups without a
+    wanted id are skipped instead of reading every text.  Above that, the
+    ids are broadcast into a semi join when they fit the session's
+    broadcast ceiling.  Without a bound Spark plans the two left joins."""
     t = texts.select(F.col(id_col), F.col(text))
+    if max_pairs is not None:
+        ids = (pairs.select(F.col("blog_1_id").alias(id_col))
+                    .unionByName(pairs.select(F.col("blog_2_id").alias(id_col))).distinct())
+        if 2 * max_pairs <= MAX_IN_IDS:
+            t = t.filter(F.col(id_col).isin([r[0] for r in ids.collect()]))  # <= 2*max_pairs values
+        else:
+            if 0 <= 16 * 2 * max_pairs <= broadcast_limit(pairs.sparkSession):
+                ids = F.broadcast(ids)
+            t = t.join(ids, id_col, "left_semi")
     a = pairs.join(t.withColumnsRenamed({id_col: "blog_1_id", text: "blog_1_text"}), "blog_1_id", "left")
     return a.join(t.withColumnsRenamed({id_col: "blog_2_id", text: "blog_2_text"}), "blog_2_id", "left")
 

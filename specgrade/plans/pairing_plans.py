@@ -112,7 +112,7 @@ def distinct_pairs(spark, sf):
     e = table(spark, sf, "embeddings")
     pairs = P.find_pairs_distinct(e, 0.40, 0.50, 25, K)
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return P.attach_pair_text(pairs, docs, "doc_id")
+    return P.attach_pair_text(pairs, docs, "doc_id", max_pairs=25)
 
 
 @query("distinct_pairs_all", greedy_sql(f"(SELECT * FROM {SCORED_SQL} WHERE similarity BETWEEN 0.40 AND 0.50)", None))
