@@ -16,6 +16,38 @@ from specgrade.operators.corpus import assign_row_number
 from specgrade.operators.quality import require_columns
 
 
+def broadcast_limit(spark) -> int:
+    """The session's broadcast ceiling in bytes (``spark.sql.autoBroadcastJoinThreshold``; -1 = never)."""
+    raw = (spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB") or "").strip().lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    num = raw.rstrip("bkmg")
+    try:
+        return int(float(num) * units.get(raw[len(num):] or "b", 1))
+    except ValueError:
+        return -1
+
+
+MAX_IN_KEYS = 4096  # keys a bounded lookup turns into a pushed-down IN filter
+
+
+def restrict_to_keys(table: DataFrame, key: str, keys: DataFrame, max_keys: int,
+                     read_keys: bool = True) -> DataFrame:
+    """Rows of ``table`` whose ``key`` occurs in ``keys`` (one column named
+    ``key``), where ``max_keys`` is a proven bound on the number of keys.
+
+    Up to ``MAX_IN_KEYS`` keys (and ``read_keys``) the keys are read, a list
+    of at most ``max_keys`` values, and become an ``IN`` filter that the
+    Parquet scan pushes down, so row groups without a wanted key are
+    skipped.  Otherwise the keys go into a semi join, broadcast when
+    ``max_keys`` fits the session's broadcast ceiling (16 bytes per key,
+    checked before running), so ``table`` is scanned but never shuffled."""
+    if read_keys and max_keys <= MAX_IN_KEYS:
+        return table.filter(F.col(key).isin([r[0] for r in keys.select(key).collect()]))  # <= max_keys values
+    if 0 <= 16 * max_keys <= broadcast_limit(table.sparkSession):
+        keys = F.broadcast(keys)
+    return table.join(keys.select(key), key, "left_semi")
+
+
 def _suffixed_join(left: DataFrame, right: DataFrame, on: str, suffixes: tuple[str, str],
                    how: str = "inner") -> DataFrame:
     """pandas-style merge: columns present on both sides (other than the key)

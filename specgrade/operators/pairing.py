@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specgrade.functions.hashing import mix
+from specgrade.operators.joins import broadcast_limit, restrict_to_keys  # noqa: F401
 from specgrade.session import ensure_checkpoint_dir
 
 # fixed values: the reference's default pairing parameters
@@ -28,7 +29,6 @@ DISSIMILAR_BAND = (0.40, 0.50)
 EXACT_LIMIT = 200       # rows with at most this many later rows are sampled exactly
 QUERY_BATCH = 1 << 17   # query vectors per batch in knn(), further capped by MAX_BATCH_BYTES
 MAX_BATCH_BYTES = 64 << 20
-MAX_IN_IDS = 4096         # ids a bounded lookup turns into a pushed-down IN filter
 
 
 def _c(c) -> Column:
@@ -143,17 +143,6 @@ def find_pairs(vectors: DataFrame, lo: float = DISSIMILAR_BAND[0], hi: float = D
     return m.select(F.col("i").alias("blog_1_id"), F.col("j").alias("blog_2_id"), "similarity")
 
 
-def broadcast_limit(spark) -> int:
-    """The session's broadcast ceiling in bytes (``spark.sql.autoBroadcastJoinThreshold``; -1 = never)."""
-    raw = (spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10MB") or "").strip().lower()
-    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
-    num = raw.rstrip("bkmg")
-    try:
-        return int(float(num) * units.get(raw[len(num):] or "b", 1))
-    except ValueError:
-        return -1
-
-
 def _vectors_for(edges: DataFrame, vectors: DataFrame, id_col: str, max_ids: int) -> DataFrame:
     """The vectors whose ids occur in ``edges`` (at most ``max_ids`` distinct
     ids).  When that id list provably fits the session's broadcast ceiling
@@ -162,10 +151,7 @@ def _vectors_for(edges: DataFrame, vectors: DataFrame, id_col: str, max_ids: int
     selected vectors reach the scoring joins.  Otherwise Spark plans it."""
     ids = (edges.select(F.col("i").alias(id_col))
                 .unionByName(edges.select(F.col("j").alias(id_col))).distinct())
-    limit = broadcast_limit(vectors.sparkSession)
-    if 0 <= 16 * max_ids <= limit:  # ids plus hash-table overhead
-        ids = F.broadcast(ids)
-    return vectors.join(ids, id_col, "left_semi")
+    return restrict_to_keys(vectors, id_col, ids, max_ids, read_keys=False)
 
 
 def _prefix_candidates(vectors: DataFrame, id_col: str, n: int, bound: int, k: int, seed: int) -> DataFrame:
@@ -293,22 +279,18 @@ def attach_pair_text(pairs: DataFrame, texts: DataFrame, id_col: str, text: str
     """Materialise both texts on the pair list.
 
     With ``max_pairs`` (a proven bound on the pair rows, e.g. from a pair
-    finder's limit) the corpus is never shuffled.  Up to ``MAX_IN_IDS`` ids
+    finder's limit) the corpus is never shuffled.  Up to ``joins.MAX_IN_KEYS`` ids
     they are read (a list of at most 2*max_pairs values) and become an
     ``IN`` filter that the Parquet scan pushes down, so row groups without a
     wanted id are skipped instead of reading every text.  Above that, the
     ids are broadcast into a semi join when they fit the session's
-    broadcast ceiling.  Without a bound Spark plans the two left joins."""
+    broadcast ceiling (``joins.restrict_to_keys``).  Without a bound Spark
+    plans the two left joins."""
     t = texts.select(F.col(id_col), F.col(text))
     if max_pairs is not None:
         ids = (pairs.select(F.col("blog_1_id").alias(id_col))
                     .unionByName(pairs.select(F.col("blog_2_id").alias(id_col))).distinct())
-        if 2 * max_pairs <= MAX_IN_IDS:
-            t = t.filter(F.col(id_col).isin([r[0] for r in ids.collect()]))  # <= 2*max_pairs values
-        else:
-            if 0 <= 16 * 2 * max_pairs <= broadcast_limit(pairs.sparkSession):
-                ids = F.broadcast(ids)
-            t = t.join(ids, id_col, "left_semi")
+        t = restrict_to_keys(t, id_col, ids, 2 * max_pairs)
     a = pairs.join(t.withColumnsRenamed({id_col: "blog_1_id", text: "blog_1_text"}), "blog_1_id", "left")
     return a.join(t.withColumnsRenamed({id_col: "blog_2_id", text: "blog_2_text"}), "blog_2_id", "left")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from specgrade.functions.hashing import mix_sql
+from specgrade.operators import joins as J
 from specgrade.operators import pairing as P
 from specgrade.plans.registry import query
 from specgrade.plans.tables import table
@@ -159,8 +160,9 @@ ORDER BY score DESC, id LIMIT 5
 def semantic_search(spark, sf):
     """P10: top-5 hits for the vector of item 7, 3-dp score, 200-char preview."""
     e = table(spark, sf, "embeddings")
-    hits = P.knn(e.filter(F.col("vec_id") == 7), e, 5)
+    hits = P.knn(e.filter(F.col("vec_id") == 7), e, 5).checkpoint()  # 5 rows
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = J.restrict_to_keys(docs, "id", hits.select("id"), 5)  # pushed-down IN: no full text scan
     return hits.join(docs, "id", "left").select(
         "id", F.round("score", 3).alias("score"), F.substring("text", 1, 200).alias("preview"))
 

@@ -191,3 +191,22 @@ def test_vectors_for_broadcasts_only_within_the_ceiling(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     want = {r["vec_id"] for r in cand.select(F.col("i").alias("vec_id")).union(cand.select("j")).collect()}
     assert {r["vec_id"] for r in P._vectors_for(cand, e, "vec_id", 64 * 11).collect()} == want
+
+
+def test_restrict_to_keys_in_filter_and_semi_join_agree(spark):
+    """A small key list becomes a pushed-down IN filter on the scan; the semi
+    join path returns the same rows."""
+    import io
+    from contextlib import redirect_stdout
+
+    from specgrade.operators.joins import restrict_to_keys
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").select("doc_id", "text")
+    keys = spark.createDataFrame([(5,), (17,), (999999,)], "doc_id long")
+    a = restrict_to_keys(docs, "doc_id", keys, 3)
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        a.explain("formatted")
+    assert "In(doc_id" in buf.getvalue()
+    b = restrict_to_keys(docs, "doc_id", keys, 3, read_keys=False)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert sorted(r["doc_id"] for r in a.collect()) == [5, 17]
