@@ -134,7 +134,7 @@ def find_pairs(vectors: DataFrame, lo: float = DISSIMILAR_BAND[0], hi: float = D
         bound = max(1, first_rows)
         while True:
             cand = _prefix_candidates(v, col, n, bound, k, seed)
-            scored = band_pairs(score_edges(cand, _vectors_for(cand, v, col, bound * (k + 1)), col, vec), lo, hi)
+            scored = band_pairs(score_edges(cand, _vectors_for(cand, v, col, bound * (k + 1), n), col, vec), lo, hi)
             top = scored.orderBy("i", "rank").limit(max_pairs).checkpoint()  # <= max_pairs rows, kept
             if bound >= n or top.count() >= max_pairs:
                 return top
@@ -143,12 +143,16 @@ def find_pairs(vectors: DataFrame, lo: float = DISSIMILAR_BAND[0], hi: float = D
     return m.select(F.col("i").alias("blog_1_id"), F.col("j").alias("blog_2_id"), "similarity")
 
 
-def _vectors_for(edges: DataFrame, vectors: DataFrame, id_col: str, max_ids: int) -> DataFrame:
+def _vectors_for(edges: DataFrame, vectors: DataFrame, id_col: str, max_ids: int, n: int | None = None) -> DataFrame:
     """The vectors whose ids occur in ``edges`` (at most ``max_ids`` distinct
     ids).  When that id list provably fits the session's broadcast ceiling
     (8 bytes per id, checked before running), it is broadcast into a semi
     join: the vector table is scanned once and never shuffled, and only the
-    selected vectors reach the scoring joins.  Otherwise Spark plans it."""
+    selected vectors reach the scoring joins.  Otherwise Spark plans it.
+    When the bound reaches the table's ``n`` rows nothing can be saved and
+    the vectors are returned as they are."""
+    if n is not None and max_ids >= n:
+        return vectors
     ids = (edges.select(F.col("i").alias(id_col))
                 .unionByName(edges.select(F.col("j").alias(id_col))).distinct())
     return restrict_to_keys(vectors, id_col, ids, max_ids, read_keys=False)
@@ -266,7 +270,7 @@ def _distinct_prefix(vectors: DataFrame, lo: float, hi: float, max_pairs: int, k
     bound = max(1, first_rows)
     while True:
         cand = _prefix_candidates(vectors, id_col, n, bound, k, seed)
-        edges = band_pairs(score_edges(cand, _vectors_for(cand, vectors, id_col, bound * (k + 1)), id_col, vec),
+        edges = band_pairs(score_edges(cand, _vectors_for(cand, vectors, id_col, bound * (k + 1), n), id_col, vec),
                            lo, hi)
         m = greedy_matching(edges, "i", "j", ["i", "rank"], max_pairs=max_pairs)
         if bound >= n or m.count() >= max_pairs:  # count: <= max_pairs rows
