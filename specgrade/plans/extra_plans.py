@@ -131,7 +131,7 @@ WHERE rank <= {k}
 """
 
 
-@query("embed_knn", _embed_knn_sql())
+@query("embed_knn", _embed_knn_sql(), round_cols=("score",))
 def embed_knn(spark, sf):
     """P1+P9: hashed TF-IDF embeddings of the documents, 5 nearest per document."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
