@@ -5,9 +5,13 @@ portable hash sample of at most ``k`` partners per row (the reference's own
 rule: score <= 50 random later rows), generated per row with array
 functions and resolved with equi-joins.  Exact top-k search scores the corpus
 against a *bounded* batch of query vectors shipped to each task (checked
-size, looped beyond it) and merges per-task top-k lists, so only
-``queries x k`` rows are ever shuffled.  Greedy one-to-one matching runs as
-rounds of locally dominant edges, checkpointed each round.
+size, looped beyond it); each task keeps one running exact top-k per query,
+so only ``queries x k x tasks`` rows are shuffled.  Greedy one-to-one
+matching runs as rounds of locally dominant edges, checkpointed each round.
+Finders with a pair limit work on a growing prefix of the scan order (the
+first matches depend only on the edges before them), and bounded id lists
+restrict the big tables through pushed-down filters or size-checked
+broadcasts instead of shuffling them.
 """
 
 from __future__ import annotations
