@@ -1,6 +1,7 @@
 """Plan properties that matter at scale, checked on the physical plans of
-the registered queries: no cross or nested-loop joins anywhere, unused
-columns pruned from the scan, bounded lookups pushed into the scan."""
+the registered queries: no cross or nested-loop joins anywhere, no Python
+UDFs (only the kNN scorer's Arrow-batched mapInPandas), unused columns
+pruned from the scan, bounded lookups pushed into the scan."""
 
 import io
 from contextlib import redirect_stdout
@@ -19,10 +20,16 @@ def _plan(df) -> str:
     return buf.getvalue()
 
 
+# the exact top-k scorer is the only Python in a query plan (Arrow batches)
+PYTHON_OK = {"knn_top10", "embed_knn"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_cross_or_nested_loop_join(spark, name):
+def test_no_cross_join_and_no_row_python(spark, name):
     plan = _plan(QUERIES[name](spark, SF001))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name  # no Python UDF
+    assert ("MapInPandas" in plan) == (name in PYTHON_OK), name
 
 
 def test_pages_html_never_read(spark):
