@@ -150,7 +150,7 @@ def find_pairs(vectors: DataFrame, lo: float = DISSIMILAR_BAND[0], hi: float = D
 def _vectors_for(edges: DataFrame, vectors: DataFrame, id_col: str, max_ids: int, n: int | None = None) -> DataFrame:
     """The vectors whose ids occur in ``edges`` (at most ``max_ids`` distinct
     ids).  When that id list provably fits the session's broadcast ceiling
-    (8 bytes per id, checked before running), it is broadcast into a semi
+    (16 bytes per id, checked before running), it is broadcast into a semi
     join: the vector table is scanned once and never shuffled, and only the
     selected vectors reach the scoring joins.  Otherwise Spark plans it.
     When the bound reaches the table's ``n`` rows nothing can be saved and
@@ -172,10 +172,13 @@ def _prefix_candidates(vectors: DataFrame, id_col: str, n: int, bound: int, k: i
 
 def _in_position_space(vectors: DataFrame, id_col: str, vec: str, fn) -> DataFrame:
     """Run ``fn(v, "_pv")`` on the vectors numbered 0..n-1 in id order (F16)
-    and map the (i, j) of its result back to ids with two equi-joins."""
+    and map the (i, j) of its result back to ids with two equi-joins.  The
+    numbered vectors are checkpointed once: ``fn`` reads them in several
+    jobs, and each re-read would otherwise repeat the id join's shuffle."""
     from specgrade.operators.corpus import assign_row_number
     pos = assign_row_number(vectors.select(F.col(id_col).alias("_id")), ["_id"], out="_pos", start=0)
-    vp = vectors.join(pos.withColumnRenamed("_id", id_col), id_col).select(F.col("_pos").alias("_pv"), vec)
+    vp = (vectors.join(pos.withColumnRenamed("_id", id_col), id_col)
+                 .select(F.col("_pos").alias("_pv"), vec).checkpoint())
     out = fn(vp, "_pv")
     rest = [c for c in out.columns if c not in ("i", "j")]
     return (out.join(pos.withColumnsRenamed({"_pos": "i", "_id": "_ii"}), "i")
