@@ -481,20 +481,27 @@ def knn_pairs_distinct(vectors: DataFrame, k: int = 10, lo: float = 0.70, hi: fl
     """
     spark = vectors.sparkSession
     prepared = prepare_vectors(vectors, id_col, vec, True, materialize=materialize)
+    ids = vectors.select(F.col(id_col).cast("bigint").alias("_id")).filter(F.col("_id").isNotNull())
     cap = None  # batch size bound, from the dimension of the first batch
     found: list[tuple] = []
     used: set[int] = set()
     last = None
     size = max(1, min(first_batch, batch))
     while len(found) < max_pairs:
-        rest = prepared if last is None else prepared.filter(F.col("_id") > F.lit(last))
-        pdf = rest.orderBy("_id").limit(size).toPandas()  # bounded: <= size vectors
-        if pdf.empty:
+        # the batch's id range from the id column alone (a top-n), then its
+        # vectors through a range filter the scan can push down
+        rest = ids if last is None else ids.filter(F.col("_id") > F.lit(last))
+        hi_id = rest.orderBy("_id").limit(size).agg(F.max("_id").alias("hi")).first()["hi"]
+        if hi_id is None:
             break
+        lo_cut = F.lit(True) if last is None else F.col("_id") > F.lit(last)
+        pdf = prepared.filter(lo_cut & (F.col("_id") <= F.lit(hi_id))).orderBy("_id").toPandas()  # <= size vectors
+        last = int(hi_id)
+        if pdf.empty:
+            continue
         if cap is None:
             d = max(len(v) for v in pdf["_v"]) or 1
             cap = max(1, min(batch, MAX_BATCH_BYTES // (8 * d)))
-        last = int(pdf["_id"].max())
         nn = _merge_topk(_score_batch(prepared, pdf, k - 1, exclude_self=True), k - 1)
         edges = band_pairs(nn.select(F.col("query_id").alias("i"), F.col("id").alias("j"), "rank",
                                      F.col("score").alias("similarity")), lo, hi)
