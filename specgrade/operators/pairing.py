@@ -331,7 +331,8 @@ def _topk_scorer(qids: np.ndarray, qmat: np.ndarray, k: int, exclude_self: bool)
                 part = pdf.iloc[start:start + chunk]
                 ids = part["_id"].to_numpy(dtype=np.int64)
                 mat = np.stack(part["_v"].to_numpy()).astype(np.float64)
-                scores = qmat @ mat.T  # rows: queries, cols: corpus
+                # corpus-major product (rows: corpus), then query-major for the cut
+                scores = np.ascontiguousarray((mat @ qmat.T).T)
                 scores[np.isnan(scores)] = -np.inf
                 if exclude_self:
                     scores[qids[:, None] == ids[None, :]] = -np.inf
