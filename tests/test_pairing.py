@@ -210,3 +210,29 @@ def test_restrict_to_keys_in_filter_and_semi_join_agree(spark):
     b = restrict_to_keys(docs, "doc_id", keys, 3, read_keys=False)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert sorted(r["doc_id"] for r in a.collect()) == [5, 17]
+
+
+def test_scorer_duplicates_tie_by_id_at_block_scale():
+    """A third of the corpus is one repeated vector, spread over a large block
+    (BLAS tiles and edge tiles): every query's neighbours equal a brute force
+    in which copies tie exactly, so they come in id order."""
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(21)
+    n, d, k = 900, 48, 7
+    m = rng.normal(size=(n, d))
+    m[rng.permutation(n)[: n // 3]] = m[0]
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    ids = rng.permutation(10 * n)[:n].astype(np.int64)
+    qsel = rng.permutation(n)[:150]
+    pdf = pd.DataFrame({"_id": ids, "_v": list(m)})
+    out = pd.concat(list(P._topk_scorer(ids[qsel], m[qsel], k, True)([pdf.iloc[:400], pdf.iloc[400:]])))
+    # brute force: one score per distinct vector, so copies tie exactly
+    uniq, inv = np.unique(m, axis=0, return_inverse=True)
+    inv = inv.reshape(-1)
+    for qi in qsel:
+        su = (uniq.astype(np.longdouble) @ m[qi].astype(np.longdouble)).astype(np.float64)
+        cand = [(-su[inv[j]], ids[j]) for j in range(n) if j != qi]
+        want = [i for _, i in sorted(cand)[:k]]
+        got = out[out["query_id"] == ids[qi]].sort_values(["score", "id"], ascending=[False, True])["id"].tolist()
+        assert got[:k] == want, int(ids[qi])
