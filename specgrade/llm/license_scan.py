@@ -27,10 +27,9 @@ from pyspark.sql import functions as F
 
 from specgrade.llm.common import ascii_lower, row_key, whole_text
 
-# Fixed values of the contract: word pattern (after lower-casing A-Z) and the
-# same pattern for text that is not lower-cased yet; phrases and labels.
+# Fixed values of the contract: word pattern (after lower-casing A-Z), phrases
+# and labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PHRASES = [(("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl")]
 
 # Notices by which licenses are declared, in their usual words.
@@ -52,6 +51,11 @@ TEMPLATES = [
     ("proprietary", "All rights reserved. Unauthorized copying of this file is strictly prohibited"),
 ]
 
+# The same words in text of either case.  The class lists its characters one
+# by one: Java looks those up in a table, but walks ranges for every character.
+NO_WORD = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
+WORD_ANY_CASE = f"[^{NO_WORD}]++"
+
 
 def template_words(text: str) -> list[str]:
     """Distinct words of a template, in order (templates are ASCII)."""
@@ -97,8 +101,8 @@ def matched_labels(docs: DataFrame, threshold_pct: int, block: int, stride: int)
     prefix_words = [by_rank[w] for w in sorted({row[0] for row in index})]
     table = spark.createDataFrame(index, "word int, t_at int, label string, need int, t_words array<int>")
     # the prefix filter over whole texts: no block matches without such a word
-    gate = r"(?i)(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?:" + "|".join(prefix_words) + r")(?![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
-    words = docs.filter(whole_text().rlike(gate)).select("doc_id", row_key().alias("rk"), F.regexp_extract_all(ascii_lower(whole_text()), F.lit(WORD), F.lit(0)).alias("words"))
+    gate = f"(?i)(?<![^{NO_WORD}])(?:{'|'.join(prefix_words)})(?![^{NO_WORD}])"
+    words = docs.filter(whole_text().rlike(gate)).select("doc_id", row_key().alias("rk"), F.regexp_extract_all(ascii_lower(whole_text()), F.lit(WORD_ANY_CASE), F.lit(0)).alias("words"))
     last = F.greatest(F.ceil((F.size("words") - (block - stride)) / stride), F.lit(1)).cast("int") - 1
     blocks = words.select("doc_id", "rk", F.explode(F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("words", k * stride + 1, block))).alias("block"))
     # a block's template words as ranks, ascending: words of no template share nothing
@@ -120,7 +124,7 @@ def license_scan(docs: DataFrame, threshold_pct: int = 80, block: int = 48, stri
     last_word, base_labels, labels, score, containment."""
     text = whole_text()
     lowered = F.when(text.rlike("(?i)license"), ascii_lower(text)).otherwise(F.lit(""))  # every phrase ends in that word
-    words = F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(lowered, F.lit(WORD_ANY_CASE), F.lit(0))
     per_row = docs.select("doc_id", row_key().alias("rk"), F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"),
                           F.transform(F.array(words), phrase_starts)[0].alias("places"))
     method = matched_labels(docs, threshold_pct, block, stride).withColumnsRenamed({"doc_id": "m_doc_id", "rk": "m_rk"})
