@@ -19,7 +19,6 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,7 +34,6 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_IDS = PIECES + ", ids array<int>"
 
 
-@lru_cache(maxsize=2)
 def encoder(vocabulary: str = VOCABULARY):
     """The byte-level BPE of the vocabulary file.  tiktoken reads the same
     vocabulary as ``<vocabulary>.json`` from its rank file and gives the same

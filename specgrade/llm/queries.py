@@ -6,32 +6,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specgrade.llm import oracles
+from specgrade.llm import oracles, pii_spans
 from specgrade.llm.common import read
+from specgrade.llm.decontaminate import contaminated
 from specgrade.llm.exact_dedup import exact_dedup
 from specgrade.llm.license_scan import license_scan
+from specgrade.llm.line_crf import quality
 from specgrade.llm.line_dedup import line_dedup
+from specgrade.llm.ngram_jaccard import ngram_components
 from specgrade.llm.packing import pack
+from specgrade.llm.url_filter import url_filter
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(read(spark, sf_dir, "documents")).withColumn("score", F.round("score", 9)).withColumn("containment", F.round("containment", 9))
 
 
+def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return pii_spans.pii_spans(docs, pii_spans.learn(docs))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(read(spark, sf_dir, "documents"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op5_exact_dedup, op7_line_dedup, op9_best_fit_packing)}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_crf, op4_decontaminate, op5_exact_dedup, op6_pii_spans,
+                                   op7_line_dedup, op8_ngram_jaccard, op9_best_fit_packing, op10_url_filter)}
 ORACLE = {
     "op1_license_scan": oracles.LICENSE_SCAN,
     "op5_exact_dedup": oracles.EXACT_DEDUP,
