@@ -166,27 +166,56 @@ def signatures(docs: DataFrame, sim: Similarity, counts: np.ndarray, bits: int,
 
 
 def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sim: Similarity, broadcast_rows: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets reach the similarity."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = cut(classes.join(nodes, "node", "left_semi").select("node", "rep_doc", "rep_rk"))
+    """The pairs (a, b) of classes whose whole sets reach the similarity.  The
+    set of b travels once for each pair, that of a once, both to a's place;
+    many pairs of one a are an ordinary skewed join, which Spark splits."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), whole_text().alias("text"))
+    rep = classes.select("node", "rep_doc", "rep_rk")
 
     def sets(batches):
         for pdf in batches:
-            got, at = [], 0
-            nodes = list(pdf["node"])
-            for run in text_blocks(list(pdf["text"])):
-                for h in shingle_sets(run, sim.k):
-                    got.append((nodes[at], h.view(np.int64)))
-                    at += 1
-            yield pd.DataFrame(got, columns=["node", "shingles"])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), whole_text().alias("text"))
-    texts = rows.join(broadcast_if(needed, broadcast_rows), (F.col("rk") == F.col("rep_rk")) & F.col("doc_id").eqNullSafe(F.col("rep_doc"))).select("node", "text")
-    found = cut(texts.mapInPandas(sets, "node long, shingles array<long>"))
-    # repeated rows give their class's set again; distinct() below removes what that repeats
-    both = (pairs.join(found.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(found.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"))
+            made = [h.view(np.int64) for run in text_blocks(list(pdf["text"])) for h in shingle_sets(run, sim.k)]
+            pdf["shingles"] = pd.Series(made, index=pdf.index, dtype=object)
+            yield pdf.drop(columns=["text"])
+
+    def with_sets(wanted: DataFrame, names: list[str]) -> DataFrame:
+        listed = broadcast_if(cut(wanted), broadcast_rows)
+        texts = rows.join(listed, (F.col("rk") == F.col("rep_rk")) & F.col("doc_id").eqNullSafe(F.col("rep_doc"))).select(*names, "text")
+        return texts.mapInPandas(sets, ", ".join(f"{c} long" for c in names) + ", shingles array<long>")
+
+    xs = with_sets(pairs.select("a").distinct().join(rep.withColumnRenamed("node", "a"), "a"), ["a"]).withColumnRenamed("shingles", "x")
+    ys = with_sets(pairs.join(rep.withColumnRenamed("node", "b"), "b"), ["a", "b"]).withColumnRenamed("shingles", "y")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(sim.den * shared >= sim.num * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+    # repeated rows give their class's set again; distinct() removes what that repeats
+    return ys.join(xs, "a").filter(sim.den * shared >= sim.num * (F.size("x") + F.size("y") - shared)).select("a", "b").distinct()
+
+
+def packed(n: str, l: str, pos: str):
+    """Size, l and position of a posting in one long: 29, 4 and 30 bits."""
+    return F.shiftleft(F.col(n).cast("long"), 34).bitwiseOR(F.shiftleft(F.col(l).cast("long"), 30)).bitwiseOR(F.col(pos).cast("long"))
+
+
+def unpacked(meta: str, to: str) -> dict:
+    return {f"{to}n": F.shiftright(meta, 34).cast("int"), f"{to}l": F.shiftright(meta, 30).bitwiseAND(F.lit(15)).cast("int"),
+            f"{to}pos": F.col(meta).bitwiseAND(F.lit((1 << 30) - 1)).cast("int")}
+
+
+def candidates(meets: DataFrame, sim: Similarity) -> DataFrame:
+    """Pairs (a, b) from rows (a, b, x_n, x_l, x_pos, y_n, y_l, y_pos), one
+    for each prefix shingle that a and b share.  Such a row must leave room
+    for the overlap asked for (length and positional filter); the pair needs
+    min(l, l') of them.  Beyond the last shared one, the set whose prefix ends
+    first can only go on sharing what lies past its prefix."""
+    n, m = F.col("x_n"), F.col("y_n")
+    least = F.ceil(sim.num * (n + m) / (sim.num + sim.den))
+    small, large = F.least(n, m), F.greatest(n, m)
+    room = F.least(F.col("x_pos"), F.col("y_pos")) + 1 + F.least(n - F.col("x_pos") - 1, m - F.col("y_pos") - 1)
+    met = (meets.filter((sim.den * small >= sim.num * large) & (room >= least)).groupBy("a", "b")
+           .agg(F.count(F.lit(1)).alias("c"), F.max("x_pos").alias("i"), F.max("y_pos").alias("j"),
+                *[F.first(c).alias(c) for c in ("x_n", "x_l", "y_n", "y_l")]))
+    x_past, y_past = (F.ceil(sim.num * F.col(f"{s}_n") / sim.den) - F.col(f"{s}_l") for s in "xy")  # shingles past the prefix
+    most = F.col("c") + F.greatest(F.least(x_past, m - F.col("j") - 1), F.least(n - F.col("i") - 1, y_past))
+    return met.filter((F.col("c") >= F.least("x_l", "y_l")) & (most >= least)).select("a", "b")
 
 
 def classes_with_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, bits: int = 18,
@@ -200,31 +229,24 @@ def classes_with_components(docs: DataFrame, k: int = 4, num: int = 85, den: int
     classes = cut(rows.filter("n > 0").groupBy("s1", "s2", "n")
                   .agg(F.min("doc_id").alias("rep_doc"), F.min_by("rk", order).alias("rep_rk"), F.first("l").alias("l"), F.first("prefix").alias("prefix"))
                   .withColumn("node", F.monotonically_increasing_id()))
-    postings = classes.select("node", "n", "l", F.posexplode("prefix").alias("pos", "token"))
-    whole = Window.partitionBy("token").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    head = {f"p_{c}": F.first(c).over(whole) for c in ("node", "n", "l", "pos")}
+    postings = classes.select("node", "n", "l", F.posexplode("prefix").alias("pos", "token")).select("token", "node", packed("n", "l", "pos").alias("meta"))
+    whole = Window.partitionBy("token").orderBy("meta", "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    head = {f"p_{c}": F.first(c).over(whole) for c in ("node", "meta")}
     shared = cut(postings.withColumns({"holders": F.count(F.lit(1)).over(whole), **head}).filter("holders > 1").drop("holders"))
-
-    def fits(n, pos, m, at):
-        """Length and positional filter for sets of n <= m shingles."""
-        least = F.ceil(num * (n + m) / (num + den))
-        return (den * n >= num * m) & (F.least(pos, at) + 1 + F.least(n - pos - 1, m - at - 1) >= least)
-
-    stars = (shared.filter((F.col("node") != F.col("p_node")) & fits(F.col("p_n"), F.col("p_pos"), F.col("n"), F.col("pos")))
-             .groupBy(F.col("p_node").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first(F.least("l", "p_l")).alias("l")).filter("c >= l"))
-    stars = cut(stars.select("a", "b"))
+    meets = (shared.filter("node <> p_node").withColumns(unpacked("p_meta", "x_") | unpacked("meta", "y_"))
+             .withColumnsRenamed({"p_node": "a", "node": "b"}))
+    stars = cut(candidates(meets, sim))
     linked = cut(similar(stars, classes, docs, sim, broadcast_rows))
     first_labels = cut(components(linked))
     # lists that still join several components, compared across them
-    labelled = (shared.select("token", "node", "n", "l", "pos").join(first_labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    labelled = shared.select("token", "node", "meta").join(first_labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     token = Window.partitionBy("token")
-    split = labelled.withColumns({"lo": F.min("label").over(token), "hi": F.max("label").over(token)}).filter("lo <> hi").drop("lo", "hi")
-    left = cut(split)
-    right = left.select("token", *[F.col(c).alias(f"q_{c}") for c in ("node", "n", "l", "pos", "label")])
-    ordered = (F.col("n") < F.col("q_n")) | ((F.col("n") == F.col("q_n")) & (F.col("node") < F.col("q_node")))
-    across = left.join(right, "token").filter(ordered & (F.col("label") != F.col("q_label")) & fits(F.col("n"), F.col("pos"), F.col("q_n"), F.col("q_pos")))
-    rest = (across.groupBy(F.col("node").alias("a"), F.col("q_node").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.first(F.least("l", "q_l")).alias("l"))
-            .filter("c >= l").select("a", "b").join(stars, ["a", "b"], "left_anti"))
+    left = cut(labelled.withColumns({"lo": F.min("label").over(token), "hi": F.max("label").over(token)}).filter("lo <> hi").drop("lo", "hi"))
+    right = left.select("token", *[F.col(c).alias(f"q_{c}") for c in ("node", "meta", "label")])
+    ordered = (F.col("node") < F.col("q_node")) & (F.col("label") != F.col("q_label"))
+    across = (left.join(right, "token").filter(ordered).withColumns(unpacked("meta", "x_") | unpacked("q_meta", "y_"))
+              .withColumnsRenamed({"node": "a", "q_node": "b"}))
+    rest = candidates(across, sim).join(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
     more = similar(cut(rest), classes, docs, sim, broadcast_rows)
     labels = components(cut(linked.unionByName(more)))
     named = classes.select("node", "s1", "s2", "n", "rep_doc", "rep_rk").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
