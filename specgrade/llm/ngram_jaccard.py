@@ -142,7 +142,8 @@ def choose_prefix(est: np.ndarray, base: int, most_l: int, verify_cost: float) -
 
 
 def signatures(docs: DataFrame, sim: Similarity, counts: np.ndarray, bits: int, most_l: int, verify_cost: float) -> DataFrame:
-    """(doc_id, rk, s1, s2, n, l, prefix): s1, s2 and n name the set."""
+    """(doc_id, rk, s1, s2, n, l, common, prefix): s1, s2 and n name the set;
+    common is how frequent its shingles are on the mean, as 100 log2."""
     noise = counts.mean() + 4 * np.sqrt(counts.mean() + 1)
     held = docs.sparkSession.sparkContext.broadcast(np.maximum(1, counts - int(noise)).astype(np.int64))
 
@@ -152,17 +153,17 @@ def signatures(docs: DataFrame, sim: Similarity, counts: np.ndarray, bits: int,
             texts, ids, keys, at = list(pdf["text"]), list(pdf["doc_id"]), list(pdf["rk"]), 0
             for run in text_blocks(texts):
                 for h in shingle_sets(run, sim.k):
-                    n, l, prefix = len(h), 0, np.zeros(0, dtype=np.int64)
+                    n, l, common, prefix = len(h), 0, 0, np.zeros(0, dtype=np.int64)
                     if n:
                         est = held.value[(h >> np.uint64(64 - bits)).astype(np.int64)]
-                        order = np.argsort(est, kind="stable")
+                        order, common = np.argsort(est, kind="stable"), int(100 * np.log2(est).mean())
                         l = choose_prefix(est[order], sim.prefix(n), most_l, verify_cost)
                         prefix = h[order[:sim.prefix(n) + l - 1]].view(np.int64)
-                    out.append((ids[at], keys[at], int(h.sum(dtype=np.uint64).view(np.int64)), int(_mixed(h ^ _BASE).sum(dtype=np.uint64).view(np.int64)), n, l, prefix))
+                    out.append((ids[at], keys[at], int(h.sum(dtype=np.uint64).view(np.int64)), int(_mixed(h ^ _BASE).sum(dtype=np.uint64).view(np.int64)), n, l, common, prefix))
                     at += 1
-            yield pd.DataFrame(out, columns=["doc_id", "rk", "s1", "s2", "n", "l", "prefix"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "rk", "s1", "s2", "n", "l", "common", "prefix"]).astype({"doc_id": "Int64"})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), whole_text().alias("text"))
-    return rows.mapInPandas(sign, "doc_id long, rk long, s1 long, s2 long, n int, l int, prefix array<long>")
+    return rows.mapInPandas(sign, "doc_id long, rk long, s1 long, s2 long, n int, l int, common int, prefix array<long>")
 
 
 def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sim: Similarity, broadcast_rows: int) -> DataFrame:
@@ -227,12 +228,13 @@ def classes_with_components(docs: DataFrame, k: int = 4, num: int = 85, den: int
     rows = cut(signatures(docs, sim, counts, bits, most_l, verify_cost))
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     classes = cut(rows.filter("n > 0").groupBy("s1", "s2", "n")
-                  .agg(F.min("doc_id").alias("rep_doc"), F.min_by("rk", order).alias("rep_rk"), F.first("l").alias("l"), F.first("prefix").alias("prefix"))
+                  .agg(F.min("doc_id").alias("rep_doc"), F.min_by("rk", order).alias("rep_rk"), F.first("l").alias("l"), F.first("common").alias("common"), F.first("prefix").alias("prefix"))
                   .withColumn("node", F.monotonically_increasing_id()))
-    postings = classes.select("node", "n", "l", F.posexplode("prefix").alias("pos", "token")).select("token", "node", packed("n", "l", "pos").alias("meta"))
-    whole = Window.partitionBy("token").orderBy("meta", "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    postings = classes.select("node", "n", "l", "common", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "common", packed("n", "l", "pos").alias("meta"))
+    # of a group of copies the one nearest to their common text has the most frequent shingles
+    whole = Window.partitionBy("token").orderBy(F.desc("common"), "meta", "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     head = {f"p_{c}": F.first(c).over(whole) for c in ("node", "meta")}
-    shared = cut(postings.withColumns({"holders": F.count(F.lit(1)).over(whole), **head}).filter("holders > 1").drop("holders"))
+    shared = cut(postings.withColumns({"holders": F.count(F.lit(1)).over(whole), **head}).filter("holders > 1").drop("holders", "common"))
     meets = (shared.filter("node <> p_node").withColumns(unpacked("p_meta", "x_") | unpacked("meta", "y_"))
              .withColumnsRenamed({"p_node": "a", "node": "b"}))
     stars = cut(candidates(meets, sim))
