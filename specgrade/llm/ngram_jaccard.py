@@ -202,23 +202,47 @@ def unpacked(meta: str, to: str) -> dict:
 
 
 def candidates(meets: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs (a, b) from rows (a, b, x_n, x_l, x_pos, y_n, y_l, y_pos), one
+    """Pairs (a, b) from rows (a, b, x_n, x_l, x_pos, x_cap, y_n, ...), one
     for each prefix shingle that a and b share.  Such a row must leave room
     for the overlap asked for (length and positional filter); the pair needs
     min(l, l') of them.  Beyond the last shared one, the set whose prefix ends
     first can only go on sharing what lies past its prefix."""
     n, m = F.col("x_n"), F.col("y_n")
     least = F.ceil(sim.num * (n + m) / (sim.num + sim.den))
-    small, large = F.least(n, m), F.greatest(n, m)
-    room = F.least(F.col("x_pos"), F.col("y_pos")) + 1 + F.least(n - F.col("x_pos") - 1, m - F.col("y_pos") - 1)
-    met = (meets.filter((sim.den * small >= sim.num * large) & (room >= least)).groupBy("a", "b")
-           .agg(F.count(F.lit(1)).alias("c"), F.max("x_pos").alias("i"), F.max("y_pos").alias("j"),
+    x_after, y_after = (F.col(f"{s}_cap") - F.col(f"{s}_pos") - 1 for s in "xy")
+    room = F.least(F.col("x_pos"), F.col("y_pos")) + 1 + F.least(x_after, y_after)
+    met = (meets.filter((sim.den * F.least(n, m) >= sim.num * F.greatest(n, m)) & (room >= least)).groupBy("a", "b")
+           .agg(F.count(F.lit(1)).alias("c"), F.min(x_after).alias("x_after"), F.min(y_after).alias("y_after"),
                 *[F.first(c).alias(c) for c in ("x_n", "x_l", "y_n", "y_l")]))
-    x_past, y_past = (F.ceil(sim.num * F.col(f"{s}_n") / sim.den) - F.col(f"{s}_l") for s in "xy")  # shingles past the prefix
-    most = F.col("c") + F.greatest(F.least(x_past, m - F.col("j") - 1), F.least(n - F.col("i") - 1, y_past))
+    x_past, y_past = (past(sim, F.col(f"{s}_n"), F.col(f"{s}_l")) for s in "xy")
+    most = F.col("c") + F.greatest(F.least(x_past, F.col("y_after")), F.least(F.col("x_after"), y_past))
     return met.filter((F.col("c") >= F.least("x_l", "y_l")) & (most >= least)).select("a", "b")
 
 
+def past(sim: Similarity, n, l):
+    """How many shingles of a set lie past its prefix."""
+    return F.ceil(sim.num * n / sim.den) - l
+
+
+def shared_postings(classes: DataFrame, sim: Similarity) -> DataFrame:
+    """(token, node, meta, cap, p_node, p_meta, p_cap): the prefix shingles
+    that several classes hold.  Positions count such shingles only, and cap is
+    how many of a set's shingles others may hold: those, and all past the
+    prefix.  A class whose cap is too low for any partner goes.  p_ is the
+    holder nearest to a group's common text: its shingles are the most
+    frequent on the mean."""
+    postings = classes.select("node", "n", "l", "common", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "common", packed("n", "l", "pos").alias("meta"))
+    held = postings.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("holders > 1")
+    mine = Window.partitionBy("node")
+    opened = held.select("token", "node", "common", *[c.alias(k) for k, c in unpacked("meta", "").items()])
+    capped = (opened.withColumns({"rank": F.row_number().over(mine.orderBy("pos")) - 1, "size": F.count(F.lit(1)).over(mine)})
+              .withColumn("cap", (F.col("size") + past(sim, F.col("n"), F.col("l"))).cast("int")).filter(F.col("cap") >= F.ceil(sim.num * F.col("n") / sim.den)))
+    whole = Window.partitionBy("token").orderBy(F.desc("common"), "meta", "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    head = {f"p_{c}": F.first(c).over(whole) for c in ("node", "meta", "cap")}
+    ranked = capped.select("token", "node", "common", packed("n", "l", "rank").alias("meta"), "cap")
+    return ranked.withColumns({"holders": F.count(F.lit(1)).over(whole), **head}).filter("holders > 1").drop("holders", "common")
+
+
 def classes_with_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, bits: int = 18,
                             most_l: int = 8, verify_cost: float = 8.0, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows has doc_id, rk, s1, s2, n; classes has s1, s2, n,
@@ -230,24 +254,20 @@ def classes_with_components(docs: DataFrame, k: int = 4, num: int = 85, den: int
     classes = cut(rows.filter("n > 0").groupBy("s1", "s2", "n")
                   .agg(F.min("doc_id").alias("rep_doc"), F.min_by("rk", order).alias("rep_rk"), F.first("l").alias("l"), F.first("common").alias("common"), F.first("prefix").alias("prefix"))
                   .withColumn("node", F.monotonically_increasing_id()))
-    postings = classes.select("node", "n", "l", "common", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "common", packed("n", "l", "pos").alias("meta"))
-    # of a group of copies the one nearest to their common text has the most frequent shingles
-    whole = Window.partitionBy("token").orderBy(F.desc("common"), "meta", "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    head = {f"p_{c}": F.first(c).over(whole) for c in ("node", "meta")}
-    shared = cut(postings.withColumns({"holders": F.count(F.lit(1)).over(whole), **head}).filter("holders > 1").drop("holders", "common"))
+    shared = cut(shared_postings(classes, sim))
     meets = (shared.filter("node <> p_node").withColumns(unpacked("p_meta", "x_") | unpacked("meta", "y_"))
-             .withColumnsRenamed({"p_node": "a", "node": "b"}))
+             .withColumnsRenamed({"p_node": "a", "node": "b", "p_cap": "x_cap", "cap": "y_cap"}))
     stars = cut(candidates(meets, sim))
     linked = cut(similar(stars, classes, docs, sim, broadcast_rows))
     first_labels = cut(components(linked))
     # lists that still join several components, compared across them
-    labelled = shared.select("token", "node", "meta").join(first_labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = shared.select("token", "node", "meta", "cap").join(first_labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     token = Window.partitionBy("token")
     left = cut(labelled.withColumns({"lo": F.min("label").over(token), "hi": F.max("label").over(token)}).filter("lo <> hi").drop("lo", "hi"))
-    right = left.select("token", *[F.col(c).alias(f"q_{c}") for c in ("node", "meta", "label")])
+    right = left.select("token", *[F.col(c).alias(f"q_{c}") for c in ("node", "meta", "cap", "label")])
     ordered = (F.col("node") < F.col("q_node")) & (F.col("label") != F.col("q_label"))
     across = (left.join(right, "token").filter(ordered).withColumns(unpacked("meta", "x_") | unpacked("q_meta", "y_"))
-              .withColumnsRenamed({"node": "a", "q_node": "b"}))
+              .withColumnsRenamed({"node": "a", "q_node": "b", "cap": "x_cap", "q_cap": "y_cap"}))
     rest = candidates(across, sim).join(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
     more = similar(cut(rest), classes, docs, sim, broadcast_rows)
     labels = components(cut(linked.unionByName(more)))
