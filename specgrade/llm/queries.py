@@ -15,6 +15,7 @@ from specgrade.llm.line_crf import quality
 from specgrade.llm.line_dedup import line_dedup
 from specgrade.llm.ngram_jaccard import ngram_components
 from specgrade.llm.packing import pack
+from specgrade.llm.token_counts import token_counts
 from specgrade.llm.url_filter import url_filter
 
 
@@ -26,6 +27,10 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(read(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -56,7 +61,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_crf, op4_decontaminate, op5_exact_dedup, op6_pii_spans,
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_crf, op3_token_counts, op4_decontaminate, op5_exact_dedup, op6_pii_spans,
                                    op7_line_dedup, op8_ngram_jaccard, op9_best_fit_packing, op10_url_filter)}
 ORACLE = {
     "op1_license_scan": oracles.LICENSE_SCAN,
