@@ -243,6 +243,34 @@ def shared_postings(classes: DataFrame, sim: Similarity) -> DataFrame:
     return ranked.withColumns({"holders": F.count(F.lit(1)).over(whole), **head}).filter("holders > 1").drop("holders", "common")
 
 
+def across(shared: DataFrame, labels: DataFrame, sim: Similarity) -> DataFrame:
+    """Candidate pairs (a, b) of classes in different components.
+
+    Only lists that join several components matter, and they hold all that
+    such a pair shares.  A similar pair shares at least ``need`` of them, so
+    one, the rarest that it shares, is followed by ``need - 1`` more in either
+    class's own list, rarest first: this prefix filter keeps long lists out of
+    the join.  What a pair shares is then counted on the classes' lists."""
+    labelled = shared.select("token", "node", "meta", "cap").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    token = Window.partitionBy("token")
+    open_lists = (labelled.withColumns({"lo": F.min("label").over(token), "hi": F.max("label").over(token), "holders": F.count(F.lit(1)).over(token)})
+                  .filter("lo <> hi").drop("lo", "hi"))
+    rarest_first = Window.partitionBy("node").orderBy(F.desc("holders"), F.desc("token"))
+    left = cut(open_lists.withColumn("more", F.row_number().over(rarest_first) - 1).drop("holders"))  # rarer ones have more after them
+    right = left.select("token", *[F.col(c).alias(f"q_{c}") for c in ("node", "meta", "cap", "label", "more")])
+    met = (left.join(right, "token").filter((F.col("node") < F.col("q_node")) & (F.col("label") != F.col("q_label")))
+           .withColumns(unpacked("meta", "x_") | unpacked("q_meta", "y_")).withColumnsRenamed({"node": "a", "q_node": "b", "cap": "x_cap", "q_cap": "y_cap"}))
+    n, m = F.col("x_n"), F.col("y_n")
+    least = F.ceil(sim.num * (n + m) / (sim.num + sim.den))
+    need = F.greatest(F.least("x_l", "y_l"), least - F.greatest(past(sim, n, F.col("x_l")), past(sim, m, F.col("y_l"))))
+    room = F.least("x_pos", "y_pos") + 1 + F.least(F.col("x_cap") - F.col("x_pos") - 1, F.col("y_cap") - F.col("y_pos") - 1)
+    fits = (sim.den * F.least(n, m) >= sim.num * F.greatest(n, m)) & (room >= least) & (F.least("more", "q_more") >= need - 1)
+    pairs = met.filter(fits).select("a", "b", need.alias("need")).distinct()
+    tokens = left.groupBy("node").agg(F.collect_list("token").alias("tokens"))
+    both = (pairs.join(tokens.withColumnsRenamed({"node": "a", "tokens": "x"}), "a").join(tokens.withColumnsRenamed({"node": "b", "tokens": "y"}), "b"))
+    return both.filter(F.size(F.array_intersect("x", "y")) >= F.col("need")).select("a", "b")
+
+
 def classes_with_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, bits: int = 18,
                             most_l: int = 8, verify_cost: float = 8.0, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): rows has doc_id, rk, s1, s2, n; classes has s1, s2, n,
@@ -260,16 +288,8 @@ def classes_with_components(docs: DataFrame, k: int = 4, num: int = 85, den: int
     stars = cut(candidates(meets, sim))
     linked = cut(similar(stars, classes, docs, sim, broadcast_rows))
     first_labels = cut(components(linked))
-    # lists that still join several components, compared across them
-    labelled = shared.select("token", "node", "meta", "cap").join(first_labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    token = Window.partitionBy("token")
-    left = cut(labelled.withColumns({"lo": F.min("label").over(token), "hi": F.max("label").over(token)}).filter("lo <> hi").drop("lo", "hi"))
-    right = left.select("token", *[F.col(c).alias(f"q_{c}") for c in ("node", "meta", "cap", "label")])
-    ordered = (F.col("node") < F.col("q_node")) & (F.col("label") != F.col("q_label"))
-    across = (left.join(right, "token").filter(ordered).withColumns(unpacked("meta", "x_") | unpacked("q_meta", "y_"))
-              .withColumnsRenamed({"node": "a", "q_node": "b", "cap": "x_cap", "q_cap": "y_cap"}))
-    rest = candidates(across, sim).join(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    more = similar(cut(rest), classes, docs, sim, broadcast_rows)
+    rest = cut(across(shared, first_labels, sim).join(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"))
+    more = similar(rest, classes, docs, sim, broadcast_rows)
     labels = components(cut(linked.unionByName(more)))
     named = classes.select("node", "s1", "s2", "n", "rep_doc", "rep_rk").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     top = named.groupBy("label").agg(F.min("rep_doc").alias("component_id"), F.min_by("rep_rk", F.coalesce("rep_doc", F.lit((1 << 63) - 1))).alias("keep_rk"))
