@@ -243,7 +243,7 @@ def shared_postings(classes: DataFrame, sim: Similarity) -> DataFrame:
     return ranked.withColumns({"holders": F.count(F.lit(1)).over(whole), **head}).filter("holders > 1").drop("holders", "common")
 
 
-def across(shared: DataFrame, labels: DataFrame, sim: Similarity) -> DataFrame:
+def across(shared: DataFrame, labels: DataFrame, sim: Similarity, long: int = 64) -> DataFrame:
     """Candidate pairs (a, b) of classes in different components.
 
     Only lists that join several components matter, and they hold all that
@@ -252,19 +252,24 @@ def across(shared: DataFrame, labels: DataFrame, sim: Similarity) -> DataFrame:
     class's own list, rarest first: this prefix filter keeps long lists out of
     the join.  Every class also carries 128 bits, each the parity of its tokens
     that fall there: of x and y tokens with d differing bits at most
-    (x + y - d) / 2 are shared (bitmap filter).  What a pair shares is then
-    counted on the classes' lists."""
+    (x + y - d) / 2 are shared (bitmap filter).  A
+    pair that meets in several long lists (``long`` holders or more) is taken
+    from the first alone: a posting there carries its class's earlier tokens of
+    long lists.  What a pair shares is then counted on the classes' lists."""
     labelled = shared.select("token", "node", "meta", "cap").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     token = Window.partitionBy("token")
     open_lists = (labelled.withColumns({"lo": F.min("label").over(token), "hi": F.max("label").over(token), "holders": F.count(F.lit(1)).over(token)})
                   .filter("lo <> hi").drop("lo", "hi"))
-    rarest_first = Window.partitionBy("node").orderBy(F.desc("holders"), F.desc("token"))
     own = Window.partitionBy("node")
-    left = cut(open_lists.withColumns({"more": F.row_number().over(rarest_first) - 1,  # rarer ones have more after them
+    rarest_last = own.orderBy(F.desc("holders"), F.desc("token"))
+    in_long = F.when(F.col("holders") >= long, F.col("token"))
+    earlier = F.collect_list(in_long).over(own.orderBy("holders", "token").rowsBetween(Window.unboundedPreceding, -1))
+    left = cut(open_lists.withColumns({"earlier": F.when(F.col("holders") >= long, earlier),
+                                       "more": F.row_number().over(rarest_last) - 1,  # rarer ones have more after them
                                        "size": F.count(F.lit(1)).over(own),
                                        "bits0": F.bit_xor(F.expr("if(token & 64 = 0, shiftleft(1L, cast(token & 63 AS int)), 0L)")).over(own),
                                        "bits1": F.bit_xor(F.expr("if(token & 64 = 0, 0L, shiftleft(1L, cast(token & 63 AS int)))")).over(own)}).drop("holders"))
-    right = left.select("token", *[F.col(c).alias(f"q_{c}") for c in ("node", "meta", "cap", "label", "more", "size", "bits0", "bits1")])
+    right = left.select("token", *[F.col(c).alias(f"q_{c}") for c in ("node", "meta", "cap", "label", "more", "size", "bits0", "bits1", "earlier")])
     met = (left.join(right, "token").filter((F.col("node") < F.col("q_node")) & (F.col("label") != F.col("q_label")))
            .withColumns(unpacked("meta", "x_") | unpacked("q_meta", "y_")).withColumnsRenamed({"node": "a", "q_node": "b", "cap": "x_cap", "q_cap": "y_cap"}))
     n, m = F.col("x_n"), F.col("y_n")
@@ -273,7 +278,7 @@ def across(shared: DataFrame, labels: DataFrame, sim: Similarity) -> DataFrame:
     room = F.least("x_pos", "y_pos") + 1 + F.least(F.col("x_cap") - F.col("x_pos") - 1, F.col("y_cap") - F.col("y_pos") - 1)
     fits = (sim.den * F.least(n, m) >= sim.num * F.greatest(n, m)) & (room >= least) & (F.least("more", "q_more") >= need - 1)
     differ = F.bit_count(F.col("bits0").bitwiseXOR(F.col("q_bits0"))) + F.bit_count(F.col("bits1").bitwiseXOR(F.col("q_bits1")))
-    fits = fits & (F.col("size") + F.col("q_size") - differ >= 2 * need)
+    fits = fits & (F.col("size") + F.col("q_size") - differ >= 2 * need) & ~F.coalesce(F.arrays_overlap("earlier", "q_earlier"), F.lit(False))
     pairs = met.filter(fits).select("a", "b", need.alias("need")).distinct()
     tokens = left.groupBy("node").agg(F.collect_list("token").alias("tokens"))
     both = (pairs.join(tokens.withColumnsRenamed({"node": "a", "tokens": "x"}), "a").join(tokens.withColumnsRenamed({"node": "b", "tokens": "y"}), "b"))
