@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specgrade.llm.common import whole_text
@@ -170,12 +170,13 @@ def blocks(texts: list[str], most: int = 4 << 20):
         yield first, len(texts)
 
 
-HELD_OUT = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+def held_out() -> Column:
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
 def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 4000) -> dict:
     """Fit the chain on a bounded sample, collected to the driver."""
-    usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~HELD_OUT).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)  # the bound
     picked = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), "doc_id")
 
@@ -216,4 +217,4 @@ def classify(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame, train_docs: int = 4000, threshold: float = 0.3) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted."""
     model = learn(docs, labels, train_docs)
-    return classify(docs.select("doc_id", "text"), model, threshold).select("doc_id", HELD_OUT.alias("held_out"), "score", "predicted")
+    return classify(docs.select("doc_id", "text"), model, threshold).select("doc_id", held_out().alias("held_out"), "score", "predicted")
