@@ -69,14 +69,14 @@ def parse_blogs(spark, input_path: str, output_path: str, min_len: int = 1000, m
     return C.ingest_stats(stats, "file", F.col("_kept"))
 
 
-def find_blog_pairs(spark, input_path: str, output_path: str, max_size: int = 1000, max_pairs: int = 25,
+def find_blog_pairs(spark, input_path: str, output_path: str, max_size: int | None = None, max_pairs: int = 25,
                     lo: float = 0.40, hi: float = 0.50, min_words: int | None = None,
                     max_words: int | None = None, distinct: bool = True, seed: int = 0, dim: int = 256) -> DataFrame:
     """raw_blogs -> pairs (blog_1_id, blog_2_id, texts, similarity): word
-    filter, first ``max_size`` texts by id, positional ids, embeddings,
+    filter, all texts (or the first ``max_size`` by id), positional ids, embeddings,
     sampled candidates, band, (distinct) pairs."""
     blogs = C.filter_word_band(read_table(spark, input_path).select("id", "text"), min_words, max_words)
-    first = C.take_first(blogs, max_size, ["id"])
+    first = blogs if max_size is None else C.take_first(blogs, max_size, ["id"])
     numbered = C.assign_row_number(first, ["id"], out="vec_id", start=0)
     emb = FE.embed_text(numbered, "text", dim)
     find = P.find_pairs_distinct if distinct else P.find_pairs
@@ -177,7 +177,7 @@ def main(argv=None):
     ap.add_argument("--responses", help="offline response table for model steps")
     ap.add_argument("--min-len", type=int, default=1000)
     ap.add_argument("--max-len", type=int, default=2000)
-    ap.add_argument("--max-size", type=int, default=1000)
+    ap.add_argument("--max-size", type=int, default=None)
     ap.add_argument("--max-pairs", type=int, default=25)
     ap.add_argument("--band", type=float, nargs=2, default=(0.40, 0.50))
     ap.add_argument("--sizes", default="7,15,23,31,39")

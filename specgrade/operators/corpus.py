@@ -21,10 +21,14 @@ def with_text_length(df: DataFrame, text: str = "text", out: str = "text_length"
     return df.withColumn(out, char_length(normalize_text(text)))
 
 
-def filter_length_band(df: DataFrame, min_len: int = 0, max_len: int = 1_000_000,
+def in_band(length, min_len: int, max_len: int | None):
+    return length >= min_len if max_len is None else length.between(min_len, max_len)
+
+
+def filter_length_band(df: DataFrame, min_len: int = 0, max_len: int | None = None,
                        length_col: str = "text_length") -> DataFrame:
-    """F8: inclusive band on a length column."""
-    return df.filter(F.col(length_col).between(min_len, max_len))
+    """F8: inclusive band on a length column; without ``max_len`` no text is too long."""
+    return df.filter(in_band(F.col(length_col), min_len, max_len))
 
 
 def require_nonempty(df: DataFrame, *cols: str) -> DataFrame:
@@ -35,7 +39,7 @@ def require_nonempty(df: DataFrame, *cols: str) -> DataFrame:
     return df.filter(cond)
 
 
-def parse_corpus(df: DataFrame, min_len: int = 0, max_len: int = 1_000_000,
+def parse_corpus(df: DataFrame, min_len: int = 0, max_len: int | None = None,
                  url: str = "url", text: str = "text") -> DataFrame:
     """raw corpus rows -> raw_blogs rows.
 
@@ -51,7 +55,7 @@ def parse_corpus(df: DataFrame, min_len: int = 0, max_len: int = 1_000_000,
                      & (F.coalesce(F.col(text), F.lit("")) != ""))
              .withColumn("_sg_norm", norm)
              .withColumn("text_length", char_length("_sg_norm"))
-             .filter(F.col("text_length").between(min_len, max_len)))
+             .filter(in_band(F.col("text_length"), min_len, max_len)))
     out = classify_blog_url(out, url, "_sg_reason").filter(F.col("_sg_reason").isNotNull())
     return out.select(F.col("id").cast("string").alias("id"), F.col(url).alias("url"),
                       F.col("created").cast("string").alias("created"),

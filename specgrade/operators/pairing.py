@@ -336,6 +336,7 @@ def _topk_scorer(qids: np.ndarray, qmat: np.ndarray, k: int, exclude_self: bool)
                 scores[np.isnan(scores)] = -np.inf
                 if exclude_self:
                     scores[qids[:, None] == ids[None, :]] = -np.inf
+                scores = _canonical(scores, qmat, mat, k)
                 blk_s, blk_i = _top_cols(scores, ids, k)
                 best_s, best_i = _top_cols(np.hstack([best_s, blk_s]), np.hstack([best_i, blk_i]), k)
         rows, cols = np.nonzero(np.isfinite(best_s))
@@ -345,6 +346,23 @@ def _topk_scorer(qids: np.ndarray, qmat: np.ndarray, k: int, exclude_self: bool)
     return run
 
 
+def _canonical(scores: np.ndarray, qmat: np.ndarray, mat: np.ndarray, k: int) -> np.ndarray:
+    """Scores that do not depend on the block layout.  A matrix product rounds
+    differently from tile to tile, so it only tells which columns can be among
+    a query's k best (within its rounding error); those are scored anew by a
+    sum in the order of the dimensions, all others drop out."""
+    m, d = scores.shape[1], mat.shape[1]
+    kth = np.partition(scores, m - k, axis=1)[:, m - k] if m > k else np.full(len(scores), -np.inf)
+    scale = np.abs(qmat).max(initial=0.0) * np.abs(mat).max(initial=0.0)
+    qi, cj = np.nonzero((scores >= kth[:, None] - d * d * scale * 2.0 ** -50) & (scores > -np.inf))
+    exact = np.zeros(len(qi))
+    for t in range(d):
+        exact += qmat[qi, t] * mat[cj, t]
+    out = np.full(scores.shape, -np.inf)
+    out[qi, cj] = exact
+    return out
+
+
 def _top_cols(s: np.ndarray, ids: np.ndarray, k: int):
     """Per row (query) of the score matrix ``s`` (q x m), the k best columns
     by (score desc, id asc), as q x k scores and ids.  ``ids`` is one id per

@@ -55,7 +55,7 @@ def blog_domain_semi(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url")
     host = U.url_host("url")
     doms = (pages.filter(host.startswith("blog."))
-                 .select(F.substring(host, 6, 1 << 20).alias("domain")).distinct())
+                 .select(F.regexp_replace(host, r"^blog\.", "").alias("domain")).distinct())
     return U.blog_domain_semi(pages, doms, key="page_id")
 
 

@@ -12,11 +12,8 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, spread over the cores when it is small (see
-    ``sources.layout.spread_if_small``); large tables keep their scan splits."""
-    from specgrade.sources.layout import spread_if_small
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return spread_if_small(spark.read.parquet(path), path)
+    """A driver table, in its own scan splits at every size."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def corpus_with_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

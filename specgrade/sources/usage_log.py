@@ -16,7 +16,7 @@ def parse_usage_line(value="value") -> Column:
     return F.when(ok & tokens.isNotNull(), F.struct(
         F.try_to_timestamp(F.get(parts, 0), F.lit("yyyy-MM-dd HH:mm:ss")).alias("ts"),
         F.get(parts, 1).alias("provider"), F.get(parts, 2).alias("model"), tokens.alias("tokens"),
-        F.when(F.size(parts) >= 5, F.array_join(F.slice(parts, 5, 1 << 20), " | ")).alias("metadata")))
+        F.when(F.size(parts) >= 5, F.array_join(F.slice(parts, F.lit(5), F.greatest(F.size(parts) - 4, F.lit(0))), " | ")).alias("metadata")))
 
 
 def parse_usage(df: DataFrame, value: str = "value") -> DataFrame:

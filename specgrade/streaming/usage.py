@@ -37,7 +37,7 @@ def usage_totals_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoi
 
 
 def classify_stream(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
-                    min_len: int = 0, max_len: int = 1_000_000):
+                    min_len: int = 0, max_len: int | None = None):
     """the corpus filter (F10) on JSON-lines files as they arrive;
     stateless, appended to Parquet with exactly-once file-sink semantics."""
     raw = (spark.readStream.schema(CORPUS_SCHEMA).option("mode", "PERMISSIVE")
