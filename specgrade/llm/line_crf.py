@@ -157,7 +157,7 @@ def document_scores(texts: list[str], model: dict) -> np.ndarray:
     return np.add.reduceat(marginal * lengths, at) / np.add.reduceat(lengths, at)
 
 
-def blocks(texts: list[str], most: int = 4 << 20):
+def blocks(texts: list[str], most: int = 1 << 19):
     """Runs of texts of about ``most`` characters, so that the arrays over a
     batch's bytes stay small; a longer text is a run of its own."""
     first, chars = 0, 0

@@ -80,7 +80,7 @@ def shingle_sets(texts: list[str], k: int) -> Iterator[np.ndarray]:
             yield np.unique(_mixed(h + np.uint64(k)))
 
 
-def text_blocks(texts: list[str], most: int = 2 << 20) -> Iterator[list[str]]:
+def text_blocks(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
     """Runs of texts of about ``most`` characters: bounded arrays over bytes."""
     run, chars = [], 0
     for t in texts:
