@@ -26,6 +26,12 @@ def mix(a, b, seed: int = 0) -> Column:
     return F.pmod(h2 * 16807 + h1, F.lit(P))
 
 
+def mix62(a, b, seed: int = 0) -> Column:
+    """Two mixes side by side: a pseudo-random bigint in [0, P^2), wide enough
+    to draw from more than 2^31 rows."""
+    return mix(a, b, seed) * F.lit(P) + mix(b, a, seed + 1)
+
+
 def mix_sql(a: str, b: str, seed: int = 0) -> str:
     """The same function as DuckDB SQL text (for oracles)."""
     def pm(x):
@@ -33,3 +39,8 @@ def mix_sql(a: str, b: str, seed: int = 0) -> str:
     h1 = pm(f"{pm(a)} * 48271 + {pm(b)} * 69621 + {seed % P}")
     h2 = f"(({h1}) * ({h1}) + 12345) % {P}"
     return f"((({h2}) * 16807 + {h1}) % {P})"
+
+
+def mix62_sql(a: str, b: str, seed: int = 0) -> str:
+    """``mix62`` as DuckDB SQL text (for oracles)."""
+    return f"({mix_sql(a, b, seed)} * {P} + {mix_sql(b, a, seed + 1)})"

@@ -5,8 +5,9 @@ portable hash sample of at most ``k`` partners per row (the reference's own
 rule: score <= 50 random later rows), generated per row with array
 functions and resolved with equi-joins.  Exact top-k search scores the corpus
 against a *bounded* batch of query vectors shipped to each task (checked
-size, looped beyond it); each task keeps one running exact top-k per query,
-so only ``queries x k x tasks`` rows are shuffled.  Greedy one-to-one
+size); each task keeps one running exact top-k per query, so only
+``queries x k x tasks`` rows are shuffled.  Beyond that size queries meet
+blocks of the corpus in an equi-join, pruned by an exact bound.  Greedy one-to-one
 matching runs as rounds of locally dominant edges, checkpointed each round.
 Finders with a pair limit work on a growing prefix of the scan order (the
 first matches depend only on the edges before them), and bounded id lists
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specgrade.functions.hashing import mix
+from specgrade.functions.hashing import mix62
 from specgrade.operators.joins import broadcast_limit, restrict_to_keys  # noqa: F401
 from specgrade.session import ensure_checkpoint_dir
 
@@ -30,9 +31,10 @@ DEFAULT_K = 50          # candidates scored per row
 DEFAULT_MAX_PAIRS = 25  # pairs requested
 DISSIMILAR_BAND = (0.40, 0.50)
 
-EXACT_LIMIT = 200       # rows with at most this many later rows are sampled exactly
-QUERY_BATCH = 1 << 17   # query vectors per batch in knn(), further capped by MAX_BATCH_BYTES
+QUERY_BATCH = 1 << 17   # query vectors collected at most in knn(), further capped by MAX_BATCH_BYTES
 MAX_BATCH_BYTES = 64 << 20
+CELLS = 256             # pivots of a search beyond one batch
+BLOCK_ROWS = 4096       # rows of a corpus block and of a query slice there
 
 
 def _c(c) -> Column:
@@ -57,28 +59,27 @@ def dot(u, v) -> Column:
                        F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
-def candidate_ids(i, n, k: int = DEFAULT_K, seed: int = 0, exact_limit: int = EXACT_LIMIT) -> Column:
-    """P5: array of up to ``k`` distinct partners j > i (ids dense 0..n-1), in
-    the order a scan would visit them.
+def _idiv(a: Column, b: int) -> Column:
+    """Integer division in bigint (no detour over double)."""
+    return F.call_function("div", a, F.lit(b).cast("bigint"))
 
-    m = n-1-i later rows.  m <= exact_limit: all later rows sorted by a seeded
-    hash, first k (exact sample without replacement).  Larger m: 2k hashed
-    draws i+1+h(i,r) mod m, first k distinct ones; O(k) per row, so the
-    whole candidate set is O(k n) and never materialises n^2 ids.
-    """
+
+def candidate_ids(i, n, k: int = DEFAULT_K, seed: int = 0) -> Column:
+    """P5: array of exactly min(k, m) distinct partners j > i (ids dense
+    0..n-1), in the order a scan would visit them; m = n-1-i later rows.
+
+    The later rows are cut into k strata of (nearly) equal width, and every
+    stratum gives one seeded 62-bit draw; the draws' hashes order the scan.
+    With at most k later rows every stratum holds at most one row, so all of
+    them are taken: one rule at every size, O(k) per row."""
     i_, n_ = _c(i).cast("bigint"), _c(n).cast("bigint")
     m = n_ - i_ - 1
-    later = F.sequence(i_ + 1, F.greatest(n_ - 1, i_ + 1))
-    exact = F.transform(
-        F.slice(F.array_sort(F.transform(later, lambda j: F.struct(mix(i_, j, seed).alias("h"), j.alias("j")))),
-                1, k),
-        lambda s: s["j"])
-    draws = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(2 * k - 1).cast("bigint")),
-                        lambda r: i_ + 1 + F.pmod(mix(i_, r + F.lit(1 << 20), seed), F.greatest(m, F.lit(1))))
-    drawn = F.slice(F.array_distinct(draws), 1, k)
-    return (F.when(m <= 0, F.array().cast("array<bigint>"))
-             .when(m <= exact_limit, exact)
-             .otherwise(drawn))
+    strata = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")), lambda r: F.struct(
+        mix62(i_, r, seed).alias("h"), _idiv(r * m, k).alias("lo"),
+        (_idiv((r + 1) * m, k) - _idiv(r * m, k)).alias("width")))
+    draws = F.transform(F.filter(strata, lambda s: s["width"] > 0), lambda s: F.struct(
+        s["h"].alias("h"), (i_ + 1 + s["lo"] + F.pmod(s["h"], s["width"])).alias("j")))
+    return F.transform(F.array_sort(draws), lambda s: s["j"])
 
 
 def sampled_candidates(vectors: DataFrame, id_col: str = "vec_id", k: int = DEFAULT_K,
@@ -123,15 +124,19 @@ def band_pairs(edges: DataFrame, lo: float, hi: float, sim: str = "similarity")
 
 
 def find_pairs(vectors: DataFrame, lo: float = DISSIMILAR_BAND[0], hi: float = DISSIMILAR_BAND[1],
-               max_pairs: int = DEFAULT_MAX_PAIRS, k: int = DEFAULT_K, seed: int = 0,
+               max_pairs: int | None = DEFAULT_MAX_PAIRS, k: int = DEFAULT_K, seed: int = 0,
                id_col: str = "vec_id", vec: str = "embedding", dense: bool = True,
                first_rows: int = 4096) -> DataFrame:
     """P6 (non-distinct): in-band sampled candidates in scan order (i, rank),
-    first ``max_pairs`` (a top-n, no global sort).
+    first ``max_pairs`` (a top-n, no global sort); all of them with None.
 
     Only a growing prefix of rows is sampled and scored (``first_rows``, x4
     per pass): the first in-band edges in scan order come from the first
     rows, so the pass that yields ``max_pairs`` of them is exact."""
+    if max_pairs is None:
+        edges = score_edges(sampled_candidates(vectors, id_col, k, seed, dense), vectors, id_col, vec)
+        return band_pairs(edges, lo, hi).select(F.col("i").alias("blog_1_id"), F.col("j").alias("blog_2_id"), "similarity")
+
     def run(v, col):
         ensure_checkpoint_dir(v.sparkSession)
         n = v.count()
@@ -406,15 +411,16 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", v
         exclude_self: bool = False, normalize: bool = True, batch: int = QUERY_BATCH) -> DataFrame:
     """Exact top-k neighbours by inner product, (query_id, id, score, rank).
 
-    Query vectors travel to the tasks in batches whose byte size is checked
-    against MAX_BATCH_BYTES; each task scores its corpus partition with one
-    matrix product and emits only a local top-k per query, and a window with
-    rank <= k (window-group-limit) merges them.  Batches beyond the first
-    are separate passes, so the broadcast never grows with the data.
+    Queries that provably fit one batch (rows, and bytes against
+    MAX_BATCH_BYTES) travel to the tasks; each task scores its corpus
+    partition with one matrix product and emits only a local top-k per query,
+    and a window with rank <= k (window-group-limit) merges them.  More
+    queries than that stay on the executors and meet the corpus cell by cell
+    (``_knn_cells``).
 
-    A separate corpus is checkpointed only when the queries need more than
-    one batch, i.e. more than one pass over it: a search whose queries fit
-    one batch reads the corpus once and writes nothing.  An all-vs-all
+    A separate corpus is checkpointed only when the queries exceed one
+    batch: a search whose queries fit reads the corpus once and writes
+    nothing.  An all-vs-all
     search (queries are the corpus) is read by several jobs, so its vectors
     are always written once.
     """
@@ -438,22 +444,91 @@ def _per_batch(st, batch: int) -> int:
 
 
 def knn_prepared(q: DataFrame, c: DataFrame, k: int, exclude_self: bool = False,
-                 batch: int = QUERY_BATCH, stats=None) -> DataFrame:
+                 batch: int = QUERY_BATCH, stats=None, cells: int = CELLS, block: int = BLOCK_ROWS) -> DataFrame:
     """P9 on prepared (_id, _v) frames (see prepare_vectors)."""
     spark = c.sparkSession
     st = stats if stats is not None else _query_stats(q)
     if not st["n"]:
         return spark.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
-    per_batch = _per_batch(st, batch)
-    bounds = [(st["lo"], st["hi"])] if st["n"] <= per_batch else _batch_bounds(q, per_batch)
-    results = []
-    for lo, hi in bounds:
-        pdf = q.filter((F.col("_id") >= lo) & (F.col("_id") <= hi)).orderBy("_id").toPandas()  # bounded batch
-        results.append(_score_batch(c, pdf, k, exclude_self))
-    allc = results[0]
-    for r in results[1:]:
-        allc = allc.unionByName(r)
-    return _merge_topk(allc, k)
+    if st["n"] > _per_batch(st, batch):
+        return _knn_cells(q, c, k, exclude_self, st["n"], cells, block)
+    pdf = q.orderBy("_id").toPandas()  # one batch, its size checked above
+    return _merge_topk(_score_batch(c, pdf, k, exclude_self), k)
+
+
+def _knn_cells(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, n_queries: int, cells: int,
+               block: int) -> DataFrame:
+    """P9 for query sets of any size: exact, and no vector but the pivots
+    passes through the driver.
+
+    The ``cells`` vectors of smallest id hash are pivots; every corpus vector
+    x goes to its nearest pivot p, and a cell's radius R bounds |x - p|, so
+    q.x <= q.p + |q| R for all of the cell.  A query first meets one block of
+    the cell nearest to it, which bounds its k-th score from below, and then
+    only the cells that this bound cannot rule out.  Cells are cut into blocks
+    of about ``block`` rows and queries into slices alike, so one group never
+    holds more than a block and a slice, however many vectors are equal."""
+    spark = c.sparkSession
+    ensure_checkpoint_dir(spark)
+    picked = c.orderBy(F.xxhash64("_id"), "_id").limit(cells).toPandas()  # <= cells rows
+    if picked.empty:
+        return spark.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
+    pivots = np.stack(picked["_v"].to_numpy()).astype(np.float64)
+
+    def assign(batches):
+        for pdf in batches:
+            if len(pdf):
+                m = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
+                cell = np.argmax(m @ pivots.T - (pivots ** 2).sum(axis=1) / 2, axis=1)
+                yield pdf.assign(cell=cell.astype(np.int32), far=np.sqrt(((m - pivots[cell]) ** 2).sum(axis=1)))
+    placed = c.mapInPandas(assign, "_id bigint, _v array<double>, cell int, far double").checkpoint()
+    stats = placed.groupBy("cell").agg(F.max("far").alias("radius"),
+                                       F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    known = stats.toPandas().sort_values("cell")  # <= cells rows
+    at, radius, blocks = (known[x].to_numpy() for x in ("cell", "radius", "blocks"))
+    corpus = (placed.join(F.broadcast(stats.select("cell", "blocks")), "cell")
+              .select("_id", "_v", "cell", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int").alias("blk")))
+    slices = -(-n_queries // block)
+    asked = q.withColumn("slice", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(slices)).cast("int"))
+
+    def route(first: bool):
+        def run(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                m = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
+                near = m @ pivots[at].T
+                if first:
+                    best = np.argmax(near, axis=1)
+                    yield pdf.assign(cell=at[best].astype(np.int32), blk=(pdf["_id"].to_numpy() % blocks[best]).astype(np.int32))
+                    continue
+                most = near + np.sqrt((m ** 2).sum(axis=1))[:, None] * radius
+                floor = pdf["floor"].fillna(-np.inf).to_numpy()
+                row, col = np.nonzero(most >= (floor - 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0))))[:, None])
+                times = blocks[col]
+                blk = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                out = pdf.drop(columns=["floor"]).iloc[np.repeat(row, times)]
+                yield out.assign(cell=np.repeat(at[col], times).astype(np.int32), blk=blk.astype(np.int32))
+        return run
+
+    def score(asks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(asks) and len(held):
+            qmat = np.stack(asks["_v"].to_numpy()).astype(np.float64)
+            found = list(_topk_scorer(asks["_id"].to_numpy(dtype=np.int64), qmat, k, exclude_self)([held[["_id", "_v"]]]))
+        return found[0] if found else pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+
+    def meet(asks: DataFrame) -> DataFrame:
+        keys = asks.select("cell", "blk", F.col("slice").alias("part")).distinct()
+        held = corpus.join(keys, ["cell", "blk"]).select("_id", "_v", *[F.col(x).alias(f"h_{x}") for x in ("cell", "blk", "part")])
+        return (asks.groupBy("cell", "blk", "slice").cogroup(held.groupBy("h_cell", "h_blk", "h_part"))
+                .applyInPandas(score, "query_id bigint, id bigint, score double"))
+
+    routed = "_id bigint, _v array<double>, slice int, cell int, blk int"
+    start = meet(asked.mapInPandas(route(True), routed).checkpoint())
+    floors = start.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+    bounded = asked.join(floors.withColumnRenamed("query_id", "_id"), "_id", "left")
+    return _merge_topk(meet(bounded.mapInPandas(route(False), routed).checkpoint()), k)
 
 
 def _score_batch(c: DataFrame, pdf, k: int, exclude_self: bool) -> DataFrame:
@@ -469,23 +544,14 @@ def _merge_topk(local: DataFrame, k: int) -> DataFrame:
     return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _batch_bounds(q: DataFrame, per_batch: int) -> list[tuple[int, int]]:
-    """Id ranges holding at most ``per_batch`` queries each, from a numbering
-    of the query ids (one small aggregate per batch boundary)."""
-    from specgrade.operators.corpus import assign_row_number
-    numbered = assign_row_number(q.select("_id"), ["_id"], out="_rn", start=0)
-    b = numbered.groupBy(F.floor(F.col("_rn") / per_batch).alias("_b")).agg(
-        F.min("_id").alias("lo"), F.max("_id").alias("hi")).orderBy("_b")
-    return [(r["lo"], r["hi"]) for r in b.collect()]
-
-
 def knn_pairs_distinct(vectors: DataFrame, k: int = 10, lo: float = 0.70, hi: float = 0.80,
-                       max_pairs: int = DEFAULT_MAX_PAIRS, id_col: str = "vec_id", vec: str = "embedding",
+                       max_pairs: int | None = DEFAULT_MAX_PAIRS, id_col: str = "vec_id", vec: str = "embedding",
                        first_batch: int = 256, batch: int = QUERY_BATCH,
                        materialize: bool = False) -> DataFrame:
     """Rows scanned in id order; each free row takes its first free
     neighbour (among its k-1 nearest, self excluded) whose cosine is in
-    [lo, hi]; stop at ``max_pairs``.
+    [lo, hi]; stop at ``max_pairs``.  With None all rows are searched
+    (``knn``) and matched in rounds, nothing passing through the driver.
 
     Pairs found among the first rows can never be displaced by later rows,
     so only a growing prefix of query ids is searched: the next 256, 512,
@@ -499,6 +565,13 @@ def knn_pairs_distinct(vectors: DataFrame, k: int = 10, lo: float = 0.70, hi: fl
     from an expensive plan (they are then checkpointed once).
     """
     spark = vectors.sparkSession
+    if max_pairs is None:
+        near = knn(vectors, vectors, k - 1, id_col, vec, exclude_self=True, batch=batch)
+        edges = band_pairs(near.select(F.col("query_id").alias("i"), F.col("id").alias("j"), "rank",
+                                       F.col("score").alias("similarity")), lo, hi)
+        m = greedy_matching(edges, "i", "j", ["i", "rank"])
+        return m.select(F.col("i").alias("blog_1_id"), F.col("j").alias("blog_2_id"),
+                        F.round("similarity", 3).alias("similarity"))
     prepared = prepare_vectors(vectors, id_col, vec, True, materialize=materialize)
     ids = vectors.select(F.col(id_col).cast("bigint").alias("_id")).filter(F.col("_id").isNotNull())
     cap = None  # batch size bound, from the dimension of the first batch

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from specgrade.functions.hashing import mix_sql
+from specgrade.functions.hashing import mix62_sql
 from specgrade.operators import joins as J
 from specgrade.operators import pairing as P
 from specgrade.plans.registry import query
 from specgrade.plans.tables import table
 
 K = P.DEFAULT_K
-EX = P.EXACT_LIMIT
 
 _NORM = "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))"
 
@@ -25,19 +24,11 @@ def l2_norm(spark, sf):
 
 CANDIDATES_SQL = f"""
   (WITH nn AS (SELECT count(*) AS n FROM embeddings),
-   ids AS (SELECT vec_id AS i, n - 1 - vec_id AS m, n FROM embeddings, nn),
-   exact AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY h, j) AS rank
-             FROM (SELECT i, j, {mix_sql('i', 'j')} AS h
-                   FROM ids, LATERAL (SELECT unnest(generate_series(i + 1, n - 1)) AS j)
-                   WHERE m > 0 AND m <= {EX})),
-   drawn AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY r0) AS rank
-             FROM (SELECT i, j, min(r) AS r0
-                   FROM (SELECT i, r, i + 1 + {mix_sql('i', 'r + 1048576')} % m AS j
-                         FROM ids, LATERAL (SELECT unnest(generate_series(0, {2 * K - 1})) AS r)
-                         WHERE m > {EX})
-                   GROUP BY i, j))
-   SELECT i, j, rank FROM exact WHERE rank <= {K}
-   UNION ALL SELECT i, j, rank FROM drawn WHERE rank <= {K})
+   ids AS (SELECT vec_id AS i, n - 1 - vec_id AS m FROM embeddings, nn),
+   strata AS (SELECT i, {mix62_sql('i', 'r')} AS h, (r * m) // {K} AS lo, ((r + 1) * m) // {K} - (r * m) // {K} AS width
+              FROM ids, LATERAL (SELECT unnest(generate_series(0, {K - 1})) AS r) WHERE m > 0),
+   draws AS (SELECT i, i + 1 + lo + h % width AS j, h FROM strata WHERE width > 0)
+   SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY h, j) AS rank FROM draws)
 """
 
 SCORED_SQL = f"""
@@ -78,6 +69,14 @@ def find_pairs(spark, sf):
     return P.find_pairs(table(spark, sf, "embeddings"), 0.40, 0.50, 25, K)
 
 
+@query("find_pairs_all", f"""
+SELECT i AS blog_1_id, j AS blog_2_id, similarity FROM {SCORED_SQL} WHERE similarity BETWEEN 0.20 AND 0.50
+""", round_cols=('similarity',))
+def find_pairs_all(spark, sf):
+    """P6 without a limit: every in-band candidate."""
+    return P.find_pairs(table(spark, sf, "embeddings"), 0.20, 0.50, None, K)
+
+
 def greedy_sql(edges_sql: str, limit: int | None) -> str:
     """Sequential greedy matching as a recursive walk over priority-numbered edges."""
     lim = f"LIMIT {limit}" if limit else ""
@@ -123,6 +122,13 @@ def distinct_pairs_all(spark, sf):
     return P.find_pairs_distinct(e, 0.40, 0.50, None, K)
 
 
+@query("distinct_pairs_wide", greedy_sql(f"(SELECT * FROM {SCORED_SQL} WHERE similarity BETWEEN 0.05 AND 0.50)", 25))
+def distinct_pairs_wide(spark, sf):
+    """P7 over a wide band, where edges conflict and the limit binds, in
+    growing prefixes of 8, 32, ... rows."""
+    return P.find_pairs_distinct(table(spark, sf, "embeddings"), 0.05, 0.50, 25, K, first_rows=8)
+
+
 @query("pair_stats", f"""
 SELECT count(*) AS n_pairs, min(similarity) AS min_similarity, max(similarity) AS max_similarity,
        avg(similarity) AS mean_similarity FROM ({_DISTINCT})
@@ -132,6 +138,15 @@ def pair_stats(spark, sf):
     return P.pair_stats(P.find_pairs_distinct(table(spark, sf, "embeddings"), 0.40, 0.50, 25, K))
 
 
+@query("pair_stats_all", f"""
+SELECT count(*) AS n_pairs, min(similarity) AS min_similarity, max(similarity) AS max_similarity,
+       avg(similarity) AS mean_similarity FROM {SCORED_SQL} WHERE similarity BETWEEN 0.20 AND 0.50
+""", round_cols=('min_similarity', 'max_similarity', 'mean_similarity'))
+def pair_stats_all(spark, sf):
+    """P12 over every in-band candidate."""
+    return P.pair_stats(P.find_pairs(table(spark, sf, "embeddings"), 0.20, 0.50, None, K))
+
+
 _ALLSCORES = """
   (SELECT a.vec_id AS query_id, b.vec_id AS id,
           list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score
@@ -150,6 +165,18 @@ def knn_top10(spark, sf):
     return P.knn(e, e, 10, exclude_self=True)
 
 
+@query("knn_cells", f"""
+SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {_ALLSCORES})
+WHERE rank <= 3
+""", round_cols=('score',))
+def knn_cells(spark, sf):
+    """P9 by the path of more queries than one batch holds: cells and blocks."""
+    e = table(spark, sf, "embeddings")
+    v = P.prepare_vectors(e)
+    return P.knn_prepared(v, v, 3, exclude_self=True, batch=1, cells=16, block=128)
+
+
 @query("semantic_search", """
 SELECT id, round(score, 3) AS score, substr(d.text, 1, 200) AS preview FROM (
   SELECT b.vec_id AS id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score
@@ -178,3 +205,9 @@ _KNN_EDGES = f"""
 def knn_pairs(spark, sf):
     """Top-10 search per row (self dropped), 0.30-0.40 band, 25 disjoint pairs."""
     return P.knn_pairs_distinct(table(spark, sf, "embeddings"), k=10, lo=0.30, hi=0.40, max_pairs=25)
+
+
+@query("knn_pairs_all", greedy_sql(_KNN_EDGES, None))
+def knn_pairs_all(spark, sf):
+    """P11 without a limit: the whole matching of in-band neighbours."""
+    return P.knn_pairs_distinct(table(spark, sf, "embeddings"), k=10, lo=0.30, hi=0.40, max_pairs=None)

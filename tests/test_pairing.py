@@ -149,9 +149,9 @@ def test_distinct_pairs_prefix_passes_equal_one_pass(spark, dense):
     assert a == b and len(a) == 5
 
 
-@pytest.mark.parametrize("dense,max_pairs", [(True, 4), (False, 4), (True, 12)])
+@pytest.mark.parametrize("dense,max_pairs", [(True, 4), (False, 4), (True, 40)])
 def test_find_pairs_prefix_passes_equal_one_pass(spark, dense, max_pairs):
-    """Early stop (4 of the 7 in-band edges) and the exhaustive case (12
+    """Early stop (4 of the in-band edges) and the exhaustive case (40
     requested, the prefix grows over all rows) both equal one pass."""
     from pyspark.sql import functions as F
     e = spark.read.parquet(f"{SF01}/embeddings.parquet")
@@ -160,7 +160,8 @@ def test_find_pairs_prefix_passes_equal_one_pass(spark, dense, max_pairs):
     kw = dict(lo=0.40, hi=0.50, max_pairs=max_pairs, k=50, dense=dense)
     a = [tuple(r) for r in P.find_pairs(e, first_rows=1, **kw).orderBy("blog_1_id", "blog_2_id").collect()]
     b = [tuple(r) for r in P.find_pairs(e, first_rows=1 << 30, **kw).orderBy("blog_1_id", "blog_2_id").collect()]
-    assert a == b and len(a) == min(max_pairs, 7)
+    every = P.find_pairs(e, **(kw | {"max_pairs": None})).count()  # as many as the sampler's draws put in the band
+    assert a == b and 0 < every and len(a) == min(max_pairs, every)
 
 
 def test_knn_pairs_batches_and_materialize_agree(spark):
@@ -236,3 +237,44 @@ def test_scorer_duplicates_tie_by_id_at_block_scale():
         want = [i for _, i in sorted(cand)[:k]]
         got = out[out["query_id"] == ids[qi]].sort_values(["score", "id"], ascending=[False, True])["id"].tolist()
         assert got[:k] == want, int(ids[qi])
+
+
+def test_sampler_takes_exactly_min_k_m(spark):
+    n = 3000
+    ids = spark.range(n).select(F.col("id").alias("vec_id"))
+    rows = P.sampled_candidates(ids, "vec_id", 50, seed=3).groupBy("i").agg(
+        F.count("j").alias("c"), F.count_distinct("j").alias("d"), F.min("j").alias("lo"), F.max("j").alias("hi"),
+        F.max("rank").alias("r")).collect()
+    assert len(rows) == n - 1
+    for r in rows:
+        assert r.c == r.d == r.r == min(50, n - 1 - r.i) and r.i < r.lo and r.hi < n
+
+
+def test_sampler_reaches_beyond_31_bits(spark):
+    n = 6 * 10 ** 9
+    got = spark.range(200).select("id", F.explode(P.candidate_ids("id", F.lit(n), 50)).alias("j"))
+    r = got.agg(F.max("j").alias("hi"), F.min("j").alias("lo"), F.count_distinct("id", "j").alias("d"),
+                F.count_if(F.col("j") > n // 2).alias("upper")).first()
+    assert r.d == 200 * 50 and 200 * 20 < r.upper < 200 * 30
+    assert n - n // 50 < r.hi < n and r.lo > 0
+
+
+def test_cell_search_equals_brute_force_at_any_partitioning(spark):
+    """A third of the vectors are equal; cells, blocks and slices are small."""
+    import numpy as np
+    rng = np.random.default_rng(8)
+    m = rng.integers(-4, 5, size=(240, 6)).astype(float)  # integers: scores are exact
+    m[rng.permutation(240)[:80]] = m[0]
+    ids = rng.permutation(5000)[:240]
+    want = []
+    for a in range(240):
+        s = m @ m[a]
+        order = sorted((-s[b], int(ids[b])) for b in range(240) if b != a)[:5]
+        want += [(int(ids[a]), i, -x, r + 1) for r, (x, i) in enumerate(order)]
+    e = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, m)], "_id long, _v array<double>")
+    for parts in (1, 8, 64):
+        c = e.repartition(parts)
+        got = P.knn_prepared(c, c, 5, exclude_self=True, batch=10, cells=7, block=16)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want), parts
+    few = P.knn_prepared(e, e.limit(3), 5, batch=10, cells=7, block=16)
+    assert few.count() == 240 * 3
