@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from specgrade.functions import lists as L
 from specgrade.functions import scoring as S
-from specgrade.functions.text import char_length
+from specgrade.functions.text import char_length, py_strip
 from specgrade.operators import inference as I
 from specgrade.operators import joins as J
 
@@ -28,8 +28,8 @@ TEMPLATES = {
                 "Constraints:\n{constraints}\n\nText:\n{content}",
     "replace": "Main Task: {main_task}\nReplace every satisfied constraint with a new one and keep the others.\n\n"
                "Constraints:\n{constraints}\n\nVerdicts:\n{results}",
-    "revise": "Revise the article so it meets the constraints (1-{n}).\n\nOriginal Article\n{content}\n\n{constraints}",
-    "pairwise": "Story A:\n{story_a}\n\nStory B:\n{story_b}\n",
+    "revise": "Rewrite this text until all {n} requirements hold.\n\nText:\n{content}\n\nRequirements:\n{constraints}",
+    "pairwise": "First text (A)\n{story_a}\n\nSecond text (B)\n{story_b}",
     "legacy_eval": "Story:\n{story}\n\nThere are {count} constraints:\n{constraints}",
 }
 PAIRWISE_SYSTEM = ("Compare stories A and B on Grammar, Coherence and Likability; rate each out of 5 "
@@ -70,11 +70,15 @@ def constraints_requests(df: DataFrame, key: str = "instruction_number", content
 
 
 def constraints_results(df: DataFrame, responses: DataFrame, key: str = "instruction_number",
-                        model: str = "default", lenient: bool = False) -> DataFrame:
+                        model: str = "default", lenient: bool = False, content: str = "merged_blog") -> DataFrame:
+    """``instruction`` is the content the constraints were drawn from.
+    B7 tables (``lenient``) also carry the two source texts, as blog1 and blog2."""
     r = I.attach_responses(df, responses, key, "_resp", F.lit(None).cast("string"))
     parsed = L.with_task_split(r, "_resp", "_p", lenient=lenient)
     parsed = parsed.withColumn("_p", F.when(F.col("_resp").isNotNull(), F.col("_p")))
-    out = parsed.select(key, F.lit("Extract constraints").alias("instruction"),
+    sources = [F.col(f"blog_{i}_text").alias(f"blog{i}") for i in (1, 2) if f"blog_{i}_text" in df.columns]
+    instruction = F.col(content) if content in df.columns else F.lit(None).cast("string")
+    out = parsed.select(key, instruction.alias("instruction"), *sources,
                         F.coalesce(F.col("_p.main_task"), F.lit("")).alias("main_task"),
                         F.coalesce(F.col("_p.constraints"), F.lit("")).alias("constraints"),
                         "tokens_used", "error")
@@ -121,7 +125,7 @@ def fit_requests(constraints: DataFrame, base: DataFrame, key: str = "instructio
 def fit_results(constraints: DataFrame, base: DataFrame, responses: DataFrame, key: str = "instruction_number",
                 constraint_col: str = "constraints", base_col: str = "base_content", model: str = "default",
                 dedupe_right: bool = True, response_key: str | None = None) -> DataFrame:
-    """B9; ``response_key`` names a per-row request key when the constraint
+    """B9; a failed row has an empty text and 0 constraints.  ``response_key`` names a per-row request key when the constraint
     side has several rows per key (buckets)."""
     j = J.join_constraints_base(constraints, base, key, dedupe_right)
     j = j.withColumns({"main_task": J.resolve_column(j, "main_task"),
@@ -130,7 +134,7 @@ def fit_results(constraints: DataFrame, base: DataFrame, responses: DataFrame, k
     r = I.attach_responses(j, responses, rk, "fitted_content", F.lit(""))
     out = r.select(key, *([rk] if rk != key else []), "main_task", F.col("_cons").alias("constraints"), F.col("_base").alias("base_content"),
                    "fitted_content", char_length("fitted_content").alias("fitted_length"),
-                   L.count_numbered("_cons").cast("int").alias("num_constraints"),
+                   F.when(F.col("error").isNull(), L.count_numbered("_cons").cast("int")).otherwise(0).alias("num_constraints"),
                    *_subset_size(j), "tokens_used", "error")
     return I.stamp_output(out, model)
 
@@ -164,16 +168,19 @@ def revise_results(df: DataFrame, responses: DataFrame, key: str, base_col: str,
     """Revised text; rows with an empty base were never requested and
     keep an empty output without an error."""
     r = I.attach_responses(df, responses, key, "revised_content", F.lit(""))
-    empty = F.length(F.trim(F.coalesce(F.col(base_col), F.lit("")))) == 0
+    empty = py_strip(F.coalesce(F.col(base_col), F.lit(""))) == ""
     return I.stamp_output(r.withColumn("error", F.when(empty, F.lit(None)).otherwise(F.col("error"))), model)
 
 
 def revise_requests(df: DataFrame, key: str, base_col: str, cons_col: str, n: int = 23,
                     model: str = "default") -> DataFrame:
-    """Rows with an empty base get no request (their output is empty)."""
-    src = df.filter(F.length(F.trim(F.coalesce(F.col(base_col), F.lit("")))) > 0).withColumn(
-        "_top", L.take_constraints(L.parse_numbered_inline(cons_col), n))
-    return I.build_requests(src.withColumn("_n", F.lit(str(n))), "revise", key, TEMPLATES["revise"],
+    """Rows with a blank base get no request (their output is empty).  The
+    prompt names as many constraints as it lists, ``n`` at most."""
+    src = df.filter(py_strip(F.coalesce(F.col(base_col), F.lit(""))) != "").withColumn(
+        "_items", L.parse_numbered_inline(cons_col))
+    src = src.withColumns({"_top": L.take_constraints("_items", n),
+                           "_n": F.coalesce(F.least(F.size("_items"), F.lit(n)), F.lit(0)).cast("string")})
+    return I.build_requests(src, "revise", key, TEMPLATES["revise"],
                             {"content": base_col, "constraints": "_top", "n": "_n"}, model=model)
 
 
@@ -208,11 +215,12 @@ def evaluate_requests(df: DataFrame, key: str, content_col: str = "fitted_conten
 def evaluate_results(df: DataFrame, responses: DataFrame, key: str, constraints_col: str = "constraints",
                      model: str = "default") -> DataFrame:
     """Verdict text -> num_satisfied (A1), total (A3), rate (A4); a failed row
-    keeps the total, has rate null and the error text (Q4)."""
-    r = I.attach_responses(df, responses, key, "satisfaction_results", F.lit(None).cast("string"))
+    keeps the total, has 0 satisfied, an empty verdict text, a null rate and
+    the error text (Q4)."""
+    r = I.attach_responses(df, responses, key, "satisfaction_results", F.lit(""))
     total = (F.col("subset_size").cast("bigint") if "subset_size" in df.columns
              else L.count_numbered(constraints_col))
-    out = r.withColumns({"num_satisfied": F.when(F.col("error").isNull(), S.count_yes("satisfaction_results")),
+    out = r.withColumns({"num_satisfied": F.when(F.col("error").isNull(), S.count_yes("satisfaction_results")).otherwise(0),
                          "total_constraints": total})
     out = out.withColumn("satisfaction_rate", F.when(F.col("error").isNull(),
                                                      S.satisfaction_rate("num_satisfied", "total_constraints")))
@@ -232,10 +240,20 @@ def replace_requests(constraints: DataFrame, base: DataFrame, evaluation: DataFr
 
 def replace_results(df: DataFrame, responses: DataFrame, key: str = "instruction_number",
                     model: str = "default") -> DataFrame:
+    """The revised task and list beside the original list and the base
+    (where ``df`` has them); a failed row keeps its task and gets an empty
+    list."""
     r = I.attach_responses(df, responses, key, "_resp", F.lit(None).cast("string"))
     p = L.with_task_split(r, "_resp", "_p", markers=("Constraints:", "Revised Constraints:"))
-    return I.stamp_output(p.withColumn("revised_constraints", F.coalesce(F.col("_p.constraints"), F.lit("")))
-                           .drop("_resp", "_p"), model)
+    revised_task = F.coalesce(F.col("_p.main_task"), F.lit(""))
+    task = F.when(F.col("error").isNull(), revised_task)
+    if "main_task" in df.columns:
+        task = task.otherwise(F.col("main_task"))
+    out = p.withColumns({"main_task": task, "revised_constraints": F.when(
+        F.col("error").isNull(), F.coalesce(F.col("_p.constraints"), F.lit(""))).otherwise("")})
+    if "constraints" in df.columns:
+        out = out.withColumnRenamed("constraints", "original_constraints")
+    return I.stamp_output(out.drop("_resp", "_p"), model)
 
 
 def check_replacement(original: DataFrame, revised: DataFrame, verdicts: DataFrame,

@@ -230,7 +230,7 @@ _CONS_SPLIT = f"list_filter(string_split({_ITEMS.replace('constraints', 'c.const
 
 @query("evaluate_stage", f"""
 SELECT c.instruction_number,
-       CASE WHEN c.instruction_number % 10 = 0 THEN NULL
+       CASE WHEN c.instruction_number % 10 = 0 THEN 0
             ELSE CAST(len(list_filter(regexp_extract_all(s.satisfaction_results, '(?m)^\\s*[0-9]+\\.\\s*(Yes|No)\\b', 1), lambda x: x = 'Yes')) AS BIGINT) END AS num_satisfied,
        CAST(len(regexp_extract_all(c.constraints, '(?m)^[0-9]+\\.')) AS BIGINT) AS total_constraints,
        CASE WHEN c.instruction_number % 10 = 0 THEN NULL
@@ -238,6 +238,7 @@ SELECT c.instruction_number,
             THEN len(list_filter(regexp_extract_all(s.satisfaction_results, '(?m)^\\s*[0-9]+\\.\\s*(Yes|No)\\b', 1), lambda x: x = 'Yes'))
                  / len(regexp_extract_all(c.constraints, '(?m)^[0-9]+\\.'))
             ELSE 0.0 END AS satisfaction_rate,
+       CASE WHEN c.instruction_number % 10 = 0 THEN '' ELSE s.satisfaction_results END AS satisfaction_results,
        CASE WHEN c.instruction_number % 10 = 0 THEN 'Timeout' END AS error
 FROM {CONSTRAINTS_TEXT} c JOIN {SATISFACTION_TEXT} s ON s.instruction_number = c.instruction_number
 """)
@@ -252,4 +253,5 @@ def evaluate_stage(spark, sf):
                     F.lit(0).cast("bigint").alias("input_tokens"), F.lit(0).cast("bigint").alias("output_tokens"),
                     F.when(F.col("instruction_number") % 10 == 0, F.lit("Timeout")).alias("error"))
     ev = SG.evaluate_results(c, resp, "instruction_number")
-    return ev.select("instruction_number", "num_satisfied", "total_constraints", "satisfaction_rate", "error")
+    return ev.select("instruction_number", "num_satisfied", "total_constraints", "satisfaction_rate",
+                     "satisfaction_results", "error")

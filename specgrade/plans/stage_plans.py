@@ -96,19 +96,20 @@ _CONS = (f"coalesce(CASE WHEN {_POS} IS NULL OR {_POS} = 0 THEN '' ELSE array_to
 
 
 @query("constraints_stage", f"""
-SELECT instruction_number,
+SELECT r.instruction_number, d.text AS instruction,
        CASE WHEN failed THEN '' ELSE {_TASK} END AS main_task,
        CASE WHEN failed THEN '' ELSE {_CONS} END AS constraints,
        CASE WHEN failed THEN true ELSE {_CONS} = '' END AS empty_parse,
        CASE WHEN failed THEN 'Timeout' END AS error
-FROM (SELECT *, instruction_number % 11 = 0 AS failed FROM {TASK_RESPONSES})
+FROM (SELECT *, instruction_number % 11 = 0 AS failed FROM {TASK_RESPONSES}) r
+JOIN documents d ON d.doc_id = r.instruction_number
 """)
 def constraints_stage(spark, sf):
     """Generation responses parsed into task + constraints."""
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("instruction_number"),
                                                 F.col("text").alias("merged_blog"))
     out = SG.constraints_results(docs, _task_resp(spark, sf), "instruction_number")
-    return out.select("instruction_number", "main_task", "constraints", "empty_parse", "error")
+    return out.select("instruction_number", "instruction", "main_task", "constraints", "empty_parse", "error")
 
 
 def _lenient_sql():
@@ -118,21 +119,23 @@ def _lenient_sql():
     cons = (f"coalesce(CASE WHEN {LP._LPOS} IS NULL OR {LP._LPOS} = 0 THEN '' ELSE array_to_string(list_filter(({LP._LL})[{LP._LPOS} + 1:], "
             f"lambda x: x <> '' AND NOT {LP._TASK} AND NOT {LP._CONS}), chr(10)) END, '')")
     return f"""
-SELECT instruction_number, CASE WHEN failed THEN '' ELSE {task} END AS main_task,
+SELECT instruction_number, blog1, blog2, CASE WHEN failed THEN '' ELSE {task} END AS main_task,
        CASE WHEN failed THEN '' ELSE {cons} END AS constraints,
        CASE WHEN failed THEN true ELSE {cons} = '' END AS empty_parse,
        CASE WHEN failed THEN 'Timeout' END AS error
 FROM (SELECT instruction_number, replace(response, 'Main Task:', '**Main Task:**') AS response,
-             instruction_number % 11 = 0 AS failed FROM {TASK_RESPONSES})
+             instruction_number % 11 = 0 AS failed, d.text AS blog1, d.lang AS blog2
+      FROM {TASK_RESPONSES} t JOIN documents d ON d.doc_id = t.instruction_number)
 """
 
 
 @query("common_constraints_stage", _lenient_sql())
 def common_constraints_stage(spark, sf):
     """The lenient parser (T8) on '**Main Task:**' responses."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("instruction_number"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("instruction_number"),
+                                                F.col("text").alias("blog_1_text"), F.col("lang").alias("blog_2_text"))
     out = SG.constraints_results(docs, _task_resp(spark, sf, lenient=True), "instruction_number", lenient=True)
-    return out.select("instruction_number", "main_task", "constraints", "empty_parse", "error")
+    return out.select("instruction_number", "blog1", "blog2", "main_task", "constraints", "empty_parse", "error")
 
 
 # B8 ----------------------------------------------------------------------
@@ -193,7 +196,7 @@ _SEL = "coalesce(array_to_string(list_transform(items[1:size], lambda x, i: i ||
 @query("fit_stage", f"""
 SELECT b.instruction_number, CAST(least(size, len(items)) AS INTEGER) AS subset_size,
        CAST(CASE WHEN b.instruction_number % 17 = 0 THEN 0 ELSE length({_SEL} || chr(10) || chr(10) || d.text) END AS BIGINT) AS fitted_length,
-       CAST(len(regexp_extract_all({_SEL}, '(?m)^[0-9]+\\.')) AS INTEGER) AS num_constraints,
+       CAST(CASE WHEN b.instruction_number % 17 = 0 THEN 0 ELSE len(regexp_extract_all({_SEL}, '(?m)^[0-9]+\\.')) END AS INTEGER) AS num_constraints,
        CASE WHEN b.instruction_number % 17 = 0 THEN 'Timeout' END AS error
 FROM {_BUCKETS} b JOIN documents d ON d.doc_id = b.instruction_number
 """)
@@ -206,7 +209,8 @@ def fit_stage(spark, sf):
 @query("dq_fitted", f"""
 SELECT instruction_number, CAST(least(size, len(items)) AS INTEGER) AS subset_size, rule_id FROM (
   SELECT *, CASE WHEN instruction_number <= 0 THEN 'V7'
-                 WHEN len(regexp_extract_all({_SEL}, '(?m)^[0-9]+\\.')) <> least(size, len(items)) THEN 'V12'
+                 WHEN CASE WHEN instruction_number % 17 = 0 THEN 0 ELSE len(regexp_extract_all({_SEL}, '(?m)^[0-9]+\\.')) END
+                      <> least(size, len(items)) THEN 'V12'
                  WHEN instruction_number % 17 = 0 THEN 'V13' END AS rule_id
   FROM {_BUCKETS})
 WHERE rule_id IS NOT NULL
@@ -256,14 +260,14 @@ def _revise_sql():
 WITH c AS (SELECT * FROM {CONSTRAINTS_TEXT}),
 seg AS (SELECT * FROM {inline_segments_sql("c", "instruction_number", "constraints")}),
 top AS (SELECT instruction_number,
-               string_agg(CAST(pos + 1 AS VARCHAR) || '. ' || segment, chr(10) ORDER BY pos) AS top
+               string_agg(CAST(pos + 1 AS VARCHAR) || '. ' || segment, chr(10) ORDER BY pos) AS top, count(*) AS n
         FROM seg WHERE pos < 23 GROUP BY instruction_number)
 SELECT 'revise:' || CAST(c.instruction_number AS VARCHAR) || ':1' AS request_id,
        CAST(c.instruction_number AS BIGINT) AS key,
        CAST(length(replace(replace(replace('{tmpl}', '{{content}}', c.content),
-                                   '{{constraints}}', coalesce(top.top, '')), '{{n}}', '23')) AS BIGINT) AS prompt_length
+                                   '{{constraints}}', coalesce(top.top, '')), '{{n}}', CAST(coalesce(top.n, 0) AS VARCHAR))) AS BIGINT) AS prompt_length
 FROM c LEFT JOIN top ON top.instruction_number = c.instruction_number
-WHERE length(trim(coalesce(c.content, ''))) > 0
+WHERE length(trim(coalesce(c.content, ''), {WS})) > 0
 """
 
 
@@ -278,7 +282,7 @@ def revise_requests(spark, sf):
 
 # B14 ---------------------------------------------------------------------
 _RESP_REPLACE = f"""
-  (SELECT instruction_number, 'Main Task: ' || lang || chr(10) || 'Revised Constraints:' || chr(10) ||
+  (SELECT instruction_number, 'Main Task: new ' || lang || chr(10) || 'Revised Constraints:' || chr(10) ||
           coalesce(array_to_string(list_transform({DOC_LINES}, lambda x, i: i || '. ' ||
                    CASE WHEN length(x) % 2 = 0 THEN 'new ' || x ELSE x END), chr(10)), '') AS response
    FROM (SELECT doc_id AS instruction_number, lang, text FROM documents))
@@ -286,8 +290,13 @@ _RESP_REPLACE = f"""
 
 
 @query("replace_stage", f"""
-SELECT instruction_number, {_CONS.replace("starts_with(x, 'Constraints:')", "(starts_with(x, 'Constraints:') OR starts_with(x, 'Revised Constraints:'))")} AS revised_constraints
-FROM {_RESP_REPLACE}
+SELECT instruction_number, CASE WHEN failed THEN old_task ELSE new_task END AS main_task, old_constraints AS original_constraints,
+       CASE WHEN failed THEN '' ELSE revised_constraints END AS revised_constraints, base AS base_content,
+       CASE WHEN failed THEN 'Timeout' END AS error
+FROM (SELECT instruction_number, {_CONS.replace("starts_with(x, 'Constraints:')", "(starts_with(x, 'Constraints:') OR starts_with(x, 'Revised Constraints:'))")} AS revised_constraints,
+       r.instruction_number % 19 = 0 AS failed, d.lang AS old_task, c.constraints AS old_constraints, d.text AS base,
+       {_TASK} AS new_task
+FROM {_RESP_REPLACE} r JOIN {CONSTRAINTS_TEXT} c USING (instruction_number) JOIN documents d ON d.doc_id = instruction_number)
 """)
 def replace_stage(spark, sf):
     """Constraints x base x evaluation (J2), revised lists parsed with
@@ -302,10 +311,13 @@ def replace_stage(spark, sf):
     body = F.array_join(F.transform(items, lambda x, i: F.concat(
         (i + 1).cast("string"), F.lit(". "), F.when(F.length(x) % 2 == 0, F.concat(F.lit("new "), x)).otherwise(x))), "\n")
     answers = d.select(F.col("doc_id").alias("instruction_number"), F.concat(
-        F.lit("Main Task: "), F.col("lang"), F.lit("\nRevised Constraints:\n"), body).alias("text"))
-    resp = I.offline_responses(answers, "instruction_number", "text", stage="replace")
-    out = SG.replace_results(reqs.select(F.col("key").alias("instruction_number")), resp)
-    return out.select("instruction_number", "revised_constraints")
+        F.lit("Main Task: new "), F.col("lang"), F.lit("\nRevised Constraints:\n"), body).alias("text"),
+        F.when(F.col("doc_id") % 19 == 0, F.lit("Timeout")).alias("error"))
+    resp = I.offline_responses(answers, "instruction_number", "text", "error", stage="replace")
+    asked = c.join(base, "instruction_number").join(reqs.select(F.col("key").alias("instruction_number")), "instruction_number")
+    out = SG.replace_results(asked, resp)
+    return out.select("instruction_number", "main_task", "original_constraints", "revised_constraints", "base_content",
+                      "error")
 
 
 # B15 / A16 ---------------------------------------------------------------
