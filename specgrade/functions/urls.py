@@ -24,27 +24,39 @@ BLOG_DOMAINS = [
 ]
 # Path segments that mark a listing page rather than an article.
 BLOG_PATH_EXCLUDES = ["/category/", "/tag/", "/author/"]
+# Host labels and path segments of a blog.
+SUBDOMAIN_RE = r"(?U)(^|\.)blog\d*\."
+BLOG_PATH_RE = r"/(blog|blogs)(/|$)"
+# Schemes whose paths may carry parameters.
+PARAM_SCHEMES = ["ftp", "hdl", "prospero", "http", "https", "shttp", "rtsp", "rtsps", "rtspu", "sip", "sips", "mms", "sftp", "tel"]
 # ------------------------------------------------------------------------------
 
 SCHEME = r"[a-z][a-z0-9+.\-]*"
-HOST_RE = rf"^{SCHEME}://(?:[^/?#]*@)?([^/?#:]*)"
+HOST_RE = rf"^(?:{SCHEME}:)?//(?:[^/?#]*@)?([^/?#:]*)"
 PATH_RE = rf"^(?:{SCHEME}:)?(?://[^/?#]*)?([^?#]*)"
-SUBDOMAIN_RE = r"(?U)(^|\.)blog\d*\."
-BLOG_PATH_RE = r"/(blog|blogs)(/|$)"
+# A last path segment ends at ";" (its parameters) without a scheme or with one of these
+OTHER_SCHEME_RE = rf"^(?!(?:{'|'.join(PARAM_SCHEMES)}):){SCHEME}:"
+LEADING = "".join(map(chr, range(33)))  # blanks and control characters before a url
 
 
 def domain_regex(domains=BLOG_DOMAINS) -> str:
     return r"(?:^|\.)(?:%s)$" % "|".join(re.escape(d) for d in domains)
 
 
-def url_host(url) -> Column:
+def _plain(url) -> Column:
+    """Lower-cased url without leading blanks and without tabs and line ends."""
     u = F.lower(F.col(url) if isinstance(url, str) else url)
-    return F.regexp_extract(u, HOST_RE, 1)
+    return F.translate(F.ltrim(u, F.lit(LEADING)), "\t\r\n", "")
+
+
+def url_host(url) -> Column:
+    return F.regexp_extract(_plain(url), HOST_RE, 1)
 
 
 def url_path(url) -> Column:
-    u = F.lower(F.col(url) if isinstance(url, str) else url)
-    return F.regexp_extract(u, PATH_RE, 1)
+    u = _plain(url)
+    path = F.regexp_extract(u, PATH_RE, 1)
+    return F.when(u.rlike(OTHER_SCHEME_RE), path).otherwise(F.regexp_replace(path, ";[^/]*$", ""))
 
 
 def with_url_parts(df: DataFrame, url: str = "url") -> DataFrame:
@@ -75,10 +87,6 @@ def blog_reason_from(host: Column, path: Column, domains=BLOG_DOMAINS) -> Column
             .when(path.rlike(BLOG_PATH_RE) & ~excluded, F.lit("path")))
 
 
-def is_blog_url(url, domains=BLOG_DOMAINS) -> Column:
-    return F.coalesce(blog_reason(url, domains).isNotNull(), F.lit(False))
-
-
 def classify_blog_url(df: DataFrame, url: str = "url", out: str = "blog_reason") -> DataFrame:
     """add ``out`` (null when not a blog page).  Host and path are
     projected once, then every rule reads the columns."""

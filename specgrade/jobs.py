@@ -27,14 +27,18 @@ from specgrade.operators import stages as SG
 from specgrade.operators import stats as ST
 from specgrade.sources import corpus as SC
 
-INT_COLUMNS = ("instruction_number", "subset_size", "blog_1_id", "blog_2_id", "pair_id", "text_length",
-               "content_length", "fitted_length", "num_constraints", "tokens_used", "key", "attempt")
+INT_COLUMNS = ("instruction_number", "subset_size", "blog_1_id", "blog_2_id", "text_length",
+               "content_length", "fitted_length", "num_constraints", "num_satisfied", "total_constraints",
+               "merged_length", "summarized_length", "original_length", "tokens_used", "attempt")
+
+DOUBLE_COLUMNS = ("similarity", "satisfaction_rate", "compression_ratio")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".csv"):
         df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-        return df.withColumns({c: F.col(c).try_cast("bigint") for c in INT_COLUMNS if c in df.columns})
+        df = df.withColumns({c: F.col(c).try_cast("bigint") for c in INT_COLUMNS if c in df.columns})
+        return df.withColumns({c: F.col(c).try_cast("double") for c in DOUBLE_COLUMNS if c in df.columns})
     return spark.read.parquet(path)
 
 
@@ -44,29 +48,53 @@ def write_table(df: DataFrame, path: str) -> None:
 
 def with_row_key(df: DataFrame, key: str) -> tuple[DataFrame, str]:
     """Bucketed tables hold one row per (key, bucket); model calls are keyed
-    per row, so add ``row_key`` = key * 10^6 + subset_size there."""
+    per row, so add ``row_key`` = "key:subset_size" there."""
     if "subset_size" not in df.columns:
         return df, key
-    return df.withColumn("row_key", F.col(key) * 1_000_000 + F.col("subset_size")), "row_key"
+    return df.withColumn("row_key", F.concat_ws(":", F.col(key).cast("string"), F.col("subset_size").cast("string"))), "row_key"
+
+
+def _side_path(output_path: str, name: str) -> str:
+    return output_path.rstrip("/").removesuffix(".csv") + "." + name
 
 
-def _responses(spark, requests: DataFrame, chat_fn=None, responses_path: str | None = None) -> DataFrame:
+def _responses(spark, requests: DataFrame, output_path: str, chat_fn=None, responses_path: str | None = None,
+               max_attempts: int = 3) -> DataFrame:
+    """The stored answers to ``requests``.  Without an offline table the
+    requests are stored beside the output, and every distinct prompt is asked
+    once per attempt; each attempt's answers are appended to a table beside
+    the output before anything reads them.  A rerun asks only what that table
+    does not answer yet."""
     if responses_path:
         return read_table(spark, responses_path)
     if chat_fn is None:
         raise ValueError("a model step needs chat_fn or an offline responses table")
-    return I.infer(requests, chat_fn)
+    asked_at, answered_at = _side_path(output_path, "requests"), _side_path(output_path, "responses")
+    requests.write.mode("overwrite").parquet(asked_at)
+    asked = spark.read.parquet(asked_at)
+    prompts = I.by_prompt(asked)
+    for _ in range(max_attempts):
+        answered = SC.read_if_written(spark, answered_at)
+        todo = prompts if answered is None else I.retry_plan(prompts, answered, max_attempts)
+        if todo.isEmpty():
+            break
+        I.infer(todo, chat_fn, max_attempts=1).write.mode("append").parquet(answered_at)
+    answered = SC.read_if_written(spark, answered_at)
+    if answered is None:  # no request at all
+        answered = spark.createDataFrame([], I.RESPONSE_SCHEMA.replace("key bigint", "key string"))
+    return I.to_keys(asked, answered)
 
 
 def parse_blogs(spark, input_path: str, output_path: str, min_len: int = 1000, max_len: int = 2000,
                 glob: str = "*.jsonl") -> DataFrame:
     """Corpus dumps (JSON lines, optionally compressed) -> raw_blogs; returns
-    the per-file / total ingest counts."""
-    good, bad = SC.read_corpus_jsonl(spark, input_path, glob=glob)
+    the per-file / total counts of all lines, malformed ones too, and of kept
+    ones."""
+    good, _ = SC.read_corpus_jsonl(spark, input_path, glob=glob)
     write_table(C.parse_corpus(good, min_len, max_len), output_path)
-    norm_ok = C.parse_corpus(good, min_len, max_len).select("id").withColumn("_kept", F.lit(True))
-    stats = good.join(norm_ok, "id", "left").withColumn("_kept", F.coalesce("_kept", F.lit(False)))
-    return C.ingest_stats(stats, "file", F.col("_kept"))
+    every = SC.read_corpus_lines(spark, input_path, glob).withColumn("url", F.col("metadata.url"))
+    kept = F.col("_corrupt_record").isNull() & C.corpus_kept(min_len, max_len)
+    return C.ingest_stats(every, "file", kept)
 
 
 def find_blog_pairs(spark, input_path: str, output_path: str, max_size: int | None = None, max_pairs: int = 25,
@@ -89,11 +117,11 @@ def find_blog_pairs(spark, input_path: str, output_path: str, max_size: int | No
 def merge_blogs(spark, input_path: str, output_path: str, chat_fn=None, responses_path=None,
                 model: str = "default") -> DataFrame:
     pairs = read_table(spark, input_path).withColumn(
-        "pair_id", F.col("blog_1_id") * 1_000_000_000 + F.col("blog_2_id"))
+        "pair_id", F.concat_ws("-", F.col("blog_1_id").cast("string"), F.col("blog_2_id").cast("string")))
     reqs = SG.merge_requests(pairs, "pair_id", model)
-    merged = SG.merge_results(pairs, _responses(spark, reqs, chat_fn, responses_path), "pair_id", model)
+    merged = SG.merge_results(pairs, _responses(spark, reqs, output_path, chat_fn, responses_path), "pair_id", model)
     write_table(merged, output_path)
-    return ST.merge_summary(merged)
+    return ST.merge_summary(read_table(spark, output_path))
 
 
 def generate_constraints(spark, input_path: str, output_path: str, content_col: str = "merged_blog",
@@ -103,9 +131,10 @@ def generate_constraints(spark, input_path: str, output_path: str, content_col:
     if key not in df.columns:
         df = C.assign_row_number(df, ["pair_id"] if "pair_id" in df.columns else [content_col], out=key)
     reqs = SG.constraints_requests(df, key, content_col, model)
-    out = SG.constraints_results(df, _responses(spark, reqs, chat_fn, responses_path), key, model, lenient)
+    out = SG.constraints_results(df, _responses(spark, reqs, output_path, chat_fn, responses_path), key, model, lenient,
+                                 content_col)
     write_table(out, output_path)
-    return out.agg(F.count_if("empty_parse").alias("empty_parses"), F.count(F.lit(1)).alias("rows"))
+    return read_table(spark, output_path).agg(F.count_if(F.col("empty_parse").cast("boolean")).alias("empty_parses"), F.count(F.lit(1)).alias("rows"))
 
 
 def expand_constraint_buckets(spark, input_path: str, output_path: str, sizes="7,15,23,31,39",
@@ -120,7 +149,7 @@ def generate_base(spark, input_path: str, output_path: str, key: str = "instruct
                   task_col: str = "main_task", chat_fn=None, responses_path=None, model: str = "default") -> None:
     df = read_table(spark, input_path)
     reqs = SG.base_requests(df, key, task_col, dedupe=True, model=model)
-    write_table(SG.base_results(df, _responses(spark, reqs, chat_fn, responses_path), key, model), output_path)
+    write_table(SG.base_results(df, _responses(spark, reqs, output_path, chat_fn, responses_path), key, model), output_path)
 
 
 def _constraints_col(df: DataFrame, given: str | None) -> str:
@@ -137,7 +166,7 @@ def fit_constraints(spark, constraints_path: str, base_path: str, output_path: s
     cons, rk = with_row_key(cons, key)
     rk = None if rk == key else rk
     reqs = SG.fit_requests(cons, base, key, constraint_col, base_col, model, response_key=rk)
-    resp = _responses(spark, reqs, chat_fn, responses_path)
+    resp = _responses(spark, reqs, output_path, chat_fn, responses_path)
     write_table(SG.fit_results(cons, base, resp, key, constraint_col, base_col, model, response_key=rk), output_path)
 
 
@@ -147,9 +176,9 @@ def evaluate(spark, input_path: str, output_path: str, key: str = "instruction_n
     df, rk = with_row_key(read_table(spark, input_path), key)
     constraints_col = _constraints_col(df, constraints_col)
     reqs = SG.evaluate_requests(df, rk, content_col, constraints_col, model)
-    out = SG.evaluate_results(df, _responses(spark, reqs, chat_fn, responses_path), rk, constraints_col, model)
+    out = SG.evaluate_results(df, _responses(spark, reqs, output_path, chat_fn, responses_path), rk, constraints_col, model)
     write_table(out, output_path)
-    return ST.describe_rate(out)
+    return ST.describe_rate(read_table(spark, output_path))
 
 
 def summarize(spark, input_path: str, output_path: str, key: str = "instruction_number",
@@ -157,9 +186,9 @@ def summarize(spark, input_path: str, output_path: str, key: str = "instruction_
               responses_path=None, model: str = "default") -> DataFrame:
     df, rk = with_row_key(read_table(spark, input_path), key)
     reqs = SG.summarize_requests(df, rk, content_col, target_pct, model)
-    out = SG.summarize_results(df, _responses(spark, reqs, chat_fn, responses_path), rk, content_col, model)
+    out = SG.summarize_results(df, _responses(spark, reqs, output_path, chat_fn, responses_path), rk, content_col, model)
     write_table(out, output_path)
-    return ST.compression_summary(out, target_pct)
+    return ST.compression_summary(read_table(spark, output_path), target_pct)
 
 
 JOBS = {"parse_blogs": parse_blogs, "find_blog_pairs": find_blog_pairs, "merge_blogs": merge_blogs,

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from specgrade.functions.text import char_length, is_blank, normalize_text, word_count
-from specgrade.functions.urls import classify_blog_url
+from specgrade.functions.urls import blog_reason, classify_blog_url
 
 RAW_BLOG_COLUMNS = ["id", "url", "created", "added", "source", "text", "text_length"]
 
@@ -39,6 +39,13 @@ def require_nonempty(df: DataFrame, *cols: str) -> DataFrame:
     return df.filter(cond)
 
 
+def corpus_kept(min_len: int = 0, max_len: int | None = None, url: str = "url", text: str = "text") -> Column:
+    """F10's condition: a url of a blog page and a text of fitting length."""
+    present = (F.coalesce(F.col(url), F.lit("")) != "") & (F.coalesce(F.col(text), F.lit("")) != "")
+    return F.coalesce(present & in_band(char_length(normalize_text(text)), min_len, max_len)
+                      & blog_reason(url).isNotNull(), F.lit(False))
+
+
 def parse_corpus(df: DataFrame, min_len: int = 0, max_len: int | None = None,
                  url: str = "url", text: str = "text") -> DataFrame:
     """raw corpus rows -> raw_blogs rows.

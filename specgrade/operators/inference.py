@@ -16,8 +16,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specgrade.functions.text import char_length
-
 REQUEST_SCHEMA = ("request_id string, stage string, key bigint, attempt int, model string, "
                   "messages array<struct<role:string,content:string>>, prompt_hash string")
 RESPONSE_SCHEMA = ("request_id string, key bigint, attempt int, text string, input_tokens bigint, "
@@ -45,7 +43,7 @@ def build_requests(df: DataFrame, stage: str, key: str, user_template: str, valu
         sys_text = render(system_template, cols)
         msgs.insert(0, F.struct(F.lit("system").alias("role"), sys_text.alias("content")))
     rid = F.concat_ws(":", F.lit(stage), F.col(key).cast("string"), F.lit(str(attempt)))
-    return df.select(rid.alias("request_id"), F.lit(stage).alias("stage"), F.col(key).cast("bigint").alias("key"),
+    return df.select(rid.alias("request_id"), F.lit(stage).alias("stage"), F.col(key).alias("key"),
                      F.lit(attempt).alias("attempt"), F.lit(model).alias("model"), F.array(*msgs).alias("messages"),
                      F.sha2(F.concat_ws("\u0001", F.lit(model), sys_text, user), 256).alias("prompt_hash"))
 
@@ -65,6 +63,8 @@ def infer(requests: DataFrame, chat_fn: Callable, max_attempts: int = 3, retry_d
     for every request inside ``mapInPandas`` (one client per task, in-task
     retries, errors captured in the ``error`` column and never raised).
     Throughput scales with the number of partitions of ``requests``."""
+    schema = RESPONSE_SCHEMA.replace("key bigint", f"key {requests.schema['key'].dataType.simpleString()}")
+
     def run(batches):
         for pdf in batches:
             out = []
@@ -83,7 +83,7 @@ def infer(requests: DataFrame, chat_fn: Callable, max_attempts: int = 3, retry_d
                 out.append((r.request_id, r.key, r.attempt, text, int(itok or 0), int(otok or 0), err))
             yield pd.DataFrame(out, columns=["request_id", "key", "attempt", "text", "input_tokens",
                                              "output_tokens", "error"])
-    return requests.select("request_id", "key", "attempt", "model", "messages").mapInPandas(run, RESPONSE_SCHEMA)
+    return requests.select("request_id", "key", "attempt", "model", "messages").mapInPandas(run, schema)
 
 
 def normalize_usage(responses: DataFrame, total_col: str | None = None) -> DataFrame:
@@ -107,20 +107,29 @@ def latest_attempt(responses: DataFrame, key: str = "key") -> DataFrame:
                      .select(key, *[F.col("r." + c).alias(c) for c in cols]))
 
 
+def by_prompt(requests: DataFrame) -> DataFrame:
+    """One request per distinct prompt, keyed by its hash."""
+    return dedupe_requests(requests).withColumn("key", F.col("prompt_hash"))
+
+
+def to_keys(requests: DataFrame, responses: DataFrame) -> DataFrame:
+    """Responses keyed by prompt hash -> one for every request's own key."""
+    asked = requests.select("key", "prompt_hash").distinct()
+    return asked.join(responses.withColumnRenamed("key", "prompt_hash"), "prompt_hash").drop("prompt_hash")
+
+
 def retry_plan(requests: DataFrame, responses: DataFrame, max_attempts: int = 3) -> DataFrame:
     """Requests to (re)issue: keys never answered, and keys whose latest
     attempt failed while attempts remain; successes are excluded."""
-    last = latest_attempt(responses)
-    ok = last.filter(F.col("error").isNull()).select("key")
-    failed = last.filter(F.col("error").isNotNull() & (F.col("attempt") < max_attempts)).select(
-        "key", (F.col("attempt") + 1).alias("next_attempt"))
-    base = requests.join(ok, "key", "left_anti").join(last.select("key", F.col("attempt").alias("_last")), "key", "left")
-    base = base.filter(F.col("_last").isNull() | (F.col("_last") < max_attempts))
-    return (base.join(failed, "key", "left")
-                .withColumn("attempt", F.coalesce(F.col("next_attempt"), F.lit(1)).cast("int"))
-                .withColumn("request_id", F.concat_ws(":", F.col("stage"), F.col("key").cast("string"),
-                                                      F.col("attempt").cast("string")))
-                .drop("next_attempt", "_last"))
+    last = responses.groupBy("key").agg(
+        F.max("attempt").alias("_last"),
+        F.max_by(F.col("error").isNull(), F.col("attempt")).alias("_ok"))
+    due = requests.join(last, "key", "left").filter(
+        F.col("_last").isNull() | (~F.col("_ok") & (F.col("_last") < max_attempts)))
+    return (due.withColumn("attempt", F.coalesce(F.col("_last") + 1, F.lit(1)).cast("int"))
+               .withColumn("request_id", F.concat_ws(":", F.col("stage"), F.col("key").cast("string"),
+                                                     F.col("attempt").cast("string")))
+               .drop("_last", "_ok"))
 
 
 def attach_responses(df: DataFrame, responses: DataFrame, key: str, out: str, default: Column | None = None,
@@ -160,10 +169,6 @@ def stamp_output(df: DataFrame, model: str) -> DataFrame:
     return df.withColumns({"model_used": F.lit(model), "timestamp": F.current_timestamp()})
 
 
-def with_length(df: DataFrame, text: str, out: str) -> DataFrame:
-    return df.withColumn(out, char_length(F.coalesce(F.col(text), F.lit(""))))
-
-
 def stub_verdict_model(messages, model):
     """A deterministic offline model for tests and dry runs: answers one
     verdict line per numbered line of the last message ('n. Yes - stub' for
@@ -184,7 +189,7 @@ def offline_responses(df: DataFrame, key: str, text: str, error: str | None = No
     from specgrade.functions.text import word_count
     err = F.col(error) if error else F.lit(None).cast("string")
     return df.select(F.concat_ws(":", F.lit(stage), F.col(key).cast("string"), F.lit(str(attempt))).alias("request_id"),
-                     F.col(key).cast("bigint").alias("key"), F.lit(attempt).alias("attempt"),
+                     F.col(key).alias("key"), F.lit(attempt).alias("attempt"),
                      F.when(err.isNull(), F.col(text)).alias("text"), F.lit(0).cast("bigint").alias("input_tokens"),
                      F.when(err.isNull(), word_count(text)).otherwise(F.lit(0)).cast("bigint").alias("output_tokens"),
                      err.alias("error"))

@@ -60,11 +60,14 @@ def _suffixed_join(left: DataFrame, right: DataFrame, on: str, suffixes: tuple[s
 
 def dedupe_first(df: DataFrame, key: str, order: str | list[str]) -> DataFrame:
     """First row per key in ``order`` (explicit; input order does not
-    exist in a distributed table).  Skew-safe hash aggregate with min_by."""
+    exist in a distributed table).  Rows that ``order`` leaves tied go by
+    their other columns, left to right, so the row is the same on any
+    partitioning.  A partial aggregate leaves one row per key and task
+    before the shuffle."""
     order = [order] if isinstance(order, str) else order
     others = [c for c in df.columns if c != key]
-    ordkey = F.struct(*[F.col(c) for c in order]) if len(order) > 1 else F.col(order[0])
-    picked = df.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in others]), ordkey).alias("_sg_row"))
+    first = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order) if c != key], *[F.col(c) for c in others])
+    picked = df.groupBy(key).agg(F.min(first).alias("_sg_row"))
     return picked.select(key, *[F.col("_sg_row." + c).alias(c) for c in others]).select(*df.columns)
 
 

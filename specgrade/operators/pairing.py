@@ -396,11 +396,11 @@ def _top_cols(s: np.ndarray, ids: np.ndarray, k: int):
 
 def prepare_vectors(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
                     normalize: bool = True, materialize: bool = True) -> DataFrame:
-    """(_id, _v) with unit vectors.  With ``materialize`` it is written once
+    """(_id, _v) with unit vectors (P2: no zero vectors).  With ``materialize`` it is written once
     with a reliable checkpoint so repeated passes (query batches, rounds)
     never recompute the upstream plan (e.g. a feature pipeline)."""
     out = df.select(F.col(id_col).alias("_id"), (l2_normalize(vec) if normalize else _c(vec)).alias("_v"))
-    out = out.filter(F.col("_id").isNotNull() & F.col("_v").isNotNull())
+    out = out.filter(F.col("_id").isNotNull() & F.coalesce(F.exists("_v", lambda x: x != 0), F.lit(False)))
     if not materialize:
         return out
     ensure_checkpoint_dir(df.sparkSession)

@@ -198,3 +198,23 @@ def url_manifest(spark, sf):
     """Distinct non-blank urls with the file name a download would use."""
     from specgrade.sources.manifest import url_manifest as build
     return build(table(spark, sf, "pages").select("url")).select("url", "file_name")
+
+
+# Urls of every form the rules tell apart, around each page's id.
+_FORMS = ["https://u#.WordPress.com/2020/post", "//blog.example.org/x#", "http://example.org/blog;v=#", "  http://example.org/blogs/#",
+          "http://example.org/blog/category/#/x", "http://example.org/blog/tag/#", "http://example.org/blog/author/#",
+          "https://user:pw@blog2.example.org:8080/?q=#", "http://myblog.org/blogger/#", "http://example.org/a/b;blog/#",
+          "gopher://example.org/blog;#", "http://example.org/?u=/blog/#", "http://notwordpress.com/#"]
+_FORM_URL = ("CASE page_id % 14 " + " ".join(f"WHEN {i} THEN replace('{f}', '#', CAST(page_id AS VARCHAR(20)))" for i, f in enumerate(_FORMS))
+             + " ELSE url END")
+
+
+@query("url_forms", f"""
+SELECT page_id, host, path, {BLOG_REASON} AS reason
+FROM (SELECT page_id, {URL_PARTS} FROM (SELECT page_id, {_FORM_URL} AS url FROM pages))
+""")
+def url_forms(spark, sf):
+    """F1-F5 on urls of every form: each domain, subdomain, path and exclusion
+    rule fires, as do parameters, missing schemes and leading blanks."""
+    pages = table(spark, sf, "pages").select("page_id", F.expr(_FORM_URL.replace("VARCHAR(20)", "STRING")).alias("url"))
+    return U.classify_blog_url(U.with_url_parts(pages), "url", "reason").select("page_id", "host", "path", "reason")

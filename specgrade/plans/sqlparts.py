@@ -4,13 +4,30 @@ These are written independently of the Spark expressions on purpose: the
 oracle is a second implementation of the same rule, not a copy of the plan.
 """
 
-from specgrade.functions.urls import BLOG_DOMAINS
+from specgrade.functions.urls import BLOG_DOMAINS, PARAM_SCHEMES
 
 _DOM = "|".join(d.replace(".", r"\.") for d in BLOG_DOMAINS)
 
-URL_PARTS = r"""
-  regexp_extract(lower(url), '^[a-z][a-z0-9+.\-]*://(?:[^/?#]*@)?([^/?#:]*)', 1) AS host,
-  regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)', 1) AS path
+
+
+def _let(var: str, value: str, body: str) -> str:
+    """``body`` with ``var`` bound to ``value``, evaluated once."""
+    return f"list_transform([{value}], lambda {var}: {body})[1]"
+
+
+def _url_sql(body: str) -> str:
+    """Cuts a url at separators: scheme s_, rest r_, authority n_, path p_, its last segment l_."""
+    out = _let("l_", "string_split(p_, '/')[-1]", body)
+    out = _let("p_", "split_part(split_part(CASE WHEN n_ IS NULL THEN r_ ELSE substr(r_, 3 + length(n_)) END, '#', 1), '?', 1)", out)
+    out = _let("n_", "CASE WHEN starts_with(r_, '//') THEN split_part(split_part(split_part(substr(r_, 3), '/', 1), '?', 1), '#', 1) END", out)
+    out = _let("r_", "CASE WHEN s_ IS NULL THEN u_ ELSE substr(u_, length(s_) + 2) END", out)
+    out = _let("s_", "CASE WHEN contains(u_, ':') AND regexp_full_match(split_part(u_, ':', 1), '[a-z][a-z0-9+.-]*') THEN split_part(u_, ':', 1) END", out)
+    return _let("u_", "replace(replace(replace(ltrim(lower(url), ' ' || chr(9) || chr(10) || chr(13)), chr(9), ''), chr(10), ''), chr(13), '')", out)
+
+
+URL_PARTS = f"""
+  {_url_sql("CASE WHEN u_ IS NOT NULL THEN coalesce(split_part(string_split(n_, '@')[-1], ':', 1), '') END")} AS host,
+  {_url_sql(f"CASE WHEN s_ IS NULL OR s_ IN {tuple(PARAM_SCHEMES)} THEN left(p_, length(p_) - length(l_)) || split_part(l_, ';', 1) ELSE p_ END")} AS path
 """
 
 BLOG_REASON = rf"""
@@ -235,11 +252,11 @@ def _mixk(k: str) -> str:
 
 def hashed_tokens_sql(src: str, key: str, text: str, dim: int) -> str:
     """(key, tok, bucket): lower-cased text split on runs of characters
-    outside [a-z0-9_] (the tokenizer's pattern \\W+), each token's UTF-8 bytes
-    (ASCII here) hashed with MurmurHash3 x86_32 and reduced mod ``dim``."""
-    byte = "ascii(substr(tok, {i}, 1))::UBIGINT"
+    other than letters, marks, digits and connectors, each token's UTF-8 bytes
+    hashed with MurmurHash3 x86_32 and reduced mod ``dim``."""
+    byte = "CAST('0x' || substr(hx, 2 * ({i}) - 1, 2) AS UBIGINT)"
     block = " + ".join(f"({byte.format(i=f'4 * b + {j + 1}')} << {8 * j})" for j in range(4))
-    tail = " + ".join(f"(CASE WHEN len(tok) % 4 > {j} THEN {byte.format(i=f'4 * (len(tok) // 4) + {j + 1}')} "
+    tail = " + ".join(f"(CASE WHEN (len(hx) // 2) % 4 > {j} THEN {byte.format(i=f'4 * ((len(hx) // 2) // 4) + {j + 1}')} "
                       f"ELSE 0 END << {8 * j})" for j in range(3))
     step = _mul32(_rotl32("xor(h, k)", 13), 5)
     return f"""
@@ -247,11 +264,12 @@ def hashed_tokens_sql(src: str, key: str, text: str, dim: int) -> str:
     SELECT *, xor(h4, h4 >> 16) AS h5 FROM (
     SELECT *, {_mul32("xor(h3, h3 >> 13)", _M3_F2)} AS h4 FROM (
     SELECT *, {_mul32("xor(h2, h2 >> 16)", _M3_F1)} AS h3 FROM (
-    SELECT *, xor(xor(h1, {_mixk("t1")}), len(tok)::UBIGINT) AS h2 FROM (
-    SELECT {key}, tok,
-           list_reduce(list_transform(range(0, len(tok) // 4), lambda b: {_mixk(block)}),
+    SELECT *, xor(xor(h1, {_mixk("t1")}), (len(hx) // 2)::UBIGINT) AS h2 FROM (
+    SELECT {key}, tok, hx,
+           list_reduce(list_transform(range(0, (len(hx) // 2) // 4), lambda b: {_mixk(block)}),
                        lambda h, k: ({step} + {_M3_N}) % 4294967296, {_M3_SEED}::UBIGINT) AS h1,
            {tail} AS t1
-    FROM (SELECT {key}, unnest(list_filter(regexp_split_to_array(lower({text}), '[^a-z0-9_]+'),
-                                           lambda t: t <> '')) AS tok FROM {src}) s) a) b) c) d) e)
+    FROM (SELECT {key}, tok, hex(encode(tok)) AS hx
+          FROM (SELECT {key}, unnest(list_filter(regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{M}}\\p{{Nd}}\\p{{Pc}}]+'),
+                                                 lambda t: t <> '')) AS tok FROM {src}) w) s) a) b) c) d) e)
 """

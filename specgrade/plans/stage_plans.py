@@ -29,7 +29,7 @@ def _merge_stage(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     pairs = P.attach_pair_text(cand.select(F.col("i").alias("blog_1_id"), F.col("j").alias("blog_2_id"),
                                            "similarity"), docs, "doc_id")
-    pairs = pairs.withColumn("pair_id", F.col("blog_1_id") * 1000000 + F.col("blog_2_id"))
+    pairs = pairs.withColumn("pair_id", F.concat_ws("-", F.col("blog_1_id").cast("string"), F.col("blog_2_id").cast("string")))
     answers = pairs.select("pair_id", F.concat_ws("\n\n", F.coalesce("blog_1_text", F.lit("")),
                                                   F.coalesce("blog_2_text", F.lit(""))).alias("text"), F.when((F.col("blog_1_id") + F.col("blog_2_id")) % 4 == 0,
                                                   F.lit("Timeout")).alias("error"))
@@ -42,7 +42,7 @@ _MERGE_SQL = f"""
           CASE WHEN similarity BETWEEN 0.40 AND 0.50 THEN 'dissimilar' ELSE 'similar' END AS merge_type,
           CASE WHEN failed THEN '' ELSE coalesce(t1, '') || chr(10) || chr(10) || coalesce(t2, '') END AS merged_blog,
           CASE WHEN failed THEN 'Timeout' END AS error
-   FROM (SELECT c.i * 1000000 + c.j AS pair_id, c.i AS blog_1_id, c.j AS blog_2_id, c.similarity,
+   FROM (SELECT CAST(c.i AS VARCHAR) || '-' || CAST(c.j AS VARCHAR) AS pair_id, c.i AS blog_1_id, c.j AS blog_2_id, c.similarity,
                 d1.text AS t1, d2.text AS t2, (c.i + c.j) % 4 = 0 AS failed
          FROM {SCORED_SQL} c LEFT JOIN documents d1 ON d1.doc_id = c.i LEFT JOIN documents d2 ON d2.doc_id = c.j
          WHERE c.similarity BETWEEN 0.30 AND 0.50))
@@ -180,7 +180,7 @@ def base_requests(spark, sf):
 
 # B9 ----------------------------------------------------------------------
 def _fit_stage(spark, sf):
-    b = _bucketed(spark, sf).withColumn("request_key", F.col("instruction_number") * 100 + F.col("subset_size"))
+    b = _bucketed(spark, sf).withColumn("request_key", F.concat_ws(":", F.col("instruction_number").cast("string"), F.col("subset_size").cast("string")))
     base = table(spark, sf, "documents").select(F.col("doc_id").alias("instruction_number"),
                                                 F.col("text").alias("base_content"), F.col("lang").alias("main_task"))
     answers = (b.join(base.select("instruction_number", "base_content"), "instruction_number")

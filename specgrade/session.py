@@ -63,7 +63,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     d = checkpoint_dir(spark)
     if d is None:
         master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir is not set: configure a shared folder "
                                "(e.g. on the cluster file system) for iterative operators")
         d = tempfile.mkdtemp(prefix="specgrade-ckpt-", dir="/tmp")

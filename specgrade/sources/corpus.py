@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -17,16 +18,22 @@ CORPUS_SCHEMA = StructType([
 SUPPORTED_CODECS = ("gz", "bz2", "lz4", "snappy", "deflate")
 
 
+def read_corpus_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+    """Every line of a JSON-lines corpus with its file; a malformed line has
+    its text in ``_corrupt_record`` and nulls elsewhere."""
+    return (spark.read.schema(CORPUS_SCHEMA)
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+            .option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+            .json(path)
+            .withColumn("file", F.col("_metadata.file_path")))
+
+
 def read_corpus_jsonl(spark: SparkSession, path: str, glob: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
     """JSON-lines corpus (one file or a directory tree) with an explicit
     schema.  Returns (rows, bad_lines): malformed lines never fail the job,
     they land in the quarantine frame with their raw text and file.
     ``url`` is flattened from ``metadata.url``; ``file`` is the source path."""
-    df = (spark.read.schema(CORPUS_SCHEMA)
-          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-          .option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-          .json(path)
-          .withColumn("file", F.col("_metadata.file_path")))
+    df = read_corpus_lines(spark, path, glob)
     # a parsed column is kept next to the raw line: Spark refuses plans that
     # read only the corrupt-record column of a raw JSON scan
     keep_id = F.length(F.coalesce(F.col("id"), F.lit(""))) >= 0
@@ -40,14 +47,12 @@ def read_corpus_jsonl(spark: SparkSession, path: str, glob: str = "*.jsonl") ->
 def read_compressed_corpus(spark: SparkSession, path: str, suffix: str = "gz",
                            glob: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Compressed JSON-lines dumps read directly (no unpack step).  A
-    compressed file is one split, so the result is repartitioned by Spark's
-    default parallelism before heavy work.  zstd text is not available in
+    compressed file is one split: dumps are expected as many files.  zstd text is not available in
     this Spark build: fail early naming the supported codecs."""
     if suffix in ("zst", "zstd"):
         raise ValueError("zstd-compressed JSON is not readable by this Spark build; "
                          f"supported codecs: {', '.join(SUPPORTED_CODECS)}")
-    good, bad = read_corpus_jsonl(spark, path, glob=glob or f"*.json*.{suffix}")
-    return good.repartition(spark.sparkContext.defaultParallelism), bad
+    return read_corpus_jsonl(spark, path, glob=glob or f"*.json*.{suffix}")
 
 
 def read_stage_csv(spark: SparkSession, path: str, schema: StructType | str, empty_as_null: bool = True) -> DataFrame:
@@ -77,15 +82,23 @@ def resume_todo(src: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return src.join(done.select(key).distinct(), key, "left_anti")
 
 
+def read_if_written(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
+    """The table at ``path``, None where nothing is written yet; any other
+    failure to read is raised."""
+    try:
+        return spark.read.format(fmt).load(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def checkpointed_append(df: DataFrame, out_path: str, key: str, fmt: str = "parquet") -> DataFrame:
     """Append only the rows whose key is not yet in ``out_path``; a rerun
     after a crash resumes where the last committed batch ended."""
     spark = df.sparkSession
-    try:
-        done = spark.read.format(fmt).load(out_path)
-        todo = resume_todo(df, done, key)
-    except Exception:  # first run: nothing written yet
-        todo = df
+    done = read_if_written(spark, out_path, fmt)
+    todo = df if done is None else resume_todo(df, done, key)
     todo.write.mode("append").format(fmt).save(out_path)
     return spark.read.format(fmt).load(out_path)
 
@@ -101,11 +114,8 @@ def cached_features(df: DataFrame, key: str, compute, cache_path: str, fkey: str
     """Features partitioned by ``feature_key``; compute only rows missing
     for this key (left_anti), append them, return the full feature set."""
     spark = df.sparkSession
-    try:
-        cached = spark.read.parquet(cache_path).filter(F.col("feature_key") == fkey).drop("feature_key")
-        todo = df.join(cached.select(key), key, "left_anti")
-    except Exception:
-        todo = df
+    cached = read_if_written(spark, cache_path)
+    todo = df if cached is None else df.join(cached.filter(F.col("feature_key") == fkey).select(key), key, "left_anti")
     new = compute(todo).withColumn("feature_key", F.lit(fkey))
     new.write.mode("append").partitionBy("feature_key").parquet(cache_path)
     return spark.read.parquet(cache_path).filter(F.col("feature_key") == fkey).drop("feature_key")
