@@ -18,9 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+TOKEN_PATTERN = r"(?U)\W+"  # what parts tokens, in any script
+
+
 def embed_text(df: DataFrame, text: str = "text", dim: int = 256, out: str = "embedding") -> DataFrame:
     """Tokens -> hashed term frequencies -> IDF -> L2-normalised array<double>."""
-    tok = RegexTokenizer(inputCol=text, outputCol="_sg_tok", pattern=r"(?U)\W+", minTokenLength=1)
+    tok = RegexTokenizer(inputCol=text, outputCol="_sg_tok", pattern=TOKEN_PATTERN, minTokenLength=1)
     tf = HashingTF(inputCol="_sg_tok", outputCol="_sg_tf", numFeatures=dim)
     idf = IDF(inputCol="_sg_tf", outputCol="_sg_idf")
     norm = Normalizer(inputCol="_sg_idf", outputCol="_sg_vec", p=2.0)

@@ -7,7 +7,7 @@ import duckdb
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
-from specgrade.operators.features import embed_text
+from specgrade.operators.features import TOKEN_PATTERN, embed_text
 from specgrade.plans.sqlparts import hashed_tokens_sql
 
 
@@ -31,7 +31,7 @@ def test_sql_tokenizer_splits_like_regex_tokenizer(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE t AS SELECT 1 AS k, ? AS text", [text])
     toks = [r[1] for r in con.execute(f"SELECT * FROM {hashed_tokens_sql('t', 'k', 'text', 256)}").fetchall()]
-    tok = RegexTokenizer(inputCol="text", outputCol="t", pattern=r"\W+", minTokenLength=1)
+    tok = RegexTokenizer(inputCol="text", outputCol="t", pattern=TOKEN_PATTERN, minTokenLength=1)
     want = tok.transform(spark.createDataFrame([(text,)], "text string")).first()["t"]
     assert toks == list(want)
 
@@ -41,3 +41,10 @@ def test_embed_text_unit_vectors(spark):
     e = embed_text(d, "text", 64)
     norms = [r["n"] for r in e.select(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("n")).collect()]
     assert all(abs(n - 1.0) < 1e-12 for n in norms)
+
+
+def test_texts_of_any_script_get_a_vector(spark):
+    from specgrade.operators import pairing as P
+    rows = [(1, "Привет мир"), (2, "你好 世界"), (3, "hello world"), (4, "..."), (5, "")]
+    v = embed_text(spark.createDataFrame(rows, "vec_id long, text string"))
+    assert {r["_id"] for r in P.prepare_vectors(v, normalize=False).collect()} == {1, 2, 3}
