@@ -28,11 +28,6 @@ def count_yes(results) -> Column:
     return F.coalesce(F.size(F.filter(v, lambda x: x == "Yes")), F.lit(0)).cast("bigint")
 
 
-def count_verdicts(results) -> Column:
-    """Number of verdict lines (Yes or No) found by the A1 pattern."""
-    return F.coalesce(F.size(F.regexp_extract_all(_c(results), F.lit(VERDICT_RE), 1)), F.lit(0)).cast("bigint")
-
-
 def count_strict_verdicts(results) -> Column:
     """Lines exactly like 'n. Yes - ...' / 'n. No - ...' from column 0."""
     return F.coalesce(F.regexp_count(_c(results), F.lit(STRICT_VERDICT_RE)), F.lit(0)).cast("bigint")

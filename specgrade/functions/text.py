@@ -51,11 +51,6 @@ def word_count(c) -> Column:
             .otherwise(F.size(F.split(s, _WS_RUN_RE)))).cast("bigint")
 
 
-def collapse_ws(c) -> Column:
-    """Collapse every whitespace run to one space and strip the ends."""
-    return py_strip(F.regexp_replace(_c(c), _WS_RUN_RE, " "))
-
-
 def lines(c) -> Column:
     """Split on ``\\n`` into an array of lines (no stripping)."""
     return F.split(_c(c), "\n")
