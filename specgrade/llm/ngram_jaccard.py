@@ -202,16 +202,15 @@ def unpacked(meta: str, to: str) -> dict:
 
 
 def candidates(meets: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs (a, b) from rows (a, b, x_n, x_l, x_pos, x_cap, y_n, ...), one
+    """Pairs (a, b) from rows (a, b, x_n, x_l, x_pos, y_n, y_l, y_pos), one
     for each prefix shingle that a and b share.  Such a row must leave room
     for the overlap asked for (length and positional filter); the pair needs
     min(l, l') of them.  Beyond the last shared one, the set whose prefix ends
     first can only go on sharing what lies past its prefix."""
     n, m = F.col("x_n"), F.col("y_n")
     least = F.ceil(sim.num * (n + m) / (sim.num + sim.den))
-    x_after, y_after = (F.col(f"{s}_cap") - F.col(f"{s}_pos") - 1 for s in "xy")
-    room = F.least(F.col("x_pos"), F.col("y_pos")) + 1 + F.least(x_after, y_after)
-    met = (meets.filter((sim.den * F.least(n, m) >= sim.num * F.greatest(n, m)) & (room >= least)).groupBy("a", "b")
+    x_after, y_after = (F.col(f"{s}_n") - F.col(f"{s}_pos") - 1 for s in "xy")
+    met = (meets.filter((sim.den * F.least(n, m) >= sim.num * F.greatest(n, m)) & (room() >= least)).groupBy("a", "b")
            .agg(F.count(F.lit(1)).alias("c"), F.min(x_after).alias("x_after"), F.min(y_after).alias("y_after"),
                 *[F.first(c).alias(c) for c in ("x_n", "x_l", "y_n", "y_l")]))
     x_past, y_past = (past(sim, F.col(f"{s}_n"), F.col(f"{s}_l")) for s in "xy")
@@ -219,28 +218,29 @@ def candidates(meets: DataFrame, sim: Similarity) -> DataFrame:
     return met.filter((F.col("c") >= F.least("x_l", "y_l")) & (most >= least)).select("a", "b")
 
 
+def room():
+    """The largest overlap of two sets that share the shingle at x_pos and
+    y_pos.  What follows counts whole: a shingle of one prefix may lie past the
+    other's, so that no other class holds it in a prefix and it is shared all
+    the same."""
+    return F.least("x_pos", "y_pos") + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
+
+
 def past(sim: Similarity, n, l):
     """How many shingles of a set lie past its prefix."""
     return F.ceil(sim.num * n / sim.den) - l
 
 
-def shared_postings(classes: DataFrame, sim: Similarity) -> DataFrame:
-    """(token, node, meta, cap, p_node, p_meta, p_cap): the prefix shingles
-    that several classes hold.  Positions count such shingles only, and cap is
-    how many of a set's shingles others may hold: those, and all past the
-    prefix.  A class whose cap is too low for any partner goes.  p_ is the
-    holder nearest to a group's common text: its shingles are the most
-    frequent on the mean."""
+def shared_postings(classes: DataFrame) -> DataFrame:
+    """(token, node, meta, p_node, p_meta): the prefix shingles that several
+    classes hold.  A class that holds none of them is similar to no other; any
+    other stays, as one shared shingle is enough beside a partner of l = 1.
+    p_ is the holder nearest to a group's common text: its shingles are the
+    most frequent on the mean."""
     postings = classes.select("node", "n", "l", "common", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "common", packed("n", "l", "pos").alias("meta"))
-    held = postings.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("holders > 1")
-    mine = Window.partitionBy("node")
-    opened = held.select("token", "node", "common", *[c.alias(k) for k, c in unpacked("meta", "").items()])
-    capped = (opened.withColumns({"rank": F.row_number().over(mine.orderBy("pos")) - 1, "size": F.count(F.lit(1)).over(mine)})
-              .withColumn("cap", (F.col("size") + past(sim, F.col("n"), F.col("l"))).cast("int")).filter(F.col("cap") >= F.ceil(sim.num * F.col("n") / sim.den)))
     whole = Window.partitionBy("token").orderBy(F.desc("common"), "meta", "node").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    head = {f"p_{c}": F.first(c).over(whole) for c in ("node", "meta", "cap")}
-    ranked = capped.select("token", "node", "common", packed("n", "l", "rank").alias("meta"), "cap")
-    return ranked.withColumns({"holders": F.count(F.lit(1)).over(whole), **head}).filter("holders > 1").drop("holders", "common")
+    head = {f"p_{c}": F.first(c).over(whole) for c in ("node", "meta")}
+    return postings.withColumns({"holders": F.count(F.lit(1)).over(whole), **head}).filter("holders > 1").drop("holders", "common")
 
 
 def across(shared: DataFrame, labels: DataFrame, sim: Similarity, long: int = 64) -> DataFrame:
@@ -256,7 +256,7 @@ def across(shared: DataFrame, labels: DataFrame, sim: Similarity, long: int = 64
     pair that meets in several long lists (``long`` holders or more) is taken
     from the first alone: a posting there carries its class's earlier tokens of
     long lists.  What a pair shares is then counted on the classes' lists."""
-    labelled = shared.select("token", "node", "meta", "cap").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = shared.select("token", "node", "meta").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     token = Window.partitionBy("token")
     open_lists = (labelled.withColumns({"lo": F.min("label").over(token), "hi": F.max("label").over(token), "holders": F.count(F.lit(1)).over(token)})
                   .filter("lo <> hi").drop("lo", "hi"))
@@ -269,14 +269,13 @@ def across(shared: DataFrame, labels: DataFrame, sim: Similarity, long: int = 64
                                        "size": F.count(F.lit(1)).over(own),
                                        "bits0": F.bit_xor(F.expr("if(token & 64 = 0, shiftleft(1L, cast(token & 63 AS int)), 0L)")).over(own),
                                        "bits1": F.bit_xor(F.expr("if(token & 64 = 0, 0L, shiftleft(1L, cast(token & 63 AS int)))")).over(own)}).drop("holders"))
-    right = left.select("token", *[F.col(c).alias(f"q_{c}") for c in ("node", "meta", "cap", "label", "more", "size", "bits0", "bits1", "earlier")])
+    right = left.select("token", *[F.col(c).alias(f"q_{c}") for c in ("node", "meta", "label", "more", "size", "bits0", "bits1", "earlier")])
     met = (left.join(right, "token").filter((F.col("node") < F.col("q_node")) & (F.col("label") != F.col("q_label")))
-           .withColumns(unpacked("meta", "x_") | unpacked("q_meta", "y_")).withColumnsRenamed({"node": "a", "q_node": "b", "cap": "x_cap", "q_cap": "y_cap"}))
+           .withColumns(unpacked("meta", "x_") | unpacked("q_meta", "y_")).withColumnsRenamed({"node": "a", "q_node": "b"}))
     n, m = F.col("x_n"), F.col("y_n")
     least = F.ceil(sim.num * (n + m) / (sim.num + sim.den))
     need = F.greatest(F.least("x_l", "y_l"), least - F.greatest(past(sim, n, F.col("x_l")), past(sim, m, F.col("y_l"))))
-    room = F.least("x_pos", "y_pos") + 1 + F.least(F.col("x_cap") - F.col("x_pos") - 1, F.col("y_cap") - F.col("y_pos") - 1)
-    fits = (sim.den * F.least(n, m) >= sim.num * F.greatest(n, m)) & (room >= least) & (F.least("more", "q_more") >= need - 1)
+    fits = (sim.den * F.least(n, m) >= sim.num * F.greatest(n, m)) & (room() >= least) & (F.least("more", "q_more") >= need - 1)
     differ = F.bit_count(F.col("bits0").bitwiseXOR(F.col("q_bits0"))) + F.bit_count(F.col("bits1").bitwiseXOR(F.col("q_bits1")))
     fits = fits & (F.col("size") + F.col("q_size") - differ >= 2 * need) & ~F.coalesce(F.arrays_overlap("earlier", "q_earlier"), F.lit(False))
     pairs = met.filter(fits).select("a", "b", need.alias("need")).distinct()
@@ -296,9 +295,9 @@ def classes_with_components(docs: DataFrame, k: int = 4, num: int = 85, den: int
     classes = cut(rows.filter("n > 0").groupBy("s1", "s2", "n")
                   .agg(F.min("doc_id").alias("rep_doc"), F.min_by("rk", order).alias("rep_rk"), F.first("l").alias("l"), F.first("common").alias("common"), F.first("prefix").alias("prefix"))
                   .withColumn("node", F.monotonically_increasing_id()))
-    shared = cut(shared_postings(classes, sim))
+    shared = cut(shared_postings(classes))
     meets = (shared.filter("node <> p_node").withColumns(unpacked("p_meta", "x_") | unpacked("meta", "y_"))
-             .withColumnsRenamed({"p_node": "a", "node": "b", "p_cap": "x_cap", "cap": "y_cap"}))
+             .withColumnsRenamed({"p_node": "a", "node": "b"}))
     stars = cut(candidates(meets, sim))
     linked = cut(similar(stars, classes, docs, sim, broadcast_rows))
     first_labels = cut(components(linked))
