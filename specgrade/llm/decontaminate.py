@@ -1,25 +1,27 @@
 """Benchmark decontamination by canonical templates.
 
-Documents and benchmark items are canonicalised alike: lower-cased words, with
-numbers, names (capitalised words inside a sentence) and units (after a
-number) replaced by typed placeholders.  Every run of ``window`` template
-words of an item (the whole item, if shorter) is one window.  Document words
-meet the windows in a hash join on the window's anchor, its longest literal
-word; the hash of the words around it and then the words themselves must
-agree.
+Documents and benchmark items are canonicalised alike: lower-cased words, and
+their templates, in which numbers, names (capitalised words but the function
+words of ``FUNCTION``, wherever they stand) and units (after a number) are
+replaced by typed placeholders.  What a word becomes depends on no text before
+it.  Every run of ``window`` words of an item (the whole item, if shorter) is
+one window, matched exactly on the lower-cased words and, where it has
+placeholders, on the template words too.  Document words meet the windows in a
+hash join on the window's anchor, its longest literal word; the hash of the
+words around it and then the words themselves must agree.
 
 Matches of one item at one shift form an alignment.  Its slots must be
 consistent: the original values map one to one onto the document's values, so
 a re-parameterised question is caught and a chance match of placeholders is
-not.  An alignment counts if it covers ``min_words`` words of the item, or
-all of a shorter item.
+not; of an inconsistent one the exact matches alone count.  An alignment
+counts if it covers ``min_words`` words of the item, or all of a shorter item.
 
 Only DataFrame functions are used.  The windows are broadcast in blocks of at
 most ``block_windows`` rows, one pass over the documents for each block, so a
 benchmark of any size is searched with bounded memory.
 
-Defined results: null or wordless texts match nothing, on either side; items
-with fewer than ``min_literals`` literal words in a window give no window.
+Defined results: null or wordless texts match nothing, on either side; windows
+with fewer than ``min_literals`` literal words are matched exactly only.
 Repeated items count once, repeated documents each on its own.  Empty tables
 give no rows.  Extra columns are not read.
 """
@@ -41,25 +43,31 @@ SLOTS = [NAME, NUMBER, UNIT]
 UNITS = ["km", "m", "cm", "mm", "miles", "mile", "feet", "inches", "kg", "g", "mg", "pounds", "liters", "litres", "ml",
          "hours", "hour", "minutes", "minute", "seconds", "second", "days", "day", "weeks", "months", "years",
          "dollars", "dollar", "cents", "euros", "euro", "percent", "degrees", "mph", "kmh"]
+# Words that are no names although they begin a sentence.
+FUNCTION = ["A", "An", "The", "This", "That", "These", "Those", "There", "Here", "It", "Its", "He", "She", "We", "You", "They", "His", "Her", "Our",
+            "Your", "Their", "My", "In", "On", "At", "By", "For", "From", "Of", "To", "With", "Without", "Into", "After", "Before", "During", "Between",
+            "Under", "Over", "About", "And", "Or", "But", "Nor", "So", "Yet", "If", "When", "While", "Because", "Although", "Since", "Until", "As", "Than",
+            "Then", "Not", "No", "Is", "Are", "Was", "Were", "Be", "Do", "Does", "Did", "Has", "Have", "Had", "Can", "Could", "Will", "Would", "Should",
+            "May", "Might", "Must", "What", "Which", "Who", "Whom", "Whose", "Why", "How", "Where", "Each", "Every", "All", "Some", "Any", "Both", "One"]
 # ASCII characters that part words, listed one by one (a table lookup in Java)
 APART = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum() and chr(c) not in SLOTS + [INNER])
 WORD = f"[^{APART}]++"
 
 
-def raw_text(text: Column) -> Column:
-    """Lower-case text in which names are marked and a number is one word."""
+def spaced_text(text: Column) -> Column:
+    """Text in which a number is one word, and a unit written to it another."""
     unit = "|".join(UNITS)
     joined = F.regexp_replace(text, r"([0-9])[.,](?=[0-9])", f"$1{INNER}")
-    spaced = F.regexp_replace(joined, f"([0-9])(?=(?:{unit})(?:[{APART}]|$))", "$1 ")
-    return F.lower(F.regexp_replace(spaced, r" (?<=[\p{Ll},;] )(?=\p{Lu}\p{Ll})", f" {NAME}"))
+    return F.regexp_replace(joined, f"([0-9])(?=(?:{unit})(?:[{APART}]|$))", "$1 ")
 
 
-def template_text(raw: Column) -> Column:
-    """Raw text with every name, number and unit replaced by its placeholder,
-    word by word."""
-    names = F.regexp_replace(raw, f"{NAME}{WORD}", NAME)
+def template_text(spaced: Column) -> Column:
+    """Lower-case text with every name, number and unit replaced by its
+    placeholder, word by word."""
+    name = rf"(?=\p{{Lu}}\p{{Ll}})(?<![^{APART}])(?!(?:{'|'.join(FUNCTION)})(?:[{APART}]|$)){WORD}"
+    names = F.lower(F.regexp_replace(spaced, name, NAME))
     numbers = F.regexp_replace(names, f"(?=[0-9])(?<![^{APART}])[0-9]++(?:{INNER}[0-9]++)*+(?![^{APART}])", NUMBER)
-    return F.regexp_replace(numbers, f"{NUMBER} (?:{'|'.join(UNITS)})(?=[{APART}]|$)", f"{NUMBER} {UNIT}")
+    return F.regexp_replace(numbers, f"{NUMBER}([ \\t\\r\\n]++)(?:{'|'.join(UNITS)})(?=[{APART}]|$)", f"{NUMBER}$1{UNIT}")
 
 
 def words(text: Column) -> Column:
@@ -68,21 +76,26 @@ def words(text: Column) -> Column:
 
 def canonical(df: DataFrame) -> DataFrame:
     """Adds ``raw`` and ``tmpl``, the raw and the template words, aligned."""
-    raw = raw_text(whole_text())
-    return df.withColumns({"raw": words(raw), "tmpl": words(template_text(raw))})
+    spaced = spaced_text(whole_text())
+    return df.withColumns({"raw": words(F.lower(spaced)), "tmpl": words(template_text(spaced))})
 
 
 def windows(benchmark: DataFrame, window: int, min_literals: int) -> DataFrame:
-    """(item_id, item_words, at, length, w_tmpl, w_raw, anchor, anchor_at, w_hash)."""
+    """(item_id, item_words, at, length, exact, w_tmpl, w_raw, w_key, anchor,
+    anchor_at, w_hash); w_key is what a document's words must equal, w_raw if
+    exact and else w_tmpl."""
     items = canonical(benchmark.select("item_id", "text").distinct()).filter(F.size("tmpl") > 0)
     length = F.least(F.lit(window), F.size("tmpl"))
     each = (items.withColumn("length", length)
             .select("item_id", F.size("tmpl").alias("item_words"), "length", "tmpl", "raw", F.explode(F.sequence(F.lit(0), F.size("tmpl") - F.col("length"))).alias("at"))
             .withColumns({"w_tmpl": F.slice("tmpl", F.col("at") + 1, F.col("length")), "w_raw": F.slice("raw", F.col("at") + 1, F.col("length"))}))
     literals = F.filter("w_tmpl", lambda w: ~w.isin(*SLOTS))
-    by_length = F.array_max(F.transform(literals, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    return (each.filter(F.size(literals) >= min_literals).withColumn("anchor", by_length)
-            .withColumns({"anchor_at": (F.array_position("w_tmpl", F.col("anchor")) - 1).cast("int"), "w_hash": F.xxhash64("w_tmpl")})
+    slotted = each.filter((F.size(literals) >= min_literals) & (F.size(literals) < F.col("length")))
+    both = (each.withColumns({"exact": F.lit(True), "w_key": F.col("w_raw")})
+            .unionByName(slotted.withColumns({"exact": F.lit(False), "w_key": F.col("w_tmpl")})))
+    by_length = F.array_max(F.transform(F.filter("w_key", lambda w: ~w.isin(*SLOTS)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    return (both.withColumn("anchor", by_length)
+            .withColumns({"anchor_at": (F.array_position("w_key", F.col("anchor")) - 1).cast("int"), "w_hash": F.xxhash64("w_key")})
             .drop("tmpl", "raw"))
 
 
@@ -93,28 +106,34 @@ def alignments(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_words
     found = cut(windows(benchmark, window, min_literals))
     blocks = max(1, -(-found.count() // block_windows))
     prepared = canonical(docs.select("doc_id", row_key().alias("rk"), "text")).select("doc_id", "rk", "raw", "tmpl")
-    placed = prepared.select("doc_id", "rk", "raw", "tmpl", F.posexplode("tmpl").alias("pos", "anchor"))
+    placed = prepared.select("doc_id", "rk", "raw", "tmpl", F.posexplode("raw").alias("pos", "anchor"))
 
     def matches(block: DataFrame) -> DataFrame:
         start = F.col("pos") - F.col("anchor_at")
-        here = F.slice("tmpl", F.greatest(start, F.lit(0)) + 1, F.col("length"))
-        hit = placed.join(F.broadcast(block), "anchor").filter((start >= 0) & (F.xxhash64(here) == F.col("w_hash")) & (here == F.col("w_tmpl")))
+        here = F.slice(F.when(F.col("exact"), F.col("raw")).otherwise(F.col("tmpl")), F.greatest(start, F.lit(0)) + 1, F.col("length"))
+        hit = placed.join(F.broadcast(block), "anchor").filter((start >= 0) & (F.xxhash64(here) == F.col("w_hash")) & (here == F.col("w_key")))
         pair = F.arrays_zip(F.col("w_tmpl").alias("kind"), F.col("w_raw").alias("ours"), F.slice("raw", start + 1, F.col("length")).alias("theirs"))
-        return hit.select("doc_id", "rk", "item_id", "item_words", (start - F.col("at")).alias("shift"), "at", "length", start.alias("start"),
+        return hit.select("doc_id", "rk", "item_id", "item_words", (start - F.col("at")).alias("shift"), "at", "length", "exact", start.alias("start"),
                           F.filter(pair, lambda p: p["kind"].isin(*SLOTS)).alias("slots"))
 
     parts = [matches(found.filter(F.pmod(F.xxhash64("item_id", "at"), F.lit(blocks)) == b)) for b in range(blocks)]
     hits = reduce(DataFrame.unionByName, parts)
+    run = F.struct("at", "length")
     grouped = hits.groupBy("doc_id", "rk", "item_id", "shift").agg(
-        F.first("item_words").alias("item_words"), F.collect_set("at").alias("ats"), F.first("length").alias("length"),
-        F.min("start").alias("first_word"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("length") - 1)))))
+        F.first("item_words").alias("item_words"), F.collect_set(run).alias("runs"), F.collect_set(F.when(F.col("exact"), run)).alias("exact_runs"),
+        F.min("start").alias("first_word"), F.min(F.when(F.col("exact"), F.col("start"))).alias("exact_first"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     ours = F.size(F.array_distinct(F.transform("slots", lambda p: F.struct(p["kind"], p["ours"]))))
     theirs = F.size(F.array_distinct(F.transform("slots", lambda p: F.struct(p["kind"], p["theirs"]))))
     consistent = (ours == F.size("slots")) & (theirs == F.size("slots"))
-    return (grouped.withColumns({"covered": covered, "n_windows": F.size("ats"), "reparameterised": F.exists("slots", lambda p: p["ours"] != p["theirs"])})
-            .filter(consistent & (F.col("covered") >= F.least(F.lit(min_words), F.col("item_words"))))
-            .drop("ats", "length", "slots"))
+    counted = (grouped.withColumn("consistent", consistent)
+               .withColumns({"runs": F.when(F.col("consistent"), F.col("runs")).otherwise(F.col("exact_runs")),
+                             "first_word": F.when(F.col("consistent"), F.col("first_word")).otherwise(F.col("exact_first")),
+                             "reparameterised": F.col("consistent") & F.exists("slots", lambda p: p["ours"] != p["theirs"])}))
+    covered = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["at"], r["at"] + r["length"] - 1)))))
+    starts = F.size(F.array_distinct(F.transform("runs", lambda r: r["at"])))
+    return (counted.withColumns({"covered": covered, "n_windows": starts})
+            .filter(F.col("covered") >= F.least(F.lit(min_words), F.col("item_words")))
+            .drop("runs", "exact_runs", "exact_first", "consistent", "slots"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

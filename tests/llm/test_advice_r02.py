@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from specgrade.llm.decontaminate import contaminated
 from specgrade.llm.ngram_jaccard import ngram_components
 
 from .test_exact_line_pack import table
@@ -27,3 +28,33 @@ def test_appended_copies_of_a_frequent_text(spark):
     assert sum(c != d for d, c in want.items() if int(d) % 10_000 >= 600) >= 8
     wrong = {d: (by_id[d], c) for d, c in want.items() if by_id[d] != c}
     assert not wrong, wrong
+
+
+def _found(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in contaminated(table(spark, list(enumerate(texts))), bench).collect()}
+
+
+def test_one_text_gets_one_template(spark):
+    short = "Which planet is the closest one to the Sun in our system"  # 12 words
+    named = "Anna walked to the old market and bought fresh bread for her brother Paul who was waiting at home"
+    long = "Rivers carry fine sand from the mountains down to the sea where it settles slowly on the flat bottom"
+    reply = "Tom said that Anna bought 12\nkg of green apples at the old market of Paris last week"
+    texts = [f"as we said in the lesson {short} and so on",  # verbatim, after a lower-case word
+             f"we read, {' '.join(long.split()[:13])} and then nothing",  # a verbatim passage of 13 words
+             named.replace(" ", "\n"), named.lower(), named.title(), named.upper(),  # re-wrapped, case changed
+             "so,\n" + named.replace("Anna", "Maria").replace("Paul", "Hugo"),  # renamed, the first word too
+             "so " + named.replace("Anna", "Maria").replace(" Paul", "\nHugo"),  # a name after a line break
+             reply.replace("Anna", "Maria").replace("12\nkg", "9 kg"),  # a unit after a line break
+             "which planet is far away", named.replace("market", "station").replace("bread", "milk").replace("Paul", "he")]
+    got = _found(spark, [short, named, long, reply], texts)
+    assert set(got) == {(0, 0), (1, 2), (2, 1), (3, 1), (4, 1), (5, 1), (6, 1), (7, 1), (8, 3)}
+    assert got[0, 0].containment == 1.0 and got[1, 2].covered == 13
+    assert [got[i, 1].reparameterised for i in range(2, 8)] == [False] * 4 + [True] * 2
+
+
+def test_exact_passage_beside_a_clash_of_slots(spark):
+    item = "the old farmer went to the market on every single morning of the week and Anna gave bread to Anna and then Anna went home with all of it"
+    clash = item.replace("to Anna", "to Julia")
+    got = _found(spark, [item], [f"we read {clash}"])
+    assert set(got) == {(0, 0)} and not got[0, 0].reparameterised and got[0, 0].covered >= 13
