@@ -6,7 +6,9 @@ words of ``FUNCTION``, wherever they stand) and units (after a number) are
 replaced by typed placeholders.  What a word becomes depends on no text before
 it.  Every run of ``window`` words of an item (the whole item, if shorter) is
 one window, matched exactly on the lower-cased words and, where it has
-placeholders, on the template words too.  Document words meet the windows in a
+placeholders, on the template words too; there it is lengthened until it has
+``min_literals`` literal words, to the right or, at the item's end, to the
+left.  Document words meet the windows in a
 hash join on the window's anchor, its longest literal word; the hash of the
 words around it and then the words themselves must agree.
 
@@ -20,7 +22,7 @@ Only DataFrame functions are used.  The windows are broadcast in blocks of at
 most ``block_windows`` rows, one pass over the documents for each block, so a
 benchmark of any size is searched with bounded memory.
 
-Defined results: null or wordless texts match nothing, on either side; windows
+Defined results: null or wordless texts match nothing, on either side; items
 with fewer than ``min_literals`` literal words are matched exactly only.
 Repeated items count once, repeated documents each on its own.  Empty tables
 give no rows.  Extra columns are not read.
@@ -85,18 +87,25 @@ def windows(benchmark: DataFrame, window: int, min_literals: int) -> DataFrame:
     anchor_at, w_hash); w_key is what a document's words must equal, w_raw if
     exact and else w_tmpl."""
     items = canonical(benchmark.select("item_id", "text").distinct()).filter(F.size("tmpl") > 0)
-    length = F.least(F.lit(window), F.size("tmpl"))
-    each = (items.withColumn("length", length)
-            .select("item_id", F.size("tmpl").alias("item_words"), "length", "tmpl", "raw", F.explode(F.sequence(F.lit(0), F.size("tmpl") - F.col("length"))).alias("at"))
-            .withColumns({"w_tmpl": F.slice("tmpl", F.col("at") + 1, F.col("length")), "w_raw": F.slice("raw", F.col("at") + 1, F.col("length"))}))
-    literals = F.filter("w_tmpl", lambda w: ~w.isin(*SLOTS))
-    slotted = each.filter((F.size(literals) >= min_literals) & (F.size(literals) < F.col("length")))
-    both = (each.withColumns({"exact": F.lit(True), "w_key": F.col("w_raw")})
-            .unionByName(slotted.withColumns({"exact": F.lit(False), "w_key": F.col("w_tmpl")})))
+    places = F.filter(F.sequence(F.lit(0), F.size("tmpl") - 1), lambda i: ~F.get("tmpl", i).isin(*SLOTS))
+    each = (items.withColumns({"item_words": F.size("tmpl"), "length": F.least(F.lit(window), F.size("tmpl")), "places": places})
+            .withColumn("at", F.explode(F.sequence(F.lit(0), F.col("item_words") - F.col("length")))))
+    after = F.filter("places", lambda p: p >= F.col("at"))
+    longer = F.greatest(F.col("length"), F.get(after, F.lit(min_literals - 1)) + 1 - F.col("at"))
+    earlier = F.least(F.get("places", F.size("places") - min_literals), F.col("item_words") - F.col("length"))
+    at_end = F.size(after) < min_literals
+    run = F.when(at_end, F.struct(earlier.alias("at"), (F.col("item_words") - earlier).alias("length"))).otherwise(F.struct("at", longer.alias("length")))
+    slotted = each.filter(F.size("places") >= min_literals).withColumn("run", run).withColumns({"at": F.col("run.at"), "length": F.col("run.length")}).drop("run").distinct()
+
+    def worded(df: DataFrame) -> DataFrame:
+        return (df.withColumns({f"w_{c}": F.slice(c, F.col("at") + 1, F.col("length")) for c in ("tmpl", "raw")})
+                .select("item_id", "item_words", "at", "length", "w_tmpl", "w_raw"))
+
+    both = (worded(each).withColumns({"exact": F.lit(True), "w_key": F.col("w_raw")})
+            .unionByName(worded(slotted).filter(F.exists("w_tmpl", lambda w: w.isin(*SLOTS))).withColumns({"exact": F.lit(False), "w_key": F.col("w_tmpl")})))
     by_length = F.array_max(F.transform(F.filter("w_key", lambda w: ~w.isin(*SLOTS)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     return (both.withColumn("anchor", by_length)
-            .withColumns({"anchor_at": (F.array_position("w_key", F.col("anchor")) - 1).cast("int"), "w_hash": F.xxhash64("w_key")})
-            .drop("tmpl", "raw"))
+            .withColumns({"anchor_at": (F.array_position("w_key", F.col("anchor")) - 1).cast("int"), "w_hash": F.xxhash64("w_key")}))
 
 
 def alignments(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_words: int = 13, min_literals: int = 5,

@@ -58,3 +58,15 @@ def test_exact_passage_beside_a_clash_of_slots(spark):
     clash = item.replace("to Anna", "to Julia")
     got = _found(spark, [item], [f"we read {clash}"])
     assert set(got) == {(0, 0)} and not got[0, 0].reparameterised and got[0, 0].covered >= 13
+
+
+def test_items_dense_in_slots(spark):
+    items = ["Tom bought 3 pens for 5 dollars and 2 books for 4 dollars.", "What is 12 plus 7 times 3 minus 5 plus 8 times 4",
+             "Add 3 and 4", "the sum of all of these 1 2 3 4 5 6 7 8 9 10"]
+    other = ["Maria bought 9 pens for 8 euros and 6 books for 7 euros.", "What is 1 plus 2 times 3 minus 4 plus 5 times 6", "Add 5 and 6", "the sum of all of these 2 3 4 5 6 7 8 9 10 11"]
+    clash = "Maria bought 9 pens for 8 euros and 6 books for 9 euros."  # 3 and 4 both become 9
+    texts = [f"we read: {t} so there" for t in items + other + [clash]]
+    got = _found(spark, items, texts)
+    assert set(got) == {(i, i) for i in range(4)} | {(4, 0), (5, 1), (7, 3)}
+    assert all(got[i, i].containment == 1.0 and not got[i, i].reparameterised for i in range(4))
+    assert all(got[i + 4, i].containment == 1.0 and got[i + 4, i].reparameterised for i in (0, 1, 3))
