@@ -224,8 +224,9 @@ class SemiCrf:
                 moves += joint
         return seg, moves
 
-    def fit(self, data: list[tuple[Chunk, list[tuple[str, int, int]]]], steps: int = 40, rate: float = 0.4, l2: float = 0.01) -> SemiCrf:
-        """Gradient ascent (Adam); equal lattices with equal gold are one case with a weight."""
+    def fit(self, data: list[tuple[Chunk, list[tuple[str, int, int]]]], steps: int = 40, rate: float = 0.4, l2: float = 0.01, max_cases: int = 400) -> SemiCrf:
+        """Gradient ascent (Adam); equal lattices with equal gold are one case with a
+        weight, and the ``max_cases`` most frequent ones are learnt from."""
         cases: dict[tuple, list] = {}
         for chunk, gold in data:
             lattice = self.lattice(chunk)
@@ -238,7 +239,7 @@ class SemiCrf:
                 j = hit[1]
             key = (tuple((i, e, tuple(f)) for i, e, f in lattice), tuple(path))
             cases.setdefault(key, [lattice, len(chunk.atoms), path, 0])[3] += 1
-        kept = sorted(cases.items(), key=lambda c: (-c[1][3], c[0]))[:400]
+        kept = sorted(cases.items(), key=lambda c: (-c[1][3], c[0]))[:max_cases]
         m = v = np.zeros(self.w.size + self.moves.size)
         for t in range(1, steps + 1):
             g_w, g_m = -l2 * self.w, -l2 * self.moves
@@ -277,16 +278,18 @@ def respelt(chunk: Chunk, gold: list[tuple[str, int, int]]):
         yield Chunk(t, 0, chunk.before, [a.span() for a in ATOM.finditer(t)]), [(kind, 0, len(t))]
 
 
-def learn(docs: DataFrame, train_docs: int = 4000, max_chunks: int = 8000) -> SemiCrf:
+def learn(docs: DataFrame, train_docs: int = 4000, max_chunks: int = 8000, max_cases: int = 400, max_chars: int = 200) -> SemiCrf:
     """Fit on the chunks of a sample: about ``train_docs`` rows by the hash of
-    their text, and of their chunks the ``max_chunks`` of smallest hash."""
+    their text, and of their chunks the ``max_chunks`` of smallest hash.
+    Chunks of more than ``max_chars`` characters are not learnt from, and of the
+    distinct cases the ``max_cases`` most frequent are."""
     rows = max(1, docs.count())
     rate = min(1_000_000, 1 + train_docs * 1_000_000 // rows)
     sample = docs.select(whole_text().alias("text")).filter((F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < rate) & F.col("text").rlike("[0-9@]"))
 
     def found(batches):
         for pdf in batches:
-            out = [(c.before, c.text, t[c.start + len(c.text):c.start + len(c.text) + 8]) for t in pdf["text"] for c in chunks(t) if len(c.text) <= 200]
+            out = [(c.before, c.text, t[c.start + len(c.text):c.start + len(c.text) + 8]) for t in pdf["text"] for c in chunks(t) if len(c.text) <= max_chars]
             yield pd.DataFrame(out, columns=["before", "chunk", "after"])
 
     got = (sample.mapInPandas(found, "before string, chunk string, after string")
@@ -299,7 +302,7 @@ def learn(docs: DataFrame, train_docs: int = 4000, max_chunks: int = 8000) -> Se
         gold = [g for k, g in enumerate(gold) if all(g[1] >= h[2] for h in gold[:k])]
         data += [(chunk, gold), *respelt(chunk, gold)]
     names = sorted({f for c, _ in data for i in range(len(c.atoms)) for j in range(i + 1, min(len(c.atoms), i + 8) + 1) for f in features(c, i, j)})
-    return SemiCrf(names).fit(data) if data else SemiCrf()
+    return SemiCrf(names).fit(data, max_cases=max_cases) if data else SemiCrf()
 
 
 def all_spans(text: str, model: SemiCrf) -> tuple[list, list]:

@@ -4,6 +4,7 @@ import numpy as np
 
 from specgrade.llm.decontaminate import contaminated
 from specgrade.llm.ngram_jaccard import ngram_components
+from specgrade.llm.pii_spans import learn
 
 from .test_exact_line_pack import table
 from .test_text_models import _brute
@@ -70,3 +71,11 @@ def test_items_dense_in_slots(spark):
     assert set(got) == {(i, i) for i in range(4)} | {(4, 0), (5, 1), (7, 3)}
     assert all(got[i, i].containment == 1.0 and not got[i, i].reparameterised for i in range(4))
     assert all(got[i + 4, i].containment == 1.0 and got[i + 4, i].reparameterised for i in (0, 1, 3))
+
+
+def test_bounds_of_the_span_model_are_parameters(spark):
+    texts = ["write to joe@example.com", "call +1 (939) 555-8456 now", "from 10.0.0.1 to 10.0.0.2", "card 4398874246221956", "a room of 12 by 30"]
+    docs = table(spark, list(enumerate(texts)))
+    usual, one, short = learn(docs), learn(docs, max_cases=1), learn(docs, max_chars=8)
+    assert one.names == usual.names and not np.allclose(one.w, usual.w)
+    assert set(short.names) < set(usual.names)
