@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specgrade.llm import oracles, pii_spans
+from specgrade.llm.collocations import collocations
 from specgrade.llm.common import read
 from specgrade.llm.decontaminate import contaminated
 from specgrade.llm.exact_dedup import exact_dedup
@@ -61,10 +62,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(read(spark, sf_dir, "pages"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_crf, op3_token_counts, op4_decontaminate, op5_exact_dedup, op6_pii_spans,
-                                   op7_line_dedup, op8_ngram_jaccard, op9_best_fit_packing, op10_url_filter)}
+                                   op7_line_dedup, op8_ngram_jaccard, op9_best_fit_packing, op10_url_filter, op11_collocations)}
 ORACLE = {
     "op1_license_scan": oracles.LICENSE_SCAN,
     "op5_exact_dedup": oracles.EXACT_DEDUP,
     "op7_line_dedup": oracles.LINE_DEDUP,
+    "op11_collocations": oracles.COLLOCATIONS,
 }
