@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +46,24 @@ def broadcast_if(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` if a count proves it has at most ``max_rows`` rows;
     else leave the join to Spark's own strategies."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a table written into the shared folder, from
+    which later reads take only the columns they need."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def slices(batch, column: str = "text", max_bytes: int = 16 << 20):
+    """An Arrow batch in slices of about ``max_bytes`` of a string or binary
+    column, or one row."""
+    import pyarrow.compute as pc
+    size, start = 0, 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if size and size + n > max_bytes:
+            yield batch.slice(start, i - start)
+            start, size = i, 0
+        size += n
+    yield batch.slice(start)

@@ -14,8 +14,10 @@ from specgrade.llm.exact_dedup import exact_dedup
 from specgrade.llm.license_scan import license_scan
 from specgrade.llm.line_crf import quality
 from specgrade.llm.line_dedup import line_dedup
+from specgrade.llm.mixture_packing import mixture
 from specgrade.llm.ngram_jaccard import ngram_components
 from specgrade.llm.packing import pack
+from specgrade.llm.token_alignment import alignment
 from specgrade.llm.token_counts import token_counts
 from specgrade.llm.url_filter import url_filter
 
@@ -66,8 +68,17 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(read(spark, sf_dir, "documents"))
 
 
+def op12_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(read(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_crf, op3_token_counts, op4_decontaminate, op5_exact_dedup, op6_pii_spans,
-                                   op7_line_dedup, op8_ngram_jaccard, op9_best_fit_packing, op10_url_filter, op11_collocations)}
+                                   op7_line_dedup, op8_ngram_jaccard, op9_best_fit_packing, op10_url_filter, op11_collocations,
+                                   op12_mixture_packing, op13_token_alignment)}
 ORACLE = {
     "op1_license_scan": oracles.LICENSE_SCAN,
     "op5_exact_dedup": oracles.EXACT_DEDUP,
