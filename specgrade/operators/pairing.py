@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specgrade.functions.hashing import mix62
+from specgrade.operators.features import embed
 from specgrade.operators.joins import broadcast_limit, restrict_to_keys  # noqa: F401
 from specgrade.session import ensure_checkpoint_dir
 
@@ -434,6 +435,20 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "vec_id", v
     return knn_prepared(q, c, k, exclude_self, batch, stats=st)
 
 
+def search_text(queries: DataFrame, docs: DataFrame, model, k: int = 5, query_id: str = "query_id", id_col: str = "doc_id",
+                text: str = "text", preview: int = 200, search=None) -> DataFrame:
+    """P10 for texts: both sides are embedded by one fitted feature pipeline
+    (``features.fit_embedder``), so a query gets the corpus's weights; (query_id,
+    id, score to 3 decimals, rank, preview).  A query or document without a
+    weighted token has no vector and no hit.  ``search`` replaces the exact
+    search, with the arguments of ``knn``."""
+    def vectors(df: DataFrame, key: str) -> DataFrame:
+        return embed(model, df.select(F.col(key).alias("vec_id"), text)).select("vec_id", "embedding")
+    hits = (search or knn)(vectors(queries, query_id), vectors(docs, id_col), k, normalize=False)
+    shown = docs.select(F.col(id_col).alias("id"), F.substring(text, 1, preview).alias("preview"))
+    return hits.join(shown, "id").select("query_id", "id", F.round("score", 3).alias("score"), "rank", "preview")
+
+
 def _query_stats(q: DataFrame):
     return q.agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("lo"), F.max("_id").alias("hi"),
                  F.max(F.size("_v")).alias("d")).first()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from specgrade.functions import text as T
@@ -13,6 +15,7 @@ from specgrade.operators import stages as SG
 from specgrade.plans.registry import query
 from specgrade.plans.sqlparts import WS
 from specgrade.plans.tables import constraints_text, satisfaction_text, table
+from specgrade.session import ensure_checkpoint_dir
 from specgrade.sources.manifest import output_name
 
 
@@ -137,3 +140,36 @@ def embed_knn(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     emb = FE.embed_text(d, "text", 256)
     return P.knn(emb, emb, 5, "vec_id", "embedding", exclude_self=True, normalize=False)
+
+
+def _search_text_sql(dim: int = 256, k: int = 5) -> str:
+    """The documents' hashed TF-IDF, and the queries' with the documents' IDF."""
+    from specgrade.plans.sqlparts import hashed_tokens_sql
+    return f"""
+WITH m AS (SELECT count(*) AS n FROM documents),
+dtf AS (SELECT doc_id AS k, bucket, CAST(count(*) AS DOUBLE) AS tf FROM {hashed_tokens_sql("documents", "doc_id", "text", dim)} GROUP BY ALL),
+idf AS (SELECT b AS bucket, ln(((SELECT n FROM m) + 1.0) / (count(dtf.k) + 1.0)) AS idf FROM range({dim}) t(b) LEFT JOIN dtf ON dtf.bucket = b GROUP BY b),
+qtf AS (SELECT item_id AS k, bucket, CAST(count(*) AS DOUBLE) AS tf FROM {hashed_tokens_sql("benchmark", "item_id", "text", dim)} GROUP BY ALL),
+d AS (SELECT k, bucket, tf * idf AS w FROM dtf JOIN idf USING (bucket)),
+q AS (SELECT k, bucket, tf * idf AS w FROM qtf JOIN idf USING (bucket)),
+dn AS (SELECT k, sqrt(sum(w * w)) AS n FROM d GROUP BY k),
+qn AS (SELECT k, sqrt(sum(w * w)) AS n FROM q GROUP BY k),
+hits AS (SELECT q.k AS query_id, d.k AS id, sum(d.w / dn.n * (q.w / qn.n)) AS score
+         FROM q JOIN d ON d.bucket = q.bucket JOIN qn ON qn.k = q.k JOIN dn ON dn.k = d.k WHERE qn.n > 0 AND dn.n > 0 GROUP BY ALL),
+every AS (SELECT qn.k AS query_id, dn.k AS id, coalesce(score, 0.0) AS score FROM qn CROSS JOIN dn LEFT JOIN hits ON hits.query_id = qn.k AND hits.id = dn.k
+          WHERE qn.n > 0 AND dn.n > 0),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM every)
+SELECT query_id, id, round(score, 3) AS score, CAST(rank AS INTEGER) AS rank, substr(text, 1, 200) AS preview
+FROM top JOIN documents ON doc_id = id WHERE rank <= {k}
+"""
+
+
+@query("semantic_search_text", _search_text_sql())
+def semantic_search_text(spark, sf):
+    """P10 by text: the feature pipeline is fitted on the documents, stored and
+    reloaded, and every benchmark text is searched with the documents' IDF."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/specgrade-embedder-{uuid.uuid4().hex}"
+    FE.save_embedder(FE.fit_embedder(docs, "text", 256), path)
+    return P.search_text(table(spark, sf, "benchmark").select("item_id", "text"), docs, FE.load_embedder(path), 5,
+                         query_id="item_id", id_col="doc_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from specgrade.functions.hashing import mix62_sql
+from specgrade.operators import ann as A
 from specgrade.operators import joins as J
 from specgrade.operators import pairing as P
 from specgrade.plans.registry import query
@@ -177,6 +178,39 @@ def knn_cells(spark, sf):
     return P.knn_prepared(v, v, 3, exclude_self=True, batch=1, cells=16, block=128)
 
 
+LSH = {"tables": 8, "bucket_rows": 64, "flips": 2, "seed": 0}
+
+
+def _lsh_sql(n_rows: int, dim: int, k: int = 10) -> str:
+    """The same codes, probes and exact scores; the planes are literals."""
+    bits = A.code_bits(n_rows, LSH["bucket_rows"])
+    planes = A.hyperplanes(dim, LSH["tables"], bits, LSH["seed"]).astype(int)
+    rows = ", ".join(f"({t}, {b}, {planes[t, b].tolist()})" for t in range(LSH["tables"]) for b in range(bits))
+    masks = " UNION ALL ".join(f"SELECT {m}" for m in ("0", "m1", "m2", "m1 + m2"))
+    return f"""
+WITH p(t, b, s) AS (VALUES {rows}),
+a AS (SELECT vec_id, t, b, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(s AS DOUBLE[])) AS x FROM embeddings CROSS JOIN p),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id, t ORDER BY abs(x), b) AS unsure FROM a),
+c AS (SELECT vec_id, t, sum(CASE WHEN x > 0 THEN 1 << b ELSE 0 END) AS code,
+             sum(CASE WHEN unsure = 1 THEN 1 << b ELSE 0 END) AS m1, sum(CASE WHEN unsure = 2 THEN 1 << b ELSE 0 END) AS m2
+      FROM r GROUP BY vec_id, t),
+q AS (SELECT vec_id, t, xor(CAST(code AS BIGINT), CAST(m AS BIGINT)) AS code FROM c, LATERAL ({masks}) x(m)),
+pairs AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id AS id FROM q JOIN c ON q.t = c.t AND q.code = c.code AND q.vec_id <> c.vec_id),
+scored AS (SELECT query_id, id, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS score
+           FROM pairs JOIN embeddings x ON x.vec_id = query_id JOIN embeddings y ON y.vec_id = id)
+SELECT query_id, id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored) WHERE rank <= {k}
+"""
+
+
+# the planes' number follows the rows: the SQL is that of sf0.01 (500 vectors of 64)
+@query("knn_lsh", _lsh_sql(500, 64), round_cols=("score",))
+def knn_lsh(spark, sf):
+    """P9, approximate: 10 neighbours of every vector from hashed buckets."""
+    e = table(spark, sf, "embeddings")
+    return A.knn_lsh(e, e, 10, exclude_self=True, **LSH)
+
+
 @query("semantic_search", """
 SELECT id, round(score, 3) AS score, substr(d.text, 1, 200) AS preview FROM (
   SELECT b.vec_id AS id, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score
