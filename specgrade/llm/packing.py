@@ -16,34 +16,22 @@ Extra columns are not read.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from specgrade.llm.common import cut, whole_text
+from specgrade.llm.encoding import VOCABULARY, byte_bpe
 from specgrade.llm.packing_plan import Pattern, plan
 
-VOCABULARY = "byte_bpe_50k"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_IDS = PIECES + ", ids array<int>"
 
 
-def encoder(vocabulary: str = VOCABULARY):
-    """The byte-level BPE of the vocabulary file.  tiktoken reads the same
-    vocabulary as ``<vocabulary>.json`` from its rank file and gives the same
-    ids as ``tokenizers`` (tests hold them together) several times faster."""
-    import tiktoken
-    with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def _cut(ids: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
     """(start, end) of the pieces of a document."""
     first = len(ids) % size or size
@@ -55,11 +43,11 @@ def _cut(ids: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
 def pieces(docs: DataFrame, size: int, end_id: int, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """One row per piece; ``with_ids`` adds the ids themselves."""
     def encode(batches):
-        enc = encoder(vocabulary)
+        encode_text = byte_bpe(vocabulary)
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = np.append(np.asarray(enc.encode_ordinary(text), dtype="<u4"), np.uint32(end_id)).astype("<u4")
+                ids = np.append(np.asarray(encode_text(text), dtype="<u4"), np.uint32(end_id)).astype("<u4")
                 for k, (a, b) in enumerate(_cut(ids, size)):
                     row = (doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()))
                     out.append(row + (ids[a:b].astype("i4"),) if with_ids else row)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specgrade.llm.common import whole_text
-from specgrade.llm.packing import VOCABULARY, encoder
+from specgrade.llm.encoding import VOCABULARY, byte_bpe
 
 SAFE = re.compile(r"(?<=[!-~À-ɏ]) (?=[!-~À-ɏ])")
 
@@ -108,17 +108,49 @@ class CountedText:
         return SAFE.match(self.text, at) is not None
 
 
+NUMBER = re.compile(r"[0-9][0-9 ().-]{5,}[0-9]")
+
+
+def mail_places(text: str) -> list[tuple[int, int]]:
+    """Runs without blanks and at signs on both sides of an at sign, found
+    from the at signs outwards."""
+    out, before, at = [], -1, None
+    ends = [m.start() for m in re.finditer(r"[\s@]", text)] + [len(text)] if "@" in text else []
+    for end in ends:
+        if at is not None and end > at + 1:
+            out.append((at, end, start))
+        at, start = (end, before + 1) if end < len(text) and text[end] == "@" and end > before + 1 else (None, None)
+        before = end
+    return [(start, end) for _, end, start in out]
+
+
 def masking_edits(text: str) -> list[tuple[int, int, str]]:
-    """Edits of a clean-up pass: mail addresses and long numbers are masked."""
-    return [(m.start(), m.end(), "[mail]" if "@" in m.group() else "[number]") for m in re.finditer(r"[^\s@]+@[^\s@]+|[0-9][0-9 ().-]{5,}[0-9]", text)] if re.search("[0-9@]", text) else []
+    """Edits of a clean-up pass: mail addresses and long numbers are masked,
+    the leftmost first, a mail address before a number."""
+    out, at, mails = [], 0, iter(mail_places(text))
+    mail, number = next(mails, None), NUMBER.search(text)
+    while mail or number:
+        # what an earlier edit took is no longer there to match
+        if mail and mail[0] < at:
+            sign = text.index("@", mail[0])
+            mail = (at, mail[1]) if at < sign else next(mails, None)
+        elif number and number.start() < at:
+            number = NUMBER.search(text, at)
+        elif mail and (not number or mail[0] <= number.start()):
+            out.append((*mail, "[mail]"))
+            at, mail = mail[1], next(mails, None)
+        else:
+            out.append((number.start(), number.end(), "[number]"))
+            at, number = number.end(), NUMBER.search(text, number.end())
+    return out
 
 
 def token_counts(docs: DataFrame, edits=masking_edits, vocabulary: str = VOCABULARY, leaf_chars: int = 256) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_edits, n_tokens_after,
     n_chars_after, reencoded_chars; ``edits`` gives the edits of a text."""
     def run(batches):
-        enc = encoder(vocabulary)
-        count = lambda s: len(enc.encode_ordinary(s))
+        encode = byte_bpe(vocabulary)
+        count = lambda s: len(encode(s))
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,9 +13,10 @@ from tokenizers import Tokenizer
 
 from specgrade.llm.exact_dedup import exact_dedup
 from specgrade.llm.line_dedup import line_dedup
-from specgrade.llm.packing import encoder, pack
+from specgrade.llm.encoding import byte_bpe
+from specgrade.llm.packing import pack
 from specgrade.llm.packing_plan import plan, reduce_dominated
-from specgrade.llm.token_counts import CountedText
+from specgrade.llm.token_counts import CountedText, masking_edits, token_counts
 from specgrade.llm.url_filter import url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, hash string, n long"
@@ -26,7 +28,7 @@ def table(spark, rows):
     return spark.createDataFrame([(i, t, None, None, None, "x", "y", 1) for i, t in rows], SCHEMA)
 
 
-EDGES = [(1, None), (2, ""), (3, "A b"), (4, "a B"), (4, "a B"), (None, "a b"), (5, "Ä"), (6, "ä"), (7, "word " * 30000), (8, "x\n\nX \n y"), (9, "x")]
+EDGES = [(10, "a <|endoftext|> b"), (1, None), (2, ""), (3, "A b"), (4, "a B"), (4, "a B"), (None, "a b"), (5, "Ä"), (6, "ä"), (7, "word " * 30000), (8, "x\n\nX \n y"), (9, "x")]
 
 
 def test_exact_dedup(spark):
@@ -95,7 +97,6 @@ def test_pack(spark):
     rows = EDGES + [(50 + i, "tok " * (i * 37 % 300)) for i in range(60)]
     got = pack(table(spark, rows), size=64, rows_per_group=7, with_ids=True).toPandas()
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = sorted((str(i), tuple(tok.encode(t or "", add_special_tokens=False).ids + [2])) for i, t in rows)
     whole = {}
     for r in got.itertuples():
@@ -116,17 +117,16 @@ def test_pack(spark):
 def test_same_ids_as_tokenizers(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     odd = ["<|endoftext|> a", "a\u00a0b \u3000 c", "\t\r\n x  y", "日本語 ١٢٣ ½", "it's we'll", "\x1c\x85 z"]
-    enc = encoder()
+    encode = byte_bpe()
     for t, e in zip(texts + odd, tok.encode_batch(texts + odd, add_special_tokens=False)):
-        assert enc.encode_ordinary(t) == e.ids
+        assert encode(t) == e.ids
 
 
 def test_edits_count_like_encoding_anew():
-    enc, rng = encoder(), np.random.default_rng(5)
-    count = lambda s: len(enc.encode_ordinary(s))
-    words = ["alpha", "beta,", "12 34", "it's", "  ", "\n", "Ünï", "x" * 40, "###"]
+    encode, rng = byte_bpe(), np.random.default_rng(5)
+    count = lambda s: len(encode(s))
+    words = ["<|endoftext|>", "alpha", "beta,", "12 34", "it's", "  ", "\n", "Ünï", "x" * 40, "###"]
     for size in (1, 8, 64):
         doc = CountedText(" ".join(rng.choice(words, 200)), count, size)
         for _ in range(60):
@@ -139,6 +139,32 @@ def test_edits_count_like_encoding_anew():
     assert empty.tree.tokens == count("new text")
 
 
+def test_masking_edits_as_one_pattern():
+    both, rng = re.compile(r"[^\s@]+@[^\s@]+|[0-9][0-9 ().-]{5,}[0-9]"), np.random.default_rng(6)
+    odd = ["", "@", "a@", "@b", "a@b@c", "a@b@c@d", "12 34567x@y", "1234567@x", "a@1234567 8", "x@y 12 (34) 56-78 z@w", "1234567x@y@z", "a@@b", "12345678 9@a@b"]
+    odd += ["".join(rng.choice(list("a1 @.-("), 40)) for _ in range(3000)]
+    for text in odd:
+        assert masking_edits(text) == [(m.start(), m.end(), "[mail]" if "@" in m.group() else "[number]") for m in both.finditer(text)], text
+    start = time.monotonic()
+    assert masking_edits("a" * 1_000_000 + "1") == [] and len(masking_edits(("b" * 500_000 + "@") * 2 + "c")) == 1
+    assert time.monotonic() - start < 10
+
+
+def test_token_counts_of_a_table(spark):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    count = lambda s: len(tok.encode(s, add_special_tokens=False).ids)
+    rows = EDGES + [(60, "mail a@b.c or 0123 456 789 now"), (61, "x" * 200_000 + "1"), (None, None)]
+    got = token_counts(table(spark, rows)).collect()
+    want = []
+    for i, t in rows:
+        edits, after = masking_edits(t or ""), t or ""
+        for a, b, new in reversed(edits):
+            after = after[:a] + new + after[b:]
+        want.append((str(i), count(t or ""), len(edits), count(after), len(after)))
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_edits, r.n_tokens_after, r.n_chars_after) for r in got) == sorted(want)
+    assert token_counts(table(spark, [])).count() == 0
+
+
 def test_url_filter(spark):
     rules = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
     urls = [None, "", "nourl", "http://", "HTTP://WWW.Example.COM/en/x", "http://a.example.com/en/1?x=1", "http://example.com/en", "http://badexample.com/en/", "x://q.net/es/?a", "x://net#f", "x://net/fr/", "http://é.org/ü", "x://a?b/en/"]
