@@ -26,9 +26,12 @@ NEAR = {"k": 5, "num": 80, "den": 100}
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line field rejects go."""
+    """Documents that the line field rejects go; columns named like its
+    results are kept as they came."""
     model = learn(docs, read(spark, sf_dir, "labels"))
-    return classify(docs, model).filter("predicted = 1").select(*docs.columns)
+    aside = {c: f"__own_{c}" for c in ("score", "predicted") if c in docs.columns}
+    kept = classify(docs.withColumnsRenamed(aside), model).filter("predicted = 1").drop("score", "predicted")
+    return kept.withColumnsRenamed({own: c for c, own in aside.items()}).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
