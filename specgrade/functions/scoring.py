@@ -62,8 +62,13 @@ def compression_ratio(summary_len, original_len, failed=None) -> Column:
 
 # ---------------------------------------------------------------- A13 / A14
 _NUM = r"([0-9]+(?:[.,][0-9]+)?)"
-COMPAT_PAIR_RE = rf"(?iU)A[^0-9\r\n\-:]*{_NUM}\D+B[^0-9\r\n\-:]*{_NUM}"
-COMPAT_LINE_RE = {L: rf"(?iU)(^|\n)\s*{L}[^0-9A-Za-z\r\n\-:]{{0,3}}{_NUM}(?:\s*/\s*[0-9]+)?" for L in "AB"}
+# ---- fixed values (must equal the reference for identical results) ----------
+COMPAT_PAIR_RE = r"(?iU)A[^0-9\r\n\-:]*([0-9]+(?:[.,][0-9]+)?)\D+B[^0-9\r\n\-:]*([0-9]+(?:[.,][0-9]+)?)"
+COMPAT_LINE_RE = {
+    "A": r"(?iU)(^|\n)\s*A[^0-9A-Za-z\r\n\-:]{0,3}([0-9]+(?:[.,][0-9]+)?)(?:\s*/\s*[0-9]+)?",
+    "B": r"(?iU)(^|\n)\s*B[^0-9A-Za-z\r\n\-:]{0,3}([0-9]+(?:[.,][0-9]+)?)(?:\s*/\s*[0-9]+)?",
+}
+# ------------------------------------------------------------------------------
 FIXED_RE = {L: rf"\b{L}\b\s*[-:(=]*\s*{_NUM}" for L in "AB"}
 
 
@@ -130,6 +135,16 @@ def parse_pair_scores(text, mode: str = "fixed", segments: dict | None = None) -
                   F.struct(*fields, *prefs, overall.alias("overall_pref")))
 
 
+def has_pair_scores(text) -> Column:
+    """Whether ``parse_pair_scores`` finds anything: in either mode a category
+    scores exactly when its segment holds two numbers, so this is the parse's
+    outcome at a fraction of its cost (A18)."""
+    found = F.lit(False)
+    for c in CATEGORIES:
+        found = found | (F.size(F.regexp_extract_all(F.coalesce(category_segment(text, c), F.lit("")), F.lit(_NUM), 1)) >= 2)
+    return found
+
+
 def ab_order(key, seed: int = 42) -> Column:
     """Reproducible 0/1 presentation order per row (1 = swapped), from
     the portable seeded mix so it does not depend on partitioning."""

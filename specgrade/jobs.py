@@ -34,6 +34,10 @@ INT_COLUMNS = ("instruction_number", "subset_size", "blog_1_id", "blog_2_id", "t
 DOUBLE_COLUMNS = ("similarity", "satisfaction_rate", "compression_ratio")
 
 
+# prompts whose answers are committed together
+SAVE_INTERVAL = 10_000
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".csv"):
         df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
@@ -59,30 +63,20 @@ def _side_path(output_path: str, name: str) -> str:
 
 
 def _responses(spark, requests: DataFrame, output_path: str, chat_fn=None, responses_path: str | None = None,
-               max_attempts: int = 3) -> DataFrame:
+               max_attempts: int = 3, save_interval: int = SAVE_INTERVAL, accept=None) -> DataFrame:
     """The stored answers to ``requests``.  Without an offline table the
     requests are stored beside the output, and every distinct prompt is asked
-    once per attempt; each attempt's answers are appended to a table beside
-    the output before anything reads them.  A rerun asks only what that table
-    does not answer yet."""
+    until an answer is accepted, batch by batch; each batch's answers are
+    committed to a ledger beside the output before the next is asked.  A rerun
+    asks only what the ledger does not answer yet."""
     if responses_path:
         return read_table(spark, responses_path)
     if chat_fn is None:
         raise ValueError("a model step needs chat_fn or an offline responses table")
-    asked_at, answered_at = _side_path(output_path, "requests"), _side_path(output_path, "responses")
+    asked_at = _side_path(output_path, "requests")
     requests.write.mode("overwrite").parquet(asked_at)
     asked = spark.read.parquet(asked_at)
-    prompts = I.by_prompt(asked)
-    for _ in range(max_attempts):
-        answered = SC.read_if_written(spark, answered_at)
-        todo = prompts if answered is None else I.retry_plan(prompts, answered, max_attempts)
-        if todo.isEmpty():
-            break
-        I.infer(todo, chat_fn, max_attempts=1).write.mode("append").parquet(answered_at)
-    answered = SC.read_if_written(spark, answered_at)
-    if answered is None:  # no request at all
-        answered = spark.createDataFrame([], I.RESPONSE_SCHEMA.replace("key bigint", "key string"))
-    return I.to_keys(asked, answered)
+    return I.to_keys(asked, I.answer_in_batches(asked, chat_fn, _side_path(output_path, "responses"), save_interval, max_attempts, accept))
 
 
 def parse_blogs(spark, input_path: str, output_path: str, min_len: int = 1000, max_len: int = 2000,
@@ -148,7 +142,8 @@ def expand_constraint_buckets(spark, input_path: str, output_path: str, sizes="7
 def generate_base(spark, input_path: str, output_path: str, key: str = "instruction_number",
                   task_col: str = "main_task", chat_fn=None, responses_path=None, model: str = "default") -> None:
     df = read_table(spark, input_path)
-    reqs = SG.base_requests(df, key, task_col, dedupe=True, model=model)
+    # a bucketed table has several rows per key, in the order of its buckets
+    reqs = SG.base_requests(df, key, task_col, dedupe="subset_size" in df.columns, model=model)
     write_table(SG.base_results(df, _responses(spark, reqs, output_path, chat_fn, responses_path), key, model), output_path)
 
 

@@ -13,9 +13,11 @@ import time
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specgrade.sources.ledger import BatchLedger, fingerprint
+
 REQUEST_SCHEMA = ("request_id string, stage string, key bigint, attempt int, model string, "
                   "messages array<struct<role:string,content:string>>, prompt_hash string")
 RESPONSE_SCHEMA = ("request_id string, key bigint, attempt int, text string, input_tokens bigint, "
@@ -49,13 +51,14 @@ def build_requests(df: DataFrame, stage: str, key: str, user_template: str, valu
 
 
 def dedupe_requests(requests: DataFrame) -> DataFrame:
-    """B2: one request per distinct prompt (smallest key wins); skew-safe
-    hash aggregate, so one very common prompt is one row per task before
-    the shuffle."""
-    others = [c for c in requests.columns if c != "prompt_hash"]
-    return (requests.groupBy("prompt_hash")
-                    .agg(F.min_by(F.struct(*others), F.col("key")).alias("r"))
-                    .select(*[F.col("r." + c).alias(c) for c in others], "prompt_hash"))
+    """B2: one request per distinct prompt (smallest key wins).  The aggregate
+    holds (prompt hash, key); the messages are fetched late, spread by both,
+    so one very common prompt is one row per task before the shuffle and no
+    group after it."""
+    first = requests.groupBy("prompt_hash").agg(F.min("key").alias("key"))
+    w = Window.partitionBy("prompt_hash", "key").orderBy("attempt", "request_id")
+    return (requests.join(first, ["prompt_hash", "key"], "left_semi").withColumn("_nth", F.row_number().over(w))
+            .filter("_nth = 1").select(*[c for c in requests.columns if c != "prompt_hash"], "prompt_hash"))
 
 
 def infer(requests: DataFrame, chat_fn: Callable, max_attempts: int = 3, retry_delay: float = 0.0) -> DataFrame:
@@ -101,10 +104,11 @@ def normalize_usage(responses: DataFrame, total_col: str | None = None) -> DataF
 
 
 def latest_attempt(responses: DataFrame, key: str = "key") -> DataFrame:
-    """Last attempt per key (hash aggregate with max_by)."""
-    cols = [c for c in responses.columns if c != key]
-    return (responses.groupBy(key).agg(F.max_by(F.struct(*cols), F.col("attempt")).alias("r"))
-                     .select(key, *[F.col("r." + c).alias(c) for c in cols]))
+    """Last attempt per key; the aggregate holds numbers, the row is fetched late."""
+    last = responses.groupBy(key).agg(F.max("attempt").alias("attempt"))
+    w = Window.partitionBy(key, "attempt").orderBy(F.col("error").isNotNull(), "request_id")
+    return (responses.join(last, [key, "attempt"], "left_semi").withColumn("_nth", F.row_number().over(w))
+            .filter("_nth = 1").select(key, *[c for c in responses.columns if c != key]))
 
 
 def by_prompt(requests: DataFrame) -> DataFrame:
@@ -118,14 +122,22 @@ def to_keys(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return asked.join(responses.withColumnRenamed("key", "prompt_hash"), "prompt_hash").drop("prompt_hash")
 
 
-def retry_plan(requests: DataFrame, responses: DataFrame, max_attempts: int = 3) -> DataFrame:
-    """Requests to (re)issue: keys never answered, and keys whose latest
-    attempt failed while attempts remain; successes are excluded."""
-    last = responses.groupBy("key").agg(
-        F.max("attempt").alias("_last"),
-        F.max_by(F.col("error").isNull(), F.col("attempt")).alias("_ok"))
+def _accepted(accept: Callable | None) -> Column:
+    """Whether an answer counts: it came without an error and, where a stage
+    parses it, ``accept(text)`` holds."""
+    good = F.col("error").isNull()
+    return good if accept is None else good & F.coalesce(accept(F.col("text")), F.lit(False))
+
+
+def retry_plan(requests: DataFrame, responses: DataFrame, max_attempts: int = 3, accept: Callable | None = None) -> DataFrame:
+    """Requests to (re)issue: keys never answered, and keys without an
+    accepted answer while attempts remain.  ``accept`` turns the answer's text
+    into a condition (a parse that must succeed); without it an answer
+    without an error is accepted."""
+    last = (responses.select("key", "attempt", _accepted(accept).alias("_ok")).groupBy("key")
+            .agg(F.max("attempt").alias("_last"), F.max(F.col("_ok").cast("int")).alias("_ok")))
     due = requests.join(last, "key", "left").filter(
-        F.col("_last").isNull() | (~F.col("_ok") & (F.col("_last") < max_attempts)))
+        F.col("_last").isNull() | ((F.col("_ok") == 0) & (F.col("_last") < max_attempts)))
     return (due.withColumn("attempt", F.coalesce(F.col("_last") + 1, F.lit(1)).cast("int"))
                .withColumn("request_id", F.concat_ws(":", F.col("stage"), F.col("key").cast("string"),
                                                      F.col("attempt").cast("string")))
@@ -133,23 +145,29 @@ def retry_plan(requests: DataFrame, responses: DataFrame, max_attempts: int = 3)
 
 
 def attach_responses(df: DataFrame, responses: DataFrame, key: str, out: str, default: Column | None = None,
-                     keep_usage: bool = True) -> DataFrame:
-    """Left-join the latest successful response per key; a row without
-    one gets ``default`` (the stage's failure value) and an ``error`` text.
-    Rows are never lost.  One aggregation per key finds both the latest
-    successful attempt and the latest error (a single shuffle of the
-    responses).  Response fields are joined under private names, so input
+                     keep_usage: bool = True, accept: Callable | None = None) -> DataFrame:
+    """Left-join one response per key: the latest accepted one, else the
+    latest that came without an error, else none; a row without one gets
+    ``default`` (the stage's failure value) and the latest ``error``.  Rows
+    are never lost.
+
+    The aggregate per key holds attempt numbers only; the answer's text is
+    fetched by (key, attempt) and shuffled once.  ``responses`` is read twice,
+    so it must be a stored table (the jobs store every answer), not a lazy
+    model call.  Response fields are joined under private names, so input
     columns such as ``text`` never collide; bookkeeping columns left by an
     earlier stage (``error``, token counts) are replaced."""
-    ok_attempt = F.when(F.col("error").isNull(), F.col("attempt"))  # null ordering values are skipped
-    last = responses.groupBy("key").agg(
-        F.max_by(F.struct(F.col("text").alias("t"), F.col("input_tokens").alias("i"),
-                          F.col("output_tokens").alias("o")), ok_attempt).alias("_sg_r"),
-        F.max(ok_attempt).alias("_sg_ok"),
-        F.max_by(F.col("error"), F.col("attempt")).alias("_sg_err"))
-    last = last.select(F.col("key").alias(key), F.col("_sg_ok").isNotNull().alias("_sg_ok"),
-                       F.col("_sg_r.t").alias("_sg_text"), F.col("_sg_r.i").alias("_sg_in"),
-                       F.col("_sg_r.o").alias("_sg_out"), "_sg_err")
+    good = F.col("error").isNull()
+    wanted = (responses.select("key", "attempt", good.alias("_good"), _accepted(accept).alias("_ok")).groupBy("key")
+              .agg(F.max(F.when(F.col("_ok"), F.col("attempt"))).alias("_acc"), F.max(F.when(F.col("_good"), F.col("attempt"))).alias("_good"),
+                   F.max("attempt").alias("_last"))
+              .select(F.col("key").alias("_sg_key"), F.coalesce("_acc", "_good", "_last").alias("_sg_want")))
+    met = responses.join(wanted, (F.col("key") == F.col("_sg_key")) & (F.col("attempt") == F.col("_sg_want")))
+    # an attempt answered twice counts once
+    w = Window.partitionBy("_sg_key", "_sg_want").orderBy(F.col("error").isNotNull(), "request_id", F.xxhash64("text"))
+    last = met.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").select(
+        F.col("_sg_key").alias(key), good.alias("_sg_ok"), F.col("text").alias("_sg_text"), F.col("input_tokens").alias("_sg_in"),
+        F.col("output_tokens").alias("_sg_out"), F.col("error").alias("_sg_err"))
     stale = [c for c in (out, "error", "tokens_used", "input_tokens", "output_tokens") if c in df.columns]
     j = df.drop(*stale).join(last, key, "left")
     ok = F.coalesce(F.col("_sg_ok"), F.lit(False))
@@ -157,13 +175,47 @@ def attach_responses(df: DataFrame, responses: DataFrame, key: str, out: str, de
     res = j.withColumns({
         out: F.when(ok, F.col("_sg_text")).otherwise(dflt),
         "error": F.when(~ok, F.coalesce(F.col("_sg_err"), F.lit("no response"))),
-        "input_tokens": F.coalesce(F.col("_sg_in"), F.lit(0)).cast("bigint"),
-        "output_tokens": F.coalesce(F.col("_sg_out"), F.lit(0)).cast("bigint"),
+        "input_tokens": F.when(ok, F.coalesce(F.col("_sg_in"), F.lit(0))).otherwise(0).cast("bigint"),
+        "output_tokens": F.when(ok, F.coalesce(F.col("_sg_out"), F.lit(0))).otherwise(0).cast("bigint"),
     }).withColumn("tokens_used", (F.col("input_tokens") + F.col("output_tokens")).cast("bigint"))
     res = res.drop("_sg_ok", "_sg_text", "_sg_in", "_sg_out", "_sg_err")
     return res if keep_usage else res.drop("input_tokens", "output_tokens")
 
 
+def answer_in_batches(requests: DataFrame, chat_fn: Callable, path: str, save_interval: int = 10_000, max_attempts: int = 3,
+                      accept: Callable | None = None) -> DataFrame:
+    """Ask every distinct prompt until an answer is accepted, three
+    times at most, ``save_interval`` prompts to a batch.  A batch's answers are
+    committed before the next batch is asked (``sources.ledger``): a run that
+    dies is continued by running it again, which asks the unfinished batch and
+    those after it.  Returns the stored answers, keyed by prompt hash.
+
+    ``requests`` is a stored table; a prompt's batch follows from its hash and
+    the number of prompts, and a batch's name holds the fingerprint of the
+    prompts it asks, so other requests under the same path never replace
+    answers."""
+    spark = requests.sparkSession
+    ledger = BatchLedger(spark, path)
+    prompts = by_prompt(requests)
+    n = requests.select("prompt_hash").distinct().count()
+    part = F.pmod(F.xxhash64("prompt_hash"), F.lit(max(1, -(-n // save_interval)))).cast("int")
+    for _ in range(max_attempts):
+        answered = ledger.read()
+        due = (prompts.withColumn("attempt", F.lit(1)) if answered is None else retry_plan(prompts, answered, max_attempts, accept)).withColumn("_part", part)
+        # one row per batch of the earliest attempt that is due
+        plan = fingerprint(due, "prompt_hash", by=["attempt", "_part"]).orderBy("attempt", "_part").collect()
+        if not plan:
+            break
+        for batch in (b for b in plan if b["attempt"] == plan[0]["attempt"]):
+            name = f"{batch['attempt']}-{batch['_part']}-{batch['fingerprint']}"
+            asked = due.filter((F.col("attempt") == batch["attempt"]) & (F.col("_part") == batch["_part"])).drop("_part")
+            ledger.write(name, infer(asked, chat_fn, max_attempts=1))
+    answered = ledger.read()
+    if answered is None:  # no request at all
+        return spark.createDataFrame([], RESPONSE_SCHEMA.replace("key bigint", "key string"))
+    return answered.drop("batch")
+
+
 def stamp_output(df: DataFrame, model: str) -> DataFrame:
     """model_used and timestamp on every stage row."""
     return df.withColumns({"model_used": F.lit(model), "timestamp": F.current_timestamp()})

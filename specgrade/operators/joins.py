@@ -1,16 +1,17 @@
 """Key joins, first-row dedupe, replication and positional pairing.
 
-Dedupe uses ``min_by`` in a hash aggregate rather than a window: partial
-aggregation collapses every key to one row per task *before* the shuffle,
-so a key holding a third of all rows costs no more than any other key.
+Dedupe aggregates (key, order, row hash) alone and fetches the rows it picked
+by their hash: texts are in no aggregate, and since rows meet by row hash, not
+by key, a key holding a third of all rows costs no more than any other.
 """
 
 from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from specgrade.operators.corpus import assign_row_number
 from specgrade.operators.quality import require_columns
@@ -58,17 +59,34 @@ def _suffixed_join(left: DataFrame, right: DataFrame, on: str, suffixes: tuple[s
     return left.select(*lsel).join(right.select(*rsel), on, how)
 
 
-def dedupe_first(df: DataFrame, key: str, order: str | list[str]) -> DataFrame:
-    """First row per key in ``order`` (explicit; input order does not
-    exist in a distributed table).  Rows that ``order`` leaves tied go by
-    their other columns, left to right, so the row is the same on any
-    partitioning.  A partial aggregate leaves one row per key and task
-    before the shuffle."""
+def _hashable(df: DataFrame) -> list:
+    """The columns as values that can be hashed: a map as its sorted entries."""
+    return [F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, MapType) else F.col(f.name) for f in df.schema.fields]
+
+
+def dedupe_first(df: DataFrame, key: str | list[str], order: str | list[str] | None) -> DataFrame:
+    """First row per key in ``order``, which must be stated (input order
+    does not exist in a distributed table).  Rows that ``order`` leaves tied
+    go by a hash of the whole row, so the row is the same on any partitioning.
+
+    The aggregate holds (key, order, hash); the rows it picked are found again
+    by their 128-bit hash in a semi join that shuffles each row once, spread
+    by hash, and of rows equal in every column one stays."""
+    keys = [key] if isinstance(key, str) else key
     order = [order] if isinstance(order, str) else order
-    others = [c for c in df.columns if c != key]
-    first = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order) if c != key], *[F.col(c) for c in others])
-    picked = df.groupBy(key).agg(F.min(first).alias("_sg_row"))
-    return picked.select(key, *[F.col("_sg_row." + c).alias(c) for c in others]).select(*df.columns)
+    if not order:
+        raise ValueError(f"which row of {keys} is the first? state the columns of its order")
+    marked = df.withColumns({f"_sg_h{s}": F.xxhash64(F.lit(s), *_hashable(df)) for s in (1, 2)})
+    first = F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], "_sg_h1", "_sg_h2")).alias("_sg_first")
+    picked = marked.groupBy(*keys).agg(first).select("_sg_first._sg_h1", "_sg_first._sg_h2")
+    w = Window.partitionBy("_sg_h1", "_sg_h2").orderBy("_sg_h1")
+    return (marked.join(picked, ["_sg_h1", "_sg_h2"], "left_semi")
+            .withColumn("_sg_nth", F.row_number().over(w)).filter("_sg_nth = 1").select(*df.columns))
+
+
+def default_order(df: DataFrame, order: str | list[str] | None) -> str | list[str] | None:
+    """The order of a bucketed table is its buckets'."""
+    return order or ("subset_size" if "subset_size" in df.columns else None)
 
 
 def duplicate_count(df: DataFrame, key: str) -> DataFrame:
@@ -87,6 +105,9 @@ def join_constraints_base(constraints: DataFrame, base: DataFrame, key: str = "i
     require_columns(constraints, [key])
     require_columns(base, [key])
     if dedupe_right:
+        order = default_order(base, order)
+        if order is None:
+            warnings.warn(f"no order of the base rows of a {key} is stated: one is taken by its hash")
         base = dedupe_first(base, key, order or key)
     return _suffixed_join(constraints, base, key, ("_constraint", "_base"))
 
@@ -98,11 +119,25 @@ def join_three(constraints: DataFrame, base: DataFrame, evaluation: DataFrame,
     return _suffixed_join(first, evaluation, key, ("", "_eval"))
 
 
-def replicate_left(df: DataFrame, generated: DataFrame, key: str, cols: list[str]) -> DataFrame:
+def replicate_left(df: DataFrame, generated: DataFrame, key: str, cols: list[str], heavy: int = 1024) -> DataFrame:
     """Values generated once per key, replicated to every row of ``df``
     (left join: rows without a generated value keep nulls).  Columns of
-    ``df`` with the same names are replaced by the generated ones."""
-    return df.drop(*[c for c in cols if c in df.columns]).join(generated.select(key, *cols), key, "left")
+    ``df`` with the same names are replaced by the generated ones.
+
+    Keys that hold more than 1/``heavy`` of all rows (counted; fewer than
+    ``heavy``) are dealt over parts, and their generated row is sent to each
+    part, so one key is never one task."""
+    rows = df.drop(*[c for c in cols if c in df.columns])
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    hot = (rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * heavy > total)
+           .select(F.col(key).alias("_hot"), F.ceil(F.col("_n") * heavy / total).cast("int").alias("_parts")))  # < heavy rows
+
+    def dealt(side: DataFrame) -> DataFrame:
+        return side.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1))).drop("_hot")
+
+    left = dealt(rows).withColumn("_part", F.pmod(F.xxhash64(*_hashable(rows)), F.col("_parts")).cast("int")).drop("_parts")
+    right = dealt(generated.select(key, *cols)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return left.join(right, [key, "_part"], "left").drop("_part")
 
 
 def join_pruned(left: DataFrame, right: DataFrame, key: str, right_cols: list[str]) -> DataFrame:
@@ -110,18 +145,33 @@ def join_pruned(left: DataFrame, right: DataFrame, key: str, right_cols: list[st
     return left.join(right.select(key, *right_cols), key, "inner")
 
 
+def _positions(df: DataFrame, order: list[str]) -> DataFrame:
+    """(hashes of a row, its position in ``order``): only the order columns
+    and the row's hash are sorted and written, not the row."""
+    slim = df.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], "_sg_h1", "_sg_h2")
+    return assign_row_number(slim, [f"_o{i}" for i in range(len(order))] + ["_sg_h1", "_sg_h2"], out="_sg_pos").select("_sg_h1", "_sg_h2", "_sg_pos")
+
+
 def zip_join(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str],
              warn: bool = True) -> DataFrame:
     """Positional pairing (row i with row i), truncated to the shorter
-    side.  Positions come from the distributed numbering F16 on each side,
-    then an equi-join on the position."""
-    a = assign_row_number(left, left_order, out="_sg_pos")
-    b = assign_row_number(right, right_order, out="_sg_pos")
+    side.  The distributed numbering F16 sorts the order columns and a row
+    hash of each side; the positions meet first, and the rows are fetched by
+    their 128-bit hashes."""
     if warn:
         na, nb = left.count(), right.count()
         if na != nb:
             warnings.warn(f"zip_join: length mismatch {na} vs {nb}; truncating to {min(na, nb)}")
-    return a.join(b, "_sg_pos", "inner").withColumnRenamed("_sg_pos", "position")
+    marks = ["_sg_h1", "_sg_h2"]
+    w = Window.partitionBy(*marks).orderBy("_sg_h1")
+    rows, positions = [], []
+    for side, df, order in (("l", left, left_order), ("r", right, right_order)):
+        marked = df.withColumns({f"_sg_h{s}": F.xxhash64(F.lit(s), *_hashable(df)) for s in (1, 2)})
+        positions.append(_positions(marked, order).withColumnsRenamed({m: m + side for m in marks}))
+        one = marked.withColumn("_sg_nth", F.row_number().over(w)).filter("_sg_nth = 1")
+        rows.append(one.select(F.struct(*df.columns).alias(f"_sg_{side}"), *[F.col(m).alias(m + side) for m in marks]))
+    met = positions[0].join(positions[1], "_sg_pos").join(rows[0], [m + "l" for m in marks]).join(rows[1], [m + "r" for m in marks])
+    return met.select(F.col("_sg_pos").alias("position"), "_sg_l.*", "_sg_r.*")
 
 
 def resolve_column(df: DataFrame, name: str, suffixes=("_constraint", "_base"), default: str | None = None):

@@ -94,15 +94,19 @@ def common_constraints_requests(pairs: DataFrame, key: str, col1: str = "blog_1_
 
 # B8 ----------------------------------------------------------------------
 def base_requests(df: DataFrame, key: str = "instruction_number", task_col: str = "main_task",
-                  dedupe: bool = True, model: str = "default") -> DataFrame:
-    src = J.dedupe_first(df.select(key, task_col), key, key) if dedupe else df
+                  dedupe: bool = True, model: str = "default", order: str | list[str] | None = None) -> DataFrame:
+    """``dedupe``: one request per key, of its first row by ``order`` (the
+    buckets' order where the table has them)."""
+    order = J.default_order(df, order)
+    names = list(dict.fromkeys([key, task_col, *([order] if isinstance(order, str) else order or [])]))
+    src = J.dedupe_first(df.select(*names), key, order) if dedupe else df
     return I.build_requests(src, "base", key, TEMPLATES["base"], {"main_task": task_col}, model=model)
 
 
 def base_results(df: DataFrame, responses: DataFrame, key: str = "instruction_number",
                  model: str = "default") -> DataFrame:
     """Generate once per key, replicate to every row of ``df``."""
-    once = J.dedupe_first(df.select(key), key, key)
+    once = df.select(key).distinct()
     gen = I.attach_responses(once, responses, key, "base_content", F.lit(""))
     gen = gen.withColumn("content_length", char_length("base_content"))
     return I.stamp_output(J.replicate_left(df, gen, key, ["base_content", "content_length", "tokens_used", "error"]),
@@ -112,10 +116,11 @@ def base_results(df: DataFrame, responses: DataFrame, key: str = "instruction_nu
 # B9 / B10 ----------------------------------------------------------------
 def fit_requests(constraints: DataFrame, base: DataFrame, key: str = "instruction_number",
                  constraint_col: str = "constraints", base_col: str = "base_content",
-                 model: str = "default", dedupe_right: bool = True, response_key: str | None = None) -> DataFrame:
-    """B9 requests; ``response_key`` keys one request per constraint row when
+                 model: str = "default", dedupe_right: bool = True, response_key: str | None = None,
+                 order: str | list[str] | None = None) -> DataFrame:
+    """B9 requests; of several base rows of a key the first by ``order`` counts; ``response_key`` keys one request per constraint row when
     that side has several rows per key (buckets)."""
-    j = J.join_constraints_base(constraints, base, key, dedupe_right)
+    j = J.join_constraints_base(constraints, base, key, dedupe_right, order)
     j = j.withColumns({"_task": J.resolve_column(j, "main_task"), "_cons": J.resolve_column(j, constraint_col),
                        "_base": J.resolve_column(j, base_col)})
     return I.build_requests(j, "fit", response_key or key, TEMPLATES["fit"],
@@ -124,10 +129,10 @@ def fit_requests(constraints: DataFrame, base: DataFrame, key: str = "instructio
 
 def fit_results(constraints: DataFrame, base: DataFrame, responses: DataFrame, key: str = "instruction_number",
                 constraint_col: str = "constraints", base_col: str = "base_content", model: str = "default",
-                dedupe_right: bool = True, response_key: str | None = None) -> DataFrame:
+                dedupe_right: bool = True, response_key: str | None = None, order: str | list[str] | None = None) -> DataFrame:
     """B9; a failed row has an empty text and 0 constraints.  ``response_key`` names a per-row request key when the constraint
     side has several rows per key (buckets)."""
-    j = J.join_constraints_base(constraints, base, key, dedupe_right)
+    j = J.join_constraints_base(constraints, base, key, dedupe_right, order)
     j = j.withColumns({"main_task": J.resolve_column(j, "main_task"),
                        "_cons": J.resolve_column(j, constraint_col), "_base": J.resolve_column(j, base_col)})
     rk = response_key or key
@@ -290,7 +295,9 @@ def pairwise_requests(left: DataFrame, right: DataFrame, left_order: list[str],
 
 def pairwise_results(pairs: DataFrame, responses: DataFrame, key: str = "position", mode: str = "fixed",
                      model: str = "default") -> DataFrame:
-    r = I.attach_responses(pairs, responses, key, "evaluations_raw", F.lit(None).cast("string"))
+    """The accepted answer is the one whose scores parse (A18: a pair is
+    flagged only when none of its attempts does; its last answer is kept)."""
+    r = I.attach_responses(pairs, responses, key, "evaluations_raw", F.lit(None).cast("string"), accept=S.has_pair_scores)
     cols = [f"{c}_score_{x}" for c in ("grammar", "coherence", "likability") for x in "AB"]
     cols += [f"{c}_pref" for c in ("grammar", "coherence", "likability", "overall")]
     out = S.with_pair_scores(r, "evaluations_raw", mode, "_p").select("*", *[F.col("_p." + c).alias(c) for c in cols],

@@ -41,7 +41,7 @@ def join_fit(spark, sf):
     """Bucketed constraints x base replicated to the same buckets, right
     side deduped per key (one output row per constraint row)."""
     base5 = _base(spark, sf).join(_bucketed(spark, sf), "instruction_number")  # base replicated 5x per key
-    j = J.join_constraints_base(_bucketed(spark, sf), base5.drop("subset_size"), dedupe_right=True)
+    j = J.join_constraints_base(_bucketed(spark, sf), base5.drop("subset_size"), dedupe_right=True, order="content_length")
     return j.select("instruction_number", "subset_size", "content_length")
 
 

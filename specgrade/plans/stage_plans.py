@@ -4,6 +4,8 @@ terms), plus the stage-table quality checks that need them (V4-V6, V12-V13)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from specgrade.functions import lists as L
@@ -20,6 +22,8 @@ from specgrade.plans.sqlparts import (CONSTRAINTS_TEXT, DOC_LINES, TASK_RESPONSE
                                       parse_numbered_sql, word_count_sql)
 from specgrade.plans.tables import (constraints_text, numbered_lines, pair_eval_text, satisfaction_text, table,
                                     task_responses)
+from specgrade.session import ensure_checkpoint_dir
+from specgrade.sources.ledger import BatchLedger
 
 
 # B5 ----------------------------------------------------------------------
@@ -187,7 +191,7 @@ def _fit_stage(spark, sf):
                 .select("request_key", F.concat_ws("\n\n", "constraints", "base_content").alias("text"),
                         F.when(F.col("instruction_number") % 17 == 0, F.lit("Timeout")).alias("error")))
     resp = I.offline_responses(answers, "request_key", "text", "error", stage="fit")
-    return SG.fit_results(b, base, resp, "instruction_number", response_key="request_key")
+    return SG.fit_results(b, base, resp, "instruction_number", response_key="request_key", order="main_task")
 
 
 _SEL = "coalesce(array_to_string(list_transform(items[1:size], lambda x, i: i || '. ' || x), chr(10)), '')"
@@ -351,6 +355,46 @@ def pairwise_stage(spark, sf):
                                              "grammar_score_B", "overall_pref")
 
 
+# Attempts decided by the parse ------------------------------
+def _pairwise_answers(spark, sf):
+    """Answers of three attempts: by doc_id % 4 the first, second, third or
+    none of them has scores; attempt 1 of every 11th fails in transport."""
+    ev = pair_eval_text(spark, sf).filter(F.col("instruction_number") % 7 != 6)  # layouts with scores
+    a = F.explode(F.sequence(F.lit(1), F.lit(3))).alias("attempt")
+    rows = ev.select(F.col("instruction_number").alias("key"), "evaluation", a)
+    parses = F.col("key") % 4 == F.col("attempt") - 1
+    failed = (F.col("attempt") == 1) & (F.col("key") % 11 == 0)
+    return rows.select(F.concat_ws(":", F.lit("pairwise"), F.col("key").cast("string"), F.col("attempt").cast("string")).alias("request_id"), "key", "attempt",
+                       F.when(~failed, F.when(parses, F.col("evaluation")).otherwise(F.concat(F.lit("Attempt "), F.col("attempt").cast("string")))).alias("text"),
+                       F.lit(1).cast("bigint").alias("input_tokens"), F.col("attempt").cast("bigint").alias("output_tokens"),
+                       F.when(failed, F.lit("RateLimitError")).alias("error"))
+
+
+@query("pairwise_retry", """
+WITH k AS (SELECT doc_id AS key, doc_id % 4 AS r, doc_id % 11 = 0 AS failed FROM documents WHERE doc_id % 7 <> 6),
+a AS (SELECT *, CASE WHEN r = 3 OR (r = 0 AND failed) THEN NULL ELSE r + 1 END AS parsed FROM k)
+SELECT key, CAST(coalesce(parsed, 3) AS INTEGER) AS attempts, CASE WHEN parsed IS NULL THEN 1 ELSE 0 END AS needs_parsing,
+       CASE WHEN parsed IS NULL THEN 'Attempt 3' END AS raw, CAST(1 + coalesce(parsed, 3) AS BIGINT) AS evaluation_tokens FROM a
+""")
+def pairwise_retry(spark, sf):
+    """A18+B3+B15: an answer without scores is asked again, three attempts at
+    most, then flagged with its last answer; one that parses is never asked
+    again.  The answers are an offline table, read round by round as the
+    retry plan asks."""
+    offline = _pairwise_answers(spark, sf)
+    pairs = offline.select("key").distinct()
+    reqs = I.build_requests(pairs, "pairwise", "key", "{k}", {"k": "key"})
+    ledger = BatchLedger(spark, ensure_checkpoint_dir(spark).rstrip("/") + f"/specgrade-retry-{uuid.uuid4().hex}")
+    for attempt in (1, 2, 3):
+        seen = ledger.read()
+        due = reqs if seen is None else I.retry_plan(reqs, seen, 3, accept=S.has_pair_scores)
+        ledger.write(str(attempt), offline.join(due.select("key", "attempt"), ["key", "attempt"], "left_semi"))
+    seen = ledger.read()
+    asked = seen.groupBy("key").agg(F.max("attempt").alias("attempts"))
+    out = SG.pairwise_results(pairs, seen, "key").join(asked, "key")
+    return out.select("key", "attempts", "needs_parsing", F.when(F.col("needs_parsing") == 1, F.col("evaluations_raw")).alias("raw"), "evaluation_tokens")
+
+
 @query("unswap_scores", f"""
 SELECT position, CASE WHEN "order" = 1 THEN grammar_score_B ELSE grammar_score_A END AS grammar_first,
        CASE WHEN "order" = 1 THEN grammar_score_A ELSE grammar_score_B END AS grammar_second

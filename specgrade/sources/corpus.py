@@ -82,11 +82,12 @@ def resume_todo(src: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return src.join(done.select(key).distinct(), key, "left_anti")
 
 
-def read_if_written(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
+def read_if_written(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame | None:
     """The table at ``path``, None where nothing is written yet; any other
     failure to read is raised."""
     try:
-        return spark.read.format(fmt).load(path)
+        reader = spark.read.format(fmt)
+        return (reader.schema(schema) if schema else reader).load(path)
     except AnalysisException as e:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
