@@ -103,17 +103,56 @@ def host_suffixes(host) -> Column:
                        lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
 
 
+# a bitmap of the native bitmap functions has this many bits
+BITMAP_BITS = 32768
+MAX_BITMAPS = 1024  # 4 MB of bitmaps at most
+
+
+def domain_bitmaps(domains: DataFrame, n_domains: int) -> tuple[DataFrame, int]:
+    """(bucket, bits): one-hash Bloom filter of the column ``_sg_sfx``, about 16 bits a
+    domain, MAX_BITMAPS bitmaps at most, and the number of its bits."""
+    bitmaps = max(1, min(MAX_BITMAPS, -(-16 * n_domains // BITMAP_BITS)))
+    place = _bitmap_place(bitmaps)
+    made = domains.groupBy(F.bitmap_bucket_number(place).alias("_sg_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_sg_bits"))
+    return made, bitmaps
+
+
+def _bitmap_place(bitmaps: int) -> Column:
+    """The place of a suffix among all bits, from 1."""
+    return F.pmod(F.xxhash64("_sg_sfx"), F.lit(bitmaps * BITMAP_BITS)) + 1
+
+
+def suffix_candidates(df: DataFrame, domains: DataFrame, key: str, url: str = "url", domain_col: str = "domain") -> DataFrame:
+    """(key, _sg_sfx) for the host suffixes that may be listed domains.  The
+    domains' Bloom filter (a broadcast of at most 4 MB) is asked map side, so
+    a suffix that is no domain, such as the one most hosts end with, is gone
+    before anything is shuffled but for the filter's few false hits."""
+    dom = domains.select(F.lower(F.col(domain_col)).alias("_sg_sfx"))
+    bitmaps, n = domain_bitmaps(dom, dom.count())
+    sfx = df.select(key, F.explode(host_suffixes(url_host(url))).alias("_sg_sfx")).withColumn("_sg_at", _bitmap_place(n))
+    bit = F.bitmap_bit_position("_sg_at")
+    byte = F.conv(F.hex(F.substring("_sg_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
+    met = sfx.join(F.broadcast(bitmaps), F.bitmap_bucket_number("_sg_at") == F.col("_sg_bucket"))
+    return met.filter(F.getbit(byte, F.pmod(bit, F.lit(8)).cast("int")) == 1).select(key, "_sg_sfx")
+
+
 def blog_domain_semi(df: DataFrame, domains: DataFrame, key: str, url: str = "url",
-                     domain_col: str = "domain") -> DataFrame:
+                     domain_col: str = "domain", heavy: int = 1024) -> DataFrame:
     """F2 for long domain lists: rows whose host equals or is a subdomain of
     any entry of ``domains`` (``key`` must identify a row of ``df``).
 
-    Each row explodes into its few host suffixes (bounded by the number of
-    labels in a host) and meets the domain table in an equi-join, so the
-    cost is linear in both inputs, with no regex alternation over the list.
-    Only (key, suffix) pairs are shuffled, never the wide rows.
-    """
-    sfx = df.select(key, F.explode(host_suffixes(url_host(url))).alias("_sg_sfx"))
+    Each row's few host suffixes are first put to the domains' Bloom filter
+    (``suffix_candidates``); what passes meets the domain table in an
+    equi-join, linear in both inputs, with no regex alternation over the list.
+    Suffixes that over 1/``heavy`` of the candidates share (counted; fewer
+    than ``heavy``) are settled map side, so a listed domain of most hosts is
+    no hot key.  Only (key, suffix) pairs are shuffled, never the wide rows."""
+    found = suffix_candidates(df, domains, key, url, domain_col)
     dom = domains.select(F.lower(F.col(domain_col)).alias("_sg_sfx")).distinct()
-    hits = sfx.join(dom, "_sg_sfx", "left_semi").select(key)
+    total = found.agg(F.count(F.lit(1))).scalar()
+    often = found.groupBy("_sg_sfx").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") * heavy > total).select("_sg_sfx")
+    common = often.join(dom, "_sg_sfx", "left_semi")
+    hits = (found.join(F.broadcast(common), "_sg_sfx", "left_semi")
+            .unionByName(found.join(F.broadcast(often), "_sg_sfx", "left_anti").join(dom, "_sg_sfx", "left_semi"))).select(key)
     return df.join(hits, key, "left_semi")

@@ -18,6 +18,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from specgrade.functions import text as T
 from specgrade.operators import corpus as C
 from specgrade.operators import features as FE
 from specgrade.operators import inference as I
@@ -83,12 +84,22 @@ def parse_blogs(spark, input_path: str, output_path: str, min_len: int = 1000, m
                 glob: str = "*.jsonl") -> DataFrame:
     """Corpus dumps (JSON lines, optionally compressed) -> raw_blogs; returns
     the per-file / total counts of all lines, malformed ones too, and of kept
-    ones."""
-    good, _ = SC.read_corpus_jsonl(spark, input_path, glob=glob)
-    write_table(C.parse_corpus(good, min_len, max_len), output_path)
-    every = SC.read_corpus_lines(spark, input_path, glob).withColumn("url", F.col("metadata.url"))
-    kept = F.col("_corrupt_record").isNull() & C.corpus_kept(min_len, max_len)
-    return C.ingest_stats(every, "file", kept)
+    ones.
+
+    The dumps are parsed once, into a table beside the output with one row a
+    line by ``kind``: a kept line's columns, a malformed line's text, of other
+    lines the file alone.  The output and the counts are read from it."""
+    every = SC.read_corpus_lines(spark, input_path, glob).withColumns({"url": F.col("metadata.url"), "line": F.col("_corrupt_record")})
+    bad = F.col("line").isNotNull()
+    every = every.withColumn("kind", F.when(bad, "bad").when(C.corpus_kept(min_len, max_len), "kept").otherwise("dropped"))
+    norm = T.normalize_text("text")
+    values = {c: F.col(c) for c in ("id", "url", "created", "added", "source")} | {"text": norm, "text_length": T.char_length(norm)}
+    lines = every.select("kind", "file", "line", *[F.when(F.col("kind") == "kept", values[c]).alias(c) for c in C.RAW_BLOG_COLUMNS])
+    at = _side_path(output_path, "lines")
+    lines.write.mode("overwrite").partitionBy("kind").parquet(at)
+    held = spark.read.schema(lines.schema).parquet(at)
+    write_table(held.filter("kind = 'kept'").select(*C.RAW_BLOG_COLUMNS), output_path)
+    return C.ingest_stats(held.select("file", "kind"), "file", F.col("kind") == "kept")
 
 
 def find_blog_pairs(spark, input_path: str, output_path: str, max_size: int | None = None, max_pairs: int = 25,

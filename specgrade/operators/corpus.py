@@ -31,18 +31,22 @@ def filter_length_band(df: DataFrame, min_len: int = 0, max_len: int | None = No
     return df.filter(in_band(F.col(length_col), min_len, max_len))
 
 
-def require_nonempty(df: DataFrame, *cols: str) -> DataFrame:
-    """drop rows where any of ``cols`` is null or the empty string."""
+def nonempty(*cols: str) -> Column:
+    """Whether none of ``cols`` is null or the empty string."""
     cond = F.lit(True)
     for c in cols:
         cond = cond & (F.coalesce(F.col(c), F.lit("")) != "")
-    return df.filter(cond)
+    return cond
+
+
+def require_nonempty(df: DataFrame, *cols: str) -> DataFrame:
+    """drop rows where any of ``cols`` is null or the empty string."""
+    return df.filter(nonempty(*cols))
 
 
 def corpus_kept(min_len: int = 0, max_len: int | None = None, url: str = "url", text: str = "text") -> Column:
     """F10's condition: a url of a blog page and a text of fitting length."""
-    present = (F.coalesce(F.col(url), F.lit("")) != "") & (F.coalesce(F.col(text), F.lit("")) != "")
-    return F.coalesce(present & in_band(char_length(normalize_text(text)), min_len, max_len)
+    return F.coalesce(nonempty(url, text) & in_band(char_length(normalize_text(text)), min_len, max_len)
                       & blog_reason(url).isNotNull(), F.lit(False))
 
 
@@ -58,8 +62,7 @@ def parse_corpus(df: DataFrame, min_len: int = 0, max_len: int | None = None,
     for c in ("id", "created", "added", "source"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
-    out = (df.filter((F.coalesce(F.col(url), F.lit("")) != "")
-                     & (F.coalesce(F.col(text), F.lit("")) != ""))
+    out = (require_nonempty(df, url, text)
              .withColumn("_sg_norm", norm)
              .withColumn("text_length", char_length("_sg_norm"))
              .filter(in_band(F.col("text_length"), min_len, max_len)))

@@ -12,7 +12,8 @@ from specgrade.plans.tables import table
 from specgrade.session import ensure_checkpoint_dir
 from specgrade.sources import corpus as SC
 from specgrade.sources import usage_log as UL
-from specgrade.streaming.usage import usage_totals_stream
+from specgrade.sources.feature_table import FeatureTable
+from specgrade.streaming.usage import read_usage_totals, usage_totals_stream
 
 _ROLLUP = """
 SELECT event_type AS provider, CAST(sum(floor(value)) AS BIGINT) AS tokens, count(*) AS calls
@@ -77,7 +78,7 @@ def usage_stream_rollup(spark, sf):
     UL.usage_lines(table(spark, sf, "events")).write.mode("overwrite").text(base + "/in")
     q = usage_totals_stream(spark, base + "/in", base + "/out", base + "/ckpt")
     q.awaitTermination()
-    return spark.read.parquet(base + "/out")
+    return read_usage_totals(spark, base + "/out")
 
 
 def _scratch(spark, name):
@@ -132,6 +133,44 @@ def classify_stream(spark, sf):
     return spark.read.parquet(base + "/out").drop("created", "added")
 
 
+@query("classify_stream_quarantine", f"""
+SELECT 'kept' AS kind, id, text_length, CAST(NULL AS BIGINT) AS line_length FROM ({_parse_corpus_sql("AND doc_id % 50 <> 0")})
+UNION ALL SELECT 'bad', NULL, NULL, 20 FROM documents WHERE doc_id % 50 = 0
+""")
+def classify_stream_quarantine(spark, sf):
+    """F18+S1: the same dumps as one stream with two results: kept rows, and
+    the malformed lines with their file."""
+    from specgrade.streaming import usage as U
+    base = _jsonl_corpus(spark, sf)
+    U.classify_stream_quarantine(spark, base + "/in/dump", base + "/out", base + "/ckpt", 1000, 2000, max_files_per_trigger=1).awaitTermination()
+    kept = U.read_classified(spark, base + "/out").select(F.lit("kept").alias("kind"), "id", "text_length", F.lit(None).cast("bigint").alias("line_length"))
+    bad = U.read_quarantine(spark, base + "/out").filter("file IS NOT NULL")
+    return kept.unionByName(bad.select(F.lit("bad").alias("kind"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("bigint").alias("text_length"),
+                                       F.length("line").cast("bigint").alias("line_length")))
+
+
+@query("feature_states", """
+WITH before AS (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 11 = 0 THEN ' (draft)' ELSE '' END AS text FROM documents WHERE doc_id % 7 <> 0),
+d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT d.doc_id, d.text, CASE WHEN b.doc_id IS NULL THEN 'new' WHEN b.text = d.text THEN 'unchanged' ELSE 'changed' END AS state
+      FROM d LEFT JOIN before b USING (doc_id))
+SELECT doc_id, sha256(text) AS text_hash, state, state <> 'unchanged' AND text NOT IN (SELECT text FROM before) AS computed,
+       CAST(length(text) AS BIGINT) AS n_chars FROM s
+""")
+def feature_states(spark, sf):
+    """A feature table filled from an earlier state of the documents (every
+    7th not there yet, every 11th a draft) and updated: new, changed and
+    unchanged rows, and whose text had to be computed."""
+    from specgrade.functions.text import char_length
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    draft = F.when(F.col("doc_id") % 11 == 0, F.lit(" (draft)")).otherwise("")
+    before = docs.filter(F.col("doc_id") % 7 != 0).withColumn("text", F.concat(F.coalesce("text", F.lit("")), draft))
+    features = FeatureTable(spark, _scratch(spark, "features"), "lengths", {"unit": "code points"})
+    lengths = lambda texts: texts.select("text_hash", char_length("text").alias("n_chars"))
+    features.update(before, "doc_id", lengths)
+    return features.update(docs, "doc_id", lengths)
+
+
 @query("ingest_gz", _parse_corpus_sql("AND doc_id % 50 <> 0"))
 def ingest_gz(spark, sf):
     """Gzip-compressed dumps read directly (no unpack step), then F10."""

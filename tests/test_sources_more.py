@@ -12,7 +12,7 @@ from specgrade.operators import features as FE
 from specgrade.plans.catalog import QUERIES
 from specgrade.sources import corpus as SC
 from specgrade.sources import usage_log as UL
-from specgrade.streaming.usage import usage_totals_stream
+from specgrade.streaming.usage import read_usage_totals, usage_totals_stream
 
 from conftest import SF01
 
@@ -96,12 +96,12 @@ def test_usage_stream_is_incremental(spark):
     lines.filter(F.col("value").contains(" | click | ")).coalesce(1).write.text(base + "/in/a")
     q = usage_totals_stream(spark, base + "/in/*", base + "/out", base + "/ck")
     q.awaitTermination()
-    first = {r["provider"]: r["tokens"] for r in spark.read.parquet(base + "/out").collect()}
+    first = {r["provider"]: r["tokens"] for r in read_usage_totals(spark, base + "/out").collect()}
     assert set(first) == {"click"}
     lines.filter(~F.col("value").contains(" | click | ")).coalesce(1).write.text(base + "/in/b")
     q = usage_totals_stream(spark, base + "/in/*", base + "/out", base + "/ck")
     q.awaitTermination()
-    got = {r["provider"]: r["tokens"] for r in spark.read.parquet(base + "/out").collect()}
+    got = {r["provider"]: r["tokens"] for r in read_usage_totals(spark, base + "/out").collect()}
     want = {r["provider"]: r["tokens"] for r in QUERIES["usage_rollup"](spark, SF01).collect() if r["provider"]}
     assert got == want
 
