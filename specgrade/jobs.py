@@ -18,6 +18,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from specgrade.functions import scoring as S
 from specgrade.functions import text as T
 from specgrade.operators import corpus as C
 from specgrade.operators import features as FE
@@ -40,11 +41,13 @@ SAVE_INTERVAL = 10_000
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    if path.endswith(".csv"):
-        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-        df = df.withColumns({c: F.col(c).try_cast("bigint") for c in INT_COLUMNS if c in df.columns})
-        return df.withColumns({c: F.col(c).try_cast("double") for c in DOUBLE_COLUMNS if c in df.columns})
-    return spark.read.parquet(path)
+    """A stage table; a CSV file is read with the schema of the stage columns
+    its header names, all others as text."""
+    if not path.endswith(".csv"):
+        return spark.read.parquet(path)
+    header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
+    types = dict.fromkeys(INT_COLUMNS, "bigint") | dict.fromkeys(DOUBLE_COLUMNS, "double")
+    return SC.read_stage_csv(spark, path, ", ".join(f"`{c}` {types.get(c, 'string')}" for c in header))
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -197,10 +200,41 @@ def summarize(spark, input_path: str, output_path: str, key: str = "instruction_
     return ST.compression_summary(read_table(spark, output_path), target_pct)
 
 
+def fit_direct(spark, constraints_path: str, merged_path: str, output_path: str, key: str = "instruction_number",
+               content_col: str = "merged_blog", constraint_col: str = "constraints", chat_fn=None, responses_path=None,
+               model: str = "default") -> None:
+    """Constraints fitted onto the merged texts themselves."""
+    cons, merged = read_table(spark, constraints_path), read_table(spark, merged_path)
+    orders = {"constraints_order": cons.columns[:1], "merged_order": merged.columns[:1]}
+    pairs = SG.fit_direct_pairs(cons, merged, key, content_col, **orders)
+    reqs = SG.fit_direct_requests(pairs, key if key in merged.columns and key in cons.columns else "position", content_col, constraint_col, model)
+    resp = _responses(spark, reqs, output_path, chat_fn, responses_path)
+    write_table(SG.fit_direct_results(cons, merged, resp, key, content_col, constraint_col, model, **orders), output_path)
+
+
+def revise(spark, input_path: str, output_path: str, key: str = "instruction_number", base_col: str = "base_content",
+           constraints_col: str = "constraints", n: int = 23, chat_fn=None, responses_path=None, model: str = "default") -> None:
+    """Texts rewritten until their first ``n`` constraints hold."""
+    df = read_table(spark, input_path)
+    reqs = SG.revise_requests(df, key, base_col, constraints_col, n, model)
+    write_table(SG.revise_results(df, _responses(spark, reqs, output_path, chat_fn, responses_path), key, base_col, model), output_path)
+
+
+def pairwise(spark, input_path: str, other_path: str, output_path: str, col_a: str = "base_content", col_b: str = "fitted_content",
+             key: str = "instruction_number", seed: int = 42, chat_fn=None, responses_path=None, model: str = "default") -> DataFrame:
+    """Two tables' texts judged row by row in a seeded order, asked again while
+    the scores do not parse (B15); returns pairs and unparsed ones."""
+    reqs = SG.pairwise_requests(read_table(spark, input_path), read_table(spark, other_path), [key], [key], col_a, col_b, seed, model)
+    resp = _responses(spark, reqs, output_path, chat_fn, responses_path, accept=S.has_pair_scores)
+    pairs = reqs.select(F.col("key").alias("position"), S.ab_order("key", seed).alias("order"))
+    write_table(SG.pairwise_results(pairs, resp, "position", model=model), output_path)
+    return read_table(spark, output_path).agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.col("needs_parsing").cast("bigint")).alias("n_unparsed"))
+
+
 JOBS = {"parse_blogs": parse_blogs, "find_blog_pairs": find_blog_pairs, "merge_blogs": merge_blogs,
         "generate_constraints": generate_constraints, "expand_constraint_buckets": expand_constraint_buckets,
-        "generate_base": generate_base, "fit_constraints": fit_constraints, "evaluate": evaluate,
-        "summarize": summarize}
+        "generate_base": generate_base, "fit_constraints": fit_constraints, "fit_direct": fit_direct, "evaluate": evaluate,
+        "summarize": summarize, "revise": revise, "pairwise": pairwise}
 
 
 def main(argv=None):
@@ -208,7 +242,7 @@ def main(argv=None):
     ap.add_argument("job", choices=sorted(JOBS))
     ap.add_argument("--input", required=True, help="input table (or corpus dir for parse_blogs)")
     ap.add_argument("--output", required=True)
-    ap.add_argument("--base", help="base table (fit_constraints)")
+    ap.add_argument("--base", help="the second table: base (fit_constraints), merged (fit_direct), the other texts (pairwise)")
     ap.add_argument("--responses", help="offline response table for model steps")
     ap.add_argument("--min-len", type=int, default=1000)
     ap.add_argument("--max-len", type=int, default=2000)
@@ -227,8 +261,8 @@ def main(argv=None):
         res = find_blog_pairs(spark, a.input, a.output, a.max_size, a.max_pairs, *a.band)
     elif a.job == "expand_constraint_buckets":
         res = expand_constraint_buckets(spark, a.input, a.output, a.sizes)
-    elif a.job == "fit_constraints":
-        res = fit_constraints(spark, a.input, a.base, a.output, responses_path=a.responses, model=a.model)
+    elif a.job in ("fit_constraints", "fit_direct", "pairwise"):
+        res = JOBS[a.job](spark, a.input, a.base, a.output, responses_path=a.responses, model=a.model)
     else:
         res = JOBS[a.job](spark, a.input, a.output, responses_path=a.responses, model=a.model)
     if res is not None:

@@ -43,7 +43,10 @@ def restrict_to_keys(table: DataFrame, key: str, keys: DataFrame, max_keys: int,
     ``max_keys`` fits the session's broadcast ceiling (16 bytes per key,
     checked before running), so ``table`` is scanned but never shuffled."""
     if read_keys and max_keys <= MAX_IN_KEYS:
-        return table.filter(F.col(key).isin([r[0] for r in keys.select(key).collect()]))  # <= max_keys values
+        found = [r[0] for r in keys.select(key).limit(max_keys + 1).collect()]
+        if len(found) > max_keys:
+            raise ValueError(f"more than {max_keys} keys, the bound given for {key}")
+        return table.filter(F.col(key).isin(found))
     if 0 <= 16 * max_keys <= broadcast_limit(table.sparkSession):
         keys = F.broadcast(keys)
     return table.join(keys.select(key), key, "left_semi")

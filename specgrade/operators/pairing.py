@@ -562,31 +562,35 @@ def _merge_topk(local: DataFrame, k: int) -> DataFrame:
 def knn_pairs_distinct(vectors: DataFrame, k: int = 10, lo: float = 0.70, hi: float = 0.80,
                        max_pairs: int | None = DEFAULT_MAX_PAIRS, id_col: str = "vec_id", vec: str = "embedding",
                        first_batch: int = 256, batch: int = QUERY_BATCH,
-                       materialize: bool = False) -> DataFrame:
+                       materialize: bool = False, prefixes: int = 2) -> DataFrame:
     """Rows scanned in id order; each free row takes its first free
     neighbour (among its k-1 nearest, self excluded) whose cosine is in
     [lo, hi]; stop at ``max_pairs``.  With None all rows are searched
     (``knn``) and matched in rounds, nothing passing through the driver.
 
     Pairs found among the first rows can never be displaced by later rows,
-    so only a growing prefix of query ids is searched: the next 256, 512,
-    1024, ... smallest ids (a top-n per batch, no global sort), one corpus
-    pass per batch, until ``max_pairs`` pairs are fixed.  The used set
-    carried between batches holds at most 2*max_pairs ids.
-
-    A batch reads the vectors twice (its top-n and its scoring pass), and
-    usually one or two batches are needed, so a table input is re-read
-    rather than copied; pass ``materialize=True`` when the vectors come
+    so with a limit a prefix of query ids is searched first: the 256, then 512
+    smallest ids (a top-n per batch, no global sort), one corpus pass per
+    batch.  Where ``prefixes`` batches do not fix ``max_pairs`` pairs, all rows
+    are searched on the executors as without a limit, and the matching stops
+    at its first ``max_pairs`` pairs, so the driver never holds more than
+    those batches.  The used set carried between batches holds at most
+    2*max_pairs ids.
+
+    A batch reads the vectors twice (its top-n and its scoring pass), so a
+    table input is re-read rather than copied; pass ``materialize=True`` when the vectors come
     from an expensive plan (they are then checkpointed once).
     """
     spark = vectors.sparkSession
-    if max_pairs is None:
+    def search_all(limit: int | None) -> DataFrame:
         near = knn(vectors, vectors, k - 1, id_col, vec, exclude_self=True, batch=batch)
         edges = band_pairs(near.select(F.col("query_id").alias("i"), F.col("id").alias("j"), "rank",
                                        F.col("score").alias("similarity")), lo, hi)
-        m = greedy_matching(edges, "i", "j", ["i", "rank"])
+        m = greedy_matching(edges, "i", "j", ["i", "rank"], max_pairs=limit)
         return m.select(F.col("i").alias("blog_1_id"), F.col("j").alias("blog_2_id"),
                         F.round("similarity", 3).alias("similarity"))
+    if max_pairs is None:
+        return search_all(None)
     prepared = prepare_vectors(vectors, id_col, vec, True, materialize=materialize)
     ids = vectors.select(F.col(id_col).cast("bigint").alias("_id")).filter(F.col("_id").isNotNull())
     cap = None  # batch size bound, from the dimension of the first batch
@@ -594,7 +598,11 @@ def knn_pairs_distinct(vectors: DataFrame, k: int = 10, lo: float = 0.70, hi: fl
     used: set[int] = set()
     last = None
     size = max(1, min(first_batch, batch))
+    searched = 0
     while len(found) < max_pairs:
+        if searched == prefixes:
+            return search_all(max_pairs)
+        searched += 1
         # the batch's id range from the id column alone (a top-n), then its
         # vectors through a range filter the scan can push down
         rest = ids if last is None else ids.filter(F.col("_id") > F.lit(last))

@@ -23,6 +23,7 @@ TEMPLATES = {
     "common_constraints": "State the shared main task and constraints of both texts.\n\nText 1:\n{blog_1}\n\nText 2:\n{blog_2}",
     "base": "Write a blog post of about 400 words for this task:\n{main_task}",
     "fit": "Task: {main_task}\n\nRevise the draft so it satisfies every constraint.\n\nConstraints:\n{constraints}\n\nDraft:\n{base}",
+    "fit_direct": "Rewrite the text so that every constraint below holds.\n\nConstraints:\n{constraints}\n\nText:\n{content}",
     "summarize": "Summarize the text to about {pct}% of its length.\n\n{content}",
     "evaluate": "For each constraint answer 'n. Yes - reason' or 'n. No - reason'.\n\n"
                 "Constraints:\n{constraints}\n\nText:\n{content}",
@@ -35,10 +36,28 @@ TEMPLATES = {
 PAIRWISE_SYSTEM = ("Compare stories A and B on Grammar, Coherence and Likability; rate each out of 5 "
                    "and name the preferred story per category and overall.")
 
-LEGACY_NAMES = {"instruction_number": "Instruction Number", "instruction": "Instruction",
-                "constraints": "Constraints", "main_task": "Main Task", "base_content": "base_blog",
-                "fitted_content": "fitted_blog", "selected_constraints": "SelectedConstraints",
-                "subset_size": "Number_of_Constraints"}
+# ---- fixed values (must equal the reference for identical results) ----------
+LEGACY_NAMES = {
+    "instruction_number": "Instruction Number", "instruction": "Instruction", "constraints": "Constraints", "main_task": "Main Task",
+    "original_blog_1": "Original Blog 1", "original_blog_2": "Original Blog 2", "merged_blog": "Merged Blog", "similarity": "Similarity",
+    "base_content": "base_blog", "fitted_content": "fitted_blog", "summarized_content": "fitted_summarized_blog",
+    "selected_constraints": "SelectedConstraints", "subset_size": "Number_of_Constraints",
+}
+EVALUATION_NAMES = {
+    "fitted_summarized_blog": "FinalGeneratedStory",
+    "selected_constraints": "SelectedConstraints",
+    "subset_size": "Number_of_Constraints",
+}
+# ------------------------------------------------------------------------------
+
+
+def to_evaluation_names(df: DataFrame) -> DataFrame:
+    """the summarised table under the names that the evaluation reads
+    (``legacy_eval_requests``); a table with ``summarized_content`` first gets
+    the notebook name."""
+    if "fitted_summarized_blog" not in df.columns:
+        df = df.withColumnsRenamed({"summarized_content": "fitted_summarized_blog"})
+    return df.withColumnsRenamed(EVALUATION_NAMES)
 
 
 def to_legacy_names(df: DataFrame) -> DataFrame:
@@ -121,8 +140,8 @@ def fit_requests(constraints: DataFrame, base: DataFrame, key: str = "instructio
     """B9 requests; of several base rows of a key the first by ``order`` counts; ``response_key`` keys one request per constraint row when
     that side has several rows per key (buckets)."""
     j = J.join_constraints_base(constraints, base, key, dedupe_right, order)
-    j = j.withColumns({"_task": J.resolve_column(j, "main_task"), "_cons": J.resolve_column(j, constraint_col),
-                       "_base": J.resolve_column(j, base_col)})
+    j = j.withColumns({"_task": J.resolve_column(j, "main_task"), "_cons": J.resolve_column(j, constraint_col, default="constraints"),
+                       "_base": J.resolve_column(j, base_col, default="base_content")})
     return I.build_requests(j, "fit", response_key or key, TEMPLATES["fit"],
                             {"main_task": "_task", "constraints": "_cons", "base": "_base"}, model=model)
 
@@ -134,7 +153,8 @@ def fit_results(constraints: DataFrame, base: DataFrame, responses: DataFrame, k
     side has several rows per key (buckets)."""
     j = J.join_constraints_base(constraints, base, key, dedupe_right, order)
     j = j.withColumns({"main_task": J.resolve_column(j, "main_task"),
-                       "_cons": J.resolve_column(j, constraint_col), "_base": J.resolve_column(j, base_col)})
+                       "_cons": J.resolve_column(j, constraint_col, default="constraints"),
+                       "_base": J.resolve_column(j, base_col, default="base_content")})
     rk = response_key or key
     r = I.attach_responses(j, responses, rk, "fitted_content", F.lit(""))
     out = r.select(key, *([rk] if rk != key else []), "main_task", F.col("_cons").alias("constraints"), F.col("_base").alias("base_content"),
@@ -152,12 +172,35 @@ def _subset_size(j: DataFrame) -> list:
     return []
 
 
+def fit_direct_pairs(constraints: DataFrame, merged: DataFrame, key: str = "instruction_number", content_col: str = "merged_blog",
+                     constraints_order: list[str] | None = None, merged_order: list[str] | None = None) -> DataFrame:
+    """B10's rows: constraints and merged texts joined by ``key`` where both
+    tables have it, else row by row in the stated orders, truncated to the
+    shorter table; then ``position`` numbers the pairs."""
+    if key in constraints.columns and key in merged.columns:
+        return J.join_pruned(constraints, merged, key, [content_col])
+    if not constraints_order or not merged_order:
+        raise ValueError(f"without {key} on both sides rows are paired by position: state both orders")
+    order = {c: f"_sg_order_{i}" for i, c in enumerate(merged_order)}
+    side = merged.select(*[F.col(c).alias(n) for c, n in order.items()], F.col(content_col).alias("_sg_content"))
+    rows = J.zip_join(constraints.drop(content_col), side, constraints_order, list(order.values()))
+    return rows.drop(*order.values()).withColumnRenamed("_sg_content", content_col)
+
+
+def fit_direct_requests(pairs: DataFrame, key: str = "instruction_number", content_col: str = "merged_blog",
+                        constraint_col: str = "constraints", model: str = "default") -> DataFrame:
+    """B10 requests for the rows of ``fit_direct_pairs``."""
+    return I.build_requests(pairs, "fit_direct", key, TEMPLATES["fit_direct"], {"constraints": constraint_col, "content": content_col}, model=model)
+
+
 def fit_direct_results(constraints: DataFrame, merged: DataFrame, responses: DataFrame, key: str,
                        content_col: str = "merged_blog", constraint_col: str = "constraints",
-                       model: str = "default") -> DataFrame:
+                       model: str = "default", constraints_order: list[str] | None = None, merged_order: list[str] | None = None) -> DataFrame:
     """Fit onto the merged text; a failure keeps the original as the
-    fitted text with ``error`` set and counters null (Q18)."""
-    j = J.join_pruned(constraints, merged, key, [content_col])
+    fitted text with ``error`` set and counters null (Q18).  Rows paired by
+    position answer to the key ``position``."""
+    j = fit_direct_pairs(constraints, merged, key, content_col, constraints_order, merged_order)
+    key = key if key in merged.columns and key in constraints.columns else "position"
     r = I.attach_responses(j, responses, key, "_fit", F.lit(None).cast("string"))
     ok = F.col("_fit").isNotNull()
     return I.stamp_output(r.select(
