@@ -600,15 +600,15 @@ def knn_pairs_distinct(vectors: DataFrame, k: int = 10, lo: float = 0.70, hi: fl
     size = max(1, min(first_batch, batch))
     searched = 0
     while len(found) < max_pairs:
-        if searched == prefixes:
-            return search_all(max_pairs)
-        searched += 1
         # the batch's id range from the id column alone (a top-n), then its
         # vectors through a range filter the scan can push down
         rest = ids if last is None else ids.filter(F.col("_id") > F.lit(last))
         hi_id = rest.orderBy("_id").limit(size).agg(F.max("_id").alias("hi")).first()["hi"]
         if hi_id is None:
             break
+        if searched == prefixes:
+            return search_all(max_pairs)
+        searched += 1
         lo_cut = F.lit(True) if last is None else F.col("_id") > F.lit(last)
         pdf = prepared.filter(lo_cut & (F.col("_id") <= F.lit(hi_id))).orderBy("_id").toPandas()  # <= size vectors
         last = int(hi_id)
