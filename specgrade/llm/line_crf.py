@@ -8,17 +8,23 @@ is the document's score.
 The chain is trained on documents with a quality label, every line of which
 carries the document's label.  The sample is bounded: of the labelled
 documents outside the held-out fifth, the ``train_docs`` with the smallest
-hash of their id.  Scores use nothing but the text.
+hash of their id; of a document with more than ``train_lines`` lines a run of
+that many adjacent ones is learnt from, begun at a place that follows from a
+hash of its text, so every transition is one between neighbours.  Scores use
+nothing but the text, and all of it.
 
 Defined results: null text counts as empty, and an empty text is one line of
 weight 1.  Labels other than 0 and 1 are not learnt from; of labels that
-contradict each other for one document the larger holds.  Without labels of
+contradict each other for one document the larger holds; of texts that
+repeat a doc_id the one of smallest digest is learnt from.  Without labels of
 both kinds the weights stay zero and every score is 0.5.  Repeated rows each
 get their row; an empty table gives no rows.  Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -174,8 +180,9 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 4000) -> dict:
-    """Fit the chain on a bounded sample, collected to the driver."""
+def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 4000, train_lines: int = 128) -> dict:
+    """Fit the chain on a bounded sample, collected to the driver: at most
+    ``train_docs`` documents of ``train_lines`` lines."""
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)  # the bound
     picked = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), "doc_id")
@@ -184,13 +191,15 @@ def learn(docs: DataFrame, labels: DataFrame, train_docs: int = 4000) -> dict:
         for pdf in batches:
             for a, b in blocks(list(pdf["text"])):
                 x, _, n_lines = line_features(list(pdf["text"][a:b]))
-                # long documents teach by an even choice of their lines
-                for doc_id, q, at, n in zip(pdf["doc_id"][a:b], pdf["quality"][a:b], np.concatenate(([0], np.cumsum(n_lines)[:-1])), n_lines):
-                    keep = at + np.unique(np.linspace(0, n - 1, min(n, 64)).astype(int))
-                    yield pd.DataFrame({"doc_id": [doc_id], "quality": [q], "n": [len(keep)], "x": [x[keep].astype("f4").ravel()]})
-
-    got = picked.mapInPandas(features_of, "doc_id long, quality int, n int, x array<float>").toPandas()
-    got = got.sort_values(["doc_id", "n"], kind="stable").drop_duplicates("doc_id")
+                firsts = np.concatenate(([0], np.cumsum(n_lines)[:-1]))
+                for doc_id, q, text, at, n in zip(pdf["doc_id"][a:b], pdf["quality"][a:b], pdf["text"][a:b], firsts, n_lines):
+                    digest = zlib.crc32(text.encode("utf-8", "replace"))
+                    kept = min(n, train_lines)
+                    at += digest % (n - kept + 1)
+                    yield pd.DataFrame({"doc_id": [doc_id], "quality": [q], "n": [kept], "digest": [digest], "x": [x[at:at + kept].astype("f4").ravel()]})
+
+    got = picked.mapInPandas(features_of, "doc_id long, quality int, n int, digest long, x array<float>").toPandas()
+    got = got.sort_values(["doc_id", "digest"], kind="stable").drop_duplicates("doc_id")
     if not len(got):
         return train(np.zeros((1, N_FEATURES)), np.array([1]), np.array([1]))
     x = np.concatenate([np.asarray(v, dtype=float) for v in got["x"]]).reshape(-1, N_FEATURES)

@@ -1,6 +1,7 @@
 """License scan, quality, decontamination, personal data and n-gram join against brute force, with edge cases."""
 
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -44,6 +45,37 @@ def test_forward_backward_by_enumeration():
         at += n
 
 
+def test_training_takes_runs_of_adjacent_lines(spark, monkeypatch):
+    """Whole documents up to the bound, longer ones by a run of neighbours."""
+    from specgrade.llm import line_crf
+    seen = {}
+    monkeypatch.setattr(line_crf, "train", lambda x, n, q: seen.update(x=x, n=n) or {})
+    rows = [(i, "\n".join(f"line {j} of {i} {'x' * j}" for j in range(3 + 40 * (i % 3)))) for i in range(1, 30)]
+    docs = table(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    line_crf.learn(docs, labels, train_lines=20)
+    used = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(seen["n"]) == sorted(min(t.count("\n") + 1, 20) for _, t in used)
+    at = 0
+    for (i, t), n in zip(used, seen["n"]):
+        whole, _, _ = line_crf.line_features([t])
+        run = seen["x"][at:at + n]
+        at += n
+        assert any(np.allclose(run, whole[k:k + n], atol=1e-5) for k in range(len(whole) - n + 1)), i
+
+
+def test_quality_of_long_texts_and_clashing_columns(spark):
+    """A text of a million characters, one of 100,000 lines, columns named
+    like the results."""
+    from specgrade.llm import line_crf
+    docs = spark.createDataFrame([(1, "word " * 200_000, 0.1, 7, True), (2, "a b\n" * 100_000, 0.2, 8, False), (3, None, 0.3, 9, None)],
+                                 "doc_id long, text string, score double, predicted int, held_out boolean")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    got = quality(docs, labels).collect()
+    assert sorted(r.doc_id for r in got) == [1, 2, 3] and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    assert line_crf.document_scores(["word " * 200_000], line_crf.learn(docs, labels)).shape == (1,)
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
