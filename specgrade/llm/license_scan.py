@@ -3,7 +3,8 @@
 Text blocks are windows of ``block`` words, one every ``stride`` words, so
 any run of ``block - stride`` words lies whole in one of them.  A template is
 a set of words; a block matches it when it holds at least ``threshold`` of
-the template's words.
+the template's words, among them all that tell the license: what two licenses'
+notices have in common labels neither.
 
 Words are ranked by their count over all documents, rarest first.  A template
 that needs ``need`` of its ``size`` words shares, with every block that
@@ -32,23 +33,24 @@ from specgrade.llm.common import ascii_lower, row_key, whole_text
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = [(("mit", "license"), "mit"), (("apache", "license"), "apache"), (("general", "public", "license"), "gpl")]
 
-# Notices by which licenses are declared, in their usual words.
+# Notices by which licenses are declared, in their usual words,
+# and the words that tell the license, all of which a match must hold.
 TEMPLATES = [
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "you may not use this file except in compliance with the License"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("lgpl", "under the terms of the GNU Lesser General Public License"),
-    ("agpl", "under the terms of the GNU Affero General Public License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-    ("proprietary", "All rights reserved. Unauthorized copying of this file is strictly prohibited"),
+    ("apache", "Licensed under the Apache License, Version 2.0", "apache license"),
+    ("apache", "you may not use this file except in compliance with the License", "use file compliance license"),
+    ("mit", "Released under the MIT License", "mit license"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "permission granted charge copy software"),
+    ("gpl", "This work is licensed under the GNU General Public License, version 3", "general public license"),
+    ("gpl", "you can redistribute it and/or modify it under the terms of the GNU General Public License", "redistribute general public license"),
+    ("lgpl", "under the terms of the GNU Lesser General Public License", "lesser general public license"),
+    ("agpl", "under the terms of the GNU Affero General Public License", "affero general public license"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", "redistribution source binary permitted"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License", "creative commons attribution"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0", "cc by nc"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose", "permission copy modify distribute software purpose"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License", "mozilla public license"),
+    ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered public domain"),
+    ("proprietary", "All rights reserved. Unauthorized copying of this file is strictly prohibited", "unauthorized copying prohibited"),
 ]
 
 # The same words in text of either case.  The class lists its characters one
@@ -89,17 +91,17 @@ def phrase_starts(words: Column) -> Column:
 def matched_labels(docs: DataFrame, threshold_pct: int, block: int, stride: int) -> DataFrame:
     """(doc_id, rk, method_labels, containment) of the rows with a block that matches."""
     spark = docs.sparkSession
-    sets = [(i, label, template_words(text)) for i, (label, text) in enumerate(TEMPLATES)]
-    vocabulary = sorted({w for _, _, ws in sets for w in ws})
+    sets = [(label, template_words(text), template_words(must)) for label, text, must in TEMPLATES]
+    vocabulary = sorted({w for _, ws, _ in sets for w in ws})
     ranks = {r["word"]: r["rank"] for r in word_ranks(docs, vocabulary).collect()}
     index, needs = [], []
-    for i, label, ws in sets:
+    for label, ws, must in sets:
         ids, need = sorted(ranks[w] for w in ws), -(-threshold_pct * len(ws) // 100)
         needs.append(need)
-        index += [(ids[p], p, label, need, ids) for p in range(len(ids) - need + 1)]
+        index += [(ids[p], p, label, need, ids, [ranks[w] for w in must]) for p in range(len(ids) - need + 1)]
     by_rank = sorted(ranks, key=ranks.get)
     prefix_words = [by_rank[w] for w in sorted({row[0] for row in index})]
-    table = spark.createDataFrame(index, "word int, t_at int, label string, need int, t_words array<int>")
+    table = spark.createDataFrame(index, "word int, t_at int, label string, need int, t_words array<int>, must array<int>")
     # the prefix filter over whole texts: no block matches without such a word
     gate = f"(?i)(?<![^{NO_WORD}])(?:{'|'.join(prefix_words)})(?![^{NO_WORD}])"
     words = docs.filter(whole_text().rlike(gate)).select("doc_id", row_key().alias("rk"), F.regexp_extract_all(ascii_lower(whole_text()), F.lit(WORD_ANY_CASE), F.lit(0)).alias("words"))
@@ -115,7 +117,7 @@ def matched_labels(docs: DataFrame, threshold_pct: int, block: int, stride: int)
     left = F.least(F.size("t_words") - F.col("t_at"), F.size("b_words") - F.col("b_at"))
     passed = shared.filter((F.size("b_words") >= F.col("need")) & (F.col("b_at") <= F.size("b_words") - F.col("need")) & (left >= F.col("need")))
     both = F.size(F.array_intersect("b_words", "t_words"))
-    verified = passed.withColumn("both", both).filter(F.col("both") >= F.col("need"))
+    verified = passed.withColumn("both", both).filter((F.col("both") >= F.col("need")) & (F.size(F.array_except("must", "b_words")) == 0))
     return verified.groupBy("doc_id", "rk").agg(F.collect_set("label").alias("method_labels"), F.max(F.col("both") / F.size("t_words")).alias("containment"))
 
 

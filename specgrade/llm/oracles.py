@@ -26,16 +26,16 @@ def _words(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
-_TEMPLATES = ", ".join(f"('{label}', {_words(template_words(text))})" for label, text in TEMPLATES)
+_TEMPLATES = ", ".join(f"('{label}', {_words(template_words(text))}, {_words(template_words(must))})" for label, text, must in TEMPLATES)
 _PHRASES = ", ".join(f"('{label}', {_words(words)})" for words, label in PHRASES)
 
 LICENSE_SCAN = rf"""
-WITH t(label, tw) AS (VALUES {_TEMPLATES}), p(label, pw) AS (VALUES {_PHRASES}),
+WITH t(label, tw, must) AS (VALUES {_TEMPLATES}), p(label, pw) AS (VALUES {_PHRASES}),
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '{WORD}') AS w FROM documents),
 places AS (SELECT doc_id, label, i FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d) x JOIN p ON x.w[i + 1:i + len(pw)] = pw),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
 blocks AS (SELECT doc_id, w[24 * k + 1:24 * k + 48] AS b FROM (SELECT doc_id, w, unnest(range(greatest(1, CAST(ceil((len(w) - 24) / 24.0) AS BIGINT)))) AS k FROM d) x),
-found AS (SELECT doc_id, label, len(list_intersect(tw, b)) / len(tw) AS c FROM blocks JOIN t ON 100 * len(list_intersect(tw, b)) >= 80 * len(tw)),
+found AS (SELECT doc_id, label, len(list_intersect(tw, b)) / len(tw) AS c FROM blocks JOIN t ON 100 * len(list_intersect(tw, b)) >= 80 * len(tw) AND list_has_all(b, must)),
 method AS (SELECT doc_id, max(c) AS c, list(DISTINCT label) AS labels FROM found GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,

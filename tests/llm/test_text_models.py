@@ -30,6 +30,18 @@ def test_license_scan(spark):
     assert license_scan(table(spark, [])).count() == 0
 
 
+def test_near_miss_notices_get_no_false_label(spark):
+    notices = {
+        "under the terms of the GNU General Public License": "gpl", "under the terms of the GNU Lesser General Public License": "gpl,lgpl",
+        "under the terms of the GNU Affero General Public License": "agpl,gpl", "Licensed under CC BY 4.0": "", "Licensed under CC BY-NC 4.0": "cc-by-nc",
+        "released under the Apache license": "apache", "released under the new license of the city": "", "Released under the MIT License": "mit",
+        "This work is licensed under a Creative 4.0 International License": "", "All rights reserved, copying of this file is prohibited": "",
+        "Permission to use and modify this software for any purpose": "", "free software released into the public domain": "",
+        "This Source Code Form is subject to the terms of the Public License": ""}
+    got = {r.doc_id: r.labels for r in license_scan(table(spark, list(enumerate(notices)))).collect()}
+    assert got == dict(enumerate(notices.values()))
+
+
 def test_forward_backward_by_enumeration():
     rng = np.random.default_rng(1)
     n_lines, pairs = np.array([3, 1, 4]), rng.normal(size=(2, 2))
