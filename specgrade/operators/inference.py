@@ -190,30 +190,38 @@ def answer_in_batches(requests: DataFrame, chat_fn: Callable, path: str, save_in
     dies is continued by running it again, which asks the unfinished batch and
     those after it.  Returns the stored answers, keyed by prompt hash.
 
-    ``requests`` is a stored table; a prompt's batch follows from its hash and
-    the number of prompts, and a batch's name holds the fingerprint of the
-    prompts it asks, so other requests under the same path never replace
-    answers."""
+    ``requests`` is a stored table.  The distinct prompts are written once, by
+    the part that follows from their hash and their number; a batch reads its
+    part of them and that part's answers, so its cost does not grow with the
+    run.  A batch's name holds the fingerprint of the prompts it asks, so other
+    requests under the same path never replace answers."""
     spark = requests.sparkSession
     ledger = BatchLedger(spark, path)
-    prompts = by_prompt(requests)
     n = requests.select("prompt_hash").distinct().count()
-    part = F.pmod(F.xxhash64("prompt_hash"), F.lit(max(1, -(-n // save_interval)))).cast("int")
+    parts = max(1, -(-n // save_interval))
+    part = F.pmod(F.xxhash64("prompt_hash"), F.lit(parts)).cast("int")
+    at = f"{path.rstrip('/')}/prompts"
+    by_prompt(requests).withColumn("part", part).repartition("part").write.mode("overwrite").partitionBy("part").parquet(at)
+    if not n:  # no request at all
+        return spark.createDataFrame([], RESPONSE_SCHEMA.replace("key bigint", "key string"))
+    prompts = spark.read.parquet(at)
+
+    def due(asked: DataFrame, answered: DataFrame | None) -> DataFrame:
+        return asked.withColumn("attempt", F.lit(1)) if answered is None else retry_plan(asked, answered, max_attempts, accept)
+
     for _ in range(max_attempts):
-        answered = ledger.read()
-        due = (prompts.withColumn("attempt", F.lit(1)) if answered is None else retry_plan(prompts, answered, max_attempts, accept)).withColumn("_part", part)
         # one row per batch of the earliest attempt that is due
-        plan = fingerprint(due, "prompt_hash", by=["attempt", "_part"]).orderBy("attempt", "_part").collect()
+        plan = fingerprint(due(prompts, ledger.read()), "prompt_hash", by=["attempt", "part"]).orderBy("attempt", "part").collect()
         if not plan:
             break
         for batch in (b for b in plan if b["attempt"] == plan[0]["attempt"]):
-            name = f"{batch['attempt']}-{batch['_part']}-{batch['fingerprint']}"
-            asked = due.filter((F.col("attempt") == batch["attempt"]) & (F.col("_part") == batch["_part"])).drop("_part")
-            ledger.write(name, infer(asked, chat_fn, max_attempts=1))
-    answered = ledger.read()
-    if answered is None:  # no request at all
-        return spark.createDataFrame([], RESPONSE_SCHEMA.replace("key bigint", "key string"))
-    return answered.drop("batch")
+            mine = f"{batch['part']}of{parts}"
+            # its part's answers, and those given when there were more or fewer parts
+            seen = ledger.read(lambda name: name.split("-")[1] == mine or not name.split("-")[1].endswith(f"of{parts}"))
+            todo = due(prompts.filter(F.col("part") == batch["part"]), seen)
+            asked = todo.filter(F.col("attempt") == batch["attempt"]).drop("part")
+            ledger.write(f"{batch['attempt']}-{mine}-{batch['fingerprint']}", infer(asked, chat_fn, max_attempts=1))
+    return ledger.read().drop("batch")
 
 
 def stamp_output(df: DataFrame, model: str) -> DataFrame:

@@ -9,6 +9,8 @@ batch's rows are in the table once, whatever crashes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +42,11 @@ class BatchLedger:
     def is_committed(self, batch: str) -> bool:
         return not self.commits().filter(F.col("batch") == batch).isEmpty()
 
-    def read(self) -> DataFrame | None:
-        """Rows of all committed batches with their ``batch``; None while there is none."""
+    def read(self, wanted: Callable[[str], bool] = lambda name: True) -> DataFrame | None:
+        """Rows of the committed batches whose name is ``wanted``, with their
+        ``batch``; None while there is none."""
         # by their paths: an unfinished batch may be replaced while this is read
-        names = [r["batch"] for r in self.commits().select("batch").collect()]  # one per batch
+        names = [r["batch"] for r in self.commits().select("batch").collect() if wanted(r["batch"])]  # one per batch
         if not names:
             return None
         rows = self.spark.read.option("basePath", f"{self.path}/data").parquet(*[f"{self.path}/data/batch={n}" for n in names])

@@ -70,6 +70,9 @@ def test_other_requests_never_replace_answers(spark, tmp_path):
     I.answer_in_batches(requests(spark, 10, str(tmp_path / "a")), counting_chat(calls), path, save_interval=100)
     got = I.answer_in_batches(requests(spark, 30, str(tmp_path / "b")), counting_chat(calls), path, save_interval=100)
     assert got.count() == 15 and len(list(calls.iterdir())) == 15
+    # more parts than before: still nothing is asked twice
+    got = I.answer_in_batches(requests(spark, 80, str(tmp_path / "e")), counting_chat(calls), path, save_interval=8)
+    assert got.count() == len({r.key for r in got.collect()}) == 40 and len(list(calls.iterdir())) == 40
     none = requests(spark, 30, str(tmp_path / "c")).limit(0)
     assert I.answer_in_batches(none, counting_chat(calls), str(tmp_path / "d")).count() == 0
 
