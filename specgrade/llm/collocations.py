@@ -4,11 +4,11 @@ Phrases are runs of ``1 .. longest`` words inside a piece of text, counted per
 language.  A phrase is a 64-bit key here; the high bits of the key are its
 hash partition.  First pass, one level of lengths after the other: every task
 adds up its keys and sends one summary per hash partition; each partition
-merges its summaries into a Misra-Gries summary whose capacity exceeds the
-partition's mass (all occurrences that fall into it) divided by ``min_count``,
-so every phrase with ``min_count`` occurrences survives: the count of a
-survivor is too low by less than ``min_count``.  A longer phrase is sent only
-if all its parts survived.  Second pass: the phrases whose keys survived are
+merges its summaries into a Misra-Gries summary whose capacity exceeds
+``slack`` times the partition's mass (all occurrences that fall into it)
+divided by ``min_count``: no count is too low by ``min_count / slack``, so every
+phrase with ``min_count`` occurrences survives, and few others do.  A longer
+phrase is sent only if all its parts survived.  Second pass: the phrases whose keys survived are
 counted exactly, by their words; two phrases with one key only cost work.
 
 Survivors are kept as a bitmap over the high bits of the keys, ``2 **
@@ -42,10 +42,13 @@ from specgrade.llm.common import cut, whole_text
 # A-Z lower-cased; what ends a piece becomes a line feed
 MAP = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
 END = b"."  # stands between pieces; no word holds it
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 # the keys a task holds before it sends its summaries
 FLUSH_KEYS = 1 << 22
-SUMMARY = "part int, mass long, keys binary, counts binary"
+# a key is sent as the 32 bits that follow its partition's; of a partition's few
+# million keys some in a thousand then share theirs, which can only make a phrase
+# look more frequent.  Keys seen once by a task go without their counts
+SUMMARY = "part int, mass long, single binary, keys binary, counts binary"
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray]]:
@@ -154,9 +157,14 @@ def _summaries(part_bits: int, bits: int, longest: int, level: int, maps):
         part = (k >> np.uint64(64 - part_bits)).astype(np.int32) if part_bits else np.zeros(len(k), np.int32)
         first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(k) else []
         ends = [*first[1:], len(k)]
-        return pa.RecordBatch.from_pylist(
-            [{"part": int(part[a]), "mass": int(n[a:b].sum()), "keys": k[a:b].tobytes(), "counts": n[a:b].tobytes()} for a, b in zip(first, ends)],
-            pa.schema([("part", pa.int32()), ("mass", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
+        k = ((k << np.uint64(part_bits)) >> np.uint64(32)).astype(np.uint32)
+        rows = []
+        for a, b in zip(first, ends):
+            once = n[a:b] == 1
+            rows.append({"part": int(part[a]), "mass": int(n[a:b].sum()), "single": k[a:b][once].tobytes(),
+                         "keys": k[a:b][~once].tobytes(), "counts": n[a:b][~once].tobytes()})
+        return pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("mass", pa.int64()), ("single", pa.binary()),
+                                                           ("keys", pa.binary()), ("counts", pa.binary())]))
 
     def run(batches):
         filters = Filters(bits, maps.value)
@@ -176,17 +184,18 @@ def _summaries(part_bits: int, bits: int, longest: int, level: int, maps):
     return run
 
 
-def _survivors(part_bits: int, bits: int, min_count: int):
+def _survivors(part_bits: int, bits: int, min_count: int, slack: int):
     """The stretch of the bitmap that belongs to a hash partition."""
     def run(table: pa.Table) -> pa.Table:
         mass = pc.sum(table.column("mass")).as_py()
-        capacity = mass // min_count + 1
-        keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        capacity = slack * mass // min_count + 1
+        keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         wait_k, wait_n, waiting = [], [], 0
-        for k, n in zip(table.column("keys"), table.column("counts")):
-            wait_k.append(np.frombuffer(k.as_buffer(), np.uint64))
-            wait_n.append(np.frombuffer(n.as_buffer(), np.int64))
-            waiting += len(wait_k[-1])
+        for once, k, n in zip(table.column("single"), table.column("keys"), table.column("counts")):
+            once = np.frombuffer(once.as_buffer(), np.uint32)
+            wait_k += [once, np.frombuffer(k.as_buffer(), np.uint32)]
+            wait_n += [np.ones(len(once), np.int64), np.frombuffer(n.as_buffer(), np.int64)]
+            waiting += len(wait_k[-1]) + len(once)
             if waiting > capacity:
                 keys, counts = misra_gries(*_summed(np.concatenate([keys, *wait_k]), np.concatenate([counts, *wait_n])), capacity)
                 wait_k, wait_n, waiting = [], [], 0
@@ -194,17 +203,17 @@ def _survivors(part_bits: int, bits: int, min_count: int):
         lost = (mass - int(counts.sum())) // (capacity + 1)  # no count is too low by more
         keys = keys[counts + lost >= min_count]
         stretch = np.zeros(1 << (bits - part_bits), np.uint8)
-        stretch[(keys >> np.uint64(64 - bits)) & np.uint64(len(stretch) - 1)] = 1
+        stretch[keys >> np.uint32(32 - bits + part_bits)] = 1
         part = table.column("part")[0].as_py()
         return pa.table({"part": pa.array([part], pa.int32()), "stretch": pa.array([zlib.compress(np.packbits(stretch, bitorder="little"), 1)], pa.binary())})
     return run
 
 
-def surviving(texts: DataFrame, part_bits: int, bits: int, longest: int, level: int, min_count: int, maps: list[bytes]) -> bytes:
+def surviving(texts: DataFrame, part_bits: int, bits: int, longest: int, level: int, min_count: int, slack: int, maps: list[bytes]) -> bytes:
     """The bitmap of the keys of a level that survive."""
     sent = texts.sparkSession.sparkContext.broadcast(maps)
     summaries = texts.mapInArrow(_summaries(part_bits, bits, longest, level, sent), SUMMARY)
-    stretches = summaries.groupBy("part").applyInArrow(_survivors(part_bits, bits, min_count), "part int, stretch binary")
+    stretches = summaries.groupBy("part").applyInArrow(_survivors(part_bits, bits, min_count, slack), "part int, stretch binary")
     size = 1 << (bits - part_bits - 3)
     whole = bytearray(1 << (bits - 3))
     for row in stretches.toLocalIterator():
@@ -240,7 +249,8 @@ def _rows(lang: str, phrases: pa.Array, n, words: int) -> pa.RecordBatch:
                                        pa.array(np.full(len(phrases), words, np.int32))], ["lang", "phrase", "f", "words"])
 
 
-def phrase_counts(docs: DataFrame, min_count: int = 30, longest: int = 4, mass: int = 1 << 22, filter_bits: int = 27) -> DataFrame:
+def phrase_counts(docs: DataFrame, min_count: int = 30, longest: int = 4, mass: int = 1 << 22, slack: int = 8,
+                  filter_bits: int = 27) -> DataFrame:
     """(lang, phrase, f, words) of every phrase with ``min_count``
     occurrences, and for every lang its number of words under phrase ''."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), whole_text().alias("text"))
@@ -251,7 +261,7 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, longest: int = 4, mass:
     part_bits = min((parts - 1).bit_length(), filter_bits - 3)
     maps: list[bytes] = []
     for level in range(min(longest, 3)):
-        maps = maps + [surviving(texts, part_bits, filter_bits, longest, level, min_count, maps)]
+        maps = maps + [surviving(texts, part_bits, filter_bits, longest, level, min_count, slack, maps)]
     sent = docs.sparkSession.sparkContext.broadcast(maps)
     exact = texts.mapInArrow(_exact(filter_bits, longest, sent), "lang string, phrase string, f long, words int")
     summed = exact.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
@@ -267,12 +277,12 @@ def _big(c: str) -> Column:
 
 
 def collocations(docs: DataFrame, top: int = 2000, min_count: int = 30, longest: int = 4, num: int = 80, den: int = 100,
-                 mass: int = 1 << 22, filter_bits: int = 27) -> DataFrame:
+                 mass: int = 1 << 22, slack: int = 8, filter_bits: int = 27) -> DataFrame:
     """The ``top`` phrases of two to ``longest`` words of each lang: lang,
     rank, phrase, a, l, r, n, score.  a counts the phrase, l and r the two
     parts of its weakest cut, n the words of the lang; the score is
     floor(2000000 a / (l + r))."""
-    counts = phrase_counts(docs, min_count, longest, mass, filter_bits)
+    counts = phrase_counts(docs, min_count, longest, mass, slack, filter_bits)
     found = counts.filter("words >= 2").withColumn("w", F.split("phrase", " ", -1))
     cuts = found.select("lang", "phrase", F.col("f").alias("a"), "w", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", _part(F.lit(1), F.col("k")).alias("left"), _part(F.col("k") + 1, F.size("w")).alias("right"))
