@@ -80,10 +80,10 @@ class Vocabularies:
 class Aligner:
     """Aligns texts; made once a task."""
 
-    def __init__(self, vocabulary: str, pieces: str):
+    def __init__(self, vocabulary: str, pieces: str, pair_keys: np.ndarray):
         self.v = Vocabularies(vocabulary, pieces)
         self.encode = byte_bpe(vocabulary, special=False)
-        self.pair_keys = self.v.pairs()
+        self.pair_keys = pair_keys
         self.string = self.v.strings()
         # slots of the strings: A, A at an end, B, B at an end
         self.slot_b = 2 * len(self.v.a)
@@ -122,11 +122,13 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return docs.select(whole_text().alias("text")).filter("text <> ''").groupBy("text").agg(F.count(F.lit(1)).alias("times"))
 
 
-def aligned(texts: DataFrame, vocabulary: str, pieces: str) -> DataFrame:
+def aligned(texts: DataFrame, vocabulary: str, pieces: str, pair_keys: np.ndarray) -> DataFrame:
     """(digest, times, n_a, n_b, groups_sha256, links) a distinct text; the
     links are numbers of pairs."""
+    sent = texts.sparkSession.sparkContext.broadcast(pair_keys)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = Aligner(vocabulary, pieces)
+        it = Aligner(vocabulary, pieces, sent.value)
         for batch in (part for whole in batches for part in slices(whole)):
             n_a, n_b, shas, links = [], [], [], []
             for text in batch.column("text").to_pylist():
@@ -143,10 +145,10 @@ def aligned(texts: DataFrame, vocabulary: str, pieces: str) -> DataFrame:
     return rows.mapInArrow(run, "digest binary, times long, n_a long, n_b long, groups_sha256 string, links binary")
 
 
-def pair_counts(links: DataFrame, vocabulary: str, pieces: str) -> DataFrame:
+def pair_counts(links: DataFrame, n_pairs: int) -> DataFrame:
     """(pair, n): how many links of all rows hold a pair, by its number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(Vocabularies(vocabulary, pieces).pairs()), np.int64)
+        n = np.zeros(n_pairs, np.int64)
         for batch in batches:
             for found, times in zip(batch.column("links"), batch.column("times").to_pylist()):
                 pair, held = np.unique(np.frombuffer(found.as_buffer(), np.int32), return_counts=True)
@@ -176,11 +178,11 @@ def measured(links: DataFrame, counts: np.ndarray, best: np.ndarray) -> DataFram
 def alignment(docs: DataFrame, vocabulary: str = VOCABULARY, pieces: str = PIECES, heavy: int = 1024) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_a, n_b, n_groups, n_links,
     n_best, count_sum, groups_sha256."""
-    links = written(aligned(distinct_texts(docs), vocabulary, pieces), "alignment")
     vocabularies = Vocabularies(vocabulary, pieces)
     keys = vocabularies.pairs()
+    links = written(aligned(distinct_texts(docs), vocabulary, pieces, keys), "alignment")
     counts = np.zeros(len(keys), np.int64)
-    found = pair_counts(links, vocabulary, pieces).toPandas()  # at most len(keys) rows
+    found = pair_counts(links, len(keys)).toPandas()  # at most len(keys) rows
     counts[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     most = np.zeros(len(vocabularies.b), np.int64)
     np.maximum.at(most, keys % len(most), counts)
