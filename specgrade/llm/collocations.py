@@ -150,6 +150,16 @@ def misra_gries(keys: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np
     return keys[left], counts[left] - less
 
 
+def _planes(keys: np.ndarray) -> bytes:
+    """Sorted keys byte plane by byte plane: equal high bytes side by side."""
+    return keys.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(held: pa.Scalar) -> np.ndarray:
+    planes = np.frombuffer(held.as_buffer(), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).ravel()
+
+
 def _summaries(part_bits: int, bits: int, longest: int, level: int, maps):
     """The summaries of a task, one row per hash partition and flush."""
     def send(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
@@ -161,8 +171,8 @@ def _summaries(part_bits: int, bits: int, longest: int, level: int, maps):
         rows = []
         for a, b in zip(first, ends):
             once = n[a:b] == 1
-            rows.append({"part": int(part[a]), "mass": int(n[a:b].sum()), "single": k[a:b][once].tobytes(),
-                         "keys": k[a:b][~once].tobytes(), "counts": n[a:b][~once].tobytes()})
+            rows.append({"part": int(part[a]), "mass": int(n[a:b].sum()), "single": _planes(k[a:b][once]),
+                         "keys": _planes(k[a:b][~once]), "counts": n[a:b][~once].tobytes()})
         return pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("mass", pa.int64()), ("single", pa.binary()),
                                                            ("keys", pa.binary()), ("counts", pa.binary())]))
 
@@ -192,8 +202,8 @@ def _survivors(part_bits: int, bits: int, min_count: int, slack: int):
         keys, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
         wait_k, wait_n, waiting = [], [], 0
         for once, k, n in zip(table.column("single"), table.column("keys"), table.column("counts")):
-            once = np.frombuffer(once.as_buffer(), np.uint32)
-            wait_k += [once, np.frombuffer(k.as_buffer(), np.uint32)]
+            once = _from_planes(once)
+            wait_k += [once, _from_planes(k)]
             wait_n += [np.ones(len(once), np.int64), np.frombuffer(n.as_buffer(), np.int64)]
             waiting += len(wait_k[-1]) + len(once)
             if waiting > capacity:
@@ -234,19 +244,20 @@ def _exact(bits: int, longest: int, maps):
     def run(batches):
         filters = Filters(bits, maps.value)
         for lang, words, codes in chunks(batches):
-            yield _rows(lang, pa.array([""]), [int((codes >= 0).sum())], 0)
+            yield _rows(lang, pa.array([""]), [int((codes >= 0).sum())])
             for level in range(len(filters.maps)):
                 for length, at, keys in phrase_keys(lang, words, codes, filters, longest, level):
                     at = at[filters.passes(level, keys)]
                     columns, n = unique([codes[at + k] for k in range(length)])
                     parts = [words.take(pa.array(c)) for c in columns]
-                    yield _rows(lang, pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())).cast(pa.string()), n, length)
+                    yield _rows(lang, pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())).cast(pa.string()), n)
     return run
 
 
-def _rows(lang: str, phrases: pa.Array, n, words: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), phrases, pa.array(np.asarray(n, np.int64)),
-                                       pa.array(np.full(len(phrases), words, np.int32))], ["lang", "phrase", "f", "words"])
+def _rows(lang: str, phrases: pa.Array, n) -> pa.RecordBatch:
+    """(key, f); the key is lang, preceded by its length, and phrase."""
+    keys = pc.binary_join_element_wise(pa.scalar(f"{len(lang)}:{lang}"), phrases, pa.scalar(""))
+    return pa.RecordBatch.from_arrays([keys, pa.array(np.asarray(n, np.int64))], ["key", "f"])
 
 
 def phrase_counts(docs: DataFrame, min_count: int = 30, longest: int = 4, mass: int = 1 << 22, slack: int = 8,
@@ -263,8 +274,13 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, longest: int = 4, mass:
     for level in range(min(longest, 3)):
         maps = maps + [surviving(texts, part_bits, filter_bits, longest, level, min_count, slack, maps)]
     sent = docs.sparkSession.sparkContext.broadcast(maps)
-    exact = texts.mapInArrow(_exact(filter_bits, longest, sent), "lang string, phrase string, f long, words int")
-    summed = exact.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
+    exact = texts.mapInArrow(_exact(filter_bits, longest, sent), "key string, f long")
+    colon = F.instr("key", ":")
+    chars = F.substring("key", F.lit(1), colon - 1).cast("int")
+    phrase = F.col("phrase")
+    summed = (exact.groupBy("key").agg(F.sum("f").alias("f"))
+              .select(F.substring("key", colon + 1, chars).alias("lang"), F.substring("key", colon + 1 + chars, F.length("key")).alias("phrase"), "f")
+              .withColumn("words", F.when(phrase == "", 0).otherwise(F.size(F.split(phrase, " ", -1)))))
     return cut(summed.filter((F.col("f") >= min_count) | (F.col("words") == 0)))
 
 
@@ -284,7 +300,14 @@ def collocations(docs: DataFrame, top: int = 2000, min_count: int = 30, longest:
     floor(2000000 a / (l + r))."""
     counts = phrase_counts(docs, min_count, longest, mass, slack, filter_bits)
     found = counts.filter("words >= 2").withColumn("w", F.split("phrase", " ", -1))
-    cuts = found.select("lang", "phrase", F.col("f").alias("a"), "w", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
+    # what lies inside a longer phrase that is nearly as frequent goes
+    inside = (found.filter("words >= 3").withColumn("m", F.explode(F.sequence(F.lit(2), F.col("words") - 1)))
+              .withColumn("i", F.explode(F.sequence(F.lit(1), F.col("words") - F.col("m") + 1)))
+              .select("lang", _part(F.col("i"), F.col("m")).alias("phrase"), "f"))
+    around = inside.groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
+    covered = F.coalesce(_big("longer") * den >= _big("f") * num, F.lit(False))
+    kept = found.join(around, ["lang", "phrase"], "left").filter(~covered)
+    cuts = kept.select("lang", "phrase", F.col("f").alias("a"), "w", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
     cuts = cuts.select("lang", "phrase", "a", "k", _part(F.lit(1), F.col("k")).alias("left"), _part(F.col("k") + 1, F.size("w")).alias("right"))
     parts = counts.filter("words >= 1")
     both = (cuts.join(parts.select("lang", F.col("phrase").alias("left"), F.col("f").alias("l")), ["lang", "left"])
@@ -292,14 +315,7 @@ def collocations(docs: DataFrame, top: int = 2000, min_count: int = 30, longest:
             .withColumns({"a20": _big("a"), "lr": _big("l") + _big("r")})
             .withColumn("score", F.expr("a20 * CAST(2000000 AS DECIMAL(7,0)) div lr")))
     weakest = both.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("s")).select("lang", "phrase", "s.*")
-    # what lies inside a longer phrase that is nearly as frequent goes
-    inside = (found.filter("words >= 3").withColumn("m", F.explode(F.sequence(F.lit(2), F.col("words") - 1)))
-              .withColumn("i", F.explode(F.sequence(F.lit(1), F.col("words") - F.col("m") + 1)))
-              .select("lang", _part(F.col("i"), F.col("m")).alias("phrase"), "f"))
-    around = inside.groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
-    covered = F.coalesce(_big("longer") * den >= _big("a") * num, F.lit(False))
-    kept = weakest.join(around, ["lang", "phrase"], "left").filter(~covered)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    ranked = weakest.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     words = counts.filter("words = 0").select("lang", F.col("f").alias("n"))
     return ranked.join(words, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
