@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +35,11 @@ DISSIMILAR_BAND = (0.40, 0.50)
 
 QUERY_BATCH = 1 << 17   # query vectors collected at most in knn(), further capped by MAX_BATCH_BYTES
 MAX_BATCH_BYTES = 64 << 20
+GROUP_BYTES = 32 << 20  # vectors of one side of a task beyond one batch
+GROUP_SIDE = 16         # tiles and slices there at least, where they hold more than a block
 CELLS = 256             # pivots of a search beyond one batch
-BLOCK_ROWS = 4096       # rows of a corpus block and of a query slice there
+BLOCK_ROWS = 4096       # rows of the corpus scored at once there
+SLICE_ROWS = 1024       # queries scored at once there
 
 
 def _c(c) -> Column:
@@ -466,84 +470,203 @@ def knn_prepared(q: DataFrame, c: DataFrame, k: int, exclude_self: bool = False,
     if not st["n"]:
         return spark.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
     if st["n"] > _per_batch(st, batch):
-        return _knn_cells(q, c, k, exclude_self, st["n"], cells, block)
+        return _knn_cells(q, c, k, exclude_self, st["d"] or 1, cells, block)
     pdf = q.orderBy("_id").toPandas()  # one batch, its size checked above
     return _merge_topk(_score_batch(c, pdf, k, exclude_self), k)
 
 
-def _knn_cells(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, n_queries: int, cells: int,
+def _matrix(table: pa.Table) -> np.ndarray:
+    """The vectors of a group's rows, one row each."""
+    flat = table.column("_v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.astype(np.float64, copy=False).reshape(table.num_rows, -1)
+
+
+def _finite(ids: np.ndarray, mat: np.ndarray, *more: np.ndarray):
+    """Without the vectors that have no finite score with any other."""
+    ok = np.isfinite(mat).all(axis=1)
+    return (ids, mat, *more) if ok.all() else (ids[ok], mat[ok], *[x[ok] for x in more])
+
+
+def _lengths(mat: np.ndarray) -> np.ndarray:
+    """The rows' norms, 1 for a zero row, without overflow."""
+    most = np.abs(mat).max(axis=1)
+    most[most == 0] = 1.0
+    length = most * np.sqrt(((mat / most[:, None]) ** 2).sum(axis=1))
+    length[length == 0] = 1.0
+    return length
+
+
+def _fewest_copies(ids: np.ndarray, mat: np.ndarray, keep: int):
+    """Of equal vectors the ``keep`` smallest ids: the others lose every tie."""
+    order = np.argsort(ids, kind="stable")
+    ids, mat = ids[order], np.ascontiguousarray(mat[order])
+    group = np.unique(mat.view(np.dtype((np.void, mat.dtype.itemsize * mat.shape[1]))).ravel(), return_inverse=True)[1]
+    if len(ids) == 0 or np.bincount(group).max() <= keep:
+        return ids, mat
+    by = np.argsort(group, kind="stable")
+    nth = np.arange(len(by)) - np.searchsorted(group[by], group[by])
+    kept = np.sort(by[nth < keep])
+    return ids[kept], mat[kept]
+
+
+def _best_of(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
+    """The k best (score desc, id asc) of each row, and the place in its row."""
+    order = np.lexsort((ids, -score, row))
+    row, ids, score = row[order], ids[order], score[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    top = nth < k
+    return row[top], ids[top], score[top], nth[top]
+
+
+def _places(hit: np.ndarray) -> np.ndarray:
+    """``flatnonzero`` of a mask with few hits, eight bytes at a time."""
+    flat = hit.ravel()
+    if flat.size % 8:
+        return np.flatnonzero(flat)
+    some = np.flatnonzero(flat.view(np.uint64))
+    word, byte = np.nonzero(flat.reshape(-1, 8)[some])
+    return some[word] * 8 + byte
+
+
+def _exact_scores(qmat: np.ndarray, mat: np.ndarray, qi: np.ndarray, cj: np.ndarray) -> np.ndarray:
+    """Inner products as sums in the order of the dimensions."""
+    out = np.empty(len(qi))
+    step = max(1, (1 << 21) // qmat.shape[1])
+    for a in range(0, len(qi), step):
+        out[a:a + step] = np.add.accumulate(qmat[qi[a:a + step]] * mat[cj[a:a + step]], axis=1)[:, -1]
+    return out
+
+
+def _group_topk(qids: np.ndarray, qmat: np.ndarray, floor: np.ndarray, ids: np.ndarray, mat: np.ndarray, k: int,
+                exclude_self: bool, block: int):
+    """The k best of ``mat`` for each query, as (query_id, id, score), those
+    below a query's ``floor`` left out.  A product in single precision only
+    tells which columns can be among the k best (within its rounding error);
+    those are scored anew in double precision."""
+    qids, qmat, floor = _finite(qids, qmat, floor)
+    ids, mat = _finite(ids, mat)
+    found = []
+    if len(qids) and len(ids):
+        extra = int(np.unique(ids, return_counts=True)[1].max()) if exclude_self else 0  # rows that a query leaves out
+        ids, mat = _fewest_copies(ids, mat, k + extra)
+        length, unit = _lengths(qmat), _lengths(mat).max()
+        q32, c32 = (qmat / length[:, None]).astype(np.float32), (mat / unit).astype(np.float32)
+        rows, dim, tiny = SLICE_ROWS, qmat.shape[1], np.finfo(np.float64).tiny
+        for a in range(0, len(qids), rows):
+            part = slice(a, a + rows)
+            scale = np.maximum(length[part] * unit, 5e-324)
+            error = 2 * (dim + 8) * 2.0 ** -23 + dim * tiny / scale
+            least = np.minimum(floor[part] / scale, 2.0) - error
+            held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            for c in range(0, len(ids), block):
+                s = q32[part] @ c32[c:c + block].T
+                m = s.shape[1]
+                new = np.flatnonzero(np.isneginf(least))
+                if len(new) and m > k + extra:
+                    least[new] = np.partition(s[new], m - k - extra, axis=1)[:, m - k - extra] - error[new]
+                at = _places(s >= least.astype(np.float32)[:, None])
+                qi, cj = at // m, at % m + c
+                if exclude_self:
+                    other = qids[part][qi] != ids[cj]
+                    qi, cj = qi[other], cj[other]
+                held = tuple(np.concatenate(x) for x in zip(held, (qi, ids[cj], _exact_scores(qmat[part], mat, qi, cj))))
+                if len(held[0]) > 2 * k * rows or c + block >= len(ids):
+                    *held, nth = _best_of(*held, k)
+                    row, kth = (x[nth == k - 1] for x in (held[0], held[2]))
+                    least[row] = np.maximum(least[row], kth / scale[row] - error[row])
+            sure = np.isfinite(held[2]) & (held[2] >= floor[part][held[0]])
+            found.append((qids[part][held[0][sure]], held[1][sure], held[2][sure]))
+    return tuple(np.concatenate([np.zeros(0, t), *[f[i] for f in found]]) for i, t in enumerate((np.int64, np.int64, np.float64)))
+
+
+def _knn_cells(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, dim: int, cells: int,
                block: int) -> DataFrame:
     """P9 for query sets of any size: exact, and no vector but the pivots
     passes through the driver.
 
-    The ``cells`` vectors of smallest id hash are pivots; every corpus vector
-    x goes to its nearest pivot p, and a cell's radius R bounds |x - p|, so
-    q.x <= q.p + |q| R for all of the cell.  A query first meets one block of
-    the cell nearest to it, which bounds its k-th score from below, and then
-    only the cells that this bound cannot rule out.  Cells are cut into blocks
-    of about ``block`` rows and queries into slices alike, so one group never
-    holds more than a block and a slice, however many vectors are equal."""
+    The ``cells`` vectors of smallest id hash are pivots; every vector x goes
+    to its nearest pivot p, and a cell's radius R bounds |x - p|, so
+    q.x <= q.p + |q| R for all of the cell.  Vectors in the order of their
+    cells are dealt into tiles, queries into slices, of at most GROUP_BYTES; a
+    task holds one tile and one slice, however many vectors are equal, and
+    scores ``block`` rows at a time.  A query first meets one tile of its
+    nearest cell, which bounds its k-th score from below, and then only the
+    tiles with a cell that this bound cannot rule out.  A tile travels once for
+    each slice that asks for it, and a query once for each tile."""
     spark = c.sparkSession
     ensure_checkpoint_dir(spark)
     picked = c.orderBy(F.xxhash64("_id"), "_id").limit(cells).toPandas()  # <= cells rows
     if picked.empty:
         return spark.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
-    pivots = np.stack(picked["_v"].to_numpy()).astype(np.float64)
+    pivots = np.nan_to_num(np.stack(picked["_v"].to_numpy()).astype(np.float64))
 
-    def assign(batches):
-        for pdf in batches:
-            if len(pdf):
-                m = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
-                cell = np.argmax(m @ pivots.T - (pivots ** 2).sum(axis=1) / 2, axis=1)
-                yield pdf.assign(cell=cell.astype(np.int32), far=np.sqrt(((m - pivots[cell]) ** 2).sum(axis=1)))
-    placed = c.mapInPandas(assign, "_id bigint, _v array<double>, cell int, far double").checkpoint()
-    stats = placed.groupBy("cell").agg(F.max("far").alias("radius"),
-                                       F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    known = stats.toPandas().sort_values("cell")  # <= cells rows
-    at, radius, blocks = (known[x].to_numpy() for x in ("cell", "radius", "blocks"))
-    corpus = (placed.join(F.broadcast(stats.select("cell", "blocks")), "cell")
-              .select("_id", "_v", "cell", F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int").alias("blk")))
-    slices = -(-n_queries // block)
-    asked = q.withColumn("slice", F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(slices)).cast("int"))
-
-    def route(first: bool):
+    def place(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+        half = (pivots ** 2).sum(axis=1) / 2
+
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    m = np.nan_to_num(np.stack(pdf["_v"].to_numpy()).astype(np.float64))
+                    cell = np.argmax(m @ pivots.T - half, axis=1)
+                    yield pdf.assign(cell=cell.astype(np.int32), far=np.sqrt(((m - pivots[cell]) ** 2).sum(axis=1)))
+        return (df.select("_id", "_v").mapInPandas(run, "_id bigint, _v array<double>, cell int, far double")
+                .withColumn("nth", F.monotonically_increasing_id()).checkpoint())
+
+    def dealt(placed: DataFrame, name: str, salt: int):
+        """``placed`` with its tile, and the cells' first places and sizes."""
+        known = placed.groupBy("cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("cell")  # <= cells rows
+        size = max(1, min(GROUP_BYTES // (8 * max(dim, 1)), max(block, -(-int(known["n"].sum()) // GROUP_SIDE))))
+        known["first"] = known["n"].cumsum() - known["n"]
+        shape = F.broadcast(spark.createDataFrame(known[["cell", "first", "n"]], "cell int, first long, n long"))
+        part = F.floor((F.col("first") + F.pmod(F.xxhash64("nth", F.lit(salt)), F.col("n"))) / size).cast("int")
+        return placed.join(shape, "cell").select("_id", "_v", "cell", part.alias(name)), known, size
+
+    placed = place(c, pivots)
+    corpus, known, size = dealt(placed, "tile", 0)
+    at, first, n, radius = (known[x].to_numpy() for x in ("cell", "first", "n", "radius"))
+    lo, hi = first // size, (first + n - 1) // size  # the tiles of a cell
+    cover = (lo[:, None] <= np.arange(hi[-1] + 1)) & (np.arange(hi[-1] + 1) <= hi[:, None])
+    asked = dealt(placed if q is c else place(q, pivots), "slice", 1)[0]
+
+    def route(start: bool):
         def run(batches):
             for pdf in batches:
                 if not len(pdf):
                     continue
-                m = np.stack(pdf["_v"].to_numpy()).astype(np.float64)
+                m = np.nan_to_num(np.stack(pdf["_v"].to_numpy()).astype(np.float64))
                 near = m @ pivots[at].T
-                if first:
+                if start:
                     best = np.argmax(near, axis=1)
-                    yield pdf.assign(cell=at[best].astype(np.int32), blk=(pdf["_id"].to_numpy() % blocks[best]).astype(np.int32))
+                    tiles = lo[best] + pdf["_id"].to_numpy() % (hi - lo + 1)[best]
+                    yield pdf.assign(floor=-np.inf, tiles=[[t] for t in tiles])[["_id", "_v", "slice", "floor", "tiles"]]
                     continue
                 most = near + np.sqrt((m ** 2).sum(axis=1))[:, None] * radius
                 floor = pdf["floor"].fillna(-np.inf).to_numpy()
-                row, col = np.nonzero(most >= (floor - 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0))))[:, None])
-                times = blocks[col]
-                blk = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                out = pdf.drop(columns=["floor"]).iloc[np.repeat(row, times)]
-                yield out.assign(cell=np.repeat(at[col], times).astype(np.int32), blk=blk.astype(np.int32))
+                need = ~(most < (floor - 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0))))[:, None])
+                tiles = (need.astype(np.float32) @ cover.astype(np.float32)) > 0
+                yield pdf.assign(floor=floor, tiles=[np.flatnonzero(t) for t in tiles])[["_id", "_v", "slice", "floor", "tiles"]]
         return run
 
-    def score(asks: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(asks) and len(held):
-            qmat = np.stack(asks["_v"].to_numpy()).astype(np.float64)
-            found = list(_topk_scorer(asks["_id"].to_numpy(dtype=np.int64), qmat, k, exclude_self)([held[["_id", "_v"]]]))
-        return found[0] if found else pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
-
-    def meet(asks: DataFrame) -> DataFrame:
-        keys = asks.select("cell", "blk", F.col("slice").alias("part")).distinct()
-        held = corpus.join(keys, ["cell", "blk"]).select("_id", "_v", *[F.col(x).alias(f"h_{x}") for x in ("cell", "blk", "part")])
-        return (asks.groupBy("cell", "blk", "slice").cogroup(held.groupBy("h_cell", "h_blk", "h_part"))
-                .applyInPandas(score, "query_id bigint, id bigint, score double"))
-
-    routed = "_id bigint, _v array<double>, slice int, cell int, blk int"
-    start = meet(asked.mapInPandas(route(True), routed).checkpoint())
-    floors = start.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-    bounded = asked.join(floors.withColumnRenamed("query_id", "_id"), "_id", "left")
-    return _merge_topk(meet(bounded.mapInPandas(route(False), routed).checkpoint()), k)
+    def score(asks: pa.Table, held: pa.Table) -> pa.Table:
+        got = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        if asks.num_rows and held.num_rows:
+            got = _group_topk(asks.column("_id").to_numpy(), _matrix(asks), asks.column("floor").to_numpy(),
+                              held.column("_id").to_numpy(), _matrix(held), k, exclude_self, block)
+        return pa.table(dict(zip(("query_id", "id", "score"), got)))
+
+    def meet(routed: DataFrame) -> DataFrame:
+        asks = routed.select("_id", "_v", "floor", "slice", F.explode("tiles").alias("tile"))
+        wanted = asks.groupBy("tile").agg(F.collect_set("slice").alias("slices"))  # a number for each pair of tile and slice
+        held = (corpus.join(F.broadcast(wanted), "tile")
+                .select("_id", "_v", F.explode("slices").alias("slice"), "tile"))
+        return (asks.groupBy("tile", "slice").cogroup(held.groupBy("tile", "slice"))
+                .applyInArrow(score, "query_id bigint, id bigint, score double"))
+
+    shape = "_id bigint, _v array<double>, slice int, floor double, tiles array<int>"
+    begun = meet(asked.select("_id", "_v", "slice").mapInPandas(route(True), shape))
+    floors = begun.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+    bounded = asked.select("_id", "_v", "slice").join(floors.withColumnRenamed("query_id", "_id"), "_id", "left")
+    return _merge_topk(meet(bounded.mapInPandas(route(False), shape).checkpoint()), k)
 
 
 def _score_batch(c: DataFrame, pdf, k: int, exclude_self: bool) -> DataFrame:

@@ -278,3 +278,40 @@ def test_cell_search_equals_brute_force_at_any_partitioning(spark):
         assert sorted(tuple(r) for r in got.collect()) == sorted(want), parts
     few = P.knn_prepared(e, e.limit(3), 5, batch=10, cells=7, block=16)
     assert few.count() == 240 * 3
+
+
+def test_cell_search_copies_repeated_ids_and_missing_numbers(spark):
+    """Half of the vectors are equal, some ids come twice, one vector holds a
+    NaN: the tiles give what brute force gives, and the vectors of a search
+    from float32 input are those of unit length."""
+    import numpy as np
+    rng = np.random.default_rng(11)
+    m = rng.integers(-3, 4, size=(300, 5)).astype(float)
+    m[::2], m[7] = m[1], [np.nan, 1, 1, 1, 1]
+    ids = np.concatenate([np.arange(280), np.arange(20)])
+    want = {}
+    for a in range(300):
+        s = m @ m[a]
+        order = [(-s[b], int(ids[b])) for b in range(300) if ids[b] != ids[a] and np.isfinite(s[b])]
+        want.setdefault(int(ids[a]), []).extend(order)
+    want = sorted((a, i, -x, r + 1) for a, order in want.items() for r, (x, i) in enumerate(sorted(order)[:4]))
+    e = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, m)], "_id long, _v array<double>").repartition(5)
+    got = P.knn_prepared(e, e, 4, exclude_self=True, batch=10, cells=6, block=16)
+    assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_a_routed_query_is_no_row_for_each_block(spark, monkeypatch):
+    """Nothing written on the way holds a query's vector once for each block."""
+    import numpy as np
+    rng = np.random.default_rng(12)
+    m = rng.normal(size=(600, 4))
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "_id long, _v array<double>")
+    written, plain = [], type(e).checkpoint
+
+    def spy(df, *args):
+        out = plain(df, *args)
+        written.append(out.count())
+        return out
+    monkeypatch.setattr(type(e), "checkpoint", spy)
+    assert P.knn_prepared(e, e, 3, exclude_self=True, batch=10, cells=60, block=8).count() == 1800
+    assert written and max(written) <= 600
