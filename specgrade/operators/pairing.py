@@ -34,7 +34,7 @@ DEFAULT_MAX_PAIRS = 25  # pairs requested
 DISSIMILAR_BAND = (0.40, 0.50)
 
 QUERY_BATCH = 1 << 17   # query vectors collected at most in knn(), further capped by MAX_BATCH_BYTES
-MAX_BATCH_BYTES = 64 << 20
+MAX_BATCH_BYTES = 8 << 20
 GROUP_BYTES = 32 << 20  # vectors of one side of a task beyond one batch
 GROUP_SIDE = 16         # tiles and slices there at least, where they hold more than a block
 CELLS = 256             # pivots of a search beyond one batch
@@ -54,8 +54,9 @@ def vector_norm(vec) -> Column:
 
 def l2_normalize(vec) -> Column:
     """Unit vector as array<double>; null for a zero (or null) vector."""
-    n = vector_norm(vec)
-    return F.when(n > 0, F.transform(_c(vec), lambda x: x.cast("double") / n))
+    # the norm is bound once: inside the inner lambda it would be summed anew for each element
+    scaled = F.transform(F.array(vector_norm(vec)), lambda n: F.when(n > 0, F.transform(_c(vec), lambda x: x.cast("double") / n)))
+    return F.get(scaled, 0)
 
 
 def dot(u, v) -> Column:

@@ -315,3 +315,17 @@ def test_a_routed_query_is_no_row_for_each_block(spark, monkeypatch):
     monkeypatch.setattr(type(e), "checkpoint", spy)
     assert P.knn_prepared(e, e, 3, exclude_self=True, batch=10, cells=60, block=8).count() == 1800
     assert written and max(written) <= 600
+
+
+def test_normalising_is_linear_in_the_dimension(spark):
+    """The norm is summed once for a vector, not once for each element."""
+    import time
+    from pyspark.sql import functions as F
+    df = spark.range(0, 16, 1, 1).select(F.transform(F.sequence(F.lit(1), F.lit(6000)), lambda x: (x + F.col("id")).cast("double")).alias("v")).cache()
+    assert df.count() == 16
+    began = time.time()
+    got = df.select(P.vector_norm(P.l2_normalize("v")).alias("n")).agg(F.max("n"), F.min("n")).first()
+    assert abs(got[0] - 1) < 1e-9 and abs(got[1] - 1) < 1e-9
+    assert time.time() - began < 5
+    empty = spark.createDataFrame([(None,), ([0.0, 0.0],), ([],)], "v array<double>").select(P.l2_normalize("v").alias("u")).collect()
+    assert [r["u"] for r in empty] == [None, None, None]
