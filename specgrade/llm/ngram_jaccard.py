@@ -8,7 +8,9 @@ within the first n - ceil(t n) + l of each, for every l.  Every class picks
 its own l: a longer prefix costs postings, but asks for more shared shingles
 and so leaves fewer candidates; the estimated cost of both decides.  A pair of
 classes is a candidate if it shares min(l, l') prefix shingles and passes the
-length and the positional filter; its whole sets are then compared exactly.
+length and the positional filter, and the parity filter: a class carries 512
+bits, each the parity of its shingles that fall there, and two sets differ in at
+least as many shingles as bits.  Its whole sets are then compared exactly.
 
 Only connected components are asked for, so a group of similar classes is not
 expanded into pairs.  First each posting list is compared with its smallest
@@ -27,6 +29,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -80,6 +84,15 @@ def shingle_sets(texts: list[str], k: int) -> Iterator[np.ndarray]:
             yield np.unique(_mixed(h + np.uint64(k)))
 
 
+SKETCH = 8  # longs
+
+
+def parities(h: np.ndarray) -> np.ndarray:
+    """64 SKETCH bits, each the parity of the shingles that fall there."""
+    odd = np.bincount((h & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def text_blocks(texts: list[str], most: int = 1 << 19) -> Iterator[list[str]]:
     """Runs of texts of about ``most`` characters: bounded arrays over bytes."""
     run, chars = [], 0
@@ -142,8 +155,9 @@ def choose_prefix(est: np.ndarray, base: int, most_l: int, verify_cost: float) -
 
 
 def signatures(docs: DataFrame, sim: Similarity, counts: np.ndarray, bits: int, most_l: int, verify_cost: float) -> DataFrame:
-    """(doc_id, rk, s1, s2, n, l, common, prefix): s1, s2 and n name the set;
-    common is how frequent its shingles are on the mean, as 100 log2."""
+    """(doc_id, rk, s1, s2, n, l, common, prefix, odd): s1, s2 and n name the
+    set; common is how frequent its shingles are on the mean, as 100 log2; odd
+    are its parities."""
     noise = counts.mean() + 4 * np.sqrt(counts.mean() + 1)
     held = docs.sparkSession.sparkContext.broadcast(np.maximum(1, counts - int(noise)).astype(np.int64))
 
@@ -159,11 +173,11 @@ def signatures(docs: DataFrame, sim: Similarity, counts: np.ndarray, bits: int,
                         order, common = np.argsort(est, kind="stable"), int(100 * np.log2(est).mean())
                         l = choose_prefix(est[order], sim.prefix(n), most_l, verify_cost)
                         prefix = h[order[:sim.prefix(n) + l - 1]].view(np.int64)
-                    out.append((ids[at], keys[at], int(h.sum(dtype=np.uint64).view(np.int64)), int(_mixed(h ^ _BASE).sum(dtype=np.uint64).view(np.int64)), n, l, common, prefix))
+                    out.append((ids[at], keys[at], int(h.sum(dtype=np.uint64).view(np.int64)), int(_mixed(h ^ _BASE).sum(dtype=np.uint64).view(np.int64)), n, l, common, prefix, parities(h)))
                     at += 1
-            yield pd.DataFrame(out, columns=["doc_id", "rk", "s1", "s2", "n", "l", "common", "prefix"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "rk", "s1", "s2", "n", "l", "common", "prefix", "odd"]).astype({"doc_id": "Int64"})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), whole_text().alias("text"))
-    return rows.mapInPandas(sign, "doc_id long, rk long, s1 long, s2 long, n int, l int, common int, prefix array<long>")
+    return rows.mapInPandas(sign, "doc_id long, rk long, s1 long, s2 long, n int, l int, common int, prefix array<long>, odd array<long>")
 
 
 def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sim: Similarity, broadcast_rows: int) -> DataFrame:
@@ -226,6 +240,21 @@ def room():
     return F.least("x_pos", "y_pos") + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos"))
 
 
+def differ(xs: list, ys: list):
+    """How many of the bits differ."""
+    return reduce(add, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(xs, ys)])
+
+
+def within(pairs: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
+    """The pairs (a, b) whose parities leave room for the similarity."""
+    n, m = F.col("x_n"), F.col("y_n")
+    least = F.ceil(sim.num * (n + m) / (sim.num + sim.den))
+    bits = [[F.get(f"{s}_odd", i) for i in range(SKETCH)] for s in "xy"]
+    for name, s in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(classes.select(F.col("node").alias(name), F.col("n").alias(f"{s}_n"), F.col("odd").alias(f"{s}_odd")), name)
+    return pairs.filter(differ(*bits) <= n + m - 2 * least).select("a", "b")
+
+
 def past(sim: Similarity, n, l):
     """How many shingles of a set lie past its prefix."""
     return F.ceil(sim.num * n / sim.den) - l
@@ -243,16 +272,15 @@ def shared_postings(classes: DataFrame) -> DataFrame:
     return postings.withColumns({"holders": F.count(F.lit(1)).over(whole), **head}).filter("holders > 1").drop("holders", "common")
 
 
-def across(shared: DataFrame, labels: DataFrame, sim: Similarity, long: int = 64) -> DataFrame:
+def across(shared: DataFrame, classes: DataFrame, labels: DataFrame, sim: Similarity, long: int = 64) -> DataFrame:
     """Candidate pairs (a, b) of classes in different components.
 
     Only lists that join several components matter, and they hold all that
     such a pair shares.  A similar pair shares at least ``need`` of them, so
     one, the rarest that it shares, is followed by ``need - 1`` more in either
     class's own list, rarest first: this prefix filter keeps long lists out of
-    the join.  Every class also carries 128 bits, each the parity of its tokens
-    that fall there: of x and y tokens with d differing bits at most
-    (x + y - d) / 2 are shared (bitmap filter).  A
+    the join.  Every posting also carries its class's parities, folded to half
+    as many bits.  A
     pair that meets in several long lists (``long`` holders or more) is taken
     from the first alone: a posting there carries its class's earlier tokens of
     long lists.  What a pair shares is then counted on the classes' lists."""
@@ -264,20 +292,18 @@ def across(shared: DataFrame, labels: DataFrame, sim: Similarity, long: int = 64
     rarest_last = own.orderBy(F.desc("holders"), F.desc("token"))
     in_long = F.when(F.col("holders") >= long, F.col("token"))
     earlier = F.collect_list(in_long).over(own.orderBy("holders", "token").rowsBetween(Window.unboundedPreceding, -1))
-    left = cut(open_lists.withColumns({"earlier": F.when(F.col("holders") >= long, earlier),
-                                       "more": F.row_number().over(rarest_last) - 1,  # rarer ones have more after them
-                                       "size": F.count(F.lit(1)).over(own),
-                                       "bits0": F.bit_xor(F.expr("if(token & 64 = 0, shiftleft(1L, cast(token & 63 AS int)), 0L)")).over(own),
-                                       "bits1": F.bit_xor(F.expr("if(token & 64 = 0, 0L, shiftleft(1L, cast(token & 63 AS int)))")).over(own)}).drop("holders"))
-    right = left.select("token", *[F.col(c).alias(f"q_{c}") for c in ("node", "meta", "label", "more", "size", "bits0", "bits1", "earlier")])
+    odd = [f"odd{i}" for i in range(SKETCH // 2)]
+    folded = classes.select("node", *[F.get("odd", i).bitwiseXOR(F.get("odd", i + SKETCH // 2)).alias(c) for i, c in enumerate(odd)])
+    left = cut(open_lists.join(folded, "node").withColumns({"earlier": F.when(F.col("holders") >= long, earlier),
+                                       "more": F.row_number().over(rarest_last) - 1}).drop("holders"))  # rarer ones have more after them
+    right = left.select("token", *[F.col(c).alias(f"q_{c}") for c in ("node", "meta", "label", "more", *odd, "earlier")])
     met = (left.join(right, "token").filter((F.col("node") < F.col("q_node")) & (F.col("label") != F.col("q_label")))
            .withColumns(unpacked("meta", "x_") | unpacked("q_meta", "y_")).withColumnsRenamed({"node": "a", "q_node": "b"}))
     n, m = F.col("x_n"), F.col("y_n")
     least = F.ceil(sim.num * (n + m) / (sim.num + sim.den))
     need = F.greatest(F.least("x_l", "y_l"), least - F.greatest(past(sim, n, F.col("x_l")), past(sim, m, F.col("y_l"))))
     fits = (sim.den * F.least(n, m) >= sim.num * F.greatest(n, m)) & (room() >= least) & (F.least("more", "q_more") >= need - 1)
-    differ = F.bit_count(F.col("bits0").bitwiseXOR(F.col("q_bits0"))) + F.bit_count(F.col("bits1").bitwiseXOR(F.col("q_bits1")))
-    fits = fits & (F.col("size") + F.col("q_size") - differ >= 2 * need) & ~F.coalesce(F.arrays_overlap("earlier", "q_earlier"), F.lit(False))
+    fits = fits & (differ([F.col(c) for c in odd], [F.col(f"q_{c}") for c in odd]) <= n + m - 2 * least) & ~F.coalesce(F.arrays_overlap("earlier", "q_earlier"), F.lit(False))
     pairs = met.filter(fits).select("a", "b", need.alias("need")).distinct()
     tokens = left.groupBy("node").agg(F.collect_list("token").alias("tokens"))
     both = (pairs.join(tokens.withColumnsRenamed({"node": "a", "tokens": "x"}), "a").join(tokens.withColumnsRenamed({"node": "b", "tokens": "y"}), "b"))
@@ -293,16 +319,16 @@ def classes_with_components(docs: DataFrame, k: int = 4, num: int = 85, den: int
     rows = cut(signatures(docs, sim, counts, bits, most_l, verify_cost))
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     classes = cut(rows.filter("n > 0").groupBy("s1", "s2", "n")
-                  .agg(F.min("doc_id").alias("rep_doc"), F.min_by("rk", order).alias("rep_rk"), F.first("l").alias("l"), F.first("common").alias("common"), F.first("prefix").alias("prefix"))
+                  .agg(F.min("doc_id").alias("rep_doc"), F.min_by("rk", order).alias("rep_rk"), F.first("l").alias("l"), F.first("common").alias("common"), F.first("prefix").alias("prefix"), F.first("odd").alias("odd"))
                   .withColumn("node", F.monotonically_increasing_id()))
     shared = cut(shared_postings(classes))
     meets = (shared.filter("node <> p_node").withColumns(unpacked("p_meta", "x_") | unpacked("meta", "y_"))
              .withColumnsRenamed({"p_node": "a", "node": "b"}))
     stars = cut(candidates(meets, sim))
-    linked = cut(similar(stars, classes, docs, sim, broadcast_rows))
+    linked = cut(similar(within(stars, classes, sim), classes, docs, sim, broadcast_rows))
     first_labels = cut(components(linked))
-    rest = cut(across(shared, first_labels, sim).join(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"))
-    more = similar(rest, classes, docs, sim, broadcast_rows)
+    rest = cut(across(shared, classes, first_labels, sim).join(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"))
+    more = similar(within(rest, classes, sim), classes, docs, sim, broadcast_rows)
     labels = components(cut(linked.unionByName(more)))
     named = classes.select("node", "s1", "s2", "n", "rep_doc", "rep_rk").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     top = named.groupBy("label").agg(F.min("rep_doc").alias("component_id"), F.min_by("rep_rk", F.coalesce("rep_doc", F.lit((1 << 63) - 1))).alias("keep_rk"))

@@ -238,3 +238,24 @@ def test_pipeline(spark):
         docs = kept.checkpoint()
     packed = corpus_pipeline.run(spark, SF001)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_parities_drop_unlike_pairs_and_no_like_one(spark):
+    """Of pairs of sets, those whose whole sets are unlike go before any text
+    is read again; none that reaches the similarity goes."""
+    import numpy as np
+    from specgrade.llm import ngram_jaccard as N
+    rng = np.random.default_rng(5)
+    sim, rows, pairs, like = N.Similarity(4, 85, 100), [], [], set()
+    for i in range(300):
+        x = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 500)), dtype=np.uint64))
+        keep = x[rng.random(len(x)) < rng.choice([1.0, 0.95, 0.9, 0.5])] if i % 2 else x[:0]
+        y = np.unique(np.concatenate([keep, rng.integers(0, 1 << 63, int(rng.integers(1, 12)), dtype=np.uint64)]))
+        shared = len(np.intersect1d(x, y))
+        if 100 * shared >= 85 * (len(x) + len(y) - shared):
+            like.add((2 * i, 2 * i + 1))
+        rows += [(2 * i + j, len(h), N.parities(h).tolist()) for j, h in enumerate((x, y))]
+        pairs.append((2 * i, 2 * i + 1))
+    classes = spark.createDataFrame(rows, "node long, n int, odd array<long>")
+    got = {tuple(r) for r in N.within(spark.createDataFrame(pairs, "a long, b long"), classes, sim).collect()}
+    assert like and like <= got and len(got - like) < 15
