@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specgrade.llm.common import broadcast_if, cut, row_key, whole_text
+from specgrade.llm.common import cut, cut_observed, row_key, whole_text
 from specgrade.llm.graph import components
 
 _RNG = np.random.default_rng(20)
@@ -186,6 +186,7 @@ def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sim: Similari
     many pairs of one a are an ordinary skewed join, which Spark splits."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), whole_text().alias("text"))
     rep = classes.select("node", "rep_doc", "rep_rk")
+    pairs = cut(pairs)  # read for both sides
 
     def sets(batches):
         for pdf in batches:
@@ -194,7 +195,8 @@ def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sim: Similari
             yield pdf.drop(columns=["text"])
 
     def with_sets(wanted: DataFrame, names: list[str]) -> DataFrame:
-        listed = broadcast_if(cut(wanted), broadcast_rows)
+        listed, told = cut_observed(wanted, n=F.count(F.lit(1)))
+        listed = F.broadcast(listed) if told["n"] <= broadcast_rows else listed
         texts = rows.join(listed, (F.col("rk") == F.col("rep_rk")) & F.col("doc_id").eqNullSafe(F.col("rep_doc"))).select(*names, "text")
         return texts.mapInPandas(sets, ", ".join(f"{c} long" for c in names) + ", shingles array<long>")
 
@@ -330,7 +332,7 @@ def classes_with_components(docs: DataFrame, k: int = 4, num: int = 85, den: int
     rest = cut(across(shared, classes, first_labels, sim).join(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti"))
     more = similar(within(rest, classes, sim), classes, docs, sim, broadcast_rows)
     labels = components(cut(linked.unionByName(more)))
-    named = classes.select("node", "s1", "s2", "n", "rep_doc", "rep_rk").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = cut(classes.select("node", "s1", "s2", "n", "rep_doc", "rep_rk").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     top = named.groupBy("label").agg(F.min("rep_doc").alias("component_id"), F.min_by("rep_rk", F.coalesce("rep_doc", F.lit((1 << 63) - 1))).alias("keep_rk"))
     return rows, named.join(top, "label").select("s1", "s2", "n", "component_id", "keep_rk")
 

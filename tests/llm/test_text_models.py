@@ -214,6 +214,29 @@ def test_components(spark):
     assert got == {i: 0 for i in range(31)} | {100: 100, 200: 100, 300: 100}
 
 
+def test_components_task_count(spark):
+    """The driver keeps a record of every task: a round over few edges must not
+    cost many times the shuffle partitions."""
+    held = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    sc = spark.sparkContext
+    edges = spark.createDataFrame([(i, i + 1) for i in range(8)], "a long, b long")
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("components_task_count", "")
+        got = {r.node: r.label for r in components(edges).collect()}
+        told = sc.statusTracker()
+        stages = {i for j in told.getJobIdsForGroup("components_task_count") for i in told.getJobInfo(j).stageIds}
+        tasks = sum(s.numCompletedTasks for s in map(told.getStageInfo, stages) if s)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(9)}
+    assert tasks < 1000
+
+
 def test_queries_match_sql(spark, duck01):
     import __spark_entry__ as entry
     queries, sql = entry.queries(), entry.oracle_sql()
