@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specgrade.llm.common import cut, cut_observed, row_key, whole_text
+from specgrade.llm.common import cut, cut_observed, no_bloom_filters, row_key, whole_text
 from specgrade.llm.graph import components
 
 _RNG = np.random.default_rng(20)
@@ -351,9 +351,11 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     goes = (rows.filter("n > 0").select("doc_id", "rk", "s1", "s2", "n").join(classes, ["s1", "s2", "n"])
             .filter((F.col("rk") != F.col("keep_rk")) | ~F.col("doc_id").eqNullSafe(F.col("component_id")))
             .select(F.col("doc_id").alias("__did"), F.col("rk").alias("__drk")).distinct())
-    keyed = docs.withColumn("__rk", row_key())
-    left = keyed.join(goes, F.col("doc_id").eqNullSafe(F.col("__did")) & (F.col("__rk") == F.col("__drk")), "left_anti")
+    with no_bloom_filters(docs.sparkSession):
+        goes = cut(goes)
     wordless = ~F.regexp_like(whole_text(), F.lit(r"[^\x20\x09-\x0D]"))
     once = Window.partitionBy("doc_id", "__rk").orderBy(F.lit(1))
-    return (left.filter(wordless).unionByName(left.filter(~wordless).withColumn("__nth", F.row_number().over(once)).filter("__nth = 1").drop("__nth"))
-            .select(*docs.columns))
+    # a row that goes has words, so only those are looked up
+    left = (docs.filter(~wordless).withColumn("__rk", row_key())
+            .join(goes, F.col("doc_id").eqNullSafe(F.col("__did")) & (F.col("__rk") == F.col("__drk")), "left_anti"))
+    return docs.filter(wordless).unionByName(left.withColumn("__nth", F.row_number().over(once)).filter("__nth = 1").select(*docs.columns))

@@ -237,6 +237,38 @@ def test_components_task_count(spark):
     assert tasks < 1000
 
 
+def test_one_of_each_sends_no_bloom_filters(spark, monkeypatch, tmp_path):
+    """A runtime Bloom filter is a MB that the driver serialises with every
+    later stage of the plan."""
+    from specgrade.llm import ngram_jaccard
+    plans, cut = [], ngram_jaccard.cut
+
+    def seen(df):
+        out = cut(df)
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return out
+    monkeypatch.setattr(ngram_jaccard, "cut", seen)
+    name = "spark.sql.optimizer.runtime.bloomFilter.enabled"
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", name: "true",
+            "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1b"}
+    before = {k: spark.conf.get(k) for k in held}
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-1])), (3, "other words than those"), (3, "other words than those"), (4, " "), (4, " "), (5, None)]
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        table(spark, rows).write.parquet(f"{tmp_path}/docs")  # of known size
+        left = one_of_each(spark.read.parquet(f"{tmp_path}/docs"), k=4, num=85, den=100, bits=8)
+        plans.append(left._jdf.queryExecution().optimizedPlan().toString())
+        got = sorted(r.doc_id for r in left.collect())
+        assert spark.conf.get(name) == "true"
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == [1, 3, 4, 4, 5]
+    assert not [p for p in plans[-2:] if "might_contain" in p]
+
+
 def test_queries_match_sql(spark, duck01):
     import __spark_entry__ as entry
     queries, sql = entry.queries(), entry.oracle_sql()
