@@ -9,7 +9,9 @@ merges its summaries into a Misra-Gries summary whose capacity exceeds
 divided by ``min_count``: no count is too low by ``min_count / slack``, so every
 phrase with ``min_count`` occurrences survives, and few others do.  A longer
 phrase is sent only if all its parts survived.  Second pass: the phrases whose keys survived are
-counted exactly, by their words; two phrases with one key only cost work.
+counted exactly, by their words; two phrases with one key only cost work.  A
+task adds up its counts before it sends them, in the order of the phrases, so
+that equal beginnings stand side by side in what is shuffled.
 
 Survivors are kept as a bitmap over the high bits of the keys, ``2 **
 filter_bits`` bits whatever the corpus: a partition makes the stretch of the
@@ -45,6 +47,8 @@ END = b"."  # stands between pieces; no word holds it
 CHUNK_BYTES = 4 << 20
 # the keys a task holds before it sends its summaries
 FLUSH_KEYS = 1 << 22
+# the exact counts a task holds before it adds them up, or their bytes
+FLUSH_ROWS, FLUSH_BYTES = 1 << 20, 64 << 20
 # a key is sent as the 32 bits that follow its partition's; of a partition's few
 # million keys some in a thousand then share theirs, which can only make a phrase
 # look more frequent.  Keys seen once by a task go without their counts
@@ -93,11 +97,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Filters:
-    """Which keys survived: one bitmap per level of lengths."""
+    """Which keys survived: one bitmap per level of lengths, sent compressed."""
 
     def __init__(self, bits: int, maps: list[bytes]):
         self.shift = np.uint64(64 - bits)
-        self.maps = [np.frombuffer(m, np.uint8) for m in maps]
+        self.maps = [np.frombuffer(zlib.decompress(m), np.uint8) for m in maps]
 
     def passes(self, level: int, keys: np.ndarray) -> np.ndarray:
         at = keys >> self.shift
@@ -220,7 +224,7 @@ def _survivors(part_bits: int, bits: int, min_count: int, slack: int):
 
 
 def surviving(texts: DataFrame, part_bits: int, bits: int, longest: int, level: int, min_count: int, slack: int, maps: list[bytes]) -> bytes:
-    """The bitmap of the keys of a level that survive."""
+    """The bitmap of the keys of a level that survive, compressed."""
     sent = texts.sparkSession.sparkContext.broadcast(maps)
     summaries = texts.mapInArrow(_summaries(part_bits, bits, longest, level, sent), SUMMARY)
     stretches = summaries.groupBy("part").applyInArrow(_survivors(part_bits, bits, min_count, slack), "part int, stretch binary")
@@ -228,12 +232,12 @@ def surviving(texts: DataFrame, part_bits: int, bits: int, longest: int, level:
     whole = bytearray(1 << (bits - 3))
     for row in stretches.toLocalIterator():
         whole[row.part * size:(row.part + 1) * size] = zlib.decompress(row.stretch)
-    return bytes(whole)
+    return zlib.compress(whole, 1)
 
 
 def _exact(bits: int, longest: int, maps):
-    """Exact counts of the surviving phrases of each chunk; the phrase '' of
-    no words holds the number of words."""
+    """Exact counts of a task's surviving phrases; the phrase '' of no words
+    holds the number of words."""
     def unique(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
         order = np.lexsort(columns)
         columns = [c[order] for c in columns]
@@ -241,7 +245,7 @@ def _exact(bits: int, longest: int, maps):
         first = np.flatnonzero(new)
         return [c[first] for c in columns], np.diff(np.r_[first, len(order)])
 
-    def run(batches):
+    def counted(batches):
         filters = Filters(bits, maps.value)
         for lang, words, codes in chunks(batches):
             yield _rows(lang, pa.array([""]), [int((codes >= 0).sum())])
@@ -251,7 +255,30 @@ def _exact(bits: int, longest: int, maps):
                     columns, n = unique([codes[at + k] for k in range(length)])
                     parts = [words.take(pa.array(c)) for c in columns]
                     yield _rows(lang, pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())).cast(pa.string()), n)
-    return run
+
+    return lambda batches: added_up(counted(batches), FLUSH_ROWS, FLUSH_BYTES)
+
+
+def added_up(counts: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """(key, f) with the counts of a key added up, ordered by key; what is
+    held beyond ``rows`` rows or ``size`` bytes goes out if adding up leaves
+    more than half of it."""
+    def total(held: list[pa.RecordBatch]) -> pa.Table:
+        table = pa.Table.from_batches(held).group_by("key", use_threads=False).aggregate([("f", "sum")])
+        return table.select(["key", "f_sum"]).rename_columns(["key", "f"])
+
+    held, n, nbytes = [], 0, 0
+    for batch in counts:
+        held, n, nbytes = held + [batch], n + len(batch), nbytes + batch.nbytes
+        if n >= rows or nbytes >= size:
+            table = total(held)
+            if len(table) >= rows // 2 or table.nbytes >= size // 2:
+                yield from table.sort_by("key").to_batches()
+                held, n, nbytes = [], 0, 0
+            else:
+                held, n, nbytes = table.to_batches(), len(table), table.nbytes
+    if held:
+        yield from total(held).sort_by("key").to_batches()
 
 
 def _rows(lang: str, phrases: pa.Array, n) -> pa.RecordBatch:

@@ -67,6 +67,26 @@ def test_collocations(spark, top, min_count, longest, mass):
     assert sorted(tuple(r) for r in got.collect()) == plain_collocations(rows, top, min_count, longest, 80, 100)
 
 
+def test_exact_counts_are_added_up_in_a_task(monkeypatch):
+    """A task sends each phrase once, not once a stretch of text, in order."""
+    import zlib
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from specgrade.llm import collocations as made
+    monkeypatch.setattr(made, "CHUNK_BYTES", 8)
+    texts = ["a b a b.", "a b c", "", "b c"] * 5
+    batches = [pa.RecordBatch.from_pydict({"lang": ["en"] * len(texts), "text": texts}) for _ in range(3)]
+    maps = SimpleNamespace(value=[zlib.compress(b"\xff" * 8)] * 2)
+    got = [(r["key"], r["f"]) for b in made._exact(6, 2, maps)(iter(batches)) for r in b.to_pylist()]
+    assert got == sorted({"2:en": 135, "2:ena": 45, "2:enb": 60, "2:enc": 30, "2:ena b": 45, "2:enb a": 15, "2:enb c": 30}.items())
+    counts = [pa.RecordBatch.from_pydict({"key": [f"k{i}", "same"], "f": [i, 1]}) for i in range(40)]
+    sent = [(r["key"], r["f"]) for b in made.added_up(iter(counts), 16, 1 << 20) for r in b.to_pylist()]
+    assert sum(f for k, f in sent if k == "same") == 40 and len(sent) < 60
+    assert sorted(x for x in sent if x[0] != "same") == sorted((f"k{i}", i) for i in range(40))
+
+
 def test_collocations_full_filter_and_empty(spark):
     """A bitmap that lets nearly all through changes nothing; no rows, no words."""
     rows = [(i, f"alpha beta {i} gamma delta {i % 3}", "en", None) for i in range(40)]
