@@ -11,7 +11,9 @@ phrase with ``min_count`` occurrences survives, and few others do.  A longer
 phrase is sent only if all its parts survived.  Second pass: the phrases whose keys survived are
 counted exactly, by their words; two phrases with one key only cost work.  A
 task adds up its counts before it sends them, in the order of the phrases, so
-that equal beginnings stand side by side in what is shuffled.
+that equal beginnings stand side by side in what is shuffled.  A phrase costs a
+row in every task that meets it, so the tasks follow the cores, not the files'
+splits: the rows grow with the distinct phrases that survive.
 
 Survivors are kept as a bitmap over the high bits of the keys, ``2 **
 filter_bits`` bits whatever the corpus: a partition makes the stretch of the
@@ -45,10 +47,13 @@ from specgrade.llm.common import cut, whole_text
 MAP = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
 END = b"."  # stands between pieces; no word holds it
 CHUNK_BYTES = 4 << 20
-# the keys a task holds before it sends its summaries
-FLUSH_KEYS = 1 << 22
+# the keys a task holds before it sends a summary of those it met once
+FLUSH_KEYS = 1 << 20
 # the exact counts a task holds before it adds them up, or their bytes
 FLUSH_ROWS, FLUSH_BYTES = 1 << 20, 64 << 20
+# a pass over the text runs in this many tasks a core, more if one would have
+# to read more text than this
+TASKS_PER_CORE, TASK_BYTES = 2, 512 << 20
 # a key is sent as the 32 bits that follow its partition's; of a partition's few
 # million keys some in a thousand then share theirs, which can only make a phrase
 # look more frequent.  Keys seen once by a task go without their counts
@@ -189,10 +194,12 @@ def _summaries(part_bits: int, bits: int, longest: int, level: int, maps):
             keys, counts, held = keys + [k], counts + [n], held + len(k)
             if held >= FLUSH_KEYS:
                 k, n = _summed(np.concatenate(keys), np.concatenate(counts))
+                if len(k) >= FLUSH_KEYS // 2:
+                    # the frequent ones stay, so that they are sent with their sums
+                    go = (n == 1) | (np.count_nonzero(n > 1) >= FLUSH_KEYS // 2)
+                    yield send([k[go]], [n[go]])
+                    k, n = k[~go], n[~go]
                 keys, counts, held = [k], [n], len(k)
-                if held >= FLUSH_KEYS // 2:
-                    yield send(keys, counts)
-                    keys, counts, held = [], [], 0
         if held:
             yield send(keys, counts)
     return run
@@ -260,23 +267,30 @@ def _exact(bits: int, longest: int, maps):
 
 
 def added_up(counts: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator[pa.RecordBatch]:
-    """(key, f) with the counts of a key added up, ordered by key; what is
-    held beyond ``rows`` rows or ``size`` bytes goes out if adding up leaves
-    more than half of it."""
+    """(key, f) with the counts of a key added up, ordered by key; of what is
+    held beyond ``rows`` rows or ``size`` bytes, the most frequent quarter stays
+    and the rest goes out if adding up leaves more than three quarters of it."""
     def total(held: list[pa.RecordBatch]) -> pa.Table:
         table = pa.Table.from_batches(held).group_by("key", use_threads=False).aggregate([("f", "sum")])
         return table.select(["key", "f_sum"]).rename_columns(["key", "f"])
 
+    def frequent(table: pa.Table) -> np.ndarray:
+        order = np.argsort(-table["f"].to_numpy(), kind="stable")[:rows // 4]
+        nbytes = pc.binary_length(table["key"]).to_numpy().astype(np.int64) + 12
+        stay = np.zeros(len(table), bool)
+        stay[order[np.cumsum(nbytes[order]) <= size // 4]] = True
+        return stay
+
     held, n, nbytes = [], 0, 0
     for batch in counts:
         held, n, nbytes = held + [batch], n + len(batch), nbytes + batch.nbytes
         if n >= rows or nbytes >= size:
             table = total(held)
-            if len(table) >= rows // 2 or table.nbytes >= size // 2:
-                yield from table.sort_by("key").to_batches()
-                held, n, nbytes = [], 0, 0
-            else:
-                held, n, nbytes = table.to_batches(), len(table), table.nbytes
+            if len(table) >= rows * 3 // 4 or table.nbytes >= size * 3 // 4:
+                stay = frequent(table)
+                yield from table.filter(pa.array(~stay)).sort_by("key").to_batches()
+                table = table.filter(pa.array(stay))
+            held, n, nbytes = table.to_batches(), len(table), table.nbytes
     if held:
         yield from total(held).sort_by("key").to_batches()
 
@@ -293,6 +307,8 @@ def phrase_counts(docs: DataFrame, min_count: int = 30, longest: int = 4, mass:
     occurrences, and for every lang its number of words under phrase ''."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), whole_text().alias("text"))
     size = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    tasks = max(TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    texts = texts.coalesce(tasks)
     shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # words have about six bytes and start up to longest - 1 phrases of a level
     parts = max(shuffles, size // 6 * max(1, longest - 2) // mass, 1)

@@ -87,6 +87,52 @@ def test_exact_counts_are_added_up_in_a_task(monkeypatch):
     assert sorted(x for x in sent if x[0] != "same") == sorted((f"k{i}", i) for i in range(40))
 
 
+def test_a_frequent_phrase_stays_in_its_task():
+    """What is too much to hold goes out, but not the phrases that return."""
+    import pyarrow as pa
+
+    from specgrade.llm.collocations import added_up
+    counts = [{"key": [f"k{i:04}", "same", "x" * (i % 7)], "f": [1, 2, 1]} for i in range(400)]
+    want = collections.Counter()
+    for c in counts:
+        want.update(dict(zip(c["key"], c["f"])))
+    for rows, size in ((32, 1 << 20), (1 << 20, 2000)):
+        got = collections.Counter()
+        sent = [(r["key"], r["f"]) for b in added_up((pa.RecordBatch.from_pydict(c) for c in counts), rows, size) for r in b.to_pylist()]
+        for k, f in sent:
+            got[k] += f
+        assert got == want
+        assert sum(k == "same" for k, _ in sent) == 1
+    # a phrase longer than what may be held still goes through
+    long = [pa.RecordBatch.from_pydict({"key": ["y" * 5000, "same"], "f": [9, 1]}) for _ in range(3)]
+    assert sum(r["f"] for b in added_up(iter(long), 32, 2000) for r in b.to_pylist()) == 30
+
+
+def test_rows_follow_the_phrases_not_the_splits(spark, monkeypatch):
+    """The exact pass sends a phrase once a task, and splits make no tasks."""
+    from specgrade.llm import collocations as made
+    sent, exact = spark.sparkContext.accumulator(0), made._exact
+
+    def seen(*args):
+        run = exact(*args)
+
+        def counted(batches):
+            for b in run(batches):
+                sent.add(len(b))
+                yield b
+        return counted
+
+    monkeypatch.setattr(made, "_exact", seen)
+    monkeypatch.setattr(made, "TASKS_PER_CORE", 1, raising=False)
+    cores = spark.sparkContext.defaultParallelism
+    rows = [(i, f"alpha beta gamma delta {i % 2}", "en", None) for i in range(24 * cores)]
+    docs = table(spark, rows).repartition(12 * cores, "doc_id")
+    got = collocations(docs, min_count=4, filter_bits=20)
+    assert sorted(tuple(r) for r in got.collect()) == plain_collocations(rows, 2000, 4, 4, 80, 100)
+    phrases = {(lang, *w[i:i + m]) for _, t, lang, _ in rows for w in [t.split()] for m in range(1, 5) for i in range(len(w) - m + 1)}
+    assert 0 < sent.value <= cores * (len(phrases) + 1)
+
+
 def test_collocations_full_filter_and_empty(spark):
     """A bitmap that lets nearly all through changes nothing; no rows, no words."""
     rows = [(i, f"alpha beta {i} gamma delta {i % 3}", "en", None) for i in range(40)]
