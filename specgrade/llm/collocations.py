@@ -46,7 +46,7 @@ from specgrade.llm.common import cut, whole_text
 # A-Z lower-cased; what ends a piece becomes a line feed
 MAP = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
 END = b"."  # stands between pieces; no word holds it
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 # the keys a task holds before it sends a summary of those it met once
 FLUSH_KEYS = 1 << 20
 # the exact counts a task holds before it adds them up, or their bytes
@@ -285,14 +285,15 @@ def added_up(counts: Iterator[pa.RecordBatch], rows: int, size: int) -> Iterator
     for batch in counts:
         held, n, nbytes = held + [batch], n + len(batch), nbytes + batch.nbytes
         if n >= rows or nbytes >= size:
-            table = total(held)
+            table, held = total(held), []
             if len(table) >= rows * 3 // 4 or table.nbytes >= size * 3 // 4:
                 stay = frequent(table)
                 yield from table.filter(pa.array(~stay)).sort_by("key").to_batches()
                 table = table.filter(pa.array(stay))
             held, n, nbytes = table.to_batches(), len(table), table.nbytes
     if held:
-        yield from total(held).sort_by("key").to_batches()
+        table, held = total(held), []
+        yield from table.sort_by("key").to_batches()
 
 
 def _rows(lang: str, phrases: pa.Array, n) -> pa.RecordBatch:
