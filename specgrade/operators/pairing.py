@@ -6,8 +6,8 @@ rule: score <= 50 random later rows), generated per row with array
 functions and resolved with equi-joins.  Exact top-k search scores the corpus
 against a *bounded* batch of query vectors shipped to each task (checked
 size); each task keeps one running exact top-k per query, so only
-``queries x k x tasks`` rows are shuffled.  Beyond that size queries meet
-blocks of the corpus in an equi-join, pruned by an exact bound.  Greedy one-to-one
+``queries x k x tasks`` rows are shuffled.  Beyond that size slices of the
+queries meet tiles of the corpus, pruned by an exact bound.  Greedy one-to-one
 matching runs as rounds of locally dominant edges, checkpointed each round.
 Finders with a pair limit work on a growing prefix of the scan order (the
 first matches depend only on the edges before them), and bounded id lists
@@ -35,7 +35,7 @@ DISSIMILAR_BAND = (0.40, 0.50)
 
 QUERY_BATCH = 1 << 17   # query vectors collected at most in knn(), further capped by MAX_BATCH_BYTES
 MAX_BATCH_BYTES = 8 << 20
-GROUP_BYTES = 32 << 20  # vectors of one side of a task beyond one batch
+GROUP_BYTES = 8 << 20  # vectors of one side of a task beyond one batch
 GROUP_SIDE = 16         # tiles and slices there at least, where they hold more than a block
 CELLS = 256             # pivots of a search beyond one batch
 BLOCK_ROWS = 4096       # rows of the corpus scored at once there
@@ -580,6 +580,28 @@ def _group_topk(qids: np.ndarray, qmat: np.ndarray, floor: np.ndarray, ids: np.n
     return tuple(np.concatenate([np.zeros(0, t), *[f[i] for f in found]]) for i, t in enumerate((np.int64, np.int64, np.float64)))
 
 
+def _packed(tile: int, ids: np.ndarray, mat: np.ndarray, floor: np.ndarray, got) -> pa.RecordBatch:
+    """A tile as one row."""
+    return pa.RecordBatch.from_pydict({"tile": pa.array([tile], pa.int32())} | {
+        name: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary())
+        for name, x in zip(("ids", "vectors", "floor", "found"), (ids, mat, floor, _triples(got)))})
+
+
+def _triples(got) -> bytes:
+    """(query_id, id, score) as bytes, one column after the other."""
+    return np.frombuffer(b"".join(x.astype(t, copy=False).tobytes() for x, t in zip(got, (np.int64, np.int64, np.float64))), np.uint8)
+
+
+def _raise_floor(qids: np.ndarray, floor: np.ndarray, got, k: int):
+    """The k best of each query in ``got``, and ``floor`` raised to the k-th score."""
+    *best, nth = _best_of(*got, k)
+    by, kth = best[0][nth == k - 1], best[2][nth == k - 1]
+    if len(by):  # by query id, as _best_of sorts
+        at = np.minimum(np.searchsorted(by, qids), len(by) - 1)
+        floor = np.where(by[at] == qids, np.maximum(floor, kth[at]), floor)
+    return tuple(best), floor
+
+
 def _knn_cells(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, dim: int, cells: int,
                block: int) -> DataFrame:
     """P9 for query sets of any size: exact, and no vector but the pivots
@@ -588,12 +610,15 @@ def _knn_cells(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, dim: int,
     The ``cells`` vectors of smallest id hash are pivots; every vector x goes
     to its nearest pivot p, and a cell's radius R bounds |x - p|, so
     q.x <= q.p + |q| R for all of the cell.  Vectors in the order of their
-    cells are dealt into tiles, queries into slices, of at most GROUP_BYTES; a
-    task holds one tile and one slice, however many vectors are equal, and
-    scores ``block`` rows at a time.  A query first meets one tile of its
-    nearest cell, which bounds its k-th score from below, and then only the
-    tiles with a cell that this bound cannot rule out.  A tile travels once for
-    each slice that asks for it, and a query once for each tile."""
+    cells are dealt into tiles of at most GROUP_BYTES, queries likewise into
+    slices; each is packed into one row and written once.  An all-vs-all
+    search has one set of tiles for both sides: a tile first meets itself,
+    which bounds the k-th scores of its queries from below.  Then a task takes
+    one slice through a run of tiles, one tile at a time, scores those queries
+    whose bound cannot rule out all of the tile's cells, and raises the bounds
+    as it goes.  Tiles are read again from where they were written, so nothing
+    but the vectors and the results is on disk, however many tiles there are;
+    a separate query set starts without bounds."""
     spark = c.sparkSession
     ensure_checkpoint_dir(spark)
     picked = c.orderBy(F.xxhash64("_id"), "_id").limit(cells).toPandas()  # <= cells rows
@@ -601,7 +626,7 @@ def _knn_cells(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, dim: int,
         return spark.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
     pivots = np.nan_to_num(np.stack(picked["_v"].to_numpy()).astype(np.float64))
 
-    def place(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    def place(df: DataFrame) -> DataFrame:
         half = (pivots ** 2).sum(axis=1) / 2
 
         def run(batches):
@@ -610,64 +635,79 @@ def _knn_cells(q: DataFrame, c: DataFrame, k: int, exclude_self: bool, dim: int,
                     m = np.nan_to_num(np.stack(pdf["_v"].to_numpy()).astype(np.float64))
                     cell = np.argmax(m @ pivots.T - half, axis=1)
                     yield pdf.assign(cell=cell.astype(np.int32), far=np.sqrt(((m - pivots[cell]) ** 2).sum(axis=1)))
-        return (df.select("_id", "_v").mapInPandas(run, "_id bigint, _v array<double>, cell int, far double")
-                .withColumn("nth", F.monotonically_increasing_id()).checkpoint())
+        return df.select("_id", "_v").mapInPandas(run, "_id bigint, _v array<double>, cell int, far double")
 
-    def dealt(placed: DataFrame, name: str, salt: int):
-        """``placed`` with its tile, and the cells' first places and sizes."""
+    def dealt(df: DataFrame, itself: bool):
+        """``df`` in packed tiles, one to a partition, and the cells' first
+        places and sizes."""
+        placed = place(df)
         known = placed.groupBy("cell").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n")).toPandas().sort_values("cell")  # <= cells rows
         size = max(1, min(GROUP_BYTES // (8 * max(dim, 1)), max(block, -(-int(known["n"].sum()) // GROUP_SIDE))))
         known["first"] = known["n"].cumsum() - known["n"]
         shape = F.broadcast(spark.createDataFrame(known[["cell", "first", "n"]], "cell int, first long, n long"))
-        part = F.floor((F.col("first") + F.pmod(F.xxhash64("nth", F.lit(salt)), F.col("n"))) / size).cast("int")
-        return placed.join(shape, "cell").select("_id", "_v", "cell", part.alias(name)), known, size
-
-    placed = place(c, pivots)
-    corpus, known, size = dealt(placed, "tile", 0)
+        part = F.floor((F.col("first") + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("n"))) / size).cast("int")
+        tiles = max(1, -(-int(known["n"].sum()) // size))
+
+        def pack(batches):
+            held = [b for b in batches if b.num_rows]
+            if not held:
+                return
+            table = pa.Table.from_batches(held)
+            ids, mat = table.column("_id").to_numpy(), _matrix(table)
+            floor, got = np.full(len(ids), -np.inf), (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            if itself:
+                got, floor = _raise_floor(ids, floor, _group_topk(ids, mat, floor, ids, mat, k, exclude_self, block), k)
+            yield _packed(table.column("tile")[0].as_py(), ids, mat, floor, got)
+        packed = (placed.join(shape, "cell").select("_id", "_v", part.alias("tile")).repartitionById(tiles, "tile")
+                  .mapInArrow(pack, "tile int, ids binary, vectors binary, floor binary, found binary")).rdd.map(lambda r: r.asDict())
+        packed.checkpoint()  # as Python wrote them: a read hands the bytes on
+        packed.map(lambda r: r["tile"]).take(1)
+        return packed, known, size, tiles
+
+    same = q is c
+    corpus, known, size, n_tiles = dealt(c, same)
+    asked, n_slices = (corpus, n_tiles) if same else dealt(q, False)[::3]
     at, first, n, radius = (known[x].to_numpy() for x in ("cell", "first", "n", "radius"))
     lo, hi = first // size, (first + n - 1) // size  # the tiles of a cell
-    cover = (lo[:, None] <= np.arange(hi[-1] + 1)) & (np.arange(hi[-1] + 1) <= hi[:, None])
-    asked = dealt(placed if q is c else place(q, pivots), "slice", 1)[0]
-
-    def route(start: bool):
-        def run(batches):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                m = np.nan_to_num(np.stack(pdf["_v"].to_numpy()).astype(np.float64))
-                near = m @ pivots[at].T
-                if start:
-                    best = np.argmax(near, axis=1)
-                    tiles = lo[best] + pdf["_id"].to_numpy() % (hi - lo + 1)[best]
-                    yield pdf.assign(floor=-np.inf, tiles=[[t] for t in tiles])[["_id", "_v", "slice", "floor", "tiles"]]
-                    continue
-                most = near + np.sqrt((m ** 2).sum(axis=1))[:, None] * radius
-                floor = pdf["floor"].fillna(-np.inf).to_numpy()
-                need = ~(most < (floor - 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0))))[:, None])
-                tiles = (need.astype(np.float32) @ cover.astype(np.float32)) > 0
-                yield pdf.assign(floor=floor, tiles=[np.flatnonzero(t) for t in tiles])[["_id", "_v", "slice", "floor", "tiles"]]
-        return run
-
-    def score(asks: pa.Table, held: pa.Table) -> pa.Table:
-        got = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        if asks.num_rows and held.num_rows:
-            got = _group_topk(asks.column("_id").to_numpy(), _matrix(asks), asks.column("floor").to_numpy(),
-                              held.column("_id").to_numpy(), _matrix(held), k, exclude_self, block)
-        return pa.table(dict(zip(("query_id", "id", "score"), got)))
-
-    def meet(routed: DataFrame) -> DataFrame:
-        asks = routed.select("_id", "_v", "floor", "slice", F.explode("tiles").alias("tile"))
-        wanted = asks.groupBy("tile").agg(F.collect_set("slice").alias("slices"))  # a number for each pair of tile and slice
-        held = (corpus.join(F.broadcast(wanted), "tile")
-                .select("_id", "_v", F.explode("slices").alias("slice"), "tile"))
-        return (asks.groupBy("tile", "slice").cogroup(held.groupBy("tile", "slice"))
-                .applyInArrow(score, "query_id bigint, id bigint, score double"))
-
-    shape = "_id bigint, _v array<double>, slice int, floor double, tiles array<int>"
-    begun = meet(asked.select("_id", "_v", "slice").mapInPandas(route(True), shape))
-    floors = begun.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-    bounded = asked.select("_id", "_v", "slice").join(floors.withColumnRenamed("query_id", "_id"), "_id", "left")
-    return _merge_topk(meet(bounded.mapInPandas(route(False), shape).checkpoint()), k)
+    near_pivots = pivots[at]
+
+    def tiles_of(qmat: np.ndarray, tile: int, floor: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """The queries that the bound of a cell of the tile does not rule out."""
+        least = floor - 1e-9 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0)))
+        return np.flatnonzero(~(bound[:, (lo <= tile) & (tile <= hi)] < least[:, None]).all(axis=1))
+
+    def run(pairs):
+        mine, held = None, None
+        for a, b in pairs:
+            if a["tile"] != mine:
+                if held is not None and len(held[0]):
+                    yield (bytes(_triples(held)),)
+                mine, held = a["tile"], (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+                qids, floor = np.frombuffer(a["ids"], np.int64), np.frombuffer(a["floor"], np.float64)
+                qmat = np.frombuffer(a["vectors"], np.float64).reshape(len(qids), -1)
+                finite = np.nan_to_num(qmat)
+                bound = finite @ near_pivots.T + np.sqrt((finite ** 2).sum(axis=1))[:, None] * radius
+            if same and b["tile"] == mine:
+                continue
+            ask = tiles_of(qmat, b["tile"], floor, bound)
+            if len(ask):
+                ids = np.frombuffer(b["ids"], np.int64)
+                got = _group_topk(qids[ask], qmat[ask], floor[ask], ids, np.frombuffer(b["vectors"], np.float64).reshape(len(ids), -1), k, exclude_self, block)
+                held, floor = _raise_floor(qids, floor, tuple(np.concatenate(x) for x in zip(held, got)), k)
+        if held is not None and len(held[0]):
+            yield (bytes(_triples(held)),)
+
+    def rows(batches):
+        for batch in batches:
+            for x in batch.column(0):
+                three = np.frombuffer(x.as_py(), np.int64).reshape(3, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(three[0]), pa.array(three[1]), pa.array(three[2].view(np.float64))], ["query_id", "id", "score"])
+
+    runs = max(1, min(n_tiles, -(-8 * spark.sparkContext.defaultParallelism // n_slices)))
+    met = asked.cartesian(corpus.coalesce(runs)).mapPartitions(run)
+    own = corpus.map(lambda r: (bytes(r["found"]),))
+    found = spark.createDataFrame(met.union(own) if same else met, "found binary").checkpoint()
+    return _merge_topk(found.mapInArrow(rows, "query_id bigint, id bigint, score double"), k)
 
 
 def _score_batch(c: DataFrame, pdf, k: int, exclude_self: bool) -> DataFrame:
